@@ -92,7 +92,7 @@ def _bags(docs: DataFrame) -> DataFrame:
     return docs.select("label", "text").mapInArrow(run, "label int, sizes array<int>, buckets array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rounds: int = 120, l1: float = 0.5, least_df: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = 120, l1: float = 0.2, least_df: int = 3) -> Model:
     """Learn from the bounded sample of training_sample().  No labelled row: a model that says 0 of all."""
     small_batches(docs.sparkSession)
     sample = training_sample(docs, labels)
