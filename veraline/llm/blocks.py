@@ -51,22 +51,28 @@ def matrix(column: pa.ChunkedArray, width: int, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
 
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what the square or left x right matrix of links connects: (row, column) pairs, each row group once."""
+def stars(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """(node, least): every node that a true cell of near links, and the smallest id that it's connected to.
+
+    Not every link leaves the block, only an edge for each node of it, and blocks that
+    share nodes mostly name the same smallest one.
+    """
     left, right = near.shape
     out, seen_r, seen_c = [], np.zeros(left, bool), np.zeros(right, bool)
-    for first in np.flatnonzero(near.any(axis=1)):
+    for first in np.flatnonzero(near.any(axis=1)).tolist():
         if seen_r[first]:
             continue
         seen_r[first] = True
-        rows = [int(first)]
-        while rows:
-            r = rows.pop()
-            for c in np.flatnonzero(near[r] & ~seen_c):
+        todo, in_r, in_c = [first], [first], []
+        while todo:
+            r = todo.pop()
+            for c in np.flatnonzero(near[r] & ~seen_c).tolist():
                 seen_c[c] = True
-                out.append((r, int(c)))
-                for x in np.flatnonzero(near[:, c] & ~seen_r):
-                    seen_r[x] = True
-                    out.append((int(x), int(c)))
-                    rows.append(int(x))
+                in_c.append(c)
+                more = np.flatnonzero(near[:, c] & ~seen_r).tolist()
+                seen_r[more] = True
+                in_r += more
+                todo += more
+        nodes = sorted({*rows[in_r].tolist(), *columns[in_c].tolist()})
+        out += [(x, nodes[0]) for x in nodes[1:]]
     return out

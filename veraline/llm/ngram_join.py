@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veraline.llm.blocks import dealt, forest, groups, matrix
-from veraline.llm.common import WORD, small_batches
+from veraline.llm.blocks import dealt, groups, matrix, stars
+from veraline.llm.common import WORD, Recent, small_batches
 from veraline.operators.graph import connected_components
 from veraline.plans.store import discard, materialize
 
@@ -55,6 +55,9 @@ def runs_needed(target: float = TARGET_RECALL, similarity: float = SIMILARITY) -
 
 
 RUNS = runs_needed()
+_EXPECTED = np.array([FIRST if k % LEVELS == 0 else LATER for k in range(RUNS * LEVELS)])
+_LEVEL_MUL = _rng.integers(1, 2**32, (RUNS * LEVELS, 1), dtype=np.uint32) | np.uint32(1)
+_LEVEL_ADD = _rng.integers(0, 2**32, (RUNS * LEVELS, 1), dtype=np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,25 +66,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, kept: dict[str, int], words: int = WORDS) -> np.ndarray:
+def word_hashes() -> Recent:
+    return Recent(lambda w: xxhash.xxh3_64_intdigest(w).to_bytes(8, "little"), 250_000)
+
+
+def shingles(text: str | None, kept: Recent, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 32-bit hashes of runs of `words` lower-case words; all words if there are fewer; none of none."""
     found = WORD.findall(text.lower()) if text else []
     if not found:
         return np.zeros(0, np.uint32)
-    try:
-        h = np.array([kept[w] for w in found], dtype=np.uint64)
-    except KeyError:
-        if len(kept) > 300_000:
-            kept.clear()
-        for w in found:
-            if w not in kept:
-                kept[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([kept[w] for w in found], dtype=np.uint64)
+    h = _mix(np.frombuffer(b"".join(map(kept.__getitem__, found)), dtype="<u8"))
     n = min(words, len(h))
-    total = np.full(len(h) - n + 1, np.uint64(n))
-    for k in range(n):
-        total += _mix(h[k : len(h) - n + 1 + k] * _SLOT[k])
-    return np.unique((_mix(total) >> np.uint64(32)).astype(np.uint32))
+    total = h[: len(h) - n + 1] * _SLOT[0] + np.uint64(n)
+    for k in range(1, n):
+        total += h[k : len(h) - n + 1 + k] * _SLOT[k]
+    out = (_mix(total) >> np.uint64(32)).astype(np.uint32)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def _sketch(x: np.ndarray) -> bytes:
@@ -93,12 +94,9 @@ def _sketch(x: np.ndarray) -> bytes:
 
 def _chosen(x: np.ndarray) -> np.ndarray:
     """int64 of (run, level) * 2**32 + token."""
-    out = []
-    for k in range(RUNS * LEVELS):
-        limit = min(1.0, (FIRST if k % LEVELS == 0 else LATER) / len(x)) * 2**32
-        draw = _mix(x.astype(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(32)
-        out.append(x[draw < np.uint64(limit)].astype(np.int64) + (k << 32))
-    return np.concatenate(out)
+    limit = np.minimum(_EXPECTED / len(x), 1) * (2**32 - 1)
+    k, i = np.nonzero(x[None, :] * _LEVEL_MUL + _LEVEL_ADD <= limit.astype(np.uint32)[:, None])
+    return x[i].astype(np.int64) + (k << 32)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -122,7 +120,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        kept: dict[str, int] = {}
+        kept = word_hashes()
         shown: set[int] = set()
         for batch in batches:
             columns: list[list] = [[], [], [], []]
@@ -188,9 +186,9 @@ def _near_by_sketch(batches):
             near[k : k + 64] = (x[a[k : k + 64], None, :] == x[None, b, :]).sum(axis=2, dtype=np.uint8) >= MAYBE * SKETCH
         if lo == hi:
             np.fill_diagonal(near, False)
-        pairs = forest(near)
+        pairs = stars(near, ids[a], ids[b])
         if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[[p[0] for p in pairs]]]), pa.array(ids[b[[p[1] for p in pairs]]])], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,10 +229,10 @@ def _verified(similarity: float):
             if lo == hi:
                 np.fill_diagonal(near, False)
             links = [(ids[a], near @ mult[b])] + ([(ids[b], mult[a] @ near)] if lo != hi else [])
-            pairs = forest(near)
-            node = np.concatenate([x for x, _ in links] + ([ids[a[[p[0] for p in pairs]]]] if pairs else []))
+            pairs = stars(near, ids[a], ids[b])
+            node = np.concatenate([x for x, _ in links] + [np.array([p[0] for p in pairs], np.int64)])
             n = np.concatenate([x for _, x in links] + [np.zeros(len(pairs), np.int64)])
-            other = pa.array([None] * (len(node) - len(pairs)) + [int(ids[b[p[1]]]) for p in pairs], pa.int64())
+            other = pa.array([None] * (len(node) - len(pairs)) + [p[1] for p in pairs], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(node), other, pa.array(n.astype(np.int64))], names=["src", "dst", "links"])
 
     return run
