@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 
@@ -25,50 +25,90 @@ def small_batches(spark) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-class Encoder:
-    """tokenizers.Tokenizer.encode(text, add_special_tokens=False), remembered by space-led piece.
+class Recent(dict):
+    """What `make` gives for a key, remembered for the keys met of late: two generations of `room` keys each."""
 
-    A byte-level vocabulary splits before a space that stands alone, so a text's
-    ids are those of its pieces in a row.  Texts in which a space lies inside a
-    longer run of white space, where that isn't so, are encoded whole.
-    """
+    def __init__(self, make, room: int = 250_000):
+        super().__init__()
+        self.make, self.room, self.older = make, room, {}
+
+    LONGEST = 64
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.room:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?*%&$#|]*)(?:\n([{_LETTERS}]+)([.,;:!?*%&$#|]*))?")
 
-    KEPT = 300_000
+
+def _byte_letters() -> list[str]:
+    """The printable character that a byte-level vocabulary writes for each byte: itself, or the next one free from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, free = [], 256
+    for b in range(256):
+        out.append(chr(b if b in own else free))
+        free += b not in own
+    return out
+
+
+class Encoder:
+    """tokenizers.Tokenizer.encode(text, add_special_tokens=False) of a byte-level vocabulary, remembered by piece.
+
+    Such a vocabulary splits a text before a space that stands alone, between a word
+    and what follows that isn't a letter, and around a single line end.  So a text's
+    ids are those of its space-led pieces in a row, and a plain piece's are those of
+    its words, for which the library's model is asked directly.  All other pieces go
+    through the whole tokenizer; so do texts in which a space lies inside a longer
+    run of white space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, piece: str) -> tuple[int, ...]:
-        found = self.kept.get(piece)
-        if found is None:
-            found = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-            if len(piece) <= 64:
-                if len(self.kept) >= self.KEPT:
-                    self.kept.clear()
-                self.kept[piece] = found
-        return found
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+        self.after_space = Recent(self._piece)
+        self.words, self.marks = Recent(self._word, 150_000), Recent(self._whole, 10_000)
+        self.line_end = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        shown = "\u0120" + word[1:] if word.isascii() and word[0] == " " else word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        m = _PLAIN.fullmatch(piece)
+        if not m:
+            return self._whole(" " + piece)
+        word, mark, next_word, next_mark = m.groups()
+        out = self.words[" " + word] + (self.marks[mark] if mark else b"")
+        if next_word:
+            out += self.line_end + self.words[next_word] + (self.marks[next_mark] if next_mark else b"")
+        return out
 
     def encode(self, text: str | None, end: int) -> np.ndarray:
         """Ids of a text (null: none) and the end id."""
+        last = end.to_bytes(4, "little")
         if not text:
-            return np.array([end], dtype=np.uint32)
-        if _RUN_OF_SPACE.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array([*ids, end], dtype=np.uint32)
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + x for x in rest]]
-        kept = self.kept
-        try:
-            found = [kept[x] for x in pieces]
-        except KeyError:
-            found = [self._ids(x) for x in pieces]
-        flat = list(chain.from_iterable(found))
-        flat.append(end)
-        return np.array(flat, dtype=np.uint32)
+            parts = [last]
+        elif _RUN_OF_SPACE.search(text):
+            parts = [self._whole(text), last]
+        else:
+            first, *rest = text.split(" ")
+            parts = [self._whole(first), *map(self.after_space.__getitem__, rest), last]
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
 def crc_of_ids(ids: np.ndarray) -> int:
