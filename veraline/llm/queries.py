@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veraline.llm.warc import AUDIT_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,4 +76,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_feistel_pii, op2_merkle_fixity, op3_token_orc, op4_pivot_dedup, op5_chosen_path_join, op6_multi_index_hashing, op7_ipf_mixing, op8_cutting_stock, op9_secret_structure, op10_noisy_or_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_merkle_fixity": AUDIT_SQL}

@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veraline.llm.common import WORD, small_batches
+from veraline.plans.store import fresh
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Bounds of the fitted sample: labelled documents and their characters in all.
@@ -150,8 +152,8 @@ def _ascend(y, counts, sizes, words, rounds, l1, least_df, dim) -> Model:
     return Model(weights, float(bias), float(1 / (1 + np.exp(-leak))))
 
 
-def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """doc_id, score (0 to 1) and, if asked for, offending: array<struct<start, end, p>> of sentences with p >= 0.5.
+def score(docs: DataFrame, model: Model, spans: bool = False, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns keep (default: doc_id), score (0 to 1; column `name`) and, if asked for, offending: array<struct<start, end, p>> of sentences with p >= 0.5.
 
     Null or empty text: the leak alone.  Each row is scored by its own whole text;
     repeated rows and null doc_ids give a row each.
@@ -160,15 +162,18 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     # a broadcast of a fixed size: the words that matter, of 2 ** BITS at most
     at = np.flatnonzero(model.weights)
     table = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), model.weights[at], model.bias, model.leak))
-    schema = "doc_id long, score double" + ", offending array<struct<start:int,end:int,p:double>>" * spans
+    keep = ["doc_id"] if keep is None else keep
+    source = docs.select(*keep, F.col("text").cast("string").alias(fresh(docs, "text")))
+    extra = T._parse_datatype_string(f"`{name}` double" + ", offending array<struct<start:int,end:int,p:double>>" * spans)
+    schema = T.StructType([*source.schema.fields[:-1], *extra.fields])
 
     def run(batches):
         places, values, bias, leak = table.value
         weight = dict(zip(places.tolist(), values.tolist(), strict=True))
         kept: dict[str, float] = {}
         for batch in batches:
-            ids, scores, found = batch.column(0), [], []
-            for text in batch.column(1).to_pylist():
+            scores, found = [], []
+            for text in batch.column(len(keep)).to_pylist():
                 none, own = np.log1p(-min(leak, 1 - 1e-12)), []
                 for a, z in sentences(text or ""):
                     total = bias
@@ -187,14 +192,20 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                             own.append({"start": a, "end": z, "p": float(p)})
                 scores.append(float(min(max(1 - np.exp(none), 0.0), 1.0)))
                 found.append(own)
-            arrays = [ids, pa.array(scores, pa.float64())]
+            arrays = [*batch.columns[: len(keep)], pa.array(scores, pa.float64())]
             if spans:
                 arrays.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "offending"][: len(arrays)])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, name, "offending"][: len(arrays)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (score >= 0.5)."""
     return score(docs, fit(docs, labels)).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is below the limit."""
+    name = fresh(docs, "score")
+    return score(docs, model, keep=docs.columns, name=name).where(F.col(name) < limit).drop(name)
