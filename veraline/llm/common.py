@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -111,5 +112,11 @@ class Encoder:
         return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: what one task has met, the next one remembers."""
+    return Encoder(path)
+
+
 def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veraline.llm.common import Encoder, small_batches, tokenizer_path
+from veraline.llm.common import encoder, small_batches, tokenizer_path
 from veraline.operators.ordering import running_totals
 from veraline.plans.store import materialize, new_path
 
@@ -133,10 +133,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> str:
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def run(batches):
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        own, part = encoder(path), TaskContext.get().partitionId()
         done, blocks, ranks = 0, 0, np.zeros(SIZE // GRAIN + 1, np.int64)
         for batch in batches:
-            found = [encoder.encode(t, END) for t in batch.column(1).to_pylist()]
+            found = [own.encode(t, END) for t in batch.column(1).to_pylist()]
             n = len(found)
             sizes = np.array([len(x) for x in found], dtype=np.int64)
             classes = -(-(sizes % SIZE) // GRAIN)

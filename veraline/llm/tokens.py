@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veraline.llm.common import Encoder, small_batches, tokenizer_path
+from veraline.llm.common import encoder, small_batches, tokenizer_path
 from veraline.plans.store import new_path
 
 STORED = "part int, start_in_part long, doc_id long, n_tokens long, ids array<int>"
@@ -33,10 +33,10 @@ def encode_partitions(docs: DataFrame, path: str, end: int) -> DataFrame:
     """STORED rows of sorted partitions of (doc_id, text)."""
 
     def run(batches):
-        encoder, part, done = Encoder(path), TaskContext.get().partitionId(), 0
+        own, part, done = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            found = [encoder.encode(t, end) for t in texts]
+            found = [own.encode(t, end) for t in texts]
             sizes = np.array([len(x) for x in found], dtype=np.int64)
             ends = np.cumsum(sizes)
             flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
