@@ -17,6 +17,7 @@ similarity with a chance of about 2e-5 for each pair of 300-word texts.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ WORDS, SIMILARITY, TARGET_RECALL = 5, 0.8, 0.9995
 #: Expected choices of a set at the first level and at later ones; levels; rows of a bucket that is brute-forced at once.
 FIRST, LATER, LEVELS, LEAF = 5.0, 2.0, 4, 400
 SKETCH, MAYBE = 64, 0.55
+#: Sketch positions that tell a bucket's mean similarity, and the mean from which it isn't split further.
+PROBES, ALIKE = 4, 0.5
 CHUNK = 192
 
 _rng = np.random.default_rng(20240501)
@@ -66,6 +69,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
 def word_hashes() -> Recent:
     return Recent(lambda w: xxhash.xxh3_64_intdigest(w).to_bytes(8, "little"), 250_000)
 
@@ -147,8 +151,18 @@ def _sized(members: DataFrame) -> DataFrame:
     return members.join(sizes, "path")
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """(path, n, set_hash): the leaves of the recursion, small or of the last level."""
+def _alike(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Paths of large buckets whose sets are near to each other on the whole: no token tells them apart.
+
+    The chance that two members agree in a sketch position is their mean similarity.
+    """
+    values = large.join(sketches, "set_hash").select("path", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda k: F.substring("sketch", 2 * k + 1, 2))).alias("k", "value"))
+    same = values.groupBy("path", "k", "value").agg(F.pow(F.count("*") / F.first("n"), F.lit(2)).alias("both"))
+    return same.groupBy("path").agg((F.sum("both") / PROBES).alias("mean")).where(F.col("mean") >= ALIKE).select("path")
+
+
+def _buckets(sets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(path, n, set_hash): the leaves of the recursion, small, alike or of the last level."""
     token = F.explode("chosen").alias("token")
     first = sets.select("set_hash", token).where(F.shiftright("token", 32) % LEVELS == 0)
     members = materialize(_sized(first.select("set_hash", F.shiftright("token", 32).alias("run"), F.col("token").alias("path")).distinct()), "paths")
@@ -158,6 +172,9 @@ def _buckets(sets: DataFrame) -> DataFrame:
         leaves.append(members.where(F.col("n") <= LEAF))
         if large.limit(1).count() == 0:
             return _all(leaves)
+        alike = materialize(_alike(large, sketches), f"alike-{level}")
+        leaves.append(large.join(alike, "path", "left_semi"))
+        large = large.join(alike, "path", "left_anti")
         more = sets.select("set_hash", token).where(F.shiftright("token", 32) % LEVELS == level)
         more = more.select("set_hash", (F.shiftright("token", 32) - level).alias("run"), "token")
         split = large.select("set_hash", "run", "path").join(more, ["set_hash", "run"])
@@ -174,6 +191,7 @@ def _all(leaves: list[DataFrame]) -> DataFrame:
 
 
 def _near_by_sketch(batches):
+    told: set[tuple[int, int]] = set()
     for t in groups(batches, 3):
         own, ids = t.column("vl_own").to_numpy(), t.column("set_hash").to_numpy()
         lo, hi = t.column("vl_lo")[0].as_py(), t.column("vl_hi")[0].as_py()
@@ -186,7 +204,9 @@ def _near_by_sketch(batches):
             near[k : k + 64] = (x[a[k : k + 64], None, :] == x[None, b, :]).sum(axis=2, dtype=np.uint8) >= MAYBE * SKETCH
         if lo == hi:
             np.fill_diagonal(near, False)
-        pairs = stars(near, ids[a], ids[b])
+        pairs = [p for p in stars(near, ids[a], ids[b]) if p not in told]
+        if len(told) < 500_000:
+            told.update(pairs)
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
@@ -253,8 +273,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     counted = materialize(some.groupBy("set_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "sets")
     shown = some.where("sketch is not null")
     sets = shown.select("set_hash", "chosen").dropDuplicates(["set_hash"])
-    leaves = _buckets(sets)
     sketches = shown.select("set_hash", "sketch").dropDuplicates(["set_hash"])
+    leaves = _buckets(sets, sketches)
     maybe = dealt(leaves.join(sketches, "set_hash"), ["path"], "n", "set_hash", LEAF, ["set_hash", "sketch"])
     found = connected_components(maybe.mapInArrow(_near_by_sketch, "src long, dst long")).withColumnRenamed("node", "set_hash")
     found = materialize(found, "maybe")
