@@ -1,0 +1,403 @@
+"""Each operator against a brute-force version, and its defined results at the edges."""
+
+import base64
+import hashlib
+import json
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veraline.llm import ann, mixing, ngram_join, packing, pii, secrets, tokens, toxicity, vectors, warc
+from veraline.llm.common import Encoder, tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+
+
+def docs(spark, texts, ids=None):
+    rows = [(i, t, "en", f"s{k % 3}", None if t is None else len(t)) for k, (i, t) in enumerate(zip(ids or range(len(texts)), texts))]
+    return spark.createDataFrame(rows, DOCS)
+
+
+EDGES = [None, "", "   ", "one", "a  b   c \n d\n\n e", LONG, "same text here for all five of us", "same text here for all five of us"]
+EDGE_IDS = [1, 2, None, 4, 5, 6, 7, 7]
+
+
+# --- 1: pseudonyms ---
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def feistel(values, radices, tweak, key):
+    """The network in plain Python."""
+    h = len(values) // 2
+    left, right, lr, rr = values[:h], values[h:], radices[:h], radices[h:]
+    for r in range(1, pii.ROUNDS + 1):
+        half, mods, other = (left, lr, right) if r % 2 else (right, rr, left)
+        new = []
+        for i, (x, m) in enumerate(zip(half, mods)):
+            said = "|".join([key, tweak, ",".join(map(str, radices)), str(r), str(i), ",".join(map(str, other))])
+            new.append((x + int(hashlib.sha256(said.encode()).hexdigest()[:12], 16)) % m)
+        left, right = (new, right) if r % 2 else (left, new)
+    return left + right
+
+
+def test_pseudonyms_keep_format_and_links(spark):
+    text = "a hein.19@mail5.example.com b 4041894974608795 c +1 (988) 555-2485 d 70.123.182.155 e 1999-02-28 f 28.02.1999 g 123-45-6789 h DE89370400440532013000"
+    out = [r.text for r in pii.pseudonymize(docs(spark, [text, text.replace("hein", "HEIN"), "4041 8949 7460 8795"])).orderBy("doc_id").collect()]
+    assert re.sub("[a-z]", "a", re.sub("[0-9]", "9", out[0])).replace("aa", "a") != text
+    assert [len(x) for x in out] == [len(text), len(text), 19]
+    card = re.search(r"c \+|b (\d{16})", out[0])[1]
+    body = feistel([int(c) for c in "404189497460879"], [10] * 15, "card", "veraline")
+    assert card[:15] == "".join(map(str, body)) and luhn(card) and card != "4041894974608795"
+    assert out[2].replace(" ", "") == card and out[1].lower() == out[0].lower()
+    iban = re.search(r"h (\w+)", out[0])[1]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    iso, dotted = re.search(r"e (\S+) f (\S+)", out[0]).groups()
+    assert iso == "-".join(dotted.split(".")[::-1]) != "1999-02-28"
+    assert all(0 <= int(x) <= 255 for x in re.search(r"d (\S+)", out[0])[1].split("."))
+
+
+def test_pseudonyms_leave_the_rest_alone(spark):
+    texts = ["4041894974608796", "2021-02-30", "300.1.1.1", "000-12-3456", "DE89370400440532013001", "v 1.2.3.4.5", "no values", *EDGES]
+    frame = docs(spark, texts).withColumn("vl_parts", F.lit("mine")).withColumn("kind", F.lit(1))
+    out = pii.pseudonymize(frame, found="found").orderBy("doc_id").collect()
+    assert [r.text for r in out] == texts and all(not r.found and r.vl_parts == "mine" for r in out)
+    assert pii.pseudonymize(docs(spark, [])).count() == 0
+
+
+def test_pseudonyms_are_one_to_one(spark):
+    texts = [f"10.0.{a}.{b}" for a in (1, 2, 9) for b in range(10, 90)]
+    out = [r.text for r in pii.pseudonymize(docs(spark, texts)).collect()]
+    assert len(set(out)) == len(texts)
+
+
+# --- 2: fixity ---
+
+
+def test_fixity_finds_just_the_damage(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}" * (i % 5)) for i in range(700)] + [(None, None, None), (3, "u3", "<p>3<p>3<p>3")], "page_id long, url string, html string")
+    found = {r.page_id: r.fault for r in warc.audit_copy(pages.withColumn("was", F.lit(1))).collect()}
+    want = {i: "missing" if i % 307 == 11 else "content" for i in range(700) if i % 307 == 11 or (i % 101 == 7 and i % 5)}
+    want |= {i: "length" for i in range(700) if i % 211 == 5 and i not in want}
+    want |= {i: "length" for i in range(700) if i % 101 == 7 and i % 5 == 0 and i % 307 != 11}  # a first character where there was none
+    assert found == want
+    assert warc.audit_copy(pages.limit(0)).count() == 0
+    mine = warc.archive(pages)
+    assert warc.audit(mine, mine).count() == 0
+    extra = warc.audit(mine.where("position < 600"), mine)
+    assert extra.where("fault = 'extra'").count() == extra.count() == 102
+
+
+# --- 3 and 8: tokens and packing ---
+
+
+@pytest.fixture(scope="module")
+def reference():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_encoder_is_the_tokenizer(reference):
+    odd = ["it's do.\nNow x.\n\nY é.\nÈa ÿa² x²y foo_bar 3a a3 a.b × ÷ ǅ ñ́", " x \n y", "\n \n", "a   b", "a  b", "don't 'tis", "<|endoftext|> a", *[x or "" for x in EDGES]]
+    encoder = Encoder(tokenizer_path())
+    for text in odd * 2:
+        assert encoder.encode(text, 7).tolist() == [*reference(text), 7]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_files_round_trip(spark, reference):
+    texts = [*EDGES, *(f"text {i} " * (i % 9) for i in range(300))]
+    ids = [*EDGE_IDS, *range(10, 310)]
+    target = tokens.write(docs(spark, texts, ids))
+    got = sorted(((r.doc_id or 0, r.start, r.n_tokens, list(r.ids)) for r in tokens.read(spark, target).collect()), key=lambda r: r[1])
+    at = 0
+    for _, start, n, own in got:
+        assert start == at and n == len(own) and own[-1] == 0
+        at += n
+    assert [g[0] for g in got] == sorted(g[0] for g in got)
+    assert sorted(map(str, (g[3] for g in got))) == sorted(str([*reference(t), 0]) for t in texts)
+    assert tokens.look_up(spark, target, [12]).first().n_tokens == len(reference("text 2 " * 2)) + 1
+    assert tokens.token_ids(docs(spark, [])).count() == 0
+
+
+def check_pieces(pieces, wanted):
+    covered, sequences = {}, {}
+    for r in pieces:
+        covered.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, ids in wanted.items():
+        at = 0
+        for r in sorted(covered[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == crc(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
+    padding = 0
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.SIZE
+        padding += (packing.SIZE - at) if at & (at - 1) else 0
+    return padding
+
+
+def test_packing_holds_each_id_once(spark, reference):
+    texts = [None, "", LONG, *(f"word{i} and some more of it " * (1 + i * i % 350) for i in range(400))]
+    frame = docs(spark, texts)
+    pieces, target = packing.pack_files(frame)
+    rows = pieces.collect()
+    padding = check_pieces(rows, {i: [*reference(t), 1] for i, t in enumerate(texts)})
+    assert padding < 0.01 * sum(r.length for r in rows)
+    made = {r.sequence_id: len(r.ids) for r in packing.sequences_of(pieces, target).collect()}
+    assert sum(made.values()) == sum(r.length for r in rows)
+    assert packing.pack(docs(spark, [])).count() == 0
+    for few in ([None], ["a b c"], EDGES):
+        check_pieces(packing.pack(docs(spark, few)).collect(), {i: [*reference(t), 1] for i, t in enumerate(few)})
+    assert packing.pack(docs(spark, EDGES, EDGE_IDS)).agg(F.sum("length")).first()[0] == sum(len(reference(t)) + 1 for t in EDGES)
+
+
+def test_cutting_stock_meets_demand_near_the_bound():
+    rng = np.random.default_rng(0)
+    for n in (1, 30, 900):
+        widths, demand = np.unique(rng.integers(1, 129, n), return_counts=True)
+        found = packing.cutting_stock(widths, demand, 128)
+        assert (sum(k * p for p, k in found) == demand).all() and all(p @ widths <= 128 for p, _ in found)
+        assert sum(k for _, k in found) <= max(np.ceil((widths @ demand) / 128), demand[widths > 64].sum()) * 1.05 + 1
+
+
+# --- 4 and 6: vectors ---
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], label) for i, v, label in rows], "vec_id long, embedding array<float>, label int")
+
+
+def brute_links(rows, cosine):
+    good = [(i, np.array(v, np.float32).astype(float), label) for i, v, label in rows if v and label is not None and None not in v and np.isfinite(v).all() and any(v)]
+    n, name = {}, {i: i for i, *_ in rows}
+    for i, v, a in good:
+        for j, w, b in good:
+            if i != j and a == b and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= cosine:
+                n[i] = n.get(i, 0) + 1
+                low, high = sorted((name[i], name[j]))
+                name = {k: low if x == high else x for k, x in name.items()}
+    return {i: (n.get(i, 0), name[i], name[i] == i) for i, *_ in rows}
+
+
+def test_vector_links_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 64))
+    rows = [(k, (base[k % 40] + 0.1 * rng.standard_normal(64)).tolist(), k % 3) for k in range(500)]
+    rows += [(1000 + k, rows[5][1], 2) for k in range(30)]
+    rows += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 64, 1), (2003, [None] * 64, 1), (2004, [float("nan")] * 64, 1), (2005, rows[5][1], None), (2006, [1.0, 2.0], 1), (2007, [2.0, 4.0], 1), (2008, [float("inf")] * 64, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicate_vectors(table(spark, rows).withColumn("node", F.lit(1)), 0.98).collect()}
+    assert got == brute_links(rows, 0.98)
+    assert vectors.near_duplicate_vectors(table(spark, [])).count() == 0
+
+
+def test_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(6)
+    one = rng.standard_normal(32)
+    rows = [(k, (one + 0.01 * rng.standard_normal(32)).tolist(), 0) for k in range(1500)]
+    got = vectors.near_duplicate_vectors(table(spark, rows)).agg(F.min("n_links"), F.max("component_id")).first()
+    assert tuple(got) == (1499, 0)
+
+
+def test_nearest_recall_and_edges(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 48)) * rng.uniform(0.5, 2, (3000, 1))
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(5000, None, 0), (5020, [0.0] * 48, 0), (5040, [1.0], 0), (5060, [float("nan")] * 48, 0)]
+    frame = table(spark, rows)
+    found = ann.nearest_of(frame.where("vec_id % 20 = 0"), frame, 20).collect()
+    x = x.astype(np.float32).astype(float)
+    hits = 0
+    for q in range(0, 3000, 20):
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, 21))
+        assert all(abs(r.score - x[q] @ x[r.vec_id]) < 1e-9 for r in own) and q not in {r.vec_id for r in own}
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len({r.vec_id for r in own} & set(np.argsort(-score)[:20].tolist()))
+    assert hits / (150 * 20) >= 0.9 and len(found) == 3000
+    few = table(spark, [(0, [1.0, 0.0], 0), (20, [1.0, 1.0], 0), (3, [1.0, 1.0], 0), (3, [1.0, 1.0], 0)])
+    assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest_of(few.where("vec_id % 20 = 0"), few).orderBy("query_id", "rank").collect()] == [(0, 1, 3), (0, 2, 20), (20, 1, 3), (20, 2, 0)]
+    assert ann.nearest_of(table(spark, []), table(spark, [])).count() == 0
+
+
+# --- 5: n-gram join ---
+
+
+def brute_classes(texts, ids):
+    kept = ngram_join.word_hashes()
+    sets = [set(ngram_join.shingles(t, kept).tolist()) for t in texts]
+    n, name = [0] * len(ids), list(range(len(ids)))
+    for a in range(len(ids)):
+        for b in range(len(ids)):
+            if a != b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                n[a] += 1
+                low, high = sorted((name[a], name[b]))
+                name = [low if x == high else x for x in name]
+    return sorted((ids[a], min(ids[b] for b in range(len(ids)) if name[b] == name[a]), n[a]) for a in range(len(ids)))
+
+
+def texts_with_copies(rng, n):
+    words = [f"w{i}" for i in range(3000)]
+    out = []
+    for _ in range(n):
+        base = rng.choice(words, rng.integers(3, 200)).tolist()
+        out.append(" ".join(base))
+        for _ in range(int(rng.integers(0, 4))):
+            near = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                near[int(rng.integers(len(near)))] = "changed" + str(rng.integers(9))
+            out.append(" ".join(near))
+    return out
+
+
+def test_join_equals_brute_force(spark):
+    texts = [*texts_with_copies(np.random.default_rng(3), 120), "", "one two", "ONE, two!", "x", *["shared words that many have in common again"] * 5]
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(docs(spark, texts).withColumn("set_hash", F.lit(1))).collect())
+    assert got == brute_classes(texts, list(range(len(texts))))
+
+
+def test_join_of_a_large_group_and_shared_passage(spark):
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for _ in range(900):
+        near = list(base)
+        near[int(rng.integers(300))] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(near))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [" ".join(f"u{k}v{i}" for i in range(40)) + " " + passage for k in range(900)]
+    rows = ngram_join.near_duplicates(docs(spark, texts)).collect()
+    near = {r.doc_id: (r.class_id, r.n_links) for r in rows}
+    assert {near[i] for i in range(900)} == {(0, 899)}
+    assert all(near[i] == (i, 0) for i in range(900, 1800))
+
+
+def test_join_edges_and_one_of_each(spark):
+    rows = ngram_join.near_duplicates(docs(spark, EDGES, EDGE_IDS)).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in rows) == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 1), (7, 7, 1)]
+    kept = ngram_join.one_of_each(docs(spark, EDGES, EDGE_IDS))
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4, 5, 6, 7]
+    assert ngram_join.near_duplicates(docs(spark, [])).count() == ngram_join.one_of_each(docs(spark, [])).count() == 0
+
+
+# --- 7: mixing ---
+
+
+def test_raking_meets_margins():
+    rng = np.random.default_rng(1)
+    shape = (4, 3, 5)
+    cells = rng.uniform(0.1, 1, shape).ravel()
+    cells /= cells.sum()
+    codes = [x.ravel() for x in np.indices(shape)]
+    targets = [(lambda t: t / t.sum())(rng.uniform(0.5, 1, n)) for n in shape]
+    factors, worst = mixing.rake(cells, codes, targets)
+    assert worst < 1e-8
+    for code, target in zip(codes, targets):
+        assert np.allclose(np.bincount(code, weights=cells * factors), target)
+
+
+def test_mixing_probabilities_are_calibrated(spark):
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(50)]
+    texts = [" ".join(rng.choice(words, 20)) for _ in range(4000)]
+    frame = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "de").otherwise("en")).withColumn("topic", F.lit("mine"))
+    out = mixing.calibrate(frame, {"lang": {"de": 0.5, "en": 0.5}}).toPandas()
+    expected = (out.n_words * out.probability).groupby(out.lang).sum()
+    assert abs(expected["de"] / expected.sum() - 0.5) < 1e-6 and (out.topic == "mine").all() and out.probability.max() == 1
+    kept = out[out.sampled]
+    assert abs((kept.lang == "de").mean() - 0.5) < 0.05
+    assert mixing.sample(frame, {"lang": {"de": 0.5, "en": 0.5}}).columns == frame.columns
+
+
+def test_mixing_edges(spark):
+    frame = docs(spark, EDGES, EDGE_IDS).withColumn("lang", F.lit(None).cast("string"))
+    out = mixing.calibrate(frame).collect()
+    assert len(out) == len(EDGES) and all(0 <= r.probability <= 1 for r in out)
+    assert mixing.calibrate(docs(spark, [])).count() == 0
+    assert mixing.sample(docs(spark, [None, ""])).count() == 2
+
+
+# --- 9: secrets ---
+
+
+def naive_spans(text):
+    out = []
+    for kind, pattern in (("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")):
+        for m in re.compile(pattern, re.ASCII).finditer(text):
+            if len(m[1] if kind == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                out.append((m.start(), ["assign", "access", "hex"].index(kind), f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(x[2] for x in sorted(out))
+
+
+def der(*parts):
+    body = b"".join(b"\x02" + bytes([len(p)]) + p for p in parts)
+    return b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)])) + body
+
+
+def test_secret_spans(spark):
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    jwt = part({"alg": "HS256"}) + "." + part({"sub": "1"}) + ".c2lnbmF0dXJl"
+    fake = part({"no": 1}) + "." + part({"sub": "1"}) + ".c2lnbmF0dXJl"
+    key = der(b"\x00", b"\x11" * 60, b"\x07" * 20)
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32))
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END PRIVATE KEY-----"
+    texts = [
+        f'é Token = "{"0af" * 12}" x API_KEY:abcdef, passwd=abc', "AKIA" + "A" * 16 + " AKIA" + "B" * 15, f"x {jwt} {fake}", pem, base64.b64encode(key).decode() + " " + base64.b64encode(ssh).decode(),
+        key.hex() + " " + ("30" + key.hex()[2:4] + "00" * 40), "ſecret=abcdefg", *EDGES,
+    ]
+    out = {r.doc_id: r for r in secrets.scan(docs(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        want = naive_spans(text or "")
+        assert out[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [out[i].n_assign, out[i].n_access, out[i].n_hex] == [len(re.findall(k, want)) for k in ("assign", "access", "hex")]
+        assert set(filter(None, want.split(","))) <= set(out[i].spans.split(","))
+    assert [re.sub(r"[:\d]", "", out[i].spans) for i in (2, 3, 4)] == ["jwt", "pem_key", "der_base,ssh_key"] or "der_base64" in out[4].spans
+    assert out[2].n_confirmed == 1 and out[3].n_confirmed >= 1 and out[4].n_confirmed == 2 and "der_hex:0:" in out[5].spans and out[5].n_confirmed == 1
+    assert secrets.scan(docs(spark, [])).count() == 0
+
+
+# --- 10: toxicity ---
+
+
+def test_toxicity_learns_words_and_places(spark):
+    rng = np.random.default_rng(8)
+    words = [f"calm{i}" for i in range(400)]
+    texts, labels = [], []
+    for i in range(1500):
+        lines = [" ".join(rng.choice(words, 8)) for _ in range(int(rng.integers(1, 8)))]
+        toxic = i % 6 == 0
+        if toxic:
+            lines[int(rng.integers(len(lines)))] += " " + ["vile", "nasty"][i % 2]
+        texts.append(". ".join(lines))
+        labels.append((i, 1, int(toxic)))
+    frame, known = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = toxicity.classify(frame, known).toPandas().set_index("doc_id")
+    held = out[out.held_out]
+    assert (held.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in held.index]).all()
+    assert (held.predicted == [int(i % 6 == 0) for i in held.index]).mean() > 0.97
+    model = toxicity.fit(frame, known)
+    spans = toxicity.score(docs(spark, ["calm1 calm2. calm3 vile calm4. calm5"]), model, spans=True).first()
+    assert [(s.start, s.end) for s in spans.offending] == [(12, 29)]
+    edges = toxicity.classify(docs(spark, EDGES, EDGE_IDS), known.limit(0)).collect()
+    assert len(edges) == len(EDGES) and all(r.predicted == 0 and 0 <= r.score <= 1 for r in edges)
+    assert toxicity.classify(docs(spark, []), known.limit(0)).count() == 0
+    kept = toxicity.keep_clean(frame.withColumn("score", F.lit(9)), model)
+    assert kept.columns == [*frame.columns, "score"] and kept.count() < 1400

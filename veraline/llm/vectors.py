@@ -19,6 +19,8 @@ from veraline.operators.graph import connected_components
 from veraline.plans.store import materialize
 
 COSINE, PIVOTS, NEAREST, CHUNK = 0.98, 64, 7, 512
+#: Vectors that pivots are chosen from, and the cosine above which two are too near to be both pivots.
+SAMPLE, APART = 2048, 0.8
 
 
 def usable(v: Column) -> Column:
@@ -27,6 +29,21 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def spread_out(sample: np.ndarray) -> np.ndarray:
+    """Up to PIVOTS vectors of the sample, each the farthest from those before and none near one: a large group of near copies gives one."""
+    if not len(sample):
+        return sample
+    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    chosen, nearest = [0], x @ x[0]
+    while len(chosen) < PIVOTS:
+        k = int(np.argmin(nearest))
+        if nearest[k] > APART:
+            break
+        chosen.append(k)
+        nearest = np.maximum(nearest, x @ x[k])
+    return sample[chosen]
+
+
 def _pivots_for(width: int, given: np.ndarray) -> np.ndarray:
     """Unit pivots: the given ones of this width, and seeded directions for the rest."""
     own = np.random.default_rng(width).standard_normal((PIVOTS, width))
@@ -104,15 +121,16 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame
     least `cosine`; equal rows link too.  Vectors that aren't usable() and null labels
     link with nothing.  component_id is the smallest vec_id reachable, so the row's own
     where there is none; a null vec_id counts as a link but names nothing unless alone.
-    Pivots: the PIVOTS nodes of the commonest length that come first by hash.
+    Pivots: PIVOTS of the SAMPLE nodes of the commonest length that come first by hash, far
+    from each other; seeded directions take the place of those that are missing.
     """
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("v"))
     base = base.withColumn("node", F.when(F.col("label").isNotNull() & usable(F.col("v")), F.xxhash64("label", "v")))
     nodes = base.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
     nodes = materialize(nodes.withColumn("width", F.size("v")), "vectors")
     common = nodes.groupBy("width").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
-    given = nodes.where(F.col("width") == (common["width"] if common else 0)).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(PIVOTS).select("v").collect()
-    described = materialize(_described(nodes, np.array([r["v"] for r in given], dtype=np.float64)), "described")
+    given = nodes.where(F.col("width") == (common["width"] if common else 0)).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE).select("v").collect()
+    described = materialize(_described(nodes, spread_out(np.array([r["v"] for r in given], dtype=np.float64))), "described")
     listed = described.select("label", "node", F.size("v").alias("width"), F.explode("pairs").alias("pair"))
     sizes = listed.groupBy("label", "width", "pair").agg(F.count("*").alias("n")).where("n > 1")
     members = listed.join(sizes, ["label", "width", "pair"]).join(described.select("node", "copies", "bits", "v"), "node")
