@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from veraline.plans import trust  # noqa: F401  each module registers its queries
+from veraline.plans.sql import ORACLE_SQL, QUERIES, TABLES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "TABLES"]
