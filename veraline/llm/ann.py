@@ -52,24 +52,30 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return np.packbits((x - mean) @ projection > 0, axis=1)
 
 
-def within_radius(table: np.ndarray, query: np.ndarray, least: int) -> np.ndarray:
-    """Rows of the table (substring x row bytes) in the smallest tried radius that holds at least `least` codes, or all."""
+def within_radius(table: np.ndarray, words: np.ndarray, query: np.ndarray, least: int, near: int = 2) -> tuple[np.ndarray, int]:
+    """(rows in the smallest radius that holds at least `least` codes, or all; the keys' distance that was probed).
+
+    table: substring x row keys; words: row x 8-byte words of the same codes.  near:
+    the distance of keys to begin with; any gives the same rows.
+    """
     m, n = table.shape
     apart = np.bitwise_count(query[:, None] ^ _KEYS)  # substring x key
-    near = 2
+    asked = query.view(np.uint64)
     while True:
         found = np.zeros(n, bool)
         for s in range(m):
-            found |= (apart[s] <= near)[table[s]]
+            found |= np.take(apart[s] <= near, table[s])
+            if s % 8 == 7 and found.all():
+                break
         rows = np.flatnonzero(found)
-        distance = np.bitwise_count(table[:, rows] ^ query[:, None]).sum(axis=0, dtype=np.int32)
+        distance = np.bitwise_count(words[rows] ^ asked).sum(axis=1, dtype=np.int32)
         radius = m * (near + 1) - 1  # all codes within it have been retrieved
         inside = distance <= radius
-        if inside.sum() >= min(least, n):
-            if inside.sum() > least:
-                radius = np.partition(distance[inside], least - 1)[least - 1]
-                inside = distance <= radius
-            return rows[inside]
+        enough = int(inside.sum())
+        if enough >= min(least, n):
+            if enough > least:
+                inside = distance <= np.partition(distance, least - 1)[least - 1]
+            return rows[inside], near
         near += 1
 
 
@@ -82,14 +88,15 @@ def _searched(k: int, mean: np.ndarray, projection: np.ndarray, top: float):
             if not len(q) or not len(x):
                 continue
             lift = np.sqrt(np.maximum(top**2 - (v[x] ** 2).sum(axis=1), 0))
-            table = np.ascontiguousarray(codes(np.column_stack([v[x], lift]), mean, projection).T)
+            coded = codes(np.column_stack([v[x], lift]), mean, projection)
+            table, words, near = np.ascontiguousarray(coded.T), np.ascontiguousarray(coded).view(np.uint64), 2
             # a query's length doesn't change its ranking; scaled to `top` it is coded like the rows
             size = np.linalg.norm(v[q], axis=1)
             asked = codes(np.column_stack([v[q] * (top / size)[:, None], np.zeros(len(q))]), mean, projection)
             out: tuple[list, list, list] = ([], [], [])
             row_ids, floats = ids[x], v[x]
             for i, row in enumerate(q):
-                found = within_radius(table, asked[i], max(WITHIN, 4 * k))
+                found, near = within_radius(table, words, asked[i], max(WITHIN, 4 * k), near)
                 found = found[row_ids[found] != ids[row]]
                 scores = floats[found] @ v[row]
                 best = np.lexsort((row_ids[found], -scores))[:k]
