@@ -24,7 +24,7 @@ from veraline.plans.store import fresh
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Bounds of the fitted sample: labelled documents and their characters in all.
-SAMPLE_DOCS, SAMPLE_CHARS = 16_000, 48_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 24_000_000
 BITS = 18
 
 
@@ -104,9 +104,9 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 120, l1: float = 0.2,
     dim = 1 << BITS
     if not len(y) or not y.any():
         return Model(np.zeros(dim), -20.0, 0.0)
-    counts = np.array([len(x) for x in bags.column("sizes").to_pylist()])
-    sizes = np.concatenate([np.asarray(x, np.int64) for x in bags.column("sizes").to_pylist()] or [np.zeros(0, np.int64)])
-    words = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in bags.column("buckets").chunks] or [np.zeros(0, np.int32)])
+    counts = np.concatenate([np.diff(c.offsets.to_numpy()) for c in bags.column("sizes").chunks])
+    sizes, words = (np.concatenate([c.flatten().to_numpy() for c in bags.column(name).chunks]) for name in ("sizes", "buckets"))
+    del bags
     return _ascend(y, counts, sizes, words, rounds, l1, least_df, dim)
 
 
@@ -114,12 +114,12 @@ def _ascend(y, counts, sizes, words, rounds, l1, least_df, dim) -> Model:
     # rare words can't be told from noise; the rest are numbered anew
     df = np.bincount(words, minlength=dim)
     used = np.flatnonzero(df >= least_df)
-    to = np.full(dim, -1)
+    to = np.full(dim, -1, np.int32)
     to[used] = np.arange(len(used))
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     w = to[words]
     sentence, w = sentence[w >= 0], w[w >= 0]
-    doc = np.repeat(np.arange(len(y)), counts)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), counts)
     n, d = len(sizes), len(used)
     scale = np.maximum(len(y), 1)
     # start where words that stand out over the documents explain them alone; the ascent then sets all weights
