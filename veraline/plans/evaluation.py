@@ -70,10 +70,11 @@ sql("per_seed_effects", f"select seed, cast(sum(d) as bigint) as num, count(*) a
 sql("seed_instability", f"select max(case when num < 0 then 1 else 0 end) = 1 and max(case when num > 0 then 1 else 0 end) = 1 as unstable from (select seed, sum(d) as num from ({_DIFF}) d group by seed) s")
 
 
-@query("type7_quantile_exact", "select event_type, quantile_cont((value * 1000000)::bigint::double, 0.025) as q025, quantile_cont((value * 1000000)::bigint::double, 0.975) as q975 from events group by event_type")
+@query("type7_quantile_exact", "select event_type, round(quantile_cont((value * 1000000)::bigint::double, 0.025), 3) as q025, round(quantile_cont((value * 1000000)::bigint::double, 0.975), 3) as q975 from events group by event_type")
 def type7(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", F.round(F.col("value") * 1_000_000).cast("long").alias("v"))
-    return type7_quantile(rows, ["event_type"], "v", {"q025": (25, 1000), "q975": (975, 1000)})
+    exact = type7_quantile(rows, ["event_type"], "v", {"q025": (25, 1000), "q975": (975, 1000)})
+    return exact.select("event_type", F.round("q025", 3).alias("q025"), F.round("q975", 3).alias("q975"))
 
 
 _FLIP = f"select item, u from ({_UNITS}) x where item < 12"
