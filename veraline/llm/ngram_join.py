@@ -161,26 +161,32 @@ def _alike(large: DataFrame, sketches: DataFrame) -> DataFrame:
     return same.groupBy("path").agg((F.sum("both") / PROBES).alias("mean")).where(F.col("mean") >= ALIKE).select("path")
 
 
-def _buckets(sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(path, n, set_hash): the leaves of the recursion, small, alike or of the last level."""
+def _buckets(sets: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(leaves, edges): (path, n, set_hash) of the small and the last buckets; (src, dst) of those whose sets are alike.
+
+    All of an alike bucket is named as one group, each set by one edge; verification
+    looks at whole sets anyway, so no comparison of all its pairs comes before that.
+    """
     token = F.explode("chosen").alias("token")
     first = sets.select("set_hash", token).where(F.shiftright("token", 32) % LEVELS == 0)
     members = materialize(_sized(first.select("set_hash", F.shiftright("token", 32).alias("run"), F.col("token").alias("path")).distinct()), "paths")
-    leaves = []
+    leaves, edges = [], None
     for level in range(1, LEVELS):
         large = members.where(F.col("n") > LEAF)
         leaves.append(members.where(F.col("n") <= LEAF))
         if large.limit(1).count() == 0:
-            return _all(leaves)
+            return _all(leaves), edges
         alike = materialize(_alike(large, sketches), f"alike-{level}")
-        leaves.append(large.join(alike, "path", "left_semi"))
+        least = large.join(alike, "path", "left_semi").groupBy("path").agg(F.min("set_hash").alias("dst"))
+        named = large.join(least, "path").select(F.col("set_hash").alias("src"), "dst").distinct()
+        edges = named if edges is None else edges.union(named)
         large = large.join(alike, "path", "left_anti")
         more = sets.select("set_hash", token).where(F.shiftright("token", 32) % LEVELS == level)
         more = more.select("set_hash", (F.shiftright("token", 32) - level).alias("run"), "token")
         split = large.select("set_hash", "run", "path").join(more, ["set_hash", "run"])
         members = materialize(_sized(split.select("set_hash", "run", F.xxhash64("path", "token").alias("path"))), f"paths-{level}")
     leaves.append(members)
-    return _all(leaves)
+    return _all(leaves), edges
 
 
 def _all(leaves: list[DataFrame]) -> DataFrame:
@@ -274,9 +280,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shown = some.where("sketch is not null")
     sets = shown.select("set_hash", "chosen").dropDuplicates(["set_hash"])
     sketches = shown.select("set_hash", "sketch").dropDuplicates(["set_hash"])
-    leaves = _buckets(sets, sketches)
+    leaves, alike = _buckets(sets, sketches)
     maybe = dealt(leaves.join(sketches, "set_hash"), ["path"], "n", "set_hash", LEAF, ["set_hash", "sketch"])
-    found = connected_components(maybe.mapInArrow(_near_by_sketch, "src long, dst long")).withColumnRenamed("node", "set_hash")
+    edges = maybe.mapInArrow(_near_by_sketch, "src long, dst long")
+    found = connected_components(edges if alike is None else edges.union(alike)).withColumnRenamed("node", "set_hash")
     found = materialize(found, "maybe")
     sizes = found.groupBy("component").agg(F.count("*").alias("n"))
     active = found.join(sizes, "component").join(counted.select("set_hash", "copies"), "set_hash")
