@@ -17,7 +17,6 @@ similarity with a chance of about 2e-5 for each pair of 300-word texts.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +68,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> Recent:
-    return Recent(lambda w: xxhash.xxh3_64_intdigest(w).to_bytes(8, "little"), 250_000)
+    return Recent(lambda w: xxhash.xxh3_64_intdigest(w).to_bytes(8, "little"), 100_000)
 
 
 def shingles(text: str | None, kept: Recent, words: int = WORDS) -> np.ndarray:
@@ -310,7 +308,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = materialize(near_duplicates(docs, similarity), "classes")
     keep = found.where("class_id <=> doc_id").groupBy("doc_id").agg(F.count("*").alias("vl_rows"))
     many = keep.where("vl_rows > 1 and doc_id is not null").select("doc_id")
-    once = keep.where("vl_rows = 1 or doc_id is null").select("doc_id")
+    # as many ids as there are classes: dealt by id at any size, never sent to all
+    once = keep.where("vl_rows = 1 or doc_id is null").select("doc_id").hint("merge")
     out = docs.join(once, docs["doc_id"].eqNullSafe(once["doc_id"]), "left_semi")
     if many.limit(1).count():
         again = docs.join(many, "doc_id", "left_semi")
