@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veraline.plans import accounting, evaluation, trust  # noqa: F401  each module registers its queries
+from veraline.plans import accounting, evaluation, records, trust  # noqa: F401  each module registers its queries
 from veraline.plans.sql import ORACLE_SQL, QUERIES, TABLES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "TABLES"]
