@@ -29,7 +29,7 @@ def small_batches(spark) -> None:
 class Recent(dict):
     """What `make` gives for a key, remembered for the keys met of late: two generations of `room` keys each."""
 
-    def __init__(self, make, room: int = 250_000):
+    def __init__(self, make, room: int = 150_000):
         super().__init__()
         self.make, self.room, self.older = make, room, {}
 
@@ -79,7 +79,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.letters, self.model = _byte_letters(), self.tokenizer.model
         self.after_space = Recent(self._piece)
-        self.words, self.marks = Recent(self._word, 150_000), Recent(self._whole, 10_000)
+        self.words, self.marks = Recent(self._word, 100_000), Recent(self._whole, 10_000)
         self.line_end = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
