@@ -290,6 +290,18 @@ def test_join_of_a_large_group_and_shared_passage(spark):
     assert all(near[i] == (i, 0) for i in range(900, 1800))
 
 
+def test_pairs_of_split_buckets_are_found(spark, monkeypatch):
+    """Each bucket counts as large and unlike, so that a pair is met only by a path through all levels."""
+    monkeypatch.setattr(ngram_join, "LEAF", 1)
+    monkeypatch.setattr(ngram_join, "ALIKE", 2.0)
+    texts = []
+    for k in range(1000):
+        x = [f"h{k}w{i}" for i in range(204)]
+        texts += [" ".join(x), " ".join(x[:164])]  # 160 of 200 shingles: just 0.8
+    found = ngram_join.near_duplicates(docs(spark, texts)).where("n_links = 1").count() / 2
+    assert found >= 995
+
+
 def test_join_edges_and_one_of_each(spark):
     rows = ngram_join.near_duplicates(docs(spark, EDGES, EDGE_IDS)).collect()
     assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in rows) == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 1), (7, 7, 1)]

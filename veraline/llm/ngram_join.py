@@ -1,10 +1,10 @@
 """N-gram Jaccard join by chosen paths.
 
 A document is its set of five-word shingles.  At each level a set chooses those of
-its tokens whose level hash falls below c / size: sets that overlap by 0.8 choose a
-common token unless chance fails all of them, and follow it into one bucket.  Small
-buckets are brute-forced; large ones are split again on the next level's tokens, up
-to the last.  Runs with fresh hashes are repeated until the missed share is below
+its tokens whose hash falls below c / size: sets that overlap by 0.8 choose a common
+token unless chance fails all of them, and follow it into one bucket.  Small buckets
+are brute-forced; large ones are split again, up to the last level.  Below the first
+level the hash is of the path and the token, so each path of a set chooses anew.  Runs with fresh hashes are repeated until the missed share is below
 1 - target recall.  In the buckets, 16-bit min-hash sketches tell which sets may be
 near; the groups so found are then verified exactly, whole set against whole set,
 in blocks of bounded size.
@@ -57,9 +57,9 @@ def runs_needed(target: float = TARGET_RECALL, similarity: float = SIMILARITY) -
 
 
 RUNS = runs_needed()
-_EXPECTED = np.array([FIRST if k % LEVELS == 0 else LATER for k in range(RUNS * LEVELS)])
-_LEVEL_MUL = _rng.integers(1, 2**32, (RUNS * LEVELS, 1), dtype=np.uint32) | np.uint32(1)
-_LEVEL_ADD = _rng.integers(0, 2**32, (RUNS * LEVELS, 1), dtype=np.uint32)
+_RUN_MUL = _rng.integers(1, 2**32, (RUNS, 1), dtype=np.uint32) | np.uint32(1)
+_RUN_ADD = _rng.integers(0, 2**32, (RUNS, 1), dtype=np.uint32)
+_TOKEN_MUL, _NEXT = _rng.integers(1, 2**63, 2, dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -95,12 +95,22 @@ def _sketch(x: np.ndarray) -> bytes:
 
 
 def _chosen(x: np.ndarray) -> np.ndarray:
-    """int64 of (run, level) * 2**32 + token."""
-    limit = np.minimum(_EXPECTED / len(x), 1) * (2**32 - 1)
-    k, i = np.nonzero(x[None, :] * _LEVEL_MUL + _LEVEL_ADD <= limit.astype(np.uint32)[:, None])
+    """The paths of the first level, int64 of run * 2**32 + token."""
+    k, i = np.nonzero(x[None, :] * _RUN_MUL + _RUN_ADD <= np.uint32(min(FIRST / len(x), 1) * (2**32 - 1)))
     return x[i].astype(np.int64) + (k << 32)
 
 
+def _further(x: np.ndarray, paths: np.ndarray) -> np.ndarray:
+    """The paths that a set's paths lead to: each chooses tokens by a hash of its own."""
+    limit, out = np.uint64(min(LATER / len(x), 1) * (2**32 - 1)), []
+    tokens, starts = x.astype(np.uint64) * _TOKEN_MUL, _mix(paths.astype(np.int64).view(np.uint64) + _NEXT)
+    step = max(1, 100_000 // len(x))
+    for k in range(0, len(starts), step):
+        h = _mix(starts[k : k + step, None] + tokens[None, :])
+        out.append(_mix(h[(h >> np.uint64(32)) <= limit] ^ _NEXT))
+    return np.concatenate(out).view(np.int64)
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Sorted numbers as differences, byte plane by byte plane: the upper planes are nearly all zero."""
     return np.ascontiguousarray(np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -159,15 +169,21 @@ def _alike(large: DataFrame, sketches: DataFrame) -> DataFrame:
     return same.groupBy("path").agg((F.sum("both") / PROBES).alias("mean")).where(F.col("mean") >= ALIKE).select("path")
 
 
-def _buckets(sets: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _split(batches):
+    for batch in batches:
+        ids, paths = batch.column(0), batch.column(1).to_pylist()
+        found = [_further(_unpacked(x), np.array(p, np.int64)) for p, x in zip(paths, batch.column(2).to_pylist(), strict=True)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], names=["set_hash", "path"])
+
+
+def _buckets(sets: DataFrame, sketches: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(leaves, edges): (path, n, set_hash) of the small and the last buckets; (src, dst) of those whose sets are alike.
 
     All of an alike bucket is named as one group, each set by one edge; verification
     looks at whole sets anyway, so no comparison of all its pairs comes before that.
     """
-    token = F.explode("chosen").alias("token")
-    first = sets.select("set_hash", token).where(F.shiftright("token", 32) % LEVELS == 0)
-    members = materialize(_sized(first.select("set_hash", F.shiftright("token", 32).alias("run"), F.col("token").alias("path")).distinct()), "paths")
+    members = materialize(_sized(sets.select("set_hash", F.explode("chosen").alias("path"))), "paths")
     leaves, edges = [], None
     for level in range(1, LEVELS):
         large = members.where(F.col("n") > LEAF)
@@ -179,10 +195,12 @@ def _buckets(sets: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame
         named = large.join(least, "path").select(F.col("set_hash").alias("src"), "dst").distinct()
         edges = named if edges is None else edges.union(named)
         large = large.join(alike, "path", "left_anti")
-        more = sets.select("set_hash", token).where(F.shiftright("token", 32) % LEVELS == level)
-        more = more.select("set_hash", (F.shiftright("token", 32) - level).alias("run"), "token")
-        split = large.select("set_hash", "run", "path").join(more, ["set_hash", "run"])
-        members = materialize(_sized(split.select("set_hash", "run", F.xxhash64("path", "token").alias("path"))), f"paths-{level}")
+        # a set's paths are a list of its own: some dozens, whatever the size of their buckets
+        paths = large.groupBy("set_hash").agg(F.collect_list("path").alias("paths"))
+        each = paths.join(whole, "set_hash").dropDuplicates(["set_hash"]).select("set_hash", "paths", "shingles")
+        split = materialize(each.mapInArrow(_split, "set_hash long, path long"), f"split-{level}")
+        members = materialize(_sized(split), f"paths-{level}")
+        discard(split)
     leaves.append(members)
     return _all(leaves), edges
 
@@ -278,7 +296,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shown = some.where("sketch is not null")
     sets = shown.select("set_hash", "chosen").dropDuplicates(["set_hash"])
     sketches = shown.select("set_hash", "sketch").dropDuplicates(["set_hash"])
-    leaves, alike = _buckets(sets, sketches)
+    leaves, alike = _buckets(sets, sketches, shown.select("set_hash", "shingles"))
     maybe = dealt(leaves.join(sketches, "set_hash"), ["path"], "n", "set_hash", LEAF, ["set_hash", "sketch"])
     edges = maybe.mapInArrow(_near_by_sketch, "src long, dst long")
     found = connected_components(edges if alike is None else edges.union(alike)).withColumnRenamed("node", "set_hash")
