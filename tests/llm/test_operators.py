@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from veraline.llm import ann, mixing, ngram_join, packing, pii, secrets, tokens, toxicity, vectors, warc
@@ -347,6 +348,22 @@ def test_mixing_edges(spark):
     assert mixing.sample(docs(spark, [None, ""])).count() == 2
 
 
+@pytest.mark.parametrize("rare", [0.0001, 0.01])
+def test_a_source_of_one_language_empties_no_cell(rare):
+    """The small source, a tenth, is in 'de' only; the large one has `rare` in 'de', the rest in nine other languages."""
+    cells = [("small", "de", 0.1), ("large", "de", rare), *(("large", f"l{k}", (0.9 - rare) / 9) for k in range(9))]
+    rows = [Row(source=s, lang=x, topic="0", tokens=n * 1e9) for s, x, n in cells]
+    assert all(p > 0.05 for *_, p in mixing._factors(rows, None))
+    told = mixing._factors(rows, {"source": {"large": 1.0}})
+    assert [p for *_, p in told][0] == 0 and all(p > 0 for *_, p in told[1:])
+
+
+def test_targets_that_cells_meet_are_not_moved():
+    cells, codes = np.array([0.4, 0.1, 0.2, 0.3]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    factors, part = mixing.feasible(cells, codes, [np.array([0.6, 0.4]), np.array([0.5, 0.5])])
+    assert part == 0 and np.allclose(np.bincount(codes[0], weights=cells * factors), [0.6, 0.4])
+
+
 # --- 9: secrets ---
 
 
