@@ -311,6 +311,16 @@ def test_join_edges_and_one_of_each(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == ngram_join.one_of_each(docs(spark, [])).count() == 0
 
 
+def test_one_of_each_goes_by_class_not_by_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    near_a, near_b = a.replace("a40", "z"), b.replace("b40", "z")
+    # unrelated texts and an empty one twice under 3; a near copy of 1 under 3; b twice and its near copy without an id; c twice
+    texts, ids = [a, c, "", "", near_a, "other words of the very same id", b, b, near_b, c, "x y z"], [1, 3, 3, 3, 3, 3, None, None, None, 3, None]
+    kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.one_of_each(docs(spark, texts, ids)).collect())
+    assert [k for k in kept if k[1] not in (b, near_b)] == sorted([(1, a), (3, c), (3, ""), (3, ""), (3, "other words of the very same id"), (0, "x y z")])
+    assert sum(t in (b, near_b) for _, t in kept) == 1
+
+
 # --- 7: mixing ---
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from veraline.llm.blocks import dealt, groups, matrix, stars
 from veraline.llm.common import WORD, Recent, small_batches
 from veraline.operators.graph import connected_components
-from veraline.plans.store import discard, materialize
+from veraline.plans.store import discard, fresh, materialize
 
 WORDS, SIMILARITY, TARGET_RECALL = 5, 0.8, 0.9995
 #: Expected choices of a set at the first level and at later ones; levels; rows of a bucket that is brute-forced at once.
@@ -120,7 +120,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
 
-PROFILE = "doc_id long, set_hash long, chosen array<long>, sketch binary, shingles binary"
+PROFILE = "doc_id long, text_hash long, set_hash long, chosen array<long>, sketch binary, shingles binary"
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -148,9 +148,10 @@ def profiles(docs: DataFrame) -> DataFrame:
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "set_hash", "chosen", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "text_hash", "set_hash", "chosen", "sketch", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PROFILE)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, PROFILE)
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -280,17 +281,8 @@ def _verified(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links.
-
-    n_links: other rows whose shingle sets have a Jaccard similarity of at least
-    `similarity`, equal ones included.  class_id: the smallest doc_id reachable by
-    links, its own included.  Null, empty and wordless texts link with nothing and
-    are their own class.  Null doc_ids have a row and count as links, but no class
-    is named after them unless all its ids are null.  Repeated rows link with each
-    other.
-    """
-    rows = materialize(profiles(docs), "profiles")
+def _linked(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counted, classes, checked) of profiles: sets with copies and least id; component of linked sets; what verification says."""
     some = rows.where("set_hash is not null")
     counted = materialize(some.groupBy("set_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "sets")
     shown = some.where("sketch is not null")
@@ -306,8 +298,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     whole = shown.select("set_hash", "shingles").join(active.select("set_hash"), "set_hash", "left_semi").dropDuplicates(["set_hash"])
     blocks = dealt(active.join(whole, "set_hash"), ["component"], "n", "set_hash", CHUNK, ["set_hash", "copies", "shingles"])
     checked = materialize(blocks.mapInArrow(_verified(similarity), "src long, dst long, links long"), "verified")
-    links = checked.where("dst is null").groupBy("src").agg(F.sum("links").alias("links")).where("links > 0").withColumnRenamed("src", "set_hash")
     classes = connected_components(checked.where("dst is not null").select("src", "dst")).withColumnRenamed("node", "set_hash")
+    return counted, classes, checked
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, n_links.
+
+    n_links: other rows whose shingle sets have a Jaccard similarity of at least
+    `similarity`, equal ones included.  class_id: the smallest doc_id reachable by
+    links, its own included.  Null, empty and wordless texts link with nothing and
+    are their own class.  Null doc_ids have a row and count as links, but no class
+    is named after them unless all its ids are null.  Repeated rows link with each
+    other.
+    """
+    rows = materialize(profiles(docs), "profiles")
+    counted, classes, checked = _linked(rows, similarity)
+    links = checked.where("dst is null").groupBy("src").agg(F.sum("links").alias("links")).where("links > 0").withColumnRenamed("src", "set_hash")
     named = classes.join(counted.select("set_hash", "least"), "set_hash")
     named = named.join(named.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("set_hash", "class_id")
     told = counted.join(named, "set_hash", "left").join(links, "set_hash", "left").select(
@@ -320,18 +327,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without all but one of each class; wordless texts stay.
 
-    The row with the class's smallest doc_id stays.  Rows that repeat a doc_id within
-    a class are told apart by their text, and of equal ones one stays.
+    A class is what links connect, whatever the doc_ids of its rows.  The row with its
+    smallest doc_id stays, nulls last; of several the one with the smallest hash of its
+    text, and one of equal ones.
     """
-    found = materialize(near_duplicates(docs, similarity), "classes")
-    keep = found.where("class_id <=> doc_id").groupBy("doc_id").agg(F.count("*").alias("vl_rows"))
-    many = keep.where("vl_rows > 1 and doc_id is not null").select("doc_id")
-    # as many ids as there are classes: dealt by id at any size, never sent to all
-    once = keep.where("vl_rows = 1 or doc_id is null").select("doc_id").hint("merge")
-    out = docs.join(once, docs["doc_id"].eqNullSafe(once["doc_id"]), "left_semi")
+    rows = materialize(profiles(docs), "profiles")
+    _, classes, _ = _linked(rows, similarity)
+    same = rows.where("set_hash is not null").groupBy("set_hash", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("kept")
+    least = same.groupBy("set_hash").agg(first).join(classes, "set_hash", "left").select(F.coalesce("component", "set_hash").alias("class"), "kept.*")
+    own_id, own_text, several = fresh(docs, "id"), fresh(docs, "text"), fresh(docs, "several")
+    kept = least.groupBy("class").agg(first).select(F.col("kept.doc_id").alias(own_id), F.col("kept.text_hash").alias(own_text), (F.col("kept.n") > 1).alias(several))
+    wordless = rows.where("set_hash is null").select("doc_id", "text_hash", F.lit(False)).distinct()
+    keep = materialize(kept.union(wordless), "kept")
+
+    def of(some: DataFrame) -> DataFrame:
+        # as many rows as there are classes: dealt by id and text at any size, never sent to all
+        return docs.join(some.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_text)), "left_semi")
+
+    out = of(keep.where(~F.col(several)))
+    many = keep.where(several)
     if many.limit(1).count():
-        again = docs.join(many, "doc_id", "left_semi")
-        first = again.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("vl_text"))
-        again = again.join(first, "doc_id").where(F.xxhash64("text").eqNullSafe(F.col("vl_text"))).dropDuplicates(["doc_id"])
-        out = out.unionByName(again.select(docs.columns))
+        out = out.unionByName(of(many).dropDuplicates(["doc_id", "text"]))
     return out
