@@ -73,6 +73,23 @@ def test_pseudonyms_leave_the_rest_alone(spark):
     assert pii.pseudonymize(docs(spark, [])).count() == 0
 
 
+def test_values_of_comma_lists_and_printed_forms(spark):
+    lists = ["10.0.0.1,10.0.0.2", "4111111111111111,5500000000000004", "2020-01-05,2021-02-06", "17,123-45-6789", "DE89370400440532013000,FR7630006000011234567890189,a", "17,4111 1111 1111 1111,28.02.1999", "5.DE89370400440532013000"]
+    kinds = [["ip"] * 2, ["card"] * 2, ["date"] * 2, ["ssn"], ["iban"] * 2, ["card", "date"], ["iban"]]
+    printed = ["DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332 2020 AND", "NO93 8601 1117 947.", "3782 822463 10005", "3782-822463-10005", "GB82 WEST 1234 5698 7654 32,DE89370400440532013000"]
+    kinds += [["iban"], ["iban"], ["iban"], ["card"], ["card"], ["iban", "iban"]]
+    plain = ["0,4111111111111111", "0.4111111111111111", "1,234,567.89", "3.10.0.0.1", "DE89 3704 0044 0532 0130 01"]
+    texts = [*lists, *printed, *plain]
+    out = pii.pseudonymize(docs(spark, texts), found="found").orderBy("doc_id").collect()
+    assert [[x.kind for x in r.found] for r in out] == kinds + [[]] * len(plain)
+    for r, old in zip(out, texts):
+        assert len(r.text) == len(old) and re.sub("[0-9A-Z]", "", r.text) == re.sub("[0-9A-Z]", "", old) and all(x.text in r.text and x.text not in old for x in r.found)
+    assert [r.text for r in out[-len(plain) :]] == plain
+    new = {old: r.text for r, old in zip(out, texts)}
+    assert new["DE89 3704 0044 0532 0130 00"].replace(" ", "") == new["5.DE89370400440532013000"][2:] and luhn(new["3782 822463 10005"])
+    assert new["3782-822463-10005"] == new["3782 822463 10005"].replace(" ", "-") and new[printed[1]].endswith(" 2020 AND")
+
+
 def test_pseudonyms_are_one_to_one(spark):
     texts = [f"10.0.{a}.{b}" for a in (1, 2, 9) for b in range(10, 90)]
     out = [r.text for r in pii.pseudonymize(docs(spark, texts)).collect()]

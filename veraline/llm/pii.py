@@ -18,15 +18,30 @@ from pyspark.sql import functions as F
 from veraline.plans.store import fresh
 
 # The forms of the candidates, in order of precedence.
-_NO_WORD_BEFORE = r"(?<![0-9A-Za-z]|[0-9][.,])"
+_NO_LETTER_BEFORE = r"(?<![0-9A-Za-z])"
+# A digit and a point go before decimals; a comma parts the values of a list, but for a card's plain digits after "0,".
+_NO_WORD_BEFORE = r"(?<![0-9A-Za-z]|[0-9]\.)"
+_NO_ZERO_BEFORE = r"(?<!(?<![0-9A-Za-z.,])0,)"
 _NO_WORD_AFTER = r"(?![0-9A-Za-z])"
+#: Lengths of IBANs by country: a printed one ends there, whatever capitals or digits follow it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _printed(n: int, lands: str) -> str:
+    rest = f" [A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
+
+
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "iban": r"(?=[A-Z]{2}[0-9]{2})" + _NO_WORD_BEFORE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "iban": r"(?=[A-Z]{2}[0-9]{2})" + _NO_LETTER_BEFORE + r"(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|" + "|".join(_printed(*x) for x in IBAN_LENGTHS.items()) + ")",
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.[0-9])",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "card": r"(?:[0-9]{4}(?<sep>[ -])[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{4}|[0-9]{13,19})",
+    "card": r"(?:[0-9]{4}(?<sep>[ -])[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{4}|[0-9]{4}(?<gap>[ -])[0-9]{6}\k<gap>[0-9]{5}|" + _NO_ZERO_BEFORE + "[0-9]{13,19})",
     "phone": r"(?:\+1[ .-]?|(?<![0-9A-Za-z]))(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}",
 }
 # A look at one character comes before any look behind it: most characters of a text begin nothing.
@@ -181,14 +196,16 @@ def _letters(text: Column, key: str, tweak: str) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    land = F.substring(m, 1, 2)
-    fine = _mod97(F.concat(F.substring(m, 5, 40), F.substring(m, 1, 4))) == 1
+    """Unspaced or printed in groups of four: equal values get equal pseudonyms in both forms."""
+    land, plain = F.substring(m, 1, 2), F.regexp_replace(m, " ", "")
+    fine = _mod97(F.concat(F.substring(plain, 5, 40), F.substring(m, 1, 4))) == 1
 
     def told(body: Column) -> Column:
         check = F.lpad((98 - _mod97(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0")
-        return F.concat(land, check, body)
+        whole = F.concat(land, check, body)
+        return F.when(m.contains(" "), F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")).otherwise(whole)
 
-    return F.when(fine, F.element_at(F.transform(F.array(_letters(F.substring(m, 5, 40), key, "iban")), told), 1))
+    return F.when(fine, F.element_at(F.transform(F.array(_letters(F.substring(plain, 5, 40), key, "iban")), told), 1))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -207,7 +224,7 @@ def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email").when(m.rlike("^[A-Z]"), "iban").when(m.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"), "ip")
         .when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), "date").when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4})$"), "card").otherwise("phone")
+        .when(m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$"), "card").otherwise("phone")
     )
 
 
