@@ -1,23 +1,29 @@
 """Tables that cut lineage, in the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Where a session has none
-(tests, notebooks) a local folder is made once per application.
+The folder is the session's ``spark.checkpoint.dir``.  Only a session whose driver and
+executors are one process on one machine may go without: it gets a folder of its own.
 """
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this process only if none is set."""
+    """The cluster's shared folder; on a cluster without one an error, as executors don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="veraline-")
@@ -30,21 +36,42 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/veraline/{uuid.uuid4().hex}-{label}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block; the caller's is put back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def written_once(spark: SparkSession):
+    """While a table is written: its shuffle files go when it's there, as nothing reads them again."""
+    return setting(spark, _CLEANUP, "true")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return the reread table."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with written_once(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veraline_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize() that no later plan reads."""
-    path = getattr(df, "_veraline_path", None)
-    if path:
-        remove(df.sparkSession, path)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by materialize() that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_veraline_path", None)
+        if path:
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
