@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from array import array
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
@@ -21,9 +23,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def small_batches(spark) -> None:
-    """Whole texts are long: fewer rows to an Arrow batch keep a worker's memory bounded."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Whole texts are long: fewer rows and bytes to an Arrow batch keep a worker's memory bounded.
+
+    The settings are read when a plan runs, so they stay lowered for the session.
+    """
+    for key, default, most in (("maxRecordsPerBatch", "10000", 1000), ("maxBytesPerBatch", "64m", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(name, default)).lower().removesuffix("b")
+        if int(now.rstrip("kmg")) * 1024 ** " kmg".index(now[-1] if now[-1] in "kmg" else " ") > most:
+            spark.conf.set(name, str(most))
+
+
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Let numpy's own BLAS use one thread in this process: the driver's matrices are small, and threads contend with the JVM's."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
 
 
 class Recent(dict):

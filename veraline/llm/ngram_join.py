@@ -4,10 +4,13 @@ A document is its set of five-word shingles.  At each level a set chooses those
 its tokens whose hash falls below c / size: sets that overlap by 0.8 choose a common
 token unless chance fails all of them, and follow it into one bucket.  Small buckets
 are brute-forced; large ones are split again, up to the last level.  Below the first
-level the hash is of the path and the token, so each path of a set chooses anew.  Runs with fresh hashes are repeated until the missed share is below
-1 - target recall.  In the buckets, 16-bit min-hash sketches tell which sets may be
-near; the groups so found are then verified exactly, whole set against whole set,
-in blocks of bounded size.
+level the hash is of the path and the token, so each path of a set chooses anew, from
+those of its tokens that one more hash puts below SAMPLED / size: two sets agree on
+these as they do on all, and a long document travels as a few hundred bytes.  Runs
+with fresh hashes are repeated until the missed share is below 1 - target recall.
+In the buckets, 16-bit min-hash sketches tell which sets may be near; the groups so
+found are then verified exactly, whole set against whole set, in blocks of bounded
+size.
 
 Equal sets are one set with a count, from the first step on.  Sets and tokens are
 32-bit hashes of shingles: that two different shingles meet in one hash changes a
@@ -31,10 +34,12 @@ from veraline.plans.store import discard, fresh, materialize
 
 WORDS, SIMILARITY, TARGET_RECALL = 5, 0.8, 0.9995
 #: Expected choices of a set at the first level and at later ones; levels; rows of a bucket that is brute-forced at once.
-FIRST, LATER, LEVELS, LEAF = 5.0, 2.0, 4, 400
+FIRST, LATER, LEVELS, LEAF = 5.5, 2.0, 4, 400
+#: Expected tokens of a set that later levels choose from.
+SAMPLED = 192
 SKETCH, MAYBE = 64, 0.55
-#: Sketch positions that tell a bucket's mean similarity, and the mean from which it isn't split further.
-PROBES, ALIKE = 4, 0.5
+#: One-bit sketch positions that tell a bucket's mean similarity, and the mean from which it isn't split further.
+SIGNS, ALIKE = 32, 0.5
 CHUNK = 192
 
 _rng = np.random.default_rng(20240501)
@@ -47,18 +52,25 @@ def runs_needed(target: float = TARGET_RECALL, similarity: float = SIMILARITY) -
     """Repeats until a pair at the threshold is missed by all with at most 1 - target.
 
     A run misses when the branching process of common choices dies out; later levels
-    only count for pairs in large buckets, so their chance is the bound.
+    only count for pairs in large buckets, so their chance is the bound.  How many of
+    the SAMPLED tokens a pair shares is one draw for all runs: the bound is its mean.
     """
-    overlap = similarity  # |x & y| / max(|x|, |y|) is no less than the Jaccard similarity
-    q = 0.0
-    for _ in range(200):
-        q = math.exp(-LATER * overlap * (1 - q))
-    return max(1, math.ceil(math.log(1 - target) / (-FIRST * overlap * (1 - q))))
+    shared = SAMPLED * similarity  # |x & y| / max(|x|, |y|) is no less than the Jaccard similarity
+    counts = np.arange(max(0, int(shared - 6 * math.sqrt(shared))), int(shared + 6 * math.sqrt(shared)))
+    weights = np.exp(counts * math.log(shared) - shared - np.array([math.lgamma(k + 1) for k in counts]))
+    dies = np.zeros(len(counts))
+    for _ in range(500):
+        dies = np.exp(-LATER * counts / SAMPLED * (1 - dies))
+    for runs in range(1, 100):
+        if weights @ np.exp(-runs * FIRST * similarity * (1 - dies)) <= (1 - target) * weights.sum():
+            return runs
+    raise ValueError("no number of runs reaches the target recall")
 
 
 RUNS = runs_needed()
 _RUN_MUL = _rng.integers(1, 2**32, (RUNS, 1), dtype=np.uint32) | np.uint32(1)
 _RUN_ADD = _rng.integers(0, 2**32, (RUNS, 1), dtype=np.uint32)
+_SAMPLE_MUL, _SAMPLE_ADD = _rng.integers(1, 2**32, 2, dtype=np.uint32) | np.uint32(1)
 _TOKEN_MUL, _NEXT = _rng.integers(1, 2**63, 2, dtype=np.uint64) | np.uint64(1)
 
 
@@ -100,15 +112,21 @@ def _chosen(x: np.ndarray) -> np.ndarray:
     return x[i].astype(np.int64) + (k << 32)
 
 
-def _further(x: np.ndarray, paths: np.ndarray) -> np.ndarray:
-    """The paths that a set's paths lead to: each chooses tokens by a hash of its own."""
-    limit, out = np.uint64(min(LATER / len(x), 1) * (2**32 - 1)), []
-    tokens, starts = x.astype(np.uint64) * _TOKEN_MUL, _mix(paths.astype(np.int64).view(np.uint64) + _NEXT)
-    step = max(1, 100_000 // len(x))
-    for k in range(0, len(starts), step):
-        h = _mix(starts[k : k + step, None] + tokens[None, :])
-        out.append(_mix(h[(h >> np.uint64(32)) <= limit] ^ _NEXT))
-    return np.concatenate(out).view(np.int64)
+def _sample(x: np.ndarray) -> np.ndarray:
+    """The tokens that later levels choose from: all of a small set, about SAMPLED of a larger one."""
+    return x if len(x) <= SAMPLED else x[x * _SAMPLE_MUL + _SAMPLE_ADD <= np.uint32(SAMPLED / len(x) * (2**32 - 1))]
+
+
+def _further(x: np.ndarray, size: int, paths: np.ndarray) -> np.ndarray:
+    """The paths that the paths of a set of that size lead to: each chooses from the set's sample x by a hash of its own."""
+    limit = np.uint64(min(LATER / min(size, SAMPLED), 1) * (2**32 - 1))
+    h = _mix(_mix(paths.view(np.uint64) + _NEXT)[:, None] + (x.astype(np.uint64) * _TOKEN_MUL)[None, :])
+    return _mix(h[(h >> np.uint64(32)) <= limit] ^ _NEXT).view(np.int64)
+
+
+def _signs(sketch: bytes) -> int:
+    """The lowest bits of the first SIGNS positions of a sketch."""
+    return int((np.frombuffer(sketch, "<u2")[:SIGNS] & np.uint16(1)).astype(np.int64) @ (1 << np.arange(SIGNS, dtype=np.int64)))
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -120,7 +138,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
 
-PROFILE = "doc_id long, text_hash long, set_hash long, chosen array<long>, sketch binary, shingles binary"
+PROFILE = "doc_id long, text_hash long, set_hash long, size int, chosen array<long>, signs long, sketch binary, sample binary, shingles binary"
+_KINDS = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -135,72 +154,83 @@ def profiles(docs: DataFrame) -> DataFrame:
         kept = word_hashes()
         shown: set[int] = set()
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
+            rows = []
             for text in batch.column(1).to_pylist():
                 x = shingles(text, kept)
-                if len(x):
-                    h = xxhash.xxh3_64_intdigest(x.tobytes())
-                    row = (h - 2**64 if h >= 2**63 else h, *((None,) * 3 if h in shown else (_chosen(x), _sketch(x), _packed(x))))
-                    if len(shown) < 1_000_000:
-                        shown.add(h)
-                else:
-                    row = (None, None, None, None)
-                for c, v in zip(columns, row, strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "text_hash", "set_hash", "chosen", "sketch", "shingles"])
+                if not len(x):
+                    rows.append((None,) * 7)
+                    continue
+                h = xxhash.xxh3_64_intdigest(x.tobytes())
+                h = h - 2**64 if h >= 2**63 else h
+                if h in shown:
+                    rows.append((h, *(None,) * 6))
+                    continue
+                sketch = _sketch(x)
+                rows.append((h, len(x), _chosen(x), _signs(sketch), sketch, _packed(_sample(x)), _packed(x)))
+                if len(shown) < 1_000_000:
+                    shown.add(h)
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True))], names=[x.split()[0] for x in PROFILE.split(", ")])
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, PROFILE)
 
 
-def _sized(members: DataFrame) -> DataFrame:
-    """Members of buckets with two sets or more, and the bucket's size."""
-    sizes = members.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    return members.join(sizes, "path")
+def _sized(members: DataFrame, label: str) -> DataFrame:
+    """Members of buckets with two sets or more, and the bucket's size.
+
+    The sizes are a table of their own: a bucket that holds a third of all rows is then
+    split among tasks when its members meet its size.
+    """
+    sizes = materialize(members.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{label}")
+    out = materialize(members.join(sizes, "path"), f"paths-{label}")
+    discard(sizes)
+    return out
 
 
-def _alike(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Paths of large buckets whose sets are near to each other on the whole: no token tells them apart.
+def _alike(large: DataFrame) -> DataFrame:
+    """(path, dst) of large buckets whose sets are near to each other on the whole: no token tells them apart.
 
-    The chance that two members agree in a sketch position is their mean similarity.
+    Two members agree in a one-bit position with a chance of a half and half their
+    similarity, so the shares of ones tell the bucket's mean similarity; its members
+    are only summed.  dst: the bucket's smallest set.
     """
-    values = large.join(sketches, "set_hash").select("path", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda k: F.substring("sketch", 2 * k + 1, 2))).alias("k", "value"))
-    same = values.groupBy("path", "k", "value").agg(F.pow(F.count("*") / F.first("n"), F.lit(2)).alias("both"))
-    return same.groupBy("path").agg((F.sum("both") / PROBES).alias("mean")).where(F.col("mean") >= ALIKE).select("path")
+    bits = [F.sum(F.col("signs").bitwiseAND(F.lit(1 << k)) / F.lit(1 << k)).alias(f"b{k}") for k in range(SIGNS)]
+    summed = large.groupBy("path").agg(F.count("*").alias("m"), F.min("set_hash").alias("dst"), *bits)
+    mean = sum((F.pow(2 * F.col(f"b{k}") / F.col("m") - 1, F.lit(2)) for k in range(SIGNS)), F.lit(0.0)) / SIGNS
+    return summed.where(mean >= ALIKE).select("path", "dst")
 
 
 def _split(batches):
     for batch in batches:
-        ids, paths = batch.column(0), batch.column(1).to_pylist()
-        found = [_further(_unpacked(x), np.array(p, np.int64)) for p, x in zip(paths, batch.column(2).to_pylist(), strict=True)]
+        ids, sizes, signs, samples, paths = (batch.column(k) for k in range(5))
+        found = [_further(_unpacked(x), n, np.array(p, np.int64)) for n, x, p in zip(sizes.to_pylist(), samples.to_pylist(), paths.to_pylist(), strict=True)]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], names=["set_hash", "path"])
+            times = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(pa.array(np.repeat(c.to_numpy(), times)) for c in (ids, signs))], names=["path", "set_hash", "signs"])
 
 
-def _buckets(sets: DataFrame, sketches: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(leaves, edges): (path, n, set_hash) of the small and the last buckets; (src, dst) of those whose sets are alike.
 
     All of an alike bucket is named as one group, each set by one edge; verification
     looks at whole sets anyway, so no comparison of all its pairs comes before that.
     """
-    members = materialize(_sized(sets.select("set_hash", F.explode("chosen").alias("path"))), "paths")
+    members = _sized(sets.select(F.explode("chosen").alias("path"), "set_hash", "signs"), "0")
     leaves, edges = [], None
     for level in range(1, LEVELS):
         large = members.where(F.col("n") > LEAF)
         leaves.append(members.where(F.col("n") <= LEAF))
         if large.limit(1).count() == 0:
             return _all(leaves), edges
-        alike = materialize(_alike(large, sketches), f"alike-{level}")
-        least = large.join(alike, "path", "left_semi").groupBy("path").agg(F.min("set_hash").alias("dst"))
-        named = large.join(least, "path").select(F.col("set_hash").alias("src"), "dst").distinct()
+        alike = materialize(_alike(large), f"alike-{level}")
+        named = large.join(alike, "path").select(F.col("set_hash").alias("src"), "dst").distinct()
         edges = named if edges is None else edges.union(named)
-        large = large.join(alike, "path", "left_anti")
         # a set's paths are a list of its own: some dozens, whatever the size of their buckets
-        paths = large.groupBy("set_hash").agg(F.collect_list("path").alias("paths"))
-        each = paths.join(whole, "set_hash").dropDuplicates(["set_hash"]).select("set_hash", "paths", "shingles")
-        split = materialize(each.mapInArrow(_split, "set_hash long, path long"), f"split-{level}")
-        members = materialize(_sized(split), f"paths-{level}")
+        paths = large.join(alike, "path", "left_anti").groupBy("set_hash").agg(F.collect_list("path").alias("paths"))
+        each = paths.join(sets, "set_hash").select("set_hash", "size", "signs", "sample", "paths")
+        split = materialize(each.mapInArrow(_split, "path long, set_hash long, signs long"), f"split-{level}")
+        members = _sized(split, str(level))
         discard(split)
     leaves.append(members)
     return _all(leaves), edges
@@ -281,25 +311,27 @@ def _verified(similarity: float):
     return run
 
 
-def _linked(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counted, classes, checked) of profiles: sets with copies and least id; component of linked sets; what verification says."""
-    some = rows.where("set_hash is not null")
-    counted = materialize(some.groupBy("set_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "sets")
-    shown = some.where("sketch is not null")
-    sets = shown.select("set_hash", "chosen").dropDuplicates(["set_hash"])
-    sketches = shown.select("set_hash", "sketch").dropDuplicates(["set_hash"])
-    leaves, alike = _buckets(sets, sketches, shown.select("set_hash", "shingles"))
-    maybe = dealt(leaves.join(sketches, "set_hash"), ["path"], "n", "set_hash", LEAF, ["set_hash", "sketch"])
-    edges = maybe.mapInArrow(_near_by_sketch, "src long, dst long")
-    found = connected_components(edges if alike is None else edges.union(alike)).withColumnRenamed("node", "set_hash")
-    found = materialize(found, "maybe")
-    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, counted, classes, checked): doc_id, text_hash and set_hash of each row; sets with copies and least id; component of linked sets; what verification says."""
+    profile = materialize(profiles(docs), "profiles")
+    rows = materialize(profile.select("doc_id", "text_hash", "set_hash"), "rows")
+    counted = materialize(rows.where("set_hash is not null").groupBy("set_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "sets")
+    shown = profile.where("sketch is not null")
+    sets = materialize(shown.drop("doc_id", "text_hash", "shingles").dropDuplicates(["set_hash"]), "choices")
+    leaves, alike = _buckets(sets)
+    maybe = dealt(leaves.join(sets.select("set_hash", "sketch"), "set_hash"), ["path"], "n", "set_hash", LEAF, ["set_hash", "sketch"])
+    edges = materialize(maybe.mapInArrow(_near_by_sketch, "src long, dst long"), "maybe-edges")
+    found = materialize(connected_components(edges if alike is None else edges.union(alike)).withColumnRenamed("node", "set_hash"), "maybe")
+    discard(sets, edges)
+    sizes = materialize(found.groupBy("component").agg(F.count("*").alias("n")), "maybe-sizes")
     active = found.join(sizes, "component").join(counted.select("set_hash", "copies"), "set_hash")
-    whole = shown.select("set_hash", "shingles").join(active.select("set_hash"), "set_hash", "left_semi").dropDuplicates(["set_hash"])
-    blocks = dealt(active.join(whole, "set_hash"), ["component"], "n", "set_hash", CHUNK, ["set_hash", "copies", "shingles"])
+    whole = materialize(active.join(shown.select("set_hash", "shingles"), "set_hash").dropDuplicates(["set_hash"]), "whole-sets")
+    discard(profile, found, sizes)
+    blocks = dealt(whole, ["component"], "n", "set_hash", CHUNK, ["set_hash", "copies", "shingles"])
     checked = materialize(blocks.mapInArrow(_verified(similarity), "src long, dst long, links long"), "verified")
-    classes = connected_components(checked.where("dst is not null").select("src", "dst")).withColumnRenamed("node", "set_hash")
-    return counted, classes, checked
+    discard(whole)
+    classes = materialize(connected_components(checked.where("dst is not null").select("src", "dst")).withColumnRenamed("node", "set_hash"), "classes")
+    return rows, counted, classes, checked
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -312,15 +344,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     is named after them unless all its ids are null.  Repeated rows link with each
     other.
     """
-    rows = materialize(profiles(docs), "profiles")
-    counted, classes, checked = _linked(rows, similarity)
+    rows, counted, classes, checked = _linked(docs, similarity)
     links = checked.where("dst is null").groupBy("src").agg(F.sum("links").alias("links")).where("links > 0").withColumnRenamed("src", "set_hash")
     named = classes.join(counted.select("set_hash", "least"), "set_hash")
     named = named.join(named.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("set_hash", "class_id")
     told = counted.join(named, "set_hash", "left").join(links, "set_hash", "left").select(
         "set_hash", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    out = rows.select("doc_id", "set_hash").join(told, "set_hash", "left")
+    # a table of its own, so that the rows of a set that holds a third of all are split among tasks
+    out = rows.select("doc_id", "set_hash").join(materialize(told, "told"), "set_hash", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -331,8 +363,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     smallest doc_id stays, nulls last; of several the one with the smallest hash of its
     text, and one of equal ones.
     """
-    rows = materialize(profiles(docs), "profiles")
-    _, classes, _ = _linked(rows, similarity)
+    rows, _, classes, _ = _linked(docs, similarity)
     same = rows.where("set_hash is not null").groupBy("set_hash", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("kept")
     least = same.groupBy("set_hash").agg(first).join(classes, "set_hash", "left").select(F.coalesce("component", "set_hash").alias("class"), "kept.*")

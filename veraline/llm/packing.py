@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veraline.llm.common import encoder, small_batches, tokenizer_path
+from veraline.llm.common import encoder, one_blas_thread, small_batches, tokenizer_path
 from veraline.operators.ordering import running_totals
 from veraline.plans.store import materialize, new_path
 
@@ -74,11 +74,29 @@ def _fullest(widths: np.ndarray, counts: np.ndarray, room: int) -> list[int]:
     return out
 
 
+def _inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination with row pivots.
+
+    Not numpy's: its threads were seen to wait for ever in a driver beside a JVM.
+    """
+    n = len(matrix)
+    work = np.concatenate([matrix, np.eye(n)], axis=1)
+    for k in range(n):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        others = work[:, k].copy()
+        others[k] = 0
+        work -= np.outer(others, work[k])
+    return work[:, n:]
+
+
 def cutting_stock(widths: np.ndarray, demand: np.ndarray, room: int, rounds: int = 5000) -> list[tuple[np.ndarray, int]]:
     """Patterns (items per width) and their whole-number uses, which meet the demand exactly."""
     m = len(widths)
     if not m:
         return []
+    one_blas_thread()
     basis = np.diag((room // widths).astype(np.float64))
     inverse = np.diag(1 / np.diag(basis))
     for r in range(rounds):
@@ -94,7 +112,7 @@ def cutting_stock(widths: np.ndarray, demand: np.ndarray, room: int, rounds: int
             break
         basis[:, k] = pattern
         if r % 50 == 49:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverted(basis)
         else:
             row = inverse[k] / way[k]
             inverse -= np.outer(way, row)
