@@ -7,12 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from veraline.llm import ann, mixing, ngram_join, packing, pii, secrets, tokens, toxicity, vectors, warc
-from veraline.llm.common import Encoder, tokenizer_path
+from veraline.llm.common import BatchEncoder, Encoder, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -121,15 +122,35 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_is_the_tokenizer(reference):
-    odd = ["it's do.\nNow x.\n\nY é.\nÈa ÿa² x²y foo_bar 3a a3 a.b × ÷ ǅ ñ́", " x \n y", "\n \n", "a   b", "a  b", "don't 'tis", "<|endoftext|> a", *[x or "" for x in EDGES]]
-    encoder = Encoder(tokenizer_path())
+    odd = ["it's do.\nNow x.\n\nY é.\nÈa ÿa² x²y foo_bar 3a a3 a.b × ÷ ǅ ñ́", " x \n y", "\n \n", "a   b", "a  b", "don't 'tis", "<|endoftext|> a", "a <|endoftext|>b<|endoftext|>", "中文 слово 12٣ a—b “q” 3€ x\u2009y z", "tab\tx\r\n 'll we'll 'S  ", *[x or "" for x in EDGES]]
+    encoder, batches = Encoder(tokenizer_path()), BatchEncoder(tokenizer_path())
     for text in odd * 2:
         assert encoder.encode(text, 7).tolist() == [*reference(text), 7]
+    rng = np.random.default_rng(3)
+    letters = np.array(list(" \t\n\r'sdltmrev.,;-!0123abcXYZäÖß×÷–€… \x85\x0b\x1cЖ中²Ⅷ½́_"))
+    odd += ["".join(rng.choice(letters[: rng.choice([10, 20, 33, len(letters)])], rng.integers(0, 14))) for _ in range(4000)]
+    odd += [None, "x" * 100, "'" * 70 + "s", "ab" * 700_000, " " * 1_200_000 + "x"]
+    for _ in range(2):
+        for k in range(0, len(odd), 500):
+            ids, sizes = batches.encode(pa.array(odd[k : k + 500], pa.string()), 7)
+            for own, text in zip(np.split(ids, np.cumsum(sizes)[:-1]), odd[k : k + 500], strict=True):
+                assert own.tolist() == [*reference(text), 7]
+
+
+def test_another_vocabulary_goes_through_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "bc": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    texts = ["a bc  a", "bc d", None, ""]
+    ids, sizes = BatchEncoder(str(tmp_path / "other.json")).encode(pa.array(texts), 9)
+    for own, text in zip(np.split(ids, np.cumsum(sizes)[:-1]), texts, strict=True):
+        assert own.tolist() == [*other.encode(text or "", add_special_tokens=False).ids, 9]
 
 
 def crc(ids):

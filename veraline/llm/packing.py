@@ -154,20 +154,19 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> str:
         own, part = encoder(path), TaskContext.get().partitionId()
         done, blocks, ranks = 0, 0, np.zeros(SIZE // GRAIN + 1, np.int64)
         for batch in batches:
-            found = [own.encode(t, END) for t in batch.column(1).to_pylist()]
-            n = len(found)
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
+            flat, sizes = own.encode(batch.column(1), END)
+            n = len(sizes)
             classes = -(-(sizes % SIZE) // GRAIN)
             rank = np.zeros(n, np.int64)
             for i, c in enumerate(classes.tolist()):
                 rank[i] = ranks[c]
                 ranks[c] += 1
             ends, full = np.cumsum(sizes), np.cumsum(sizes // SIZE)
-            crcs = [[zlib.crc32(x[a : a + SIZE].astype("<u4").tobytes()) for a in range(0, len(x), SIZE)] for x in found]
-            flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+            whole = memoryview(flat.astype("<u4").tobytes())
+            crcs = [[zlib.crc32(whole[4 * a : 4 * min(a + SIZE, z)]) for a in range(z - k, z, SIZE)] for k, z in zip(sizes.tolist(), ends.tolist(), strict=True)]
             arrays = [
                 pa.array(np.full(n, part, np.int32)), pa.array(done + ends - sizes), batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(classes.astype(np.int32)),
-                pa.array(rank), pa.array(blocks + full - sizes // SIZE), pa.array(crcs, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)),
+                pa.array(rank), pa.array(blocks + full - sizes // SIZE), pa.array(crcs, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32))),
             ]
             done += int(ends[-1]) if n else 0
             blocks += int(full[-1]) if n else 0

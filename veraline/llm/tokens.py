@@ -35,20 +35,17 @@ def encode_partitions(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches):
         own, part, done = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            found = [own.encode(t, end) for t in texts]
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
+            ids = batch.column(0)
+            flat, sizes = own.encode(batch.column(1), end)
             ends = np.cumsum(sizes)
-            flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
             arrays = [
-                pa.array(np.full(len(texts), part, np.int32)),
+                pa.array(np.full(len(ids), part, np.int32)),
                 pa.array(done + ends - sizes),
                 ids.cast(pa.int64()),
                 pa.array(sizes),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32))),
             ]
-            done += int(ends[-1]) if len(texts) else 0
+            done += int(ends[-1]) if len(ids) else 0
             yield pa.RecordBatch.from_arrays(arrays, names=["part", "start_in_part", "doc_id", "n_tokens", "ids"])
 
     return docs.mapInArrow(run, STORED)
