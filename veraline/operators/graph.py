@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from veraline.plans.store import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, a table that they read).  Least neighbours are a table of their own, so that a hub's edges are split among tasks when they meet its."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +33,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     current, before = base.where("u <> v"), None
     held = None
     while True:
-        step = materialize(_small_star(_large_star(current)), "cc-round")
+        stars, least = _large_star(current)
+        step = materialize(_small_star(stars), "cc-round")
+        discard(least)
         state = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if held is not None:
             discard(held)
