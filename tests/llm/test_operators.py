@@ -277,6 +277,40 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest_of(table(spark, []), table(spark, [])).count() == 0
 
 
+def test_posting_lists_hold_every_code_within_the_radius():
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 256, (20, 32), dtype=np.uint8)
+    coded = centres[rng.integers(0, 20, 2000)] ^ np.packbits(rng.random((2000, 256)) < 0.05, axis=1)
+    index = ann.Index(coded)
+    for query in (*coded[:20], *rng.integers(0, 256, (5, 32), dtype=np.uint8)):
+        distance = np.bitwise_count(coded ^ query).sum(axis=1)
+        for least in (1, 30, 2000, 5000):
+            rows, met = index.within(query, least)
+            limit = np.sort(distance)[min(least, 2000) - 1]
+            assert rows.tolist() == np.flatnonzero(distance <= limit).tolist() and met <= 2000
+    assert index.within(coded[0], 30)[1] < 400  # a query in a cluster doesn't meet the others
+
+
+def test_recall_over_several_blocks_and_scores_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 40)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((5000, 32))
+    x[4000:4300] = x[17]
+    frame = table(spark, [(k, v.tolist(), 0) for k, v in enumerate(x)])
+    found = ann.nearest_of(frame.where("vec_id % 20 = 0"), frame, 20).collect()
+    x = x.astype(np.float32).astype(float)
+    hits = 0
+    for q in range(0, 5000, 20):
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
+        if 4000 <= q < 4300:  # all its copies have one score, so the smallest ids come first
+            assert [r.vec_id for r in own] == [17, *(i for i in range(4000, 4021) if i != q)][:20] and len({r.score for r in own}) == 1
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len({round(r.score, 9) for r in own} & set(np.round(np.sort(score)[-20:], 9))) / len(set(np.round(np.sort(score)[-20:], 9)))
+    assert hits / 250 >= 0.9
+
+
 # --- 5: n-gram join ---
 
 

@@ -3,16 +3,22 @@
 Binary codes come from learned rotations: principal directions of a bounded sample,
 turned by iterative quantization from several seeded starts.  Vectors get one more
 component that makes all norms equal, so that the largest inner product is the
-smallest angle.  Codes are cut into substrings, each with its own index.  If two codes
-differ in at most r bits, some substring differs in at most r // substrings; probing
-all keys that near in every index retrieves every code within the radius.  The radius
-grows until it holds enough codes; their floats are then ranked in double precision.
+smallest angle.  Codes are cut into substrings; a block of rows has posting lists for
+each substring and key.  If two codes differ in at most r bits, some substring differs
+in at most r // substrings: a query reads the lists of its own keys, then those of the
+keys one bit away, and so on, and after p steps has met every code within
+substrings * (p + 1) - 1 bits.  It stops when that radius holds the codes that the block
+owes it, and ranks their vectors in double precision.
 
 Queries are a stated set that is compared with all rows in blocks of bounded size.
+Rows are dealt to blocks by hash, so a block owes a query its share of the codes that
+are wanted of the whole table, and four standard deviations more.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,18 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veraline.llm.blocks import groups
+from veraline.llm.common import one_blas_thread
 from veraline.llm.vectors import usable
 from veraline.plans.store import materialize
 
 BITS, SUBSTRINGS = 256, 32
-#: Rows that the rotations are learned from; codes that a query's radius must hold in a block; rows and queries of a block.
-SAMPLE, WITHIN, BLOCK_ROWS, BLOCK_QUERIES = 4096, 400, 8192, 1024
+#: Rows that the rotations are learned from; rows and queries of a block.
+SAMPLE, BLOCK_ROWS, BLOCK_QUERIES = 4096, 8192, 1024
+#: Nearest codes that are ranked for a query: this many, or this many times the root of all rows if that's more.
+WITHIN, WITHIN_ROOT = 400, 4.0
 
 _KEYS = np.arange(256, dtype=np.uint8)
+#: The keys at each distance from 0; xor with a key gives those at that distance from it.
+_AT_DISTANCE = [_KEYS[np.bitwise_count(_KEYS) == p] for p in range(9)]
 
 
 def learn(sample: np.ndarray, bits: int = BITS, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(mean, width x bits projection) whose signs are the code."""
+    one_blas_thread()
     mean = sample.mean(axis=0)
     x = sample - mean
     _, _, axes = np.linalg.svd(x, full_matrices=False)
@@ -52,34 +64,47 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return np.packbits((x - mean) @ projection > 0, axis=1)
 
 
-def within_radius(table: np.ndarray, words: np.ndarray, query: np.ndarray, least: int, near: int = 2) -> tuple[np.ndarray, int]:
-    """(rows in the smallest radius that holds at least `least` codes, or all; the keys' distance that was probed).
-
-    table: substring x row keys; words: row x 8-byte words of the same codes.  near:
-    the distance of keys to begin with; any gives the same rows.
-    """
-    m, n = table.shape
-    apart = np.bitwise_count(query[:, None] ^ _KEYS)  # substring x key
-    asked = query.view(np.uint64)
-    while True:
-        found = np.zeros(n, bool)
-        for s in range(m):
-            found |= np.take(apart[s] <= near, table[s])
-            if s % 8 == 7 and found.all():
+class Index:
+    """Posting lists of a block of codes: for each substring, the rows of each key."""
+
+    def __init__(self, coded: np.ndarray):
+        self.n = len(coded)
+        self.words = np.ascontiguousarray(coded).view(np.uint64)
+        self.rows = np.concatenate([np.argsort(coded[:, s], kind="stable") for s in range(coded.shape[1])])
+        counts = np.stack([np.bincount(coded[:, s], minlength=256) for s in range(coded.shape[1])])
+        self.sizes = counts.ravel()
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.bases = np.arange(coded.shape[1]) * 256
+
+    def within(self, query: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+        """(rows of the smallest radius that holds at least `least` codes, or all rows; rows whose codes were met)."""
+        asked, least = query.view(np.uint64), min(least, self.n)
+        met = np.zeros(self.n, bool)
+        rows, distance = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for p in range(9):
+            lists = (self.bases[:, None] + (query[:, None] ^ _AT_DISTANCE[p][None, :])).ravel()
+            sizes = self.sizes[lists]
+            ends = np.cumsum(sizes)
+            found = self.rows[np.repeat(self.first[lists] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            before = met.copy()
+            met[found] = True
+            new = np.flatnonzero(met & ~before)
+            rows = np.concatenate([rows, new])
+            distance = np.concatenate([distance, np.bitwise_count(self.words[new] ^ asked).sum(axis=1, dtype=np.int64)])
+            radius = len(query) * (p + 1) - 1
+            if p == 8 or int((distance <= radius).sum()) >= least:
                 break
-        rows = np.flatnonzero(found)
-        distance = np.bitwise_count(words[rows] ^ asked).sum(axis=1, dtype=np.int32)
-        radius = m * (near + 1) - 1  # all codes within it have been retrieved
-        inside = distance <= radius
-        enough = int(inside.sum())
-        if enough >= min(least, n):
-            if enough > least:
-                inside = distance <= np.partition(distance, least - 1)[least - 1]
-            return rows[inside], near
-        near += 1
-
-
-def _searched(k: int, mean: np.ndarray, projection: np.ndarray, top: float):
+        limit = np.partition(distance, least - 1)[least - 1] if least else -1
+        return np.sort(rows[distance <= limit]), len(rows)
+
+
+def owed(rows: int, total: int, k: int) -> int:
+    """Nearest codes that a block of that many rows owes a query."""
+    share = max(WITHIN, WITHIN_ROOT * total**0.5) * rows / max(total, 1)
+    return max(k + 1 if rows == total else 0, math.ceil(share + 4 * share**0.5) + 1)
+
+
+def _searched(k: int, mean: np.ndarray, projection: np.ndarray, top: float, total: int):
     def run(batches):
         for t in groups(batches, 2):
             query, ids = t.column("is_query").to_numpy(), t.column("vec_id").to_numpy(zero_copy_only=False)
@@ -88,17 +113,17 @@ def _searched(k: int, mean: np.ndarray, projection: np.ndarray, top: float):
             if not len(q) or not len(x):
                 continue
             lift = np.sqrt(np.maximum(top**2 - (v[x] ** 2).sum(axis=1), 0))
-            coded = codes(np.column_stack([v[x], lift]), mean, projection)
-            table, words, near = np.ascontiguousarray(coded.T), np.ascontiguousarray(coded).view(np.uint64), 2
+            index = Index(codes(np.column_stack([v[x], lift]), mean, projection))
             # a query's length doesn't change its ranking; scaled to `top` it is coded like the rows
             size = np.linalg.norm(v[q], axis=1)
             asked = codes(np.column_stack([v[q] * (top / size)[:, None], np.zeros(len(q))]), mean, projection)
             out: tuple[list, list, list] = ([], [], [])
-            row_ids, floats = ids[x], v[x]
+            row_ids, floats, least = ids[x], v[x], owed(len(x), total, k)
             for i, row in enumerate(q):
-                found, near = within_radius(table, words, asked[i], max(WITHIN, 4 * k), near)
+                found, _ = index.within(asked[i], least)
                 found = found[row_ids[found] != ids[row]]
-                scores = floats[found] @ v[row]
+                # summed row by row in one order, so that equal vectors have equal scores wherever they lie
+                scores = (floats[found] * v[row]).sum(axis=1)
                 best = np.lexsort((row_ids[found], -scores))[:k]
                 out[0].extend([ids[row]] * len(best))
                 out[1].extend(row_ids[found][best].tolist())
@@ -157,7 +182,7 @@ def nearest_of(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
         return out.select("vl_q", "vl_x", F.lit(is_query).alias("is_query"), "vec_id", "v")
 
     both = spread(table, False).unionByName(spread(asked, True)).repartition("vl_q", "vl_x").sortWithinPartitions("vl_q", "vl_x")
-    found = both.mapInArrow(_searched(k, mean, projection, float(top)), "query_id long, vec_id long, score double")
+    found = both.mapInArrow(_searched(k, mean, projection, float(top), n), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
