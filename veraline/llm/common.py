@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import json
 import re
 import zlib
 from array import array
@@ -100,9 +99,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        told = json.loads(self.tokenizer.to_str())
-        self.added = [t["content"] for t in told["added_tokens"]]
-        self.by_piece = _is_byte_level(told) and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in told["added_tokens"])
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = [t.content for t in added]
+        self.by_piece = _is_byte_level(self.tokenizer) and not any(t.lstrip or t.rstrip or t.normalized or t.single_word for t in added)
         self.shown, self.model = dict(enumerate(_byte_letters())), self.tokenizer.model
         self.pieces, self.stretches = Recent(self._piece, 100_000), Recent(self._stretch, 50_000)
 
@@ -138,8 +137,8 @@ class Encoder:
         return np.frombuffer(found + end.to_bytes(4, "little"), dtype="<u4")
 
 
-#: Bytes that are split at once, the longest piece that is remembered, slots of the memory (a power of two), and its ids at most.
-_AT_ONCE, _LONGEST, _SLOTS, _REMEMBERED = 1 << 20, 64, 21, 6_000_000
+#: Bytes that are split at once, the longest piece that is remembered, slots of the memory (a power of two), and its ids at most: some 25 MB of a worker.
+_AT_ONCE, _LONGEST, _SLOTS, _REMEMBERED = 1 << 17, 64, 20, 2_000_000
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
 
 
@@ -170,7 +169,7 @@ class BatchEncoder:
         self.powers, self.inverses = (self._powers(x) for x in (base, pow(base, -1, 2**64)))
         self.keys = np.zeros(1 << _SLOTS, np.uint64)
         self.at, self.n = (np.zeros(1 << _SLOTS, np.int32) for _ in range(2))
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.ids, self.used = np.zeros(_REMEMBERED + _AT_ONCE, np.uint32), 0
 
     @staticmethod
     def _powers(base: int) -> np.ndarray:
@@ -304,12 +303,12 @@ class BatchEncoder:
         return begin
 
 
-def _is_byte_level(told: dict) -> bool:
-    """Whether a tokenizer's description is that of a plain byte-level vocabulary."""
-    split, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
-    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex")
-    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
-    return bool(plain and merges) and not any(told.get(k) for k in ("normalizer", "truncation", "padding"))
+def _is_byte_level(tokenizer) -> bool:
+    """Whether a tokenizer is that of a plain byte-level vocabulary."""
+    split, model = tokenizer.pre_tokenizer, tokenizer.model
+    plain = type(split).__name__ == "ByteLevel" and not split.add_prefix_space and split.use_regex
+    merges = type(model).__name__ == "BPE" and not any(getattr(model, k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+    return bool(plain and merges) and not any((tokenizer.normalizer, tokenizer.truncation, tokenizer.padding))
 
 
 @lru_cache(maxsize=1)
