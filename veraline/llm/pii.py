@@ -238,13 +238,19 @@ def _pseudonym(m: Column, key: str) -> Column:
     return F.element_at(F.transform(F.array(_kind(m)), of), 1)
 
 
-def pseudonymize(df: DataFrame, key: str = "veraline", text: str = "text", found: str | None = None) -> DataFrame:
+def pseudonymize(df: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """df with the personal values in its text column replaced; other columns as they are.
 
+    key: the secret; who has it can invert the pseudonyms, so it's the caller's to keep.
+    What stays readable by design is the format: how many digits an octet of an address
+    has, an e-mail address's top domain, a separator.
+
     found: the name of an added column, array<struct<kind, text>> of the values put
     in, in order.  A null text stays null (found: empty), an empty one empty.
     Equal rows give equal rows.  Texts of any length are read whole.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     parts, new = fresh(df, "parts"), fresh(df, "new")
     has = F.col(text).rlike("[0-9@]")
     split = df.withColumn(parts, F.when(has, F.split(F.col(text), ANY, -1))).withColumn(

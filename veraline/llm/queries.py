@@ -11,10 +11,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of the session setting spark.veraline.pii.key; without it one that's no secret, for tables of invented people alone."""
+    return spark.conf.get("spark.veraline.pii.key", None) or "invented tables only"
+
+
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veraline.llm.pii import pseudonymize
 
-    return pseudonymize(_table(spark, sf_dir, "documents"), found="found")
+    return pseudonymize(_table(spark, sf_dir, "documents"), pii_key(spark), found="found")
 
 
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

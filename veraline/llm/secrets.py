@@ -1,10 +1,13 @@
 """Secret scan with structural confirmation.
 
-Base spans come from three patterns.  The method then decodes base64 and hex
-candidates, PEM bodies and signed tokens, and adds a span only for what parses:
-DER whose nested lengths close exactly, OpenSSH key blobs whose length-led fields
-fill the blob, and token headers that are JSON with an algorithm.  A base span
-is never taken away.
+Base spans come from three patterns.  The method then looks for the beginnings of key
+encodings in base64 (either alphabet, over line ends too) and hex, wherever they stand in a run of
+characters, decodes as much as the encoding's own length says, and adds a span only
+for what parses: private keys in DER whose nested lengths close exactly and whose fields are
+those of PKCS#1, SEC1, DSA or PKCS#8; OpenSSH private-key files, field by field; PEM
+bodies of these, or encrypted ones with their headers; and token headers that are
+JSON with an algorithm.  Certificates, public keys and signatures are no secrets and
+are left out.  A base span is never taken away.
 """
 
 from __future__ import annotations
@@ -30,66 +33,104 @@ LEAST_VALUE = 6
 ADDED = ("jwt", "pem_key", "ssh_key", "der_base64", "der_hex")
 
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_HEX_ANY = re.compile(r"[0-9A-Fa-f]{40,}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:\s*[A-Za-z-]{4,20}: [^\r\n]{0,200}\r?\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_ENCRYPTED = re.compile(r"DEK-Info: [A-Z0-9-]{3,40},([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\b")
+# Where an encoding may begin: a DER sequence of a possible length, the magic words of a key file.
+_BASE64_START = re.compile(r"(?=M[A-I][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjE)")
+_HEX_START = re.compile(r"(?=30(?:8[123]|[0-7][0-9A-Fa-f])[0-9A-Fa-f]{28})")
+_RUN, _LINE_END = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"\r?\n[ \t]*")
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 _SSH_MAGIC = b"openssh-key-v1\0"
-_SSH_KINDS = (b"ssh-", b"ecdsa-", b"sk-")
+_INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+#: Bytes of a private key in DER or of a key file, at least and at most.
+LEAST_KEY, MOST_KEY = 24, 1 << 16
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
-def _der_closes(data: bytes, start: int, end: int, depth: int = 0) -> bool:
-    """Whether data[start:end] is a row of DER values whose nested lengths close exactly."""
-    if depth > 12 or start >= end:
-        return start == end
-    at = start
-    while at < end:
-        if end - at < 2 or data[at] & 0x1F == 0x1F:
-            return False
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size & 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or end - at < n:
-                return False
-            size, at = int.from_bytes(data[at : at + n], "big"), at + n
-            if size < 0x80 or n > 1 and not size >> (8 * (n - 1)):
-                return False
-        if size > end - at or tag & 0x20 and not _der_closes(data, at, at + size, depth + 1):
-            return False
-        at += size
-    return True
+def _header(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start, end) of the contents of the DER value at `at`; None if its length isn't well formed or passes the end."""
+    if end - at < 2 or data[at] & 0x1F == 0x1F:
+        return None
+    tag, size, at = data[at], data[at + 1], at + 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or end - at < n:
+            return None
+        size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        if size < 0x80 or n > 1 and not size >> (8 * (n - 1)):
+            return None
+    return (tag, at, at + size) if size <= end - at else None
+
+
+def _fields(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The values in data[start:end], if they fill it exactly and so do those inside them."""
+    out, todo = [], [(start, end, 0)]
+    while todo:
+        at, stop, depth = todo.pop()
+        while at < stop:
+            found = _header(data, at, stop)
+            if not found or depth > 12:
+                return None
+            if not depth:
+                out.append(found)
+            if found[0] & 0x20:
+                todo.append((found[1], found[2], depth + 1))
+            at = found[2]
+    return out
 
 
 def is_der_key(data: bytes) -> bool:
-    """A DER sequence that fills the bytes and begins, as key encodings do, with an integer, an algorithm or a sequence."""
-    return len(data) >= 24 and data[0] == 0x30 and data[1] not in (0, 0x80) and _der_closes(data, 0, len(data)) and _first_inside(data) in (0x02, 0x30)
-
-
-def _first_inside(data: bytes) -> int:
-    at = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
-    return data[at] if at < len(data) else -1
-
-
-def is_ssh_blob(data: bytes) -> bool:
-    """An OpenSSH private-key file, or a public-key blob whose length-led fields fill it."""
-    if data.startswith(_SSH_MAGIC):
-        at, n = len(_SSH_MAGIC), 3
-        for _ in range(n):
-            if len(data) - at < 4:
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data)
-    at, fields = 0, 0
-    while len(data) - at >= 4:
-        size = int.from_bytes(data[at : at + 4], "big")
-        if size > len(data) - at - 4 or not fields and not data[at + 4 : at + 4 + size].startswith(_SSH_KINDS):
+    """A DER sequence that fills the bytes and has the fields of a private key."""
+    top = _header(data, 0, len(data))
+    if len(data) < LEAST_KEY or not top or top[0] != _SEQUENCE or top[2] != len(data):
+        return False
+    fields = _fields(data, top[1], top[2])
+    if not fields:
+        return False
+    tags = [t for t, _, _ in fields]
+    first = data[fields[0][1] : fields[0][2]]
+    if tags[0] == _INTEGER:
+        if first not in (b"\0", b"\1"):
             return False
-        at, fields = at + 4 + size, fields + 1
-    return at == len(data) and fields >= 2
+        rsa = tags[:9] == [_INTEGER] * 9 and tags[9:] in ([], [_SEQUENCE])
+        dsa = tags == [_INTEGER] * 6
+        sec1 = first == b"\1" and tags[:2] == [_INTEGER, _OCTETS] and set(tags[2:]) <= {0xA0, 0xA1}
+        pkcs8 = tags[:3] == [_INTEGER, _SEQUENCE, _OCTETS] and set(tags[3:]) <= {0xA0, 0xA1, 0x81} and data[fields[1][1]] == _OID
+        return rsa or dsa or sec1 or pkcs8
+    # an encrypted one names a password-based scheme
+    return tags == [_SEQUENCE, _OCTETS] and data[fields[0][1]] == _OID and any(data[fields[0][1] + 2 :].startswith(x) for x in _PBE)
+
+
+def ssh_key_size(data: bytes) -> int:
+    """Bytes of the OpenSSH private-key file that data begins with; 0 if its length-led fields aren't all there."""
+    if not data.startswith(_SSH_MAGIC):
+        return 0
+    at = len(_SSH_MAGIC)
+
+    def field() -> bytes | None:
+        nonlocal at
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        at += 4 + size
+        return data[at - size : at]
+
+    cipher, kdf, options = field(), field(), field()
+    if not cipher or not kdf or options is None or (cipher == b"none") != (kdf == b"none"):
+        return 0
+    n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= n <= 16:
+        return 0
+    if any(not (blob := field()) or not blob[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")) for _ in range(n)):
+        return 0
+    private = field()
+    if not private or len(private) % 8 or cipher == b"none" and private[:4] != private[4:8]:
+        return 0
+    return at
 
 
 def _decoded(text: str) -> bytes | None:
-    body = re.sub(r"\s", "", text).rstrip("=")
+    body = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
@@ -98,6 +139,53 @@ def _decoded(text: str) -> bytes | None:
         return None
 
 
+def _taken(text: str, at: int, n: int) -> tuple[str, int]:
+    """(up to n base64 characters from `at` on, over line ends; where they end)."""
+    parts = []
+    while n > 0 and (m := _RUN.match(text, at)):
+        parts.append(m[0][:n])
+        n, at = n - len(parts[-1]), at + len(parts[-1])
+        gap = _LINE_END.match(text, at)
+        if n <= 0 or not gap or not _RUN.match(text, gap.end()):
+            break
+        at = gap.end()
+    return "".join(parts), at
+
+
+def _base64_key(text: str, at: int) -> tuple[str, int] | None:
+    """(kind, end) of the key whose base64 begins at `at`."""
+    if text[at] == "b":
+        size = ssh_key_size(_decoded(_taken(text, at, MOST_KEY)[0][: MOST_KEY // 4 * 4]) or _decoded(_taken(text, at, MOST_KEY)[0][:-1]) or b"")
+        kind = "ssh_key"
+    else:
+        head = _decoded(text[at : at + 8]) or b""
+        n = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
+        size = 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + (head[1] if len(head) > 1 else 0)
+        kind = "der_base64"
+    if not LEAST_KEY <= size <= MOST_KEY:
+        return None
+    chars = -(-size * 4 // 3)
+    body, end = _taken(text, at, chars)
+    data = _decoded(body) if len(body) == chars else None
+    if not data or kind == "der_base64" and not is_der_key(data[:size]):
+        return None
+    while end < len(text) and text[end] == "=" and (end - at) < 2 * chars + 2 and (len(body) + 1) % 4 != 1:
+        end, body = end + 1, body + "="
+    return kind, end
+
+
+def _hex_key(text: str, at: int) -> int | None:
+    """The end of the DER key whose hex begins at `at`."""
+    head = bytes.fromhex(text[at : at + 12])
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    size = 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
+    if not LEAST_KEY <= size <= MOST_KEY:
+        return None
+    body = text[at : at + 2 * size]
+    whole = _HEX_RUN.fullmatch(body) and len(body) == 2 * size
+    return at + 2 * size if whole and is_der_key(bytes.fromhex(body)) else None
+
+
 def is_signed_token(token: str) -> bool:
     """Whether the first two parts are base64url JSON objects and the header names an algorithm."""
     try:
@@ -119,24 +207,25 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def added_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of candidates whose structure is confirmed by decoding."""
-    out = []
+    """(start, kind, end) of candidates whose structure is confirmed by decoding; of keys inside one another the outermost."""
+    out, done = [], 0
     if "eyJ" in text:
         out += [(m.start(), "jwt", m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _decoded(m[2])
-            if data and (is_der_key(data) or is_ssh_blob(data)):
+            data = _decoded(m[3])
+            iv = _ENCRYPTED.search(m[2])
+            if data and (is_der_key(data) or ssh_key_size(data) or iv and len(data) % (len(iv[1]) // 2) == 0):
                 out.append((m.start(), "pem_key", m.end()))
-    for m in _BASE64.finditer(text):
-        data = _decoded(m[0])
-        if data and is_ssh_blob(data):
-            out.append((m.start(), "ssh_key", m.end()))
-        elif data and is_der_key(data):
-            out.append((m.start(), "der_base64", m.end()))
-    for m in _HEX_ANY.finditer(text):
-        if m[0][:2] == "30" and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append((m.start(), "der_hex", m.end()))
+    for m in _BASE64_START.finditer(text):
+        if m.start() >= done and (found := _base64_key(text, m.start())):
+            done = found[1]
+            out.append((m.start(), *found))
+    done = 0
+    for m in _HEX_START.finditer(text):
+        if m.start() >= done and (end := _hex_key(text, m.start())):
+            done = end
+            out.append((m.start(), "der_hex", end))
     return out
 
 
