@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veraline.llm import mixing, ngram_join, packing, pii, toxicity
+from veraline.llm import mixing, ngram_join, packing, pii, queries, toxicity
 from veraline.plans.store import materialize
 
 
@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal values pseudonymized."""
-    return pii.pseudonymize(docs)
+    return pii.pseudonymize(docs, queries.pii_key(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
