@@ -417,13 +417,51 @@ def test_mixing_probabilities_are_calibrated(spark):
     texts = [" ".join(rng.choice(words, 20)) for _ in range(4000)]
     frame = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "de").otherwise("en")).withColumn("topic", F.lit("mine"))
     out = mixing.calibrate(frame, {"lang": {"de": 0.5, "en": 0.5}}).toPandas()
-    expected = (out.n_words * out.probability).groupby(out.lang).sum()
+    expected = (out.n_tokens * out.probability).groupby(out.lang).sum()
     assert abs(expected["de"] / expected.sum() - 0.5) < 1e-6 and (out.topic == "mine").all() and out.probability.max() == 1
     kept = out[out.sampled]
     assert abs((kept.lang == "de").mean() - 0.5) < 0.05
     assert mixing.sample(frame, {"lang": {"de": 0.5, "en": 0.5}}).columns == frame.columns
 
 
+def test_mixing_equals_a_plain_recomputation(spark, monkeypatch, reference):
+    """Anchors, topics, tokens, cells, factors and calibrated margins, recomputed in plain Python; and the same by the table path."""
+    rng = np.random.default_rng(12)
+    words = [f"topic{i}" for i in range(60)] + ["the", "and", "everywhere"]
+    weights = np.array([1 / (k + 4) for k in range(60)] + [1, 1, 2])
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 30)), p=weights / weights.sum())) for _ in range(1200)] + [None, ""]
+    frame = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 7 < 2, "de").when(F.col("doc_id") % 7 == 2, F.lit(None)).otherwise("en")).withColumn("Topic", F.lit("mine")).withColumn("topic_", F.lit(1)).withColumn("Sampled", F.lit(2)).withColumn("vl_factor", F.lit(3))
+    goal = {"lang": {"de": 0.4, "en": 0.4, mixing.NONE: 0.2}}
+    got = mixing.calibrate(frame, goal).toPandas().sort_values("doc_id").reset_index(drop=True)
+    held = {}
+    for t in texts:
+        for w in {w for w in (t or "").split() if len(w) >= 5}:
+            held[w] = held.get(w, 0) + 1
+    anchors = sorted((w for w, n in held.items() if 1 < n <= 0.1 * len(texts)), key=lambda w: (-held[w], w))[: mixing.TOPICS]
+    topic = [max(anchors, key=lambda w: ((t or "").split().count(w), -anchors.index(w))) for t in texts]
+    topic = [w if w in (t or "").split() else mixing.NONE for w, t in zip(topic, texts)]
+    assert got["topic__"].tolist() == topic and got["n_tokens"].tolist() == [len(reference(t)) for t in texts]
+    cells = {}
+    rows = list(zip(got.source, got.lang.where(got.lang.notna(), mixing.NONE), topic, got.n_tokens, got.factor))
+    for s, x, w, n, f in rows:
+        cells.setdefault((s, x, w), [0, f])[0] += n
+        assert cells[s, x, w][1] == f
+    total = sum(n for n, _ in cells.values())
+    for d, wanted in ((1, goal["lang"]), (0, None), (2, None)):
+        margin, seen = {}, {}
+        for k, (n, f) in cells.items():
+            margin[k[d]] = margin.get(k[d], 0) + n * f / total
+            seen[k[d]] = seen.get(k[d], 0) + n / total
+        wanted = wanted or {v: m**mixing.FLATTEN / sum(x**mixing.FLATTEN for x in seen.values()) for v, m in seen.items()}
+        assert all(abs(margin[v] - wanted.get(v, 0)) < 1e-5 for v in margin) and got["raking_error"].max() < 1e-5
+    live = got[got.n_tokens > 0]
+    assert np.allclose(live.probability, live.factor / live.factor.max())
+    assert abs(got["Sampled_" if "Sampled_" in got else "sampled_"].mean() - got.probability.mean()) < 0.05
+    monkeypatch.setattr(mixing, "FEW_CELLS", 5)
+    again = mixing.calibrate(frame, goal).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert np.allclose(again.probability, got.probability, rtol=1e-3)
+
+
 def test_mixing_edges(spark):
     frame = docs(spark, EDGES, EDGE_IDS).withColumn("lang", F.lit(None).cast("string"))
     out = mixing.calibrate(frame).collect()
@@ -437,9 +475,9 @@ def test_a_source_of_one_language_empties_no_cell(rare):
     """The small source, a tenth, is in 'de' only; the large one has `rare` in 'de', the rest in nine other languages."""
     cells = [("small", "de", 0.1), ("large", "de", rare), *(("large", f"l{k}", (0.9 - rare) / 9) for k in range(9))]
     rows = [Row(source=s, lang=x, topic="0", tokens=n * 1e9) for s, x, n in cells]
-    assert all(p > 0.05 for *_, p in mixing._factors(rows, None))
+    assert all(p > 0.05 for *_, p, _ in mixing._factors(rows, None))
     told = mixing._factors(rows, {"source": {"large": 1.0}})
-    assert [p for *_, p in told][0] == 0 and all(p > 0 for *_, p in told[1:])
+    assert [p for *_, p, _ in told][0] == 0 and all(p > 0 for *_, p, _ in told[1:])
 
 
 def test_targets_that_cells_meet_are_not_moved():
@@ -561,3 +599,30 @@ def test_toxicity_learns_words_and_places(spark):
     assert toxicity.classify(docs(spark, []), known.limit(0)).count() == 0
     kept = toxicity.keep_clean(frame.withColumn("score", F.lit(9)), model)
     assert kept.columns == [*frame.columns, "score"] and kept.count() < 1400
+
+
+def test_scores_equal_a_plain_noisy_or(spark):
+    """A model's scores and spans, recomputed sentence by sentence; and a sample within its bounds."""
+    rng = np.random.default_rng(13)
+    weights = np.zeros(1 << toxicity.BITS)
+    for w, x in (("vile", 6.5), ("nasty", 4.0), ("kind", -3.0)):
+        weights[zlib.crc32(w.encode()) % (1 << toxicity.BITS)] = x
+    model = toxicity.Model(weights, -4.0, 0.02)
+    words = ["vile", "nasty", "kind", "calm", "Vile", "día"]
+    texts = ["".join(str(rng.choice(words)) + str(rng.choice([" ", ". ", "\n", "! "])) for _ in range(int(rng.integers(0, 12)))) for _ in range(200)] + EDGES
+    value = {"vile": 6.5, "nasty": 4.0, "kind": -3.0}
+    out = {r.doc_id: r for r in toxicity.score(docs(spark, texts), model, spans=True).collect()}
+    for i, text in enumerate(texts):
+        none, offending = 1 - 0.02, []
+        for m in re.finditer(r"[^.!?\n]+", text or ""):
+            own = set(re.findall(r"\w+", m[0].lower()))
+            if own:
+                p = 1 / (1 + np.exp(-(-4.0 + sum(value.get(w, 0.0) for w in own))))
+                none *= 1 - p
+                offending += [(*m.span(), p)] if p >= 0.5 else []
+        assert abs(out[i].score - (1 - none)) < 1e-9
+        assert [(x.start, x.end) for x in out[i].offending] == [x[:2] for x in offending]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    frame = docs(spark, ["x" * 100] * 200)
+    assert toxicity.training_sample(frame, labels, most_chars=2_000).count() == 20 and toxicity.training_sample(frame, labels, most_docs=30).count() == 30
+    assert toxicity.training_sample(docs(spark, ["x" * 100] * 100 + ["y" * 900] * 100), labels, most_chars=5_000).where("doc_id >= 100").count() == 0

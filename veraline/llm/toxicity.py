@@ -23,8 +23,8 @@ from veraline.llm.common import WORD, small_batches
 from veraline.plans.store import fresh
 
 SENTENCE = re.compile(r"[^.!?\n]+")
-#: Bounds of the fitted sample: labelled documents and their characters in all.
-SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 24_000_000
+#: Default bounds of the fitted sample: labelled documents, their characters in all, and the part of these that one document may have.
+SAMPLE_DOCS, SAMPLE_CHARS, LARGEST = 10_000, 24_000_000, 0.1
 BITS = 18
 
 
@@ -49,20 +49,23 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, label) of at most SAMPLE_DOCS labelled documents outside the held-out fifth, chosen by hash.
+def training_sample(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, label) of labelled documents outside the held-out fifth: the first by hash, as many as both bounds allow.
 
-    A doc_id labelled both ways counts as toxic; null labels and ids don't count.
+    The hash decides alone, so that long documents are in the sample as often as short
+    ones; only those with more than LARGEST of the bound are never fitted on.  A doc_id
+    labelled both ways counts as toxic; null labels and ids don't count.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     known = known.where(~held_out("doc_id"))
     sized = docs.where("doc_id is not null").groupBy("doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
-    first = known.join(sized, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
+    first = known.join(sized, "doc_id").where(F.col("chars") <= LARGEST * most_chars).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).collect()
     rows, chars = [], 0
     for r in first:
-        if chars + r["chars"] <= SAMPLE_CHARS:
-            chars += r["chars"]
-            rows.append((r["doc_id"], r["label"]))
+        chars += r["chars"]
+        if chars > most_chars:
+            break
+        rows.append((r["doc_id"], r["label"]))
     return docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
 
 
@@ -94,11 +97,11 @@ def _bags(docs: DataFrame) -> DataFrame:
     return docs.select("label", "text").mapInArrow(run, "label int, sizes array<int>, buckets array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rounds: int = 120, l1: float = 0.2, least_df: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = 120, l1: float = 0.2, least_df: int = 3, most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from the bounded sample of training_sample().  No labelled row: a model that says 0 of all."""
     small_batches(docs.sparkSession)
-    sample = training_sample(docs, labels)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most SAMPLE_DOCS rows
+    sample = training_sample(docs, labels, most_docs, most_chars)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most most_docs rows
     bags = _bags(text.select("label", "text")).toArrow()
     y = bags.column("label").to_numpy().astype(np.float64)
     dim = 1 << BITS
