@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 
 from veraline.functions import answers
 from veraline.functions.text import digest_mod, is_nfc, ngrams, normal_form, normalize, ppm_half_even, ppm_half_up, seed63, sha
-from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask, group_advantages, ledger, nll, reverse_kl
+from veraline.functions.canonical import canonical_json, set_digest
+from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask, group_advantages, interpolate, ledger, nll, reverse_kl
 from veraline.operators.contamination import best_match, family_components, fingerprints, quarantine, scan
 from veraline.operators.graph import connected_components
-from veraline.operators.ordering import running_totals
-from veraline.operators.resampling import exhaustive_sign_flip, holm, type7_quantile
+from veraline.operators.ordering import keyed_totals, running_totals
+from veraline.operators.resampling import exhaustive_sign_flip, holm, resampled_totals, type7_quantile
 from veraline.plans.trust import peel_cycles
 from veraline.sources.jsonl import fault_of, read_records, write_records
 from veraline.streaming.ledger import stream_ledger
@@ -76,6 +77,56 @@ def test_contamination_kinds(spark, train, held, kind):
     assert all("text" not in r.asDict() and "norm" not in r.asDict() for r in found)
 
 
+def plain_grams(norm):
+    chars, tokens = norm.replace(" ", ""), norm.split(" ")
+    runs = lambda x, n: {x} if len(x) < n else {x[i : i + n] for i in range(len(x) - n + 1)}
+    return runs(chars, 5), runs(tuple(tokens), 3)
+
+
+def plain_scan(train, held):
+    """Every pair against every other in plain Python, on the compatibility-normal form."""
+    out = {}
+    prints = [{k: (normal_form(t), *plain_grams(normal_form(t))) for k, t in side.items() if t and normal_form(t)} for side in (train, held)]
+    ppm = lambda n, d: round(Fraction(n * 1_000_000, d)) if d else 0
+    for a, (na, *ga) in prints[0].items():
+        for b, (nb, *gb) in prints[1].items():
+            if na == nb and len(na) >= 16:
+                out[a, b] = ("exact", 1_000_000, 1_000_000, 1_000_000, 1_000_000)
+            elif min(len(na), len(nb)) >= 32:
+                s = []
+                for x, y in zip(ga, gb, strict=True):
+                    s += [ppm(len(x & y), len(x | y)), ppm(len(x & y), min(len(x), len(y)))]
+                jaccard, containment = max(s[0], s[2]), max(s[1], s[3])
+                kind = "fuzzy" if jaccard >= 820_000 or containment >= 920_000 else "review" if jaccard >= 770_000 or containment >= 870_000 else None
+                if kind:
+                    out[a, b] = (kind, *s)
+    return out
+
+
+@pytest.mark.parametrize("held_chars", [4_000_000, 0])
+def test_contamination_equals_a_plain_scan(spark, monkeypatch, held_chars):
+    """Both plans, over documents that are longer and shorter than the benchmark items, and edited copies of these."""
+    from veraline.operators import contamination
+
+    monkeypatch.setattr(contamination, "HELD_CHARS", held_chars)
+    rng = random.Random(4)
+    folder = "/root/testdata/sf0.001"
+    held = {r.item_id: r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    train = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r.doc_id % 2 or len(r.text) < 500}
+    for k in range(150):
+        words = held[rng.choice(sorted(held))].split()
+        for _ in range(rng.randrange(len(words) // 5 + 1)):
+            words[rng.randrange(len(words))] = rng.choice(["other", "Ｗｉｄｅ", "1,000", "\\dfrac", ""])
+        a = rng.randrange(len(words) // 3 + 1)
+        train[10_000 + k] = " ".join(rng.choice(["", "before it "]) .split() + words[a : len(words) - rng.randrange(3)])
+    train |= {20_000: None, 20_001: "", 20_002: " ".join(["same"] * 40)}
+    held |= {9_000: " ".join(["same"] * 44), 9_001: None}
+    frames = [fingerprints(spark.createDataFrame(list(x.items()), f"{k} long, text string"), k, "text", normalize) for k, x in (("t", train), ("e", held))]
+    got = {(r.t, r.e): (r.kind, r.character_jaccard_ppm, r.character_containment_ppm, r.token_jaccard_ppm, r.token_containment_ppm) for r in scan(*frames, "t", "e").collect()}
+    want = plain_scan(train, held)
+    assert got == want and {k for k, *_ in want.values()} == {"exact", "fuzzy", "review"}
+
+
 def test_best_match_prefers_kind_then_score(spark):
     rows = [(1, 5, "fuzzy", 900_000), (1, 4, "review", 999_999), (1, 3, "fuzzy", 950_000), (1, 2, "fuzzy", 950_000)]
     frame = spark.createDataFrame(rows, "t int, e int, kind string, character_jaccard_ppm long").withColumns({c: F.lit(0).cast("long") for c in ("character_containment_ppm", "token_jaccard_ppm", "token_containment_ppm")})
@@ -101,6 +152,64 @@ def test_cycles_are_what_peeling_leaves(spark):
     assert sorted(tuple(r) for r in peel_cycles(edges).select("child", "parent").collect()) == [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]
 
 
+def test_cycles_below_long_chains(spark):
+    chain = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + i + 1) for i in range(300)] + [(1300, 1290), (5, 1000), (7000, 7000)]
+    got = {tuple(r) for r in peel_cycles(spark.createDataFrame(chain, "child long, parent long")).collect()}
+    assert got == {(1000 + i, 1001 + i) for i in range(300)} | {(1300, 1290), (5, 1000), (7000, 7000)} | {(i, i + 1) for i in range(5)}
+    assert peel_cycles(spark.createDataFrame([], "child long, parent long")).count() == 0
+
+
+def test_canonical_json_is_that_of_python(spark):
+    import hashlib
+    import json
+
+    schema = "id long, s string, b boolean, d double, a array<string>, m map<string,boolean>, n struct<z:int,y:array<struct<q:string,p:long>>>"
+    rows = [(1, "a\"\\\n\x01é\x1f/\x7f", True, 1e-05, ["x", None], {"b": None, "a": True}, (1, [("u", 2), (None, None)])), (2, None, None, 1e16, None, None, None), (3, "", False, 0.1, [], {}, (None, []))]
+    frame = spark.createDataFrame(rows, schema)
+    made = frame.select("id", canonical_json(F.struct(*frame.columns), frame.schema).alias("j")).collect()
+    for r in made:
+        own = next(x for x in frame.collect() if x.id == r.id).asDict(True)
+        assert r.j == json.dumps(own, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    digest = set_digest(frame, "id", "s").first()
+    want = json.dumps([[x[0], x[1]] for x in rows], ensure_ascii=False, separators=(",", ":"))
+    assert (digest.digest, digest.n) == (hashlib.sha256(want.encode()).hexdigest(), 3)
+    assert set_digest(frame.limit(0), "id", "s").first().digest == hashlib.sha256(b"[]").hexdigest()
+    with pytest.raises(Exception, match="finite"):
+        spark.createDataFrame([(float("nan"),)], "d double").select(canonical_json(F.col("d"), T.DoubleType())).collect()
+    with pytest.raises(TypeError):
+        canonical_json(F.col("x"), T.ArrayType(T.DoubleType()))
+
+
+def test_interpolation_and_keyed_totals(spark):
+    points = spark.createDataFrame([("a", x, float(x * x)) for x in range(0, 1001, 7)] + [("b", 5, 1.0), ("b", 25, 3.0)], "c string, x long, y double")
+    got = {(r.c, r.x): r.y for r in interpolate(points, "c", "x", "y", 10).collect()}
+    xs = np.array(range(0, 1001, 7))
+    assert all(abs(got["a", x] - np.interp(x, xs, xs.astype(float) ** 2)) < 1e-6 for x in range(0, 1000, 99)) and got["b", 15] == 2.0
+    rows = spark.createDataFrame([("k" if i % 3 else None, i, i % 5) for i in range(300)], "k string, i long, w long")
+    own = sorted(keyed_totals(rows, "k", ["i"], {"before": "w"}).collect(), key=lambda r: r.i)
+    for key in ("k", None):
+        total = 0
+        for n, r in enumerate(x for x in own if x.k == key):
+            assert (r.position, r.before) == (n, total)
+            total += r.w
+    with pytest.raises(ValueError, match="already"):
+        running_totals(rows.withColumn("Position", F.lit(1)), ["i"], {"before": "w"})
+
+
+def test_resampling_is_what_plain_draws_give(spark):
+    import hashlib
+
+    units = [3, -1, 0, 2, 2, -4]
+    frame = spark.createDataFrame(list(enumerate(units)), "item long, u long")
+    draw = lambda seed, rep, k: int(hashlib.sha256(f"{seed}:{rep}:{k}".encode()).hexdigest()[:12], 16)
+    boot = {r.rep: r.total for r in resampled_totals(frame, "item", "u", 40, "s", "bootstrap").collect()}
+    assert boot == {rep: sum(units[draw("s", rep, k) % 6] for k in range(6)) for rep in range(40)}
+    signs = {r.rep: r.total for r in resampled_totals(frame, "item", "u", 40, "s", "signs").collect()}
+    assert signs == {rep: sum(u if draw("s", rep, k) % 2 else -u for k, u in enumerate(units)) for rep in range(40)}
+    many = spark.createDataFrame([(i, 1) for i in range(70)], "item long, u long")
+    assert exhaustive_sign_flip(many, "item", "u").first().flips == str(2**70)
+
+
 # --- answers ---
 
 

@@ -89,10 +89,16 @@ def ppm_half_even(num: Column, den: Column) -> Column:
 
 
 def log_softmax(logits: Column) -> Column:
-    """Stable log-probabilities of an array of logits."""
-    top = F.array_max(logits)
-    total = F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x))
-    return F.transform(logits, lambda x: x - top - total)
+    """Stable log-probabilities of an array of logits; the maximum and the sum are computed once a row."""
+
+    def of(x: Column) -> Column:
+        def less(top: Column) -> Column:
+            total = F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+            return let(total, lambda t: F.transform(x, lambda v: v - top - t))
+
+        return let(F.array_max(x), less)
+
+    return let(logits, of)
 
 
 def softcap(logits: Column, scale: float, cap: float, temperature: float) -> Column:

@@ -1,13 +1,20 @@
 """Overlap of training records with evaluation records, and what must go with them.
 
-Candidates come from an equi-join on n-grams, so none is lost; sizes are counted in
-the row, the join's partial aggregation counts intersections, and no text is dealt.
+A pair matches only if at least 87 % of the smaller one's n-grams are in the other (a
+Jaccard similarity of 77 % implies that).  So of the evaluation record's rarest n-grams a
+stated number must be met: only these are looked up, and what passes is counted in full.
+Evaluation records up to a checked size are counted inside the scan of the training
+records, without any shuffle; larger sets are joined on hashes of the rare n-grams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veraline.functions.text import char_ngrams, ngrams, ppm_half_even, sha, words
 from veraline.operators.graph import connected_components
@@ -17,40 +24,163 @@ CHAR_SIZE, TOKEN_SIZE = 5, 3
 MIN_EXACT, MIN_FUZZY = 16, 32
 JACCARD, CONTAINMENT, MARGIN = 820_000, 920_000, 50_000
 KIND_ORDER = ("exact", "fuzzy", "review")
+#: Characters of evaluation records that driver and workers hold; the share of n-grams that a match may lack, rounding included, and the further share that is looked up.
+HELD_CHARS, LACK, LOOK = 4_000_000, 0.1301, 0.2
+
+_rng = np.random.default_rng(41)
+_SLOT = _rng.integers(1, 2**63, max(CHAR_SIZE, TOKEN_SIZE), dtype=np.uint64) | np.uint64(1)
 
 
 def fingerprints(rows: DataFrame, key: str, text: str, normal=None) -> DataFrame:
-    """(key, norm_sha, norm_chars, char_grams, token_grams) of each row with a non-empty normal form.
+    """(key, norm, norm_sha, norm_chars, char_grams, token_grams) of each row with a non-empty normal form.
 
     normal: a column function to the normal form; default: words joined by a space.
     """
     norm = (normal or (lambda c: F.array_join(words(c), " ")))(F.col(text))
     base = rows.select(key, norm.alias("norm")).where(F.col("norm") != "")
     return base.select(
-        key, sha(F.col("norm")).alias("norm_sha"), F.length("norm").alias("norm_chars"), char_ngrams(F.replace("norm", F.lit(" "), F.lit("")), CHAR_SIZE).alias("char_grams"), ngrams(F.split("norm", " "), TOKEN_SIZE).alias("token_grams")
+        key, "norm", sha(F.col("norm")).alias("norm_sha"), F.length("norm").alias("norm_chars"), char_ngrams(F.replace("norm", F.lit(" "), F.lit("")), CHAR_SIZE).alias("char_grams"), ngrams(F.split("norm", " "), TOKEN_SIZE).alias("token_grams")
     )
 
 
+def _mixed(units: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of runs of n units; one of all units if there are fewer."""
+    n = min(n, len(units))
+    h = np.full(len(units) - n + 1, np.uint64(n))
+    for k in range(n):
+        h += units[k : len(units) - n + 1 + k] * _SLOT[k]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(h ^ (h >> np.uint64(29)))
+
+
+def hashed_grams(norm: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(character n-grams, token n-grams) of a normal form as hashes.  known: tokens met before."""
+    tokens = norm.split(" ")
+    if len(known) > 200_000:
+        known.clear()
+    for t in tokens:
+        if t not in known:
+            known[t] = xxhash.xxh3_64_intdigest(t)
+    chars = np.frombuffer(norm.replace(" ", "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    # a code point spread over all bits, so that sums of few of them don't meet
+    chars = (chars + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return _mixed(chars ^ (chars >> np.uint64(27)), CHAR_SIZE), _mixed(np.array([known[t] for t in tokens], np.uint64), TOKEN_SIZE)
+
+
+def _lists(owner: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct grams, where the list of each begins, its length, owners list by list)."""
+    order = np.argsort(gram, kind="stable")
+    grams, first, sizes = np.unique(gram[order], return_index=True, return_counts=True)
+    return grams, first, sizes, owner[order]
+
+
+def _met(lists: tuple, grams: np.ndarray, owners: int) -> np.ndarray:
+    """How many of the grams each owner lists."""
+    known, first, sizes, owner = lists
+    at = np.searchsorted(known, grams)
+    at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == grams)]
+    n = sizes[at]
+    ends = np.cumsum(n)
+    return np.bincount(owner[np.repeat(first[at] - (ends - n), n) + np.arange(n.sum())], minlength=owners)
+
+
+class Held:
+    """The evaluation records' n-grams of one kind: their lists, and those of each record's rarest."""
+
+    def __init__(self, grams: list[np.ndarray]):
+        self.grams = grams
+        self.sizes = np.array([len(g) for g in grams])
+        owner, flat = np.repeat(np.arange(len(grams)), self.sizes), np.concatenate(grams)
+        self.every = _lists(owner, flat)
+        known, _, counts, _ = self.every
+        rare = []
+        lack = np.floor(LACK * self.sizes).astype(int)
+        looked = np.minimum(self.sizes, lack + np.maximum(1, np.ceil(LOOK * self.sizes).astype(int)))
+        for g, n in zip(grams, looked, strict=True):
+            rare.append(g[np.lexsort((g, counts[np.searchsorted(known, g)]))[:n]])
+        self.rare, self.least = _lists(np.repeat(np.arange(len(grams)), looked), np.concatenate(rare)), looked - lack
+
+    def candidates(self, grams: np.ndarray) -> np.ndarray:
+        """Records of which enough is met; a training record with fewer n-grams than some of them is counted in full for these."""
+        found = (_met(self.rare, grams, len(self.sizes)) >= self.least) & (self.sizes <= len(grams))
+        larger = self.sizes > len(grams)
+        if larger.any():
+            found |= larger & (_met(self.every, grams, len(self.sizes)) >= (1 - LACK) * len(grams))
+        return np.flatnonzero(found)
+
+
+def _counted_in_scan(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str) -> DataFrame:
+    """Pairs that may match, with counts; the evaluation records are held by every worker."""
+    spark = train.sparkSession
+    table = evaluation.where(F.col("norm_chars") >= MIN_FUZZY).select(eval_key, "norm").toArrow()  # HELD_CHARS characters at most
+    known: dict[str, int] = {}
+    grams = [hashed_grams(x, known) for x in table.column("norm").to_pylist()]
+    schema = T.StructType([T.StructField(train_key, train.schema[train_key].dataType), T.StructField(eval_key, evaluation.schema[eval_key].dataType), *(T.StructField(x, T.LongType()) for x in COUNTS)])
+    if not grams:
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast((table.column(0).combine_chunks(), *(Held([g[k] for g in grams]) for k in (0, 1))))
+
+    def run(batches):
+        keys, chars, tokens = held.value
+        met: dict[str, int] = {}
+        for batch in batches:
+            rows, owners, counts = [], [], []
+            for i, norm in enumerate(batch.column(1).to_pylist()):
+                c, t = hashed_grams(norm, met)
+                for j in np.union1d(chars.candidates(c), tokens.candidates(t)).tolist():
+                    rows.append(i)
+                    owners.append(j)
+                    counts.append((*(len(np.intersect1d(x, k.grams[j], assume_unique=True)) for x, k in ((c, chars), (t, tokens))), len(c), len(t), int(chars.sizes[j]), int(tokens.sizes[j])))
+            columns = zip(*counts, strict=True) if counts else [[]] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), keys.take(pa.array(owners, pa.int64())), *(pa.array(x, pa.int64()) for x in columns)], names=schema.names)
+
+    return train.where(F.col("norm_chars") >= MIN_FUZZY).select(train_key, "norm").mapInArrow(run, schema)
+
+
+COUNTS = ("char_both", "token_both", "c1", "t1", "c2", "t2")
+
+
 def shared_grams(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str) -> DataFrame:
-    """(train_key, eval_key, char_both, token_both, c1, t1, c2, t2): n-grams in common and in each, for pairs that have any.
+    """What _counted_in_scan() gives, for evaluation records of any size: a join on hashes of rare n-grams, then counts of the candidates.
 
-    Both kinds are joined in one pass; the sizes ride along, so no second look at
-    the texts is needed.
+    Rare is what few evaluation records have.  The side with fewer n-grams of a pair looks
+    its rarest up in the other.
     """
 
-    def exploded(rows: DataFrame, key: str, tag: int) -> DataFrame:
-        both = F.concat(F.transform("char_grams", lambda g: F.struct(F.lit(0).alias("kind"), g.alias("gram"))), F.transform("token_grams", lambda g: F.struct(F.lit(1).alias("kind"), g.alias("gram"))))
-        sized = rows.where(F.col("norm_chars") >= MIN_FUZZY).select(key, F.size("char_grams").alias(f"c{tag}"), F.size("token_grams").alias(f"t{tag}"), F.explode(both).alias("g"))
-        return sized.select(key, f"c{tag}", f"t{tag}", "g.kind", "g.gram")
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("norm_chars") >= MIN_FUZZY).withColumns({k: F.transform(f"{k}_grams", lambda g: F.xxhash64(g)) for k in ("char", "token")})
+
+    def exploded(rows: DataFrame, key: str, n: str) -> DataFrame:
+        kinds = [rows.select(key, F.lit(i).alias("kind"), F.size(k).alias(n), F.explode(k).alias("gram")) for i, k in enumerate(("char", "token"))]
+        return kinds[0].unionByName(kinds[1])
+
+    a, b = hashed(train), hashed(evaluation)
+    own, other = exploded(a, train_key, "n1"), exploded(b, eval_key, "n2")
+    spread = other.groupBy("kind", "gram").agg(F.count("*").alias("df"))
+    lack = lambda n: F.floor(F.lit(LACK) * F.col(n))
+    looked: Column = lambda n: F.least(F.col(n).cast("long"), lack(n) + F.greatest(F.lit(1), F.ceil(F.lit(LOOK) * F.col(n))))
+
+    def rarest(rows: DataFrame, key: str, n: str) -> DataFrame:
+        ranked = rows.join(spread, ["kind", "gram"], "left").withColumn("r", F.expr(f"row_number() over (partition by {key}, kind order by coalesce(df, 0), gram)"))
+        return ranked.where(F.col("r") <= looked(n)).select(key, "kind", n, "gram")
+
+    def enough(pairs: DataFrame, n: str) -> DataFrame:
+        met = pairs.groupBy(train_key, eval_key, "kind", n).agg(F.count("*").alias("met"))
+        return met.where(F.col("met") >= looked(n) - lack(n)).select(train_key, eval_key)
 
-    pairs = exploded(train, train_key, 1).join(exploded(evaluation, eval_key, 2), ["kind", "gram"])
-    return pairs.groupBy(train_key, eval_key, "c1", "t1", "c2", "t2").agg(F.sum(1 - F.col("kind")).alias("char_both"), F.sum("kind").alias("token_both"))
+    down = enough(rarest(other, eval_key, "n2").join(own, ["kind", "gram"]).where("n2 <= n1"), "n2")
+    up = enough(rarest(own, train_key, "n1").join(other, ["kind", "gram"]).where("n1 < n2"), "n1")
+    both = down.union(up).distinct().join(a.select(train_key, F.col("char").alias("ca"), F.col("token").alias("ta")), train_key).join(b.select(eval_key, F.col("char").alias("cb"), F.col("token").alias("tb")), eval_key)
+    sizes = (F.size(F.array_intersect("ca", "cb")), F.size(F.array_intersect("ta", "tb")), F.size("ca"), F.size("ta"), F.size("cb"), F.size("tb"))
+    return both.select(train_key, eval_key, *(n.cast("long").alias(x) for n, x in zip(sizes, COUNTS, strict=True)))
 
 
 def scan(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str) -> DataFrame:
     """One row per matching pair of fingerprints(): kind and the four scores in ppm."""
+    held = evaluation.agg(F.coalesce(F.sum("norm_chars"), F.lit(0))).first()[0] <= HELD_CHARS
     exact = train.where(F.col("norm_chars") >= MIN_EXACT).select(train_key, "norm_sha").join(evaluation.select(eval_key, "norm_sha"), "norm_sha").select(train_key, eval_key, F.lit(1).alias("same"))
-    scored = shared_grams(train, evaluation, train_key, eval_key).join(exact, [train_key, eval_key], "full").na.fill(0, ["char_both", "token_both", "same", "c1", "t1", "c2", "t2"])
+    counted = (_counted_in_scan if held else shared_grams)(train, evaluation, train_key, eval_key)
+    scored = counted.join(exact, [train_key, eval_key], "full").na.fill(0, ["same", *COUNTS])
     score = {}
     for k in ("character", "token"):
         both, a, b = F.col("char_both" if k == "character" else "token_both"), F.col(f"{k[0]}1"), F.col(f"{k[0]}2")

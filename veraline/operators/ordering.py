@@ -22,6 +22,9 @@ def running_totals(df: DataFrame, order: list[str | Column], weights: dict[str,
     nothing but their row: order by enough columns.
     """
     names = list(weights)
+    clash = {c.lower() for c in df.columns} & {position.lower(), *(n.lower() for n in names), "vl_part", "vl_pos", "vl_n", *(f"vl_{k}{i}" for k in ("sum_", "w") for i in range(len(names)))}
+    if clash:
+        raise ValueError(f"rows already have {', '.join(sorted(clash))}: name the results otherwise")
     fields = [*df.schema.fields, T.StructField("vl_part", T.IntegerType()), T.StructField("vl_pos", T.LongType()), *(T.StructField(f"vl_sum_{i}", T.LongType()) for i in range(len(names)))]
     columns = list(weights.values())
     wanted = df.columns
@@ -51,3 +54,16 @@ def running_totals(df: DataFrame, order: list[str | Column], weights: dict[str,
     out = table.join(base, "vl_part").select(*wanted, (F.col("vl_n") + F.col("vl_pos")).alias(position), *(((F.col(f"vl_w{i}") + F.col(f"vl_sum_{i}")).alias(name)) for i, name in enumerate(names)))
     out._veraline_path = table._veraline_path
     return out
+
+
+def keyed_totals(df: DataFrame, key: str, order: list[str | Column], weights: dict[str, str], label: str = "keyed") -> DataFrame:
+    """running_totals() within each key: positions and totals count from the key's first row.
+
+    A key with a third of all rows is spread over range partitions like the others; what
+    is taken off is one row of totals a key.
+    """
+    placed = running_totals(df, [key, *order], weights, label)
+    first = placed.groupBy(key).agg(F.min("position").alias("vl_p"), *(F.min_by(n, "position").alias(f"vl_f{i}") for i, n in enumerate(weights)))
+    starts = materialize(first.withColumnRenamed(key, "vl_key"), f"{label}-starts")
+    out = placed.join(starts, placed[key].eqNullSafe(starts["vl_key"]))
+    return out.select(*df.columns, (F.col("position") - F.col("vl_p")).alias("position"), *((F.col(n) - F.col(f"vl_f{i}")).alias(n) for i, n in enumerate(weights)))

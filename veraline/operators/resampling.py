@@ -2,44 +2,122 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veraline.operators.ordering import keyed_totals, running_totals
+from veraline.plans.store import materialize
+
+#: Cells of the histogram of sums that the driver holds.
+MOST_SUMS = 4_000_000
+
 
 def type7_quantile(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, tuple[int, int]]) -> DataFrame:
-    """Linear-interpolation quantiles of whole numbers, each at num / den; whole-number arithmetic until one last division."""
-    w = f"partition by {', '.join(keys)}"
-    ranked = rows.where(F.col(value).isNotNull()).select(*keys, value, F.expr(f"row_number() over ({w} order by {value})").alias("r"), F.expr(f"count(*) over ({w})").alias("n"))
+    """Linear-interpolation quantiles of whole numbers, each at num / den; whole-number arithmetic until one last division.
+
+    Ranks come from range partitions, so a key may hold all rows.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("vl_k"), F.col(value).alias("vl_v"))
+    ranked = keyed_totals(own, "vl_k", ["vl_v"], {}, "ranks")
+    n = F.col("vl_m")
+    counts = materialize(own.groupBy(F.col("vl_k").alias("vl_j")).agg(F.count("*").alias("vl_m")), "counts")
+    sized = ranked.join(counts, F.col("vl_k").eqNullSafe(F.col("vl_j")))
     out = []
     for name, (num, den) in quantiles.items():
-        at = (F.col("n") - 1) * num
-        low = F.max(F.when(F.col("r") == F.floor(at / den) + 1, F.col(value)))
-        high = F.max(F.when(F.col("r") == F.ceil(at / den) + 1, F.col(value)))
+        at = (n - 1) * num
+        low = F.max(F.when(F.col("position") == F.floor(at / den), F.col("vl_v")))
+        high = F.max(F.when(F.col("position") == F.ceil(at / den), F.col("vl_v")))
         out.append((low + (high - low) * (F.first(at) % den) / F.lit(den)).alias(name))
-    return ranked.groupBy(*keys).agg(*out)
+    return sized.groupBy("vl_k").agg(*out).select("vl_k.*", *quantiles)
 
 
 def exhaustive_sign_flip(units: DataFrame, item: str, unit: str) -> DataFrame:
     """(extreme, flips): how many of all sign patterns reach the observed total.
 
-    The totals are counted, item by item, as a histogram of sums; it has at most one
-    row per reachable sum, so no pattern is enumerated and any number of items fits.
+    Items are counted by the size of their difference; the totals are a histogram of
+    sums, one cell per reachable sum, into which a size that n items have is folded by
+    its binomial counts.  So no pattern is enumerated, and what meets on the driver is
+    bounded by MOST_SUMS, beyond which the exact test is refused (use draws).  Counts
+    are whole numbers of any length, returned as decimal text if they pass 63 bits.
     """
-    rows = units.select(F.abs(unit).alias("size")).groupBy("size").agg(F.count("*").alias("n")).collect()  # a row per distinct size of difference
+    rows = units.select(F.abs(unit).cast("long").alias("size")).groupBy("size").agg(F.count("*").alias("n")).orderBy("size").limit(MOST_SUMS + 1).collect()
+    reach = sum(r["size"] * r["n"] for r in rows)
+    if len(rows) > MOST_SUMS or 2 * reach + 1 > MOST_SUMS:
+        raise ValueError(f"sums up to {reach} are more than the exact test holds: draw sign flips instead")
     seen = units.agg(F.coalesce(F.sum(unit), F.lit(0))).first()[0]
     sums = {0: 1}
     for size, n in rows:
-        for _ in range(n):
-            new: dict[int, int] = {}
-            for s, k in sums.items():
-                for x in (s + size, s - size):
-                    new[x] = new.get(x, 0) + k
-            sums = new
-    extreme = sum(k for s, k in sums.items() if s >= seen)
-    return units.sparkSession.createDataFrame([(extreme, sum(sums.values()))], "extreme long, flips long")
+        ways, k = [1], 0
+        while k < n:
+            ways.append(ways[-1] * (n - k) // (k + 1))
+            k += 1
+        new: dict[int, int] = {}
+        for s, c in sums.items():
+            for plus, w in enumerate(ways):
+                x = s + size * (2 * plus - n)
+                new[x] = new.get(x, 0) + c * w
+        sums = new
+    extreme, flips = sum(k for s, k in sums.items() if s >= seen), sum(sums.values())
+    kind = "long" if flips < 2**63 else "string"
+    return units.sparkSession.createDataFrame([(extreme, flips) if kind == "long" else (str(extreme), str(flips))], f"extreme {kind}, flips {kind}")
+
+
+def resampled_totals(units: DataFrame, item: str, unit: str, reps: int, seed: str, draws: str) -> DataFrame:
+    """(rep, total) of `reps` resamples of the units in the order of their items.
+
+    draws: "bootstrap" draws as many units with replacement, "signs" gives each a sign.
+    A draw is the first 12 hexadecimal digits of sha256 of seed:rep:position, modulo the number of
+    units or 2, so any rep can be drawn anywhere.  The units travel to the reps: they
+    are one evaluation set, held as one array of at most HELD_UNITS.
+    """
+    import hashlib
+
+    spark = units.sparkSession
+    n = units.count()
+    if n > HELD_UNITS:
+        raise ValueError(f"{n} units are more than the {HELD_UNITS} that a worker holds")
+    values = units.orderBy(item).select(F.col(unit).cast("long")).toPandas().iloc[:, 0].to_numpy(np.int64)  # HELD_UNITS at most
+    held = spark.sparkContext.broadcast(values)
+
+    def run(batches):
+        own = held.value
+        places = [f":{k}".encode() for k in range(len(own))]
+        for pdf in batches:
+            totals = []
+            for rep in pdf["rep"].tolist():
+                start = hashlib.sha256(f"{seed}:{rep}".encode())
+                drawn = np.empty(len(own), np.int64)
+                for k, place in enumerate(places):
+                    h = start.copy()
+                    h.update(place)
+                    drawn[k] = int.from_bytes(h.digest()[:6], "big")
+                totals.append(int(own[drawn % len(own)].sum()) if draws == "bootstrap" else int(np.where(drawn % 2 == 1, own, -own).sum()))
+            yield pd.DataFrame({"rep": pdf["rep"], "total": totals})
+
+    parts = spark.sparkContext.defaultParallelism * 4
+    return spark.range(reps, numPartitions=max(1, min(parts, reps))).select(F.col("id").alias("rep")).mapInPandas(run, "rep long, total long") if n else spark.createDataFrame([], "rep long, total long")
+
+
+#: Units of a paired comparison that a worker holds.
+HELD_UNITS = 2_000_000
 
 
 def holm(rows: DataFrame, key: str, p: str) -> DataFrame:
-    """Step-down adjusted p; a handful of hypotheses, so one ordered window."""
-    ranked = rows.select(key, p, (F.expr("count(*) over ()") - F.expr(f"row_number() over (order by {p}, {key})") + 1).alias("m"))
-    return ranked.select(key, p, F.expr(f"max(least(1.0D, m * {p})) over (order by {p}, {key} rows unbounded preceding)").alias("adjusted"))
+    """Step-down adjusted p: the largest, over the hypotheses up to one's own in the order of p and key, of p times those from there on; 1 at most.
+
+    Ranks come from range partitions; the running maximum is that of each partition and
+    of those before it, one row a partition.
+    """
+    ranked = running_totals(rows.select(key, p), [p, key], {}, "holm")
+    m = rows.count()
+    scaled = ranked.withColumn("vl_scaled", F.least(F.lit(1.0), (F.lit(m) - F.col("position")) * F.col(p))).withColumn("vl_block", F.floor(F.col("position") / HOLM_BLOCK))
+    blocks = scaled.groupBy("vl_block").agg(F.max("vl_scaled").alias("vl_most"))  # m / HOLM_BLOCK rows
+    before = blocks.select("vl_block", F.expr("max(vl_most) over (order by vl_block rows between unbounded preceding and 1 preceding)").alias("vl_before"))
+    within = scaled.withColumn("vl_within", F.expr("max(vl_scaled) over (partition by vl_block order by position rows unbounded preceding)"))
+    return within.join(before, "vl_block").select(key, p, F.greatest("vl_within", F.coalesce("vl_before", F.lit(0.0))).alias("adjusted"))
+
+
+#: Hypotheses of a block of the running maximum.
+HOLM_BLOCK = 10_000

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veraline.functions.text import let, softcap
-from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask, group_advantages, ledger, nll, reverse_kl
+from veraline.functions.text import let, log_softmax, softcap
+from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask, group_advantages, interpolate, kl, ledger, nll
+from veraline.operators.ordering import keyed_totals
 from veraline.plans.sql import query, run_sql, sql, table
 
 # --- masks: completions are the letters of a benchmark text, 'e' the end token ---
 
-_IDS = "list_transform(string_split(substr(text, 1, 60), ''), lambda x: case when x = 'e' then 0 else ord(x) end)"
+_IDS = "list_transform(string_split(text, ''), lambda x: case when x = 'e' then 0 else ord(x) end)"
 
 
 @query("completion_mask_first_eos", f"select item_id, case when p is null then len(ids) else p end::bigint as kept, len(ids)::bigint as n from (select item_id, ids, list_position(ids, 0) as p from (select item_id, {_IDS} as ids from benchmark) x) y")
 def completion_mask_first_eos(spark, sf_dir):
-    ids = F.transform(F.filter(F.split(F.substring("text", 1, 60), ""), lambda c: c != ""), lambda c: F.when(c == "e", 0).otherwise(F.ascii(c)))
+    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.when(c == "e", 0).otherwise(F.ascii(c)))
     rows = table(spark, sf_dir, "benchmark").select("item_id", ids.alias("ids"))
     mask = first_eos_mask(F.col("ids"), 0)
     return rows.select("item_id", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("kept"), F.size("ids").cast("long").alias("n"))
@@ -72,9 +73,9 @@ def log_softmax_nll(spark, sf_dir):
 @query("reverse_kl", f"""with d as materialized (select vec_id, {_LP.format(v='s')} as lp from ({_LOGITS}) x)
     select a.vec_id, round(list_sum([exp(a.lp[i::int]) * (a.lp[i::int] - b.lp[i::int]) for i in range(1, 65)]), 6) as kl from d a join d b on b.vec_id = a.vec_id + 1""")
 def reverse_kl_values(spark, sf_dir):
-    d = _distributions(spark, sf_dir)
-    teacher = d.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("t"))
-    return d.join(teacher, "vec_id").select("vec_id", F.round(reverse_kl(F.col("s"), F.col("t")), 6).alias("kl"))
+    d = _distributions(spark, sf_dir).select("vec_id", log_softmax(F.col("s")).alias("p"))
+    teacher = d.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
+    return d.join(teacher, "vec_id").select("vec_id", F.round(kl(F.col("p"), F.col("q")), 6).alias("kl"))
 
 
 @query("softcap_logits", "select vec_id, round(list_max(c), 6) as most, round(list_sum(c), 6) as total from (select vec_id, list_transform(embedding, lambda x: 30 * tanh(x::double * 2 / 30) / 0.7::double) as c from embeddings) y")
@@ -101,15 +102,39 @@ sql(
     "select arm, round(percentile(v, 0.5), 6) as p50, round(percentile(v, 0.95), 6) as p95, round(min(m), 6) as least_median, round(max(m), 6) as most_median from (select event_type as arm, value as v, percentile(value, 0.5) over (partition by event_type, user_id % 3) as m from events) x group by arm",
     "select arm, round(quantile_cont(v, 0.5), 6) as p50, round(quantile_cont(v, 0.95), 6) as p95, round(min(m), 6) as least_median, round(max(m), 6) as most_median from (select event_type as arm, value as v, quantile_cont(value, 0.5) over (partition by event_type, user_id % 3) as m from events) x group by arm",
 )
-sql("nearest_rank_p95", "select event_type as arm, value as p95 from (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events) x where r = floor(0.95 * (n - 1)) + 1")
+
+
+@query("nearest_rank_p95", "select event_type as arm, value as p95 from (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events) x where r = floor(0.95 * (n - 1)) + 1")
+def nearest_rank_p95(spark, sf_dir):
+    """Ranks come from range partitions, so an arm may hold all rows."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), "value")
+    ranked = keyed_totals(rows, "arm", ["value"], {}, "ranks").join(rows.groupBy("arm").agg(F.count("*").alias("n")), "arm")
+    return ranked.where(F.col("position") == F.floor(F.lit(0.95) * (F.col("n") - 1))).select("arm", F.col("value").alias("p95"))
+
+
 sql("throughput", "select event_type as arm, cast(sum(user_id) as bigint) as tokens, round(sum(user_id) / sum(value), 6) as tokens_per_s from events group by event_type")
-sql("lr_schedule", "select event_id, round(1 - 0.9 * least(1.0, consumed / 20000.0), 9) as lr_factor from (select event_id, cast(sum(cast(floor(value) as bigint)) over (partition by user_id % 5 order by ts, event_id rows unbounded preceding) as double) as consumed from events) x")
+
+
+@query("lr_schedule", "select event_id, round(1 - 0.9 * least(1.0, consumed / 20000.0), 9) as lr_factor from (select event_id, cast(sum(cast(floor(value) as bigint)) over (partition by user_id % 5 order by ts, event_id rows unbounded preceding) as double) as consumed from events) x")
+def lr_schedule(spark, sf_dir):
+    rows = run_sql(spark, sf_dir, "select event_id, user_id % 5 as stage, ts, cast(floor(value) as bigint) as tokens from events")
+    run = keyed_totals(rows, "stage", ["ts", "event_id"], {"before": "tokens"}, "lr")
+    consumed = (F.col("before") + F.col("tokens")).cast("double")
+    return run.select("event_id", F.round(1 - F.lit(0.9) * F.least(F.lit(1.0), consumed / 20000.0), 9).alias("lr_factor"))
+
+
 sql("batch_cursor", "select o_orderkey, (o_orderkey * 4 + 3) % 97 as at from orders")
-_POINTS = "select event_type as arm, event_id as x, value as y from events where event_id % 10 = 0"
-_GRID = "select a.arm, g.x from (select distinct event_type as arm from events) a cross join {g} "
-sql("curve_interpolation", *(f"""select g.arm, g.x, round(lo.y + case when hi.x = lo.x then 0 else (hi.y - lo.y) * (g.x - lo.x) / cast(hi.x - lo.x as double) end, 6) as y from (
-    select g.arm, g.x, max(case when p.x <= g.x then p.x end) as xl, min(case when p.x >= g.x then p.x end) as xh from ({_GRID.format(g=grid)}) g join ({_POINTS}) p on p.arm = g.arm group by g.arm, g.x) g
-    join ({_POINTS}) lo on lo.arm = g.arm and lo.x = g.xl join ({_POINTS}) hi on hi.arm = g.arm and hi.x = g.xh""" for grid in ("(select explode(sequence(100L, 900L, 75L)) as x) g", "(select unnest(range(100, 901, 75)) as x) g")))
+
+# learning curves: events are points, each arm's grid spans its own range in up to 100 steps
+
+
+@query("curve_interpolation", f"""with g as (select arm, unnest(range(0, (hi - lo) // step + 1)) as k, lo, step from (select event_type as arm, min(event_id) as lo, max(event_id) as hi, greatest(1, (max(event_id) - min(event_id)) // 100) as step from events group by event_type) r),
+    q as (select arm, lo + k * step as x from g), p as (select event_type as arm, event_id as x, value as y from events)
+    select q.arm, q.x, round(l.y + case when h.x = l.x then 0 else (h.y - l.y) * (q.x - l.x) / (h.x - l.x)::double end, 6) as y from q asof join p l on q.arm = l.arm and q.x >= l.x asof join p h on q.arm = h.arm and q.x <= h.x""")
+def curve_interpolation(spark, sf_dir):
+    return interpolate(table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("event_id").alias("x"), F.col("value").alias("y")), "arm", "x", "y", 100).withColumn("y", F.round("y", 6))
+
+
 sql("teacher_student_quadrants", "select quality as teacher, toxic as student, count(*) as n from labels group by quality, toxic")
 sql(
     "length_truncation_profile",

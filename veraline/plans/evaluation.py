@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veraline.functions.answers import extract_answer, verify_answer
-from veraline.operators.resampling import exhaustive_sign_flip, holm, type7_quantile
+from veraline.operators.resampling import exhaustive_sign_flip, holm, resampled_totals, type7_quantile
 from veraline.plans.sql import query, run_sql, sql, table
 
 # --- verification: predictions made of part sizes ---
@@ -44,7 +44,7 @@ sql(
 )
 sql("response_bijection", """
     select side, count(*) as n from (select case when q.o_orderkey is null then 'extra' when r.k is null then 'missing' when r.n > 1 then 'duplicate' else 'paired' end as side
-      from (select o_orderkey from orders where o_orderkey % 7 <> 0) q full join (select l_orderkey as k, count(*) as n from lineitem where l_linenumber <= 2 group by l_orderkey) r on q.o_orderkey = r.k) x group by side""")
+      from (select o_orderkey from orders) q full join (select l_orderkey as k, count(*) as n from lineitem group by l_orderkey) r on q.o_orderkey = r.k) x group by side""")
 _SAMPLES = "select user_id as item, event_id, cast(row_number() over (partition by user_id order by event_id) - 1 as bigint) as sample_index, case when value > 50 then 1 else 0 end as correct, cast(floor(value) as bigint) as tokens, event_type from events"
 sql("sample_scores", f"select item, sample_index, correct, tokens, case when event_type = 'error' then 'length' else 'eos' end as finish from ({_SAMPLES}) s")
 _ITEMS = f"select item, count(*) as n, cast(sum(correct) as bigint) as c, cast(sum(tokens) as bigint) as tokens from ({_SAMPLES}) s group by item"
@@ -77,31 +77,43 @@ def type7(spark, sf_dir):
     return exact.select("event_type", F.round("q025", 3).alias("q025"), F.round("q975", 3).alias("q975"))
 
 
-_FLIP = f"select item, u from ({_UNITS}) x where item < 12"
+_FLIP = _UNITS
+# SQL enumerates the patterns of either half of the items, counts them by their sums, and adds every two sums
+_HALF = "(select total, count(*) as n from (select mask, sum(case when (mask >> bit::int) & 1 = 1 then -u else u end) as total from (select unnest(range(0, (1 << (select count(*) from k where half = {h})::int)::bigint)) as mask) m, (select u, row_number() over (order by item) - 1 as bit from k where half = {h}) b group by mask) t group by total)"
 
 
-@query("sign_flip_exact", f"""with f as ({_FLIP}), k as (select item, u, row_number() over (order by item) - 1 as bit from f), m as (select unnest(range(0, (1 << (select count(*) from f)::int)::bigint)) as mask),
-    t as (select mask, sum(case when (mask >> bit::int) & 1 = 1 then -u else u end) as total from m, k group by mask) select count_if(total >= (select sum(u) from f))::bigint as extreme, count(*) as flips from t""")
+@query("sign_flip_exact", f"""with k as (select item, u, row_number() over (order by item) % 2 as half from ({_FLIP}) f)
+    select sum(case when a.total + b.total >= (select sum(u) from k) then a.n * b.n else 0 end)::bigint as extreme, sum(a.n * b.n)::bigint as flips from {_HALF.format(h=0)} a, {_HALF.format(h=1)} b""")
 def sign_flip_exact(spark, sf_dir):
     return exhaustive_sign_flip(run_sql(spark, sf_dir, _FLIP), "item", "u")
 
 
-_REPS = 400
-_DRAW = "cast(conv(substr(sha2(concat_ws(':', '{s}', r.rep, {k}), 256), 1, 12), 16, 10) as bigint)"
+# The registered repetitions.
+BOOTSTRAPS, FLIPS = 10_000, 100_000
 _DUCK_DRAW = "('0x' || substr(sha256('{s}:' || r.rep || ':' || {k}), 1, 12))::bigint"
 _NUMBERED = f"select row_number() over (order by item) - 1 as pos, u, count(*) over () as m from ({_UNITS}) x"
-_BOOT = "select rep, cast(sum(u) as bigint) as total from (select r.rep, {draw} % i.m as pick from {reps} cross join ({n}) i) d join ({n}) k on k.pos = d.pick group by rep"
-_SIGN = "select rep, cast(sum(case when {draw} % 2 = 1 then u else -u end) as bigint) as total from {reps} cross join ({n}) i group by rep"
-_SPARK_REPS, _DUCK_REPS = f"(select explode(sequence(0L, {_REPS - 1}L)) as rep) r", f"(select unnest(range(0, {_REPS})) as rep) r"
+_REPS = "(select unnest(range(0, {n})) as rep) r"
+_BOOT = f"select rep, cast(sum(u) as bigint) as total from (select r.rep, {_DUCK_DRAW.format(s='boot', k='i.pos')} % i.m as pick from {_REPS.format(n=BOOTSTRAPS)} cross join ({_NUMBERED}) i) d join ({_NUMBERED}) k on k.pos = d.pick group by rep"
+_SIGN = f"select rep, cast(sum(case when {_DUCK_DRAW.format(s='flip', k='i.pos')} % 2 = 1 then u else -u end) as bigint) as total from {_REPS.format(n=FLIPS)} cross join ({_NUMBERED}) i group by rep"
 
 
-def _both(text: str, seed: str) -> tuple[str, str]:
-    return tuple(text.format(draw=d.format(s=seed, k="i.pos"), reps=r, n=_NUMBERED) for d, r in ((_DRAW, _SPARK_REPS), (_DUCK_DRAW, _DUCK_REPS)))
+@query("bootstrap_hash_rng", _BOOT)
+def bootstrap_hash_rng(spark, sf_dir):
+    return resampled_totals(run_sql(spark, sf_dir, _UNITS), "item", "u", BOOTSTRAPS, "boot", "bootstrap")
 
 
-sql("bootstrap_hash_rng", *_both(_BOOT, "boot"))
-sql("sign_flip_hash_rng", *(f"select cast(sum(case when total >= seen then 1 else 0 end) + 1 as bigint) as num, count(*) + 1 as den from ({t}) x cross join (select sum(u) as seen from ({_UNITS}) u) o" for t in _both(_SIGN, "flip")))
-sql("percentile_ci", *(f"select {q.format(p=0.025)} as lower, {q.format(p=0.975)} as upper from ({t}) x" for t, q in zip(_both(_BOOT, "boot"), ("percentile(total, {p})", "quantile_cont(total::double, {p})"), strict=True)))
+@query("percentile_ci", f"select quantile_cont(total::double, 0.025) as lower, quantile_cont(total::double, 0.975) as upper from ({_BOOT}) x")
+def percentile_ci(spark, sf_dir):
+    return bootstrap_hash_rng(spark, sf_dir).select(F.expr("percentile(total, 0.025)").alias("lower"), F.expr("percentile(total, 0.975)").alias("upper"))
+
+
+@query("sign_flip_hash_rng", f"select cast(sum(case when total >= seen then 1 else 0 end) + 1 as bigint) as num, count(*) + 1 as den from ({_SIGN}) x cross join (select sum(u) as seen from ({_UNITS}) u) o")
+def sign_flip_hash_rng(spark, sf_dir):
+    units = run_sql(spark, sf_dir, _UNITS)
+    seen = units.agg(F.coalesce(F.sum("u"), F.lit(0))).first()[0]
+    totals = resampled_totals(units, "item", "u", FLIPS, "flip", "signs")
+    return totals.agg((F.count_if(F.col("total") >= seen) + 1).alias("num"), (F.count("*") + 1).alias("den"))
+
 
 _P = "select event_type as hypothesis, round(avg(case when value > 95 then 1.0 else 0.0 end), 6) as p from events group by event_type"
 

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-from veraline.plans.sql import sql
+from pyspark.sql import functions as F
+
+from veraline.functions.canonical import set_digest
+from veraline.plans.sql import query, sql, table
 
 sql("registry_mismatch", """
     select c_custkey, c_nationkey, case when n_nationkey is null then 'unknown' else 'revision' end as rule from customer left join nation on c_nationkey = n_nationkey
     where n_nationkey is null or n_regionkey <> c_custkey % 5""")
+_REGISTRY = "select distinct o_orderstatus as f, o_orderkey % 7 + 1 as k, o_custkey as c, substr(o_orderpriority, 1, 1) as p from orders"
+_LINES = "select l_linestatus, l_linenumber, l_suppkey, substr(cast(l_linenumber % 5 + 1 as varchar(1)), 1, 1) as priority, count(*) as n from lineitem"
+_SAME_KEY = "l_linestatus = f and l_linenumber = k and l_suppkey = c and cast(l_linenumber % 5 + 1 as varchar(1)) = p"
 sql(
     "transform_registry_anti",
-    "select l_returnflag, l_linestatus, l_linenumber, l_suppkey % 10 as s, count(*) as n from lineitem left anti join (select distinct o_orderstatus as f, o_orderkey % 7 + 1 as k from orders where o_orderkey % 2 = 0) r on l_linestatus = f and l_linenumber = k and l_suppkey % 10 < 5 group by 1, 2, 3, 4",
-    "select l_returnflag, l_linestatus, l_linenumber, l_suppkey % 10 as s, count(*) as n from lineitem where not exists (select 1 from (select distinct o_orderstatus as f, o_orderkey % 7 + 1 as k from orders where o_orderkey % 2 = 0) r where l_linestatus = f and l_linenumber = k and l_suppkey % 10 < 5) group by 1, 2, 3, 4",
+    f"{_LINES} left anti join ({_REGISTRY}) r on {_SAME_KEY} group by 1, 2, 3, 4",
+    f"{_LINES} where not exists (select 1 from ({_REGISTRY}) r where {_SAME_KEY}) group by 1, 2, 3, 4",
 )
 sql("exact_keys_predicate", "select event_id, array_sort(json_object_keys(props)) = array('k') as fine from events", "select event_id, list_sort(json_keys(props)) = ['k'] as fine from events")
 sql("prompt_sha256", "select item_id, sha2(text, 256) as prompt_sha, sha2(concat('{\"field\":\"problem\",\"id\":', item_id, '}'), 256) as fragment_id from benchmark", "select item_id, sha256(text) as prompt_sha, sha256('{\"field\":\"problem\",\"id\":' || item_id || '}') as fragment_id from benchmark")
-sql(
-    "item_set_sha256",
-    "select sha2(array_join(transform(array_sort(collect_list(struct(item_id, sha2(text, 256) as s))), x -> concat(x.item_id, ':', x.s)), ','), 256) as set_sha, count(*) as n from benchmark",
-    "select sha256(string_agg(item_id || ':' || sha256(text), ',' order by item_id)) as set_sha, count(*) as n from benchmark",
-)
-_EXPECTED, _SEEN = "select event_type, count(*) as n from events where event_id % 2 = 0 group by event_type", "select event_type, count(*) as n from events where event_id % 2 = 0 and event_type <> 'click' group by event_type"
-sql("golden_compare", f"select coalesce(e.event_type, o.event_type) as name, e.n as expected, o.n as observed, e.n is not distinct from o.n as equal from ({_EXPECTED}) e full join ({_SEEN}) o on e.event_type = o.event_type")
+
+
+@query("item_set_sha256", "select sha256('[' || string_agg('[' || item_id || ',\"' || sha256(text) || '\"]', ',' order by item_id) || ']') as digest, count(*) as n from benchmark")
+def item_set_sha256(spark, sf_dir):
+    return set_digest(table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("sha")), "item_id", "sha")
+
+
+@query("record_set_digest", "select sha256('[' || string_agg('[' || doc_id || ',\"' || sha256(text) || '\"]', ',' order by doc_id) || ']') as digest, count(*) as n from documents")
+def record_set_digest(spark, sf_dir):
+    return set_digest(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id", "sha")
+
+
+_EXPECTED, _SEEN = "select o_orderstatus as name, count(*) as n from orders group by o_orderstatus", "select l_linestatus as name, count(distinct l_orderkey) as n from lineitem group by l_linestatus"
+sql("golden_compare", f"select coalesce(e.name, o.name) as name, e.n as expected, o.n as observed, e.n is not distinct from o.n as equal from ({_EXPECTED}) e full join ({_SEEN}) o on e.name = o.name")
 sql("causal_shift", "select conv_id, turn, lag(role) over (partition by conv_id order by turn) as previous_role, role from conversations")
-sql("clean_and_held_union", "select 'train' as side, doc_id as id, source as origin from documents where doc_id % 3 = 0 union all select 'eval', item_id, 'benchmark' from benchmark")
 sql("except_both_ways", "select 'missing' as side, k from (select c_nationkey as k from customer except select s_nationkey from supplier) a union all select 'extra', k from (select s_nationkey as k from supplier except select c_nationkey from customer) b")
 sql("deduplicated_parameters", "select p_brand, cast(sum(p_size) as bigint) as total from (select distinct p_brand, p_type, p_size from part) x group by p_brand")
 sql("quality_map_nullable", "select doc_id, case when quality is null then null else quality = 1 end as verified, source from documents left join labels using (doc_id)")

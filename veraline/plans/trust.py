@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veraline.functions.text import digest_mod, seed63, sha
 from veraline.operators.contamination import best_match, family_components, fingerprints, quarantine, scan
 from veraline.plans.sql import query, run_sql, sql, table
-from veraline.plans.store import materialize
+from veraline.plans.store import discard, materialize
 
 # --- constraints ---
 
@@ -21,8 +21,8 @@ sql(
     "select sha256(text) as content_sha, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
 )
 sql("set_equality_both_ways", """
-    select coalesce(n_nationkey, k) as key, case when k is null then 'only_nation' else 'only_customer' end as side
-    from nation full join (select distinct c_nationkey as k from customer where c_nationkey % 3 <> 0) c on n_nationkey = k where n_nationkey is null or k is null""")
+    select coalesce(c_custkey, k) as key, case when k is null then 'only_customer' else 'only_orders' end as side
+    from customer full join (select distinct o_custkey as k from orders) o on c_custkey = k where c_custkey is null or k is null""")
 sql("id_sets_intersection", "select count(*) as n from (select doc_id as k from documents intersect select item_id as k from benchmark) x")
 sql("canonical_sorted_list_check", """
     select o_custkey, n, n_distinct from (select o_custkey, count(*) as n, count(distinct o_orderpriority) as n_distinct from orders group by o_custkey) x where n <> n_distinct""")
@@ -47,12 +47,6 @@ sql(
     """select p_partkey, sha2(concat('{"p_brand":"', p_brand, '","p_name":"', p_name, '","p_size":', p_size, '}'), 256) as payload_sha from part""",
     """select p_partkey, sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || '}') as payload_sha from part""",
 )
-sql(
-    "record_set_digest",
-    """select n_regionkey, sha2(concat('[', array_join(transform(array_sort(collect_list(struct(n_name, sha2(n_name, 256) as s))), x -> concat('["', x.n_name, '","', x.s, '"]')), ','), ']'), 256) as digest, count(*) as n from nation group by n_regionkey""",
-    """select n_regionkey, sha256('[' || string_agg('["' || n_name || '","' || sha256(n_name) || '"]', ',' order by n_name) || ']') as digest, count(*) as n from nation group by n_regionkey""",
-)
-
 _FOLD = "list_reduce(list_prepend(0::bigint, [(strpos('0123456789abcdef', substr({d}, i::int, 1)) - 1)::bigint for i in range(1, 65)]), lambda a, x: (a * 16 + x) % {m})"
 
 
@@ -223,12 +217,23 @@ def keep_after_quarantine(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(_quarantined(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
 
 
+@query("clean_and_held_union", f"with {_SCAN} select 'train' as side, doc_id as id, source as origin from documents where doc_id not in (select doc_id from matches) union all select 'eval', item_id, 'benchmark' from benchmark")
+def clean_and_held_union(spark, sf_dir):
+    clean = table(spark, sf_dir, "documents").join(_matches(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti")
+    held = table(spark, sf_dir, "benchmark").select(F.lit("eval").alias("side"), F.col("item_id").alias("id"), F.lit("benchmark").alias("origin"))
+    return clean.select(F.lit("train").alias("side"), F.col("doc_id").alias("id"), F.col("source").alias("origin")).unionByName(held)
+
+
 _MANIFEST = "select doc_id, sha256(text) as content_sha, sha256(substr(lower(text), 1, 24)) as prefix_sha, sha256(right(lower(text), 24)) as suffix_sha, source from documents"
 sql("manifest_rows", _MANIFEST.replace("sha256(text)", "sha2(text, 256)").replace("sha256(substr(lower(text), 1, 24))", "sha2(substr(lower(text), 1, 24), 256)").replace("sha256(right(lower(text), 24))", "sha2(right(lower(text), 24), 256)"), _MANIFEST)
+# a set's digest is that of its parts', by the first three digits of the members' digests, so no task gathers a whole set
+_PARTS = "select source, {sha} as sha, doc_id from documents"
 sql(
     "manifest_summary",
-    "select source, count(*) as n, count(distinct sha2(text, 256)) as n_content, min(doc_id) as least, max(doc_id) as most, sha2(array_join(array_sort(collect_list(sha2(text, 256))), ','), 256) as set_sha from documents group by source",
-    "select source, count(*) as n, count(distinct sha256(text)) as n_content, min(doc_id) as least, max(doc_id) as most, sha256(string_agg(sha256(text), ',' order by sha256(text))) as set_sha from documents group by source",
+    f"""select source, cast(sum(n) as bigint) as n, cast(sum(n_content) as bigint) as n_content, min(least) as least, max(most) as most, sha2(array_join(transform(array_sort(collect_list(struct(part, part_sha))), x -> x.part_sha), ','), 256) as set_sha from (
+      select source, substr(sha, 1, 3) as part, count(*) as n, count(distinct sha) as n_content, min(doc_id) as least, max(doc_id) as most, sha2(array_join(array_sort(collect_list(sha)), ','), 256) as part_sha from ({_PARTS.format(sha="sha2(text, 256)")}) x group by 1, 2) y group by source""",
+    f"""select source, sum(n)::bigint as n, sum(n_content)::bigint as n_content, min(least) as least, max(most) as most, sha256(string_agg(part_sha, ',' order by part)) as set_sha from (
+      select source, substr(sha, 1, 3) as part, count(*) as n, count(distinct sha) as n_content, min(doc_id) as least, max(doc_id) as most, sha256(string_agg(sha, ',' order by sha)) as part_sha from ({_PARTS.format(sha="sha256(text)")}) x group by 1, 2) y group by source""",
 )
 
 # --- fragments ---
@@ -263,27 +268,40 @@ def ngram_char5_sizes(spark, sf_dir):
 
 sql("lineage_parent_check", """
     select l_orderkey, l_linenumber, case when o_orderkey is not null then 'record' when c_custkey is not null then 'ledger' else 'missing' end as parent, coalesce(o_custkey, c_custkey) as owner, count(*) as n
-    from lineitem left join (select o_orderkey, o_custkey from orders where o_orderkey % 5 <> 0) o on l_orderkey = o_orderkey left join (select c_custkey from customer where c_custkey % 2 = 0) c on l_orderkey = c_custkey
+    from lineitem left join (select o_orderkey, o_custkey from orders) o on l_partkey = o_orderkey left join (select c_custkey from customer) c on l_partkey = c_custkey
     group by 1, 2, 3, 4""")
 sql("lineage_cross_split", """
     select l_orderkey, count(*) as n from lineitem join orders on l_orderkey = o_orderkey where l_suppkey % 2 <> o_custkey % 2 group by l_orderkey""")
 
-_EDGES = "select distinct least(o_orderkey % 97, 96) as child, case when o_orderkey % 11 = 0 then (o_orderkey * 7) % 97 else (o_orderkey % 97) div 2 end as parent from orders where o_orderkey % 3 = 0"
+# every order's parent: mostly a smaller key, now and then a later one, so that some lines close
+_EDGES = "select o_orderkey as child, case when o_orderkey % 11 = 0 then (o_orderkey * 7) % (select max(o_orderkey) from orders) else o_orderkey div 2 end as parent from orders"
 
 
 def peel_cycles(edges, child: str = "child", parent: str = "parent"):
-    """Edges on or above a cycle: those left when edges to parents without parents of their own are taken off again and again."""
-    left = materialize(edges.select(child, parent).distinct(), "lineage")
-    n = left.count()
-    while True:
-        rest = materialize(left.join(left.select(F.col(child).alias(parent)).distinct(), parent, "left_semi").select(child, parent), "lineage")
-        m = rest.count()
-        if m in (n, 0):
-            return rest
-        left, n = rest, m
-
-
-@query("lineage_cycle", f"""with recursive e as materialized (select * from ({_EDGES.replace("div", "//")}) x),
+    """Edges whose parent is on a cycle or below one: from it parents go on for ever.
+
+    Edges to what has no parent are taken off again and again; in the same round an edge
+    to a node of one parent is moved to that parent, which ends where it ends.  So a
+    chain of any length is gone after a logarithmic number of rounds.
+    """
+    every = materialize(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct(), "lineage")
+    left, n = every, every.count()
+    while n:
+        nodes = materialize(left.groupBy("c").agg(F.count("*").alias("k"), F.min("p").alias("q")), "lineage-nodes")
+        met = left.join(nodes.select(F.col("c").alias("p"), F.col("k"), F.col("q")), "p")
+        kept = met.count()
+        moved = materialize(met.select("c", F.when(F.col("k") == 1, F.col("q")).otherwise(F.col("p")).alias("p")).distinct(), "lineage")
+        if left is not every:
+            discard(left)
+        discard(nodes)
+        before, left = n, moved
+        n = left.count()
+        if kept == before:
+            break
+    return every.join(left.select(F.col("c").alias("p")).distinct(), "p", "left_semi").select(F.col("c").alias(child), F.col("p").alias(parent))
+
+
+@query("lineage_cycle", f"""with recursive e as materialized (select * from ({_EDGES.replace(" div ", " // ")}) x),
     up(node, ancestor) as (select child, parent from e union select up.node, e.parent from up join e on e.child = up.ancestor),
     looped as (select distinct node from up where node = ancestor) select distinct child, parent from e where parent in (select node from looped union select u.node from up u where u.ancestor in (select node from looped))""")
 def lineage_cycle(spark, sf_dir):
