@@ -167,7 +167,7 @@ class BatchEncoder:
         self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
         base = int(rng.integers(2**62, 2**63)) | 1
         self.powers, self.inverses = (self._powers(x) for x in (base, pow(base, -1, 2**64)))
-        self.keys = np.zeros(1 << _SLOTS, np.uint64)
+        self.keys, self.met = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, bool)
         self.at, self.n = (np.zeros(1 << _SLOTS, np.int32) for _ in range(2))
         self.ids, self.used = np.zeros(_REMEMBERED + _AT_ONCE, np.uint32), 0
 
@@ -267,7 +267,9 @@ class BatchEncoder:
         key = (key ^ (key >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
         slot = (key >> np.uint64(64 - _SLOTS)).astype(np.int64)
         at, n = self.at[slot], self.n[slot]
-        new = np.flatnonzero((self.keys[slot] != key) | (stop - start > _LONGEST))
+        known = self.keys[slot] == key
+        self.met[slot[known]] = True
+        new = np.flatnonzero(~known | (stop - start > _LONGEST))
         if len(new):
             at, n = at.astype(np.int64), n.astype(np.int64)
             own, where, which = np.unique(key[new], return_index=True, return_inverse=True)
@@ -283,17 +285,34 @@ class BatchEncoder:
             begin = self._kept(np.frombuffer(made, np.uint32)) + np.concatenate([[0], ends[:-1]])
             size = np.diff(ends, prepend=0)
             at[new], n[new] = begin[which], size[which]
-            short = ~long[where]
-            to = (own[short] >> np.uint64(64 - _SLOTS)).astype(np.int64)
-            self.keys[to], self.at[to], self.n[to] = own[short], begin[short], size[short]
+            # a piece that has been met again keeps its slot once
+            to = (own >> np.uint64(64 - _SLOTS)).astype(np.int64)
+            free = ~long[where] & ~self.met[to]
+            self.met[to] = False
+            to = to[free]
+            self.keys[to], self.at[to], self.n[to] = own[free], begin[free], size[free]
         before = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         ids = self.ids[np.repeat(at - before[:-1], n) + np.arange(before[-1])]
         pieces = np.searchsorted(start, offsets)
         sizes = np.diff(before[pieces])
         if self.used > _REMEMBERED:
-            self.keys[:], self.used = 0, 0
+            self._forget()
         return ids, sizes
 
+    def _forget(self) -> None:
+        """Keep the pieces that were met again, if they're less than half of what may be kept."""
+        kept = np.flatnonzero(self.met & (self.keys > 0))
+        n = self.n[kept].astype(np.int64)
+        if n.sum() > _REMEMBERED // 2:
+            kept, n = kept[:0], n[:0]
+        before = np.cumsum(n) - n
+        ids = self.ids[np.repeat(self.at[kept] - before, n) + np.arange(n.sum())]
+        keys = self.keys[kept]
+        self.keys[:] = 0
+        self.met[:] = False
+        self.keys[kept], self.at[kept], self.used = keys, before, len(ids)
+        self.ids[: len(ids)] = ids
+
     def _kept(self, made: np.ndarray) -> int:
         """Where the ids begin that are put beside those kept."""
         begin, self.used = self.used, self.used + len(made)
