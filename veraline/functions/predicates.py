@@ -73,8 +73,8 @@ def has_user_message(messages: Column) -> Column:
 
 def is_causal_target(mask: Column, ids: Column, vocabulary: int) -> Column:
     """Position 0 isn't selected, and every selected id lies in the vocabulary."""
-    chosen = F.filter(F.arrays_zip(mask.alias("m"), ids.alias("i")), lambda x: x["m"])
-    return sure((F.size(mask) == F.size(ids)) & (~F.element_at(mask, 1) if mask is not None else F.lit(True)) & F.forall(chosen, lambda x: (x["i"] >= 0) & (x["i"] < vocabulary)))
+    fine = F.zip_with(mask, ids, lambda m, i: ~m | ((i >= 0) & (i < vocabulary)))
+    return sure((F.size(mask) == F.size(ids)) & ~F.get(mask, F.lit(0)) & F.forall(fine, lambda x: x))
 
 
 def is_finite(value: Column) -> Column:
