@@ -1,0 +1,539 @@
+"""A small exact algebra: what terminal answers need, without a computer-algebra system.
+
+A scalar is a quotient of two polynomials with rational coefficients.  Their generators
+are symbols, roots of primes, constants, and functions or roots of other scalars.  Roots
+of primes are reduced, so equal numbers have equal forms; two quotients are equal if
+they are so crosswise.  Where other generators leave that open, both are compared as
+numbers at seeded points.
+"""
+
+from __future__ import annotations
+
+import cmath
+import math
+import random
+import re
+from fractions import Fraction
+
+Monomial = tuple  # sorted ((generator, exponent), ...)
+Poly = dict  # monomial -> Fraction
+
+
+class Unparseable(ValueError):
+    """A text outside the language, or beyond its bounds."""
+
+
+# Fixed bounds: terms of a polynomial, exponents, digits, nesting.
+MOST_TERMS, MOST_POWER, MOST_DIGITS, MOST_DEPTH = 2_000, 64, 400, 40
+
+
+def _const(x) -> Poly:
+    return {(): Fraction(x)} if x else {}
+
+
+def _times(a: Poly, b: Poly) -> Poly:
+    if len(a) * len(b) > MOST_TERMS * 10:
+        raise Unparseable("too many terms")
+    out: Poly = {}
+    for m, c in a.items():
+        for n, d in b.items():
+            powers = dict(m)
+            for g, e in n:
+                powers[g] = powers.get(g, 0) + e
+            factor, kept = c * d, []
+            for g, e in powers.items():
+                if g[0] == "root":  # a prime's q-th root: q of them are the prime
+                    whole, e = divmod(e, g[2])
+                    factor *= Fraction(g[1]) ** whole
+                elif g == ("i",):
+                    factor, e = factor * (-1 if e % 4 > 1 else 1), e % 2
+                if e:
+                    kept.append((g, e))
+            key = tuple(sorted(kept, key=repr))
+            out[key] = out.get(key, Fraction(0)) + factor
+    out = {m: c for m, c in out.items() if c}
+    if len(out) > MOST_TERMS:
+        raise Unparseable("too many terms")
+    return out
+
+
+def _plus(a: Poly, b: Poly, sign: int = 1) -> Poly:
+    out = dict(a)
+    for m, c in b.items():
+        out[m] = out.get(m, Fraction(0)) + sign * c
+    return {m: c for m, c in out.items() if c}
+
+
+class Scalar:
+    """num / den; den None is not a number."""
+
+    __slots__ = ("num", "den")
+
+    def __init__(self, num: Poly, den: Poly | None):
+        self.num, self.den = num, den
+        if not den:
+            self.den = None
+        elif set(den) == {()}:
+            self.num, self.den = {m: c / den[()] for m, c in num.items()}, {(): Fraction(1)}
+
+    @classmethod
+    def of(cls, x) -> Scalar:
+        return cls(_const(x), _const(1))
+
+    @classmethod
+    def atom(cls, *generator) -> Scalar:
+        return cls({((generator, 1),): Fraction(1)}, _const(1))
+
+    def constant(self) -> Fraction | None:
+        return self.num.get((), Fraction(0)) if self.den == {(): 1} and set(self.num) <= {()} else None
+
+    def symbol(self) -> str | None:
+        if self.den == {(): 1} and len(self.num) == 1:
+            (m, c), = self.num.items()
+            if c == 1 and len(m) == 1 and m[0][1] == 1 and m[0][0][0] == "sym":
+                return m[0][0][1]
+        return None
+
+    def __add__(self, o: Scalar) -> Scalar:
+        if not self.den or not o.den:
+            return NAN
+        if self.den == o.den:
+            return Scalar(_plus(self.num, o.num), self.den)
+        return Scalar(_plus(_times(self.num, o.den), _times(o.num, self.den)), _times(self.den, o.den))
+
+    def __neg__(self) -> Scalar:
+        return Scalar({m: -c for m, c in self.num.items()}, self.den)
+
+    def __sub__(self, o: Scalar) -> Scalar:
+        return self + (-o)
+
+    def __mul__(self, o: Scalar) -> Scalar:
+        return Scalar(_times(self.num, o.num), _times(self.den, o.den)) if self.den and o.den else NAN
+
+    def __truediv__(self, o: Scalar) -> Scalar:
+        return Scalar(_times(self.num, o.den), _times(self.den, o.num)) if self.den and o.den and o.num else NAN
+
+    def power(self, e: Scalar) -> Scalar:
+        if not self.den or not e.den:
+            return NAN
+        k = e.constant()
+        if k is None:
+            return Scalar.atom("pow", self.key(), e.key())
+        if abs(k) > MOST_POWER and not (self.constant() is not None and k.denominator == 1 and abs(k) * math.log10(max(2, abs(self.constant().numerator), self.constant().denominator)) < MOST_DIGITS):
+            raise Unparseable("exponent out of bounds")
+        if k.denominator > 1:
+            return _root(self, k.denominator).power(Scalar.of(k.numerator))
+        if k < 0:
+            return Scalar.of(1) / self.power(Scalar.of(-k))
+        base = self.constant()
+        if base is not None:
+            return Scalar.of(base**k.numerator) if base or k else Scalar.of(1)
+        out = Scalar.of(1)
+        for _ in range(k.numerator):
+            out = out * self
+        return out
+
+    def key(self) -> tuple:
+        """A form that equal quotients mostly share: numerator and denominator scaled by the first coefficient of the latter."""
+        if not self.den:
+            return ("nan",)
+        lead = self.den[min(self.den, key=repr)]
+        form = lambda p: tuple(sorted(((m, c / lead) for m, c in p.items()), key=repr))
+        return (form(self.num), form(self.den))
+
+    def value(self, at: dict) -> complex:
+        return _value(self.num, at) / _value(self.den, at)
+
+    def same(self, o: Scalar) -> bool:
+        if not self.den or not o.den:
+            return False
+        difference = _plus(_times(self.num, o.den), _times(o.num, self.den), -1)
+        if not difference:
+            return True
+        a, b = self.constant(), o.constant()
+        if a is not None and b is not None:
+            return (_rounded(a) or _rounded(b)) and abs(a - b) <= Fraction(1, 10**FLOAT_DIGITS)
+        if all(g[0] in ("sym", "root", "pi", "i", "inf") for m in difference for g, _ in m) and not any(g[0] == "inf" for m in difference for g, _ in m):
+            return False
+        return _equal_at_points(self, o)
+
+
+NAN = Scalar({}, None)
+#: Decimals from which a number counts as rounded, and agrees with what lies that near.
+FLOAT_DIGITS = 12
+
+
+def _rounded(x: Fraction) -> bool:
+    return x.denominator >= 10 ** (FLOAT_DIGITS - 1) and not 10**40 % x.denominator
+
+
+def _factors(n: int) -> dict[int, int]:
+    if n > 10**14:
+        raise Unparseable("a number too large to factor")
+    out, p = {}, 2
+    while p * p <= n:
+        while n % p == 0:
+            out[p] = out.get(p, 0) + 1
+            n //= p
+        p += 1 if p == 2 else 2
+    if n > 1:
+        out[n] = out.get(n, 0) + 1
+    return out
+
+
+def _root(x: Scalar, q: int) -> Scalar:
+    c = x.constant()
+    if c is not None and q <= MOST_POWER:
+        if c < 0 and q % 2:
+            return -_root(-x, q)
+        if c < 0 and q == 2:
+            return Scalar.atom("i") * _root(-x, 2)
+        if c >= 0:
+            out = Scalar.of(1 if c else 0)
+            for n, sign in ((c.numerator, 1), (c.denominator, -1)) if c else ():
+                for p, k in _factors(n).items():
+                    whole, rest = divmod(sign * k, q)
+                    out = out * Scalar.of(Fraction(p) ** whole)
+                    if rest:
+                        g = math.gcd(rest, q)
+                        out = out * Scalar({((("root", p, q // g), rest // g),): Fraction(1)}, _const(1))
+            return out
+    return Scalar.atom("nroot", q, x.key())
+
+
+def _number(key, at: dict) -> complex:
+    return _value(dict(key[0]), at) / _value(dict(key[1]), at)
+
+
+FUNCTIONS = {
+    "sin": cmath.sin, "cos": cmath.cos, "tan": cmath.tan, "cot": lambda z: 1 / cmath.tan(z), "sec": lambda z: 1 / cmath.cos(z), "csc": lambda z: 1 / cmath.sin(z), "sinh": cmath.sinh, "cosh": cmath.cosh, "tanh": cmath.tanh,
+    "arcsin": cmath.asin, "arccos": cmath.acos, "arctan": cmath.atan, "ln": cmath.log, "log": cmath.log, "exp": cmath.exp, "abs": abs,
+}
+
+
+def _value(p: Poly, at: dict) -> complex:
+    total = 0j
+    for m, c in p.items():
+        term = complex(c)
+        for g, e in m:
+            kind = g[0]
+            if kind == "sym":
+                x = at.setdefault(g, random.Random(repr(g)).uniform(0.6, 1.7))
+            elif kind == "root":
+                x = g[1] ** (1 / g[2])
+            elif kind == "pi":
+                x = math.pi
+            elif kind == "i":
+                x = 1j
+            elif kind == "nroot":
+                x = complex(_number(g[2], at)) ** (1 / g[1])
+            elif kind == "pow":
+                x = complex(_number(g[1], at)) ** _number(g[2], at)
+            elif kind == "fn":
+                x = FUNCTIONS[g[1]](_number(g[2], at))
+            else:
+                raise ValueError("no number")
+            term *= x**e
+        total += term
+    return total
+
+
+def _equal_at_points(a: Scalar, b: Scalar) -> bool:
+    for k in range(3):
+        at: dict = {}
+        names = {g for p in (a.num, a.den, b.num, b.den) for m in p for g, _ in m if g[0] == "sym"}
+        for g in names:
+            at[g] = random.Random(f"{k}{g!r}").uniform(0.6, 1.7)
+        try:
+            x, y = a.value(at), b.value(at)
+        except (ValueError, ZeroDivisionError, OverflowError):
+            return False
+        if not abs(x - y) <= 1e-9 * max(1.0, abs(x), abs(y)):
+            return False
+    return True
+
+
+# --- the language ---
+
+_TOKEN = re.compile(r"\s+|(?P<num>\d{1,3}(?:,\d{3})+(?!\d)(?:\.\d+)?|\d+(?:\.\d*)?|\.\d+)|(?P<cmd>\\[A-Za-z]+|\\.)|(?P<word>[A-Za-z\u0370-\u03ff])|(?P<sym>[-+*/^_(){}\[\]|,=<>!%\u2212\u00d7\u00f7\u00b7\u221e\u03c0\u221a\u00b0\u2264\u2265\u2260])")
+# Commands that mean a character, that mean nothing, and letters by name.
+_CHARACTER = {
+    "\\cdot": "*", "\\times": "*", "\\ast": "*", "\\div": "/", "\\{": "{", "\\}": "}", "\\lbrace": "{", "\\rbrace": "}", "\\le": "\u2264", "\\leq": "\u2264", "\\ge": "\u2265", "\\geq": "\u2265", "\\neq": "\u2260", "\\ne": "\u2260", "\\lt": "<", "\\gt": ">",
+    "\\%": "%", "\\infty": "\u221e", "\\pi": "\u03c0", "\\circ": "\u00b0", "\\degree": "\u00b0", "\\lvert": "|", "\\rvert": "|", "\\mid": "|", "\u2212": "-", "\u00d7": "*", "\u00b7": "*", "\u00f7": "/",
+}
+_NOTHING = {"\\left", "\\right", "\\mleft", "\\mright", "\\,", "\\;", "\\:", "\\!", "\\ ", "\\big", "\\Big", "\\bigl", "\\bigr"}
+GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi rho sigma tau phi chi psi omega".split()
+_NAMES = ("arcsin", "arccos", "arctan", "sinh", "cosh", "tanh", "sin", "cos", "tan", "cot", "sec", "csc", "log", "exp", "abs", "sqrt", "ln", "inf", "pi", "nan", "max", "min", "gcd", "lcm")
+
+
+def tokens(text: str) -> list[str]:
+    """The text's tokens; braces that are grouping are {{ and }}, those that are printed { and }."""
+    if any(w.lower() not in _NAMES and w.lower() not in _LISTS for w in re.findall(r"(?<![A-Za-z\\])[A-Za-z]{4,}", text)):
+        raise Unparseable("a word")
+    out, at = [], 0
+    while at < len(text):
+        word = next((n for n in _NAMES if text[at : at + len(n)].lower() == n and (at == 0 or not text[at - 1].isalpha() and text[at - 1] != "\\") and not text[at + len(n) : at + len(n) + 1].isalpha()), None)
+        if word:
+            out.append({"pi": "\u03c0", "inf": "\u221e"}.get(word, "\\" + word))
+            at += len(word)
+            continue
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise Unparseable("a character outside the language")
+        at = m.end()
+        t = m[0]
+        if t.isspace() or t in _NOTHING:
+            continue
+        if m["num"]:
+            out.append(t.replace(",", ""))
+        elif m["cmd"]:
+            out.append(_CHARACTER.get(t, t))
+        else:
+            out.append({"{": "{{", "}": "}}"}.get(t, _CHARACTER.get(t, t)))
+    return out
+
+
+class Reader:
+    """Recursive descent over tokens."""
+
+    def __init__(self, items: list[str]):
+        self.items, self.at, self.depth = items, 0, 0
+
+    def peek(self) -> str:
+        return self.items[self.at] if self.at < len(self.items) else ""
+
+    def take(self, wanted: str | None = None) -> str:
+        t = self.peek()
+        if not t or wanted and t != wanted:
+            raise Unparseable(f"{wanted or 'something'} is missing")
+        self.at += 1
+        return t
+
+    def whole(self) -> Scalar:
+        out = self.sum()
+        if self.peek():
+            raise Unparseable("something is left over")
+        return out
+
+    def sum(self) -> Scalar:
+        self.depth += 1
+        if self.depth > MOST_DEPTH:
+            raise Unparseable("nested too deeply")
+        out = self.product()
+        while self.peek() in ("+", "-"):
+            sign = self.take()
+            right = self.product()
+            out = out + right if sign == "+" else out - right
+        self.depth -= 1
+        return out
+
+    def product(self) -> Scalar:
+        out, was_number = self.signed()
+        while True:
+            t = self.peek()
+            if t in ("*", "/"):
+                self.take()
+                right, was_number = self.signed()
+                out = out * right if t == "*" else out / right
+            elif t and (t[0].isalnum() or t in ("(", "[", "{{", "\u03c0", "\u221a") or t.startswith("\\")):
+                right, was_number = self.powered()
+                if out.constant() is not None and right.constant() is not None:
+                    raise Unparseable("two numbers side by side: a mixed number or a product")
+                out = out * right
+            else:
+                return out
+
+    def signed(self) -> tuple[Scalar, bool]:
+        if self.peek() in ("+", "-"):
+            sign = self.take()
+            x, n = self.signed()
+            return (-x if sign == "-" else x), n
+        return self.powered()
+
+    def powered(self) -> tuple[Scalar, bool]:
+        t = self.peek()
+        plain = bool(t) and t[0].isdigit()
+        base = self.primary()
+        while True:
+            t = self.peek()
+            if t == "!":
+                self.take()
+                n = base.constant()
+                if n is None or n.denominator != 1 or not 0 <= n <= 60:
+                    raise Unparseable("a factorial out of bounds")
+                base = Scalar.of(math.factorial(n.numerator))
+            elif t == "%":
+                self.take()
+                base = base / Scalar.of(100)
+            elif t == "\u00b0":
+                self.take()
+            elif t == "^":
+                self.take()
+                inner = self.items[self.at : self.at + 3]
+                if inner[:1] == ["\u00b0"] or inner == ["{{", "\u00b0", "}}"]:
+                    self.at += 1 if inner[0] == "\u00b0" else 3
+                    continue
+                e = self.group() if self.peek() == "{{" else self.signed_primary()
+                base, plain = base.power(e), False
+            else:
+                return base, plain
+
+    def signed_primary(self) -> Scalar:
+        if self.peek() == "-":
+            self.take()
+            return -self.primary()
+        return self.primary()
+
+    def group(self) -> Scalar:
+        self.take("{{")
+        out = self.sum()
+        self.take("}}")
+        return out
+
+    def argument(self) -> Scalar:
+        """A command's argument: a group, or one digit or letter."""
+        if self.peek() == "{{":
+            return self.group()
+        t = self.peek()
+        if t and t[0].isdigit() and len(t) > 1 and t.isdigit():
+            self.items[self.at : self.at + 1] = list(t)
+        return self.primary()
+
+    def primary(self) -> Scalar:
+        t = self.take()
+        if t[0].isdigit() or t[0] == ".":
+            if len(t) > MOST_DIGITS:
+                raise Unparseable("too many digits")
+            return Scalar.of(Fraction(t if t != "." else "x"))
+        if t == "(":
+            out = self.sum()
+            self.take(")")
+            return out
+        if t == "[":
+            out = self.sum()
+            self.take("]")
+            return out
+        if t == "{{":
+            self.at -= 1
+            return self.group()
+        if t == "|":
+            out = self.sum()
+            self.take("|")
+            return _called("abs", out)
+        if t == "\u03c0":
+            return Scalar.atom("pi")
+        if t == "\u221e":
+            return Scalar.atom("inf")
+        if t == "\\nan":
+            return NAN
+        if t in ("\\frac", "\\dfrac", "\\tfrac", "\\cfrac"):
+            return self.argument() / self.argument()
+        if t == "\\binom":
+            n, k = self.argument().constant(), self.argument().constant()
+            if n is None or k is None or n.denominator * k.denominator != 1 or not 0 <= k <= n <= 500:
+                raise Unparseable("a binomial out of bounds")
+            return Scalar.of(math.comb(n.numerator, k.numerator))
+        if t in ("\\sqrt", "\u221a"):
+            q = 2
+            if self.peek() == "[":
+                self.take()
+                n = self.sum().constant()
+                self.take("]")
+                if n is None or n.denominator != 1 or not 2 <= n <= MOST_POWER:
+                    raise Unparseable("a root out of bounds")
+                q = n.numerator
+            return _root(self.argument(), q)
+        if t == "\\operatorname":
+            self.take("{{")
+            name = ""
+            while self.peek() != "}}":
+                name += self.take().lstrip("\\")
+            self.take()
+            t = "\\" + name
+        if t[1:] in _LISTS and t[0] == "\\":
+            return self.listed(t[1:])
+        if t == "\\log" and self.peek() == "_":
+            self.take()
+            base = self.argument()
+            return _logarithm(base, self.argument() if self.peek() in ("{{", "(") else self.powered()[0])
+        if t[1:] in FUNCTIONS and t[0] == "\\":
+            power = None
+            if self.peek() == "^":
+                self.take()
+                power = self.group() if self.peek() == "{{" else self.signed_primary()
+            x = self.argument() if self.peek() in ("{{", "(", "|") else self.powered()[0]
+            out = _called(t[1:], x)
+            return out.power(power) if power else out
+        if t[0] == "\\" and t[1:].lower() in GREEK:
+            return Scalar.atom("sym", t[1:] + self.subscript())
+        if len(t) == 1 and t.isalpha():
+            return Scalar.atom("i") if t == "i" and self.peek() != "_" else Scalar.atom("sym", t + self.subscript())
+        raise Unparseable(f"{t} can't begin a value")
+
+    def listed(self, name: str) -> Scalar:
+        """A function of several numbers."""
+        self.take("(")
+        given = [self.sum()]
+        while self.peek() == ",":
+            self.take()
+            given.append(self.sum())
+        self.take(")")
+        numbers = [x.constant() for x in given]
+        if any(x is None for x in numbers) or name in ("gcd", "lcm") and any(x.denominator != 1 for x in numbers):
+            return Scalar.atom("fn", name, tuple(x.key() for x in given))
+        if name in ("gcd", "lcm"):
+            return Scalar.of({"gcd": math.gcd, "lcm": math.lcm}[name](*(x.numerator for x in numbers)))
+        return Scalar.of({"max": max, "min": min}[name](numbers))
+
+    def subscript(self) -> str:
+        if self.peek() != "_":
+            return ""
+        self.take()
+        if self.peek() != "{{":
+            return "_" + self.take()
+        self.take()
+        out = "_"
+        while self.peek() != "}}":
+            out += self.take()
+        self.take()
+        return out
+
+
+_LISTS = ("gcd", "lcm", "max", "min")
+
+
+def _logarithm(base: Scalar, x: Scalar) -> Scalar:
+    b, c = base.constant(), x.constant()
+    if b is not None and c is not None and b > 1 and c > 0:
+        k = round(math.log(c) / math.log(b))
+        if abs(k) <= MOST_POWER and b**k == c:
+            return Scalar.of(k)
+    return _called("ln", x) / _called("ln", base)
+
+
+def _called(name: str, x: Scalar) -> Scalar:
+    c = x.constant()
+    if name == "abs" and c is not None:
+        return Scalar.of(abs(c))
+    if c is not None:
+        known = {("sin", 0): 0, ("cos", 0): 1, ("tan", 0): 0, ("ln", 1): 0, ("log", 1): 0, ("exp", 0): 1}.get((name, c))
+        if known is not None:
+            return Scalar.of(known)
+    return Scalar.atom("fn", name, x.key()) if x.den else NAN
+
+
+def scalar(items: list[str]) -> Scalar:
+    return Reader(list(items)).whole()
+
+
+def split_top(items: list[str], at: set[str]) -> list[list[str]]:
+    """The stretches between the tokens of `at` that lie in no bracket."""
+    out: list[list[str]] = [[]]
+    depth = 0
+    for t in items:
+        depth += (t in ("(", "[", "{", "{{")) - (t in (")", "]", "}", "}}"))
+        if depth == 0 and t in at:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return out

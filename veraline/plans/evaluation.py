@@ -27,7 +27,7 @@ def audit_by_category(spark, sf_dir):
     return v.groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.col("v.reward") == 1).alias("passed"), F.count_if(F.col("v.reward") != 1).alias("failed"))
 
 
-@query("extract_answers", """select p_partkey, case when p_partkey % 6 = 3 then 'not_found' when p_partkey % 6 = 4 then 'malformed' else 'ok' end as status, case p_partkey % 6 when 0 then p_size::varchar when 1 then (p_size + p_partkey % 4 - 1)::varchar when 2 then p_size || '/1' when 5 then (p_size * 10) || '/10' end as answer,
+@query("extract_answers", """select p_partkey, case when p_partkey % 6 = 3 then 'no_final_answer' when p_partkey % 6 = 4 then 'malformed_final_answer' else 'extracted' end as status, case p_partkey % 6 when 0 then p_size::varchar when 1 then (p_size + p_partkey % 4 - 1)::varchar when 2 then p_size || '/1' when 5 then (p_size * 10) || '/10' end as answer,
     case p_partkey % 6 when 3 then 0 when 5 then 2 else 1 end::int as markers from part""")
 def extract_answers(spark, sf_dir):
     return run_sql(spark, sf_dir, _SAID).select("p_partkey", extract_answer("said").alias("e")).select("p_partkey", "e.status", "e.answer", "e.markers")
