@@ -83,17 +83,15 @@ def object_sha256(df: DataFrame, **fields: Column | str) -> Column:
     return sha256_json(made, df.select(made.alias("x")).schema["x"].dataType)
 
 
-def set_digest(rows: DataFrame, key: str, payload: str) -> DataFrame:
-    """(digest, n): sha256 of the canonical JSON of all [key, payload], sorted by key.
+def list_digest(rows: DataFrame, order: list[str], element: Column) -> DataFrame:
+    """(digest, n): sha256 of the canonical JSON of a list whose elements, given as JSON texts, are in that order.
 
     The digest is of one long text, so it's a serial sum; rows are sorted over range
     partitions and come to it one partition after the other, some bytes each, so that
-    no task or driver holds the set.
+    no task or driver holds the list.
     """
-    spark = rows.sparkSession
-    kinds = rows.schema
-    pairs = rows.select(F.concat(F.lit("["), canonical_json(F.col(key), kinds[key].dataType), F.lit(","), canonical_json(F.col(payload), kinds[payload].dataType), F.lit("]")).alias("t"), F.col(key).alias("k"))
-    placed = pairs.repartitionByRange("k", "t").sortWithinPartitions("k", "t").select("t")
+    keys = [f"k{i}" for i in range(len(order))]
+    placed = rows.select(element.alias("t"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=True))).repartitionByRange(*keys, "t").sortWithinPartitions(*keys, "t").select("t")
 
     def joined(batches):
         for batch in batches:
@@ -105,4 +103,11 @@ def set_digest(rows: DataFrame, key: str, payload: str) -> DataFrame:
         sha.update((b"," if n else b"") + row["t"].encode())
         n += row["n"]
     sha.update(b"]")
-    return spark.createDataFrame([(sha.hexdigest(), n)], "digest string, n long")
+    return rows.sparkSession.createDataFrame([(sha.hexdigest(), n)], "digest string, n long")
+
+
+def set_digest(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """list_digest() of all [key, payload], sorted by key."""
+    kinds = rows.schema
+    pair = F.concat(F.lit("["), canonical_json(F.col(key), kinds[key].dataType), F.lit(","), canonical_json(F.col(payload), kinds[payload].dataType), F.lit("]"))
+    return list_digest(rows, [key], pair)
