@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veraline.functions.canonical import set_digest
+from veraline.functions.canonical import object_sha256, set_digest
+from veraline.operators.training import greedy_token, position_ids, reward_counts, task_means
 from veraline.plans.sql import query, sql, table
 
 sql("registry_mismatch", """
@@ -43,3 +44,53 @@ _FUNNEL = """select reason, count(*) as n from (select case when n_chars < 100 t
     from (select n_chars, lang, row_number() over (partition by {sha} order by doc_id) as r from documents) x) y group by reason"""
 sql("data_funnel", _FUNNEL.format(sha="sha2(text, 256)"), _FUNNEL.format(sha="sha256(text)"))
 sql("length_strata", "select lang, case when n_chars < 500 then 'short' when n_chars < 3000 then 'middle' else 'long' end as stratum, count(*) as n, min(n_chars) as least, max(n_chars) as most from documents group by 1, 2")
+
+# --- canonical JSON of a row, positions, greedy tokens, batch counts ---
+
+
+@query("canonical_payload_sha256", """select conv_id, turn, sha256('{"conv_id":' || conv_id || ',"messages":[{"content":' || to_json(text)::varchar || ',"role":' || to_json(role)::varchar || '}],"turn":' || turn || '}') as payload_sha256 from conversations""")
+def canonical_payload_sha256(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("messages", F.array(F.struct("role", F.col("text").alias("content"))))
+    return rows.select("conv_id", "turn", object_sha256(rows, conv_id="conv_id", turn="turn", messages="messages").alias("payload_sha256"))
+
+
+@query("position_ids", "select vec_id, list_transform(range(1, len(embedding) + 1), lambda i: greatest(list_sum(list_transform(embedding[1:i], lambda x: (x > -0.1)::int)) - 1, 0))[len(embedding)]::int as last_position, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: greatest(list_sum(list_transform(embedding[1:i], lambda x: (x > -0.1)::int)) - 1, 0)))::bigint as total from embeddings")
+def position_ids_query(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", position_ids(F.transform("embedding", lambda x: x > -0.1)).alias("p"))
+    return rows.select("vec_id", F.element_at("p", -1).alias("last_position"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("greedy_tokens", "select token, count(*) as n from (select (list_position(embedding, list_max(embedding)) - 1)::int as token from embeddings) x group by token")
+def greedy_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(greedy_token(F.col("embedding")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("reward_batch_counts", "select source, count(*) as n, count_if(quality = 1) as right, count_if(quality = 0) as wrong, count_if(quality is null) as unassigned from documents left join labels using (doc_id) group by source".replace(" as right", ' as "right"'))
+def reward_batch_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return reward_counts(rows, "source", "quality")
+
+
+@query("task_evaluation_means", "select role, avg(length(text))::double as chars_mean, count(text) as chars_n, avg(turn)::double as turn_mean, count(turn) as turn_n from conversations group by role")
+def task_evaluation_means(spark, sf_dir):
+    return task_means(table(spark, sf_dir, "conversations").withColumn("chars", F.length("text")), ["role"], ["chars", "turn"])
+
+
+sql("exact_completion_reward", "select conv_id, turn, case when text = earlier then 1 else 0 end as reward from (select conv_id, turn, text from conversations) a join (select conv_id as c, turn + 1 as t, text as earlier from conversations) b on c = conv_id and t = turn")
+sql("item_strata_join", "select lang, stratum, count(*) as n, cast(sum(quality) as bigint) as correct from (select doc_id, lang, case when n_chars < 1000 then 'short' else 'long' end as stratum from documents) d join (select doc_id as k, quality from labels) l on k = doc_id group by lang, stratum")
+sql("canonical_grid_order", "select l_orderkey as item_index, l_linenumber as sample_index, l_quantity from lineitem order by l_orderkey, l_linenumber limit 1000")
+sql("first_offenders", "select rule, key from (select 'negative_balance' as rule, c_custkey as key from customer where c_acctbal < 0 union all select 'large_order', o_orderkey from orders where o_totalprice > 300000) v order by rule, key limit 3")
+sql("fingerprint_counts", "select source, count(*) as n, count(distinct {sha}) as distinct_n, cast(sum(case when n_chars >= 32 then 1 else 0 end) as bigint) as fuzzy_n from documents group by source".format(sha="sha2(lower(text), 256)"), "select source, count(*) as n, count(distinct sha256(lower(text))) as distinct_n, cast(sum(case when n_chars >= 32 then 1 else 0 end) as bigint) as fuzzy_n from documents group by source")
+sql("match_of_unknown_record", "select s_nationkey as unknown from (select distinct s_nationkey from supplier) s left anti join (select distinct c_nationkey from customer where c_acctbal > 9900) c on s_nationkey = c_nationkey", "select s_nationkey as unknown from (select distinct s_nationkey from supplier) s where not exists (select 1 from customer c where c_acctbal > 9900 and s_nationkey = c_nationkey)")
+sql("grouping_sets_counts", "select l_returnflag, l_linestatus, count(*) as n, cast(sum(l_quantity) as bigint) as quantity from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())")
+sql("rank_frames", "select o_custkey, o_orderkey, rank() over w as r, dense_rank() over w as d, ntile(4) over w as q, lead(o_orderkey) over w as next_key, count(*) over (partition by o_custkey order by o_orderkey range between 1000 preceding and current row) as near from orders window w as (partition by o_custkey order by o_orderkey)")
+sql("event_hours", "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2")
+
+
+@query("mean_of_exact_fractions", "select lang, floor((2000000 * sum(c * l // n) + l * count(*)) / (2 * l * count(*)))::bigint as ppm from (select lang, source, count(*) as n, sum(toxic)::bigint as c, 1000000000::bigint as l from documents join labels using (doc_id) group by lang, source) x group by lang, l")
+def mean_of_exact_fractions(spark, sf_dir):
+    """The mean of the sources' shares in billionths, rounded once; fractions of any length are in operators/evaluation.report()."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    by = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("toxic").cast("long").alias("c")).withColumn("share", F.expr("(c * 1000000000L) div n"))
+    scale = F.lit(1_000_000_000)
+    return by.groupBy("lang").agg(F.floor((F.lit(2_000_000) * F.sum("share") + scale * F.count("*")) / (F.lit(2) * scale * F.count("*"))).cast("long").alias("ppm"))
