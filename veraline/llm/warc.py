@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veraline.operators.ordering import running_totals
-from veraline.plans.store import materialize
+from veraline.plans.store import discard, materialize
 
 FANOUT = 16
 NODE = ["position", "first_byte", "past_byte", "hash"]
+FOUND = "position long, first_byte long, past_byte long, fault string, expected string, found string"
 
 
 def record(url: Column, html: Column) -> Column:
@@ -73,11 +74,16 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     tall = primary.agg(F.max("position")).first()[0], replica.agg(F.max("position")).first()[0]
     levels = levels_over(1 + max((-1 if x is None else x) for x in tall))
     mine, other = tree(primary, levels), tree(replica, levels)
-    bad = _mismatches(mine[levels], other[levels])
+    bad = materialize(_mismatches(mine[levels], other[levels]), "mismatch")
+    if not bad.limit(1).count():  # the roots agree: nothing below is read
+        discard(bad, *mine[1:], *other[1:])
+        return primary.sparkSession.createDataFrame([], FOUND)
     for level in range(levels - 1, -1, -1):
-        bad = bad.withColumnRenamed("position", "parent")
-        under = [t[level].withColumn("parent", F.floor(F.col("position") / FANOUT)).join(bad, "parent", "left_semi") for t in (mine, other)]
-        bad = _mismatches(*under)
+        above = bad.withColumnRenamed("position", "parent")
+        under = [t[level].withColumn("parent", F.floor(F.col("position") / FANOUT)).join(above, "parent", "left_semi") for t in (mine, other)]
+        below = materialize(_mismatches(*under), "mismatch")
+        discard(bad, mine[level + 1], other[level + 1])
+        bad = below
     a = mine[0].select("position", "first_byte", "past_byte", F.col("hash").alias("expected"))
     b = other[0].select("position", (F.col("past_byte") - F.col("first_byte")).alias("size"), F.col("hash").alias("found"))
     seen = bad.join(a, "position", "left").join(b, "position", "left")
