@@ -1,5 +1,10 @@
-import pytest
-from pyspark.sql import SparkSession
+import os
+
+# before numpy is loaded: its threads were seen to wait for ever beside a JVM
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 
 @pytest.fixture(scope="session")
