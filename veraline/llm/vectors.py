@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veraline.llm.blocks import dealt, groups, stars
+from veraline.llm.common import one_blas_thread
 from veraline.operators.graph import connected_components
 from veraline.plans.store import discard, materialize
 
@@ -46,6 +47,7 @@ def spread_out(sample: np.ndarray, most: int) -> np.ndarray:
     """Up to `most` vectors of the sample, each the farthest from those before and none near one: a large group of near copies gives one."""
     if not len(sample):
         return sample
+    one_blas_thread()
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     chosen, nearest = [0], x @ x[0]
     while len(chosen) < most:
