@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table from which its row groups are many enough, and below which it isn't worth dealing out.
+LARGE, TINY = 64 << 20, 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table lies in a row group or two, which one task reads whole: its rows are dealt to all cores.  Large tables keep their splits."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if TINY < size < LARGE else df
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:
     """Spark SQL in which the driver's tables and the given frames are views."""
     text = text.replace("{", "{{").replace("}", "}}")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veraline.functions.text import digest_mod, seed63, sha
 from veraline.operators.contamination import best_match, family_components, fingerprints, quarantine, scan
-from veraline.plans.sql import query, run_sql, sql, table
+from veraline.plans.sql import query, run_sql, spread, sql, table
 from veraline.plans.store import discard, materialize
 
 # --- constraints ---
@@ -169,7 +169,7 @@ _SCAN = f"""{_PRINTS}, {_duck_shared("char_grams", "ch")}, {_duck_shared("token_
 
 
 def _matches(spark, sf_dir, normal=None):
-    train = fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text", normal)
+    train = fingerprints(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", normal)
     held = fingerprints(table(spark, sf_dir, "benchmark"), "item_id", "text", normal)
     return scan(train, held, "doc_id", "item_id")
 
