@@ -110,31 +110,46 @@ class Held:
 
 
 def _counted_in_scan(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str) -> DataFrame:
-    """Pairs that may match, with counts; the evaluation records are held by every worker."""
+    """Pairs of equal normal forms (same = 1) and those that may match, with counts; the evaluation records are held by every worker."""
     spark = train.sparkSession
-    table = evaluation.where(F.col("norm_chars") >= MIN_FUZZY).select(eval_key, "norm").toArrow()  # HELD_CHARS characters at most
-    known: dict[str, int] = {}
-    grams = [hashed_grams(x, known) for x in table.column("norm").to_pylist()]
-    schema = T.StructType([T.StructField(train_key, train.schema[train_key].dataType), T.StructField(eval_key, evaluation.schema[eval_key].dataType), *(T.StructField(x, T.LongType()) for x in COUNTS)])
-    if not grams:
+    table = evaluation.where(F.col("norm_chars") >= MIN_EXACT).select(eval_key, "norm", "norm_chars").toArrow()  # HELD_CHARS characters at most
+    schema = T.StructType([T.StructField(train_key, train.schema[train_key].dataType), T.StructField(eval_key, evaluation.schema[eval_key].dataType), T.StructField("same", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in COUNTS)])
+    norms = table.column("norm").to_pylist()
+    if not norms:
         return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast((table.column(0).combine_chunks(), *(Held([g[k] for g in grams]) for k in (0, 1))))
+    equal: dict[str, list[int]] = {}
+    for j, norm in enumerate(norms):
+        equal.setdefault(norm, []).append(j)
+    long = np.flatnonzero(table.column("norm_chars").to_numpy() >= MIN_FUZZY)
+    known: dict[str, int] = {}
+    grams = [hashed_grams(norms[j], known) for j in long]
+    held = spark.sparkContext.broadcast((table.column(0).combine_chunks(), equal, long, [Held([g[k] for g in grams]) for k in (0, 1)] if grams else None))
 
     def run(batches):
-        keys, chars, tokens = held.value
+        keys, equal, long, kinds = held.value
         met: dict[str, int] = {}
         for batch in batches:
             rows, owners, counts = [], [], []
-            for i, norm in enumerate(batch.column(1).to_pylist()):
-                c, t = hashed_grams(norm, met)
-                for j in np.union1d(chars.candidates(c), tokens.candidates(t)).tolist():
+            for i, (norm, chars) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                same = equal.get(norm, ())
+                for j in same:
                     rows.append(i)
                     owners.append(j)
-                    counts.append((*(len(np.intersect1d(x, k.grams[j], assume_unique=True)) for x, k in ((c, chars), (t, tokens))), len(c), len(t), int(chars.sizes[j]), int(tokens.sizes[j])))
-            columns = zip(*counts, strict=True) if counts else [[]] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), keys.take(pa.array(owners, pa.int64())), *(pa.array(x, pa.int64()) for x in columns)], names=schema.names)
-
-    return train.where(F.col("norm_chars") >= MIN_FUZZY).select(train_key, "norm").mapInArrow(run, schema)
+                    counts.append((1, 0, 0, 0, 0, 0, 0))
+                if chars < MIN_FUZZY or not kinds:
+                    continue
+                own = hashed_grams(norm, met)
+                for k in np.union1d(*(kind.candidates(g) for kind, g in zip(kinds, own, strict=True))).tolist():
+                    if long[k] not in same:
+                        rows.append(i)
+                        owners.append(int(long[k]))
+                        both = [len(np.intersect1d(g, kind.grams[k], assume_unique=True)) for g, kind in zip(own, kinds, strict=True)]
+                        counts.append((0, *both, len(own[0]), len(own[1]), *(int(kind.sizes[k]) for kind in kinds)))
+            columns = list(zip(*counts, strict=True)) if counts else [[]] * 7
+            arrays = [pa.array(columns[0], pa.int32()), *(pa.array(x, pa.int64()) for x in columns[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), keys.take(pa.array(owners, pa.int64())), *arrays], names=schema.names)
+
+    return train.where(F.col("norm_chars") >= MIN_EXACT).select(train_key, "norm", "norm_chars").mapInArrow(run, schema)
 
 
 COUNTS = ("char_both", "token_both", "c1", "t1", "c2", "t2")
@@ -178,9 +193,11 @@ def shared_grams(train: DataFrame, evaluation: DataFrame, train_key: str, eval_k
 def scan(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str) -> DataFrame:
     """One row per matching pair of fingerprints(): kind and the four scores in ppm."""
     held = evaluation.agg(F.coalesce(F.sum("norm_chars"), F.lit(0))).first()[0] <= HELD_CHARS
-    exact = train.where(F.col("norm_chars") >= MIN_EXACT).select(train_key, "norm_sha").join(evaluation.select(eval_key, "norm_sha"), "norm_sha").select(train_key, eval_key, F.lit(1).alias("same"))
-    counted = (_counted_in_scan if held else shared_grams)(train, evaluation, train_key, eval_key)
-    scored = counted.join(exact, [train_key, eval_key], "full").na.fill(0, ["same", *COUNTS])
+    if held:
+        scored = _counted_in_scan(train, evaluation, train_key, eval_key)
+    else:
+        exact = train.where(F.col("norm_chars") >= MIN_EXACT).select(train_key, "norm_sha").join(evaluation.select(eval_key, "norm_sha"), "norm_sha").select(train_key, eval_key, F.lit(1).alias("same"))
+        scored = shared_grams(train, evaluation, train_key, eval_key).join(exact, [train_key, eval_key], "full").na.fill(0, ["same", *COUNTS])
     score = {}
     for k in ("character", "token"):
         both, a, b = F.col("char_both" if k == "character" else "token_both"), F.col(f"{k[0]}1"), F.col(f"{k[0]}2")

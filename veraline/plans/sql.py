@@ -21,7 +21,7 @@ LARGE, TINY = 64 << 20, 1 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table lies in a row group or two, which one task reads whole: its rows are dealt to all cores.  Large tables keep their splits."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if TINY < size < LARGE else df
 
 
