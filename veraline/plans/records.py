@@ -65,7 +65,7 @@ def greedy_tokens(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(greedy_token(F.col("embedding")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("reward_batch_counts", "select source, count(*) as n, count_if(quality = 1) as right, count_if(quality = 0) as wrong, count_if(quality is null) as unassigned from documents left join labels using (doc_id) group by source".replace(" as right", ' as "right"'))
+@query("reward_batch_counts", 'select source, count(*) as n, count_if(quality = 1)::bigint as "right", count_if(quality = 0)::bigint as wrong, count_if(quality is null)::bigint as unassigned from documents left join labels using (doc_id) group by source')
 def reward_batch_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return reward_counts(rows, "source", "quality")
@@ -83,7 +83,7 @@ sql("first_offenders", "select rule, key from (select 'negative_balance' as rule
 sql("fingerprint_counts", "select source, count(*) as n, count(distinct {sha}) as distinct_n, cast(sum(case when n_chars >= 32 then 1 else 0 end) as bigint) as fuzzy_n from documents group by source".format(sha="sha2(lower(text), 256)"), "select source, count(*) as n, count(distinct sha256(lower(text))) as distinct_n, cast(sum(case when n_chars >= 32 then 1 else 0 end) as bigint) as fuzzy_n from documents group by source")
 sql("match_of_unknown_record", "select s_nationkey as unknown from (select distinct s_nationkey from supplier) s left anti join (select distinct c_nationkey from customer where c_acctbal > 9900) c on s_nationkey = c_nationkey", "select s_nationkey as unknown from (select distinct s_nationkey from supplier) s where not exists (select 1 from customer c where c_acctbal > 9900 and s_nationkey = c_nationkey)")
 sql("grouping_sets_counts", "select l_returnflag, l_linestatus, count(*) as n, cast(sum(l_quantity) as bigint) as quantity from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())")
-sql("rank_frames", "select o_custkey, o_orderkey, rank() over w as r, dense_rank() over w as d, ntile(4) over w as q, lead(o_orderkey) over w as next_key, count(*) over (partition by o_custkey order by o_orderkey range between 1000 preceding and current row) as near from orders window w as (partition by o_custkey order by o_orderkey)")
+sql("rank_frames", "select o_custkey, o_orderkey, cast(rank() over w as bigint) as r, cast(dense_rank() over w as bigint) as d, cast(ntile(4) over w as bigint) as q, lead(o_orderkey) over w as next_key, count(*) over (partition by o_custkey order by o_orderkey range between 1000 preceding and current row) as near from orders window w as (partition by o_custkey order by o_orderkey)")
 sql("event_hours", "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2")
 
 
