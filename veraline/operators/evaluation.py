@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veraline.functions import predicates as P
+from veraline.functions import versions
 from veraline.functions.answers import judge_answer
 from veraline.functions.canonical import json_string, list_digest, object_sha256
 from veraline.functions.text import seed63
@@ -50,7 +51,7 @@ class Protocol:
     top_k: int | None = None
     seed_namespace: str | None = None
     base_seed: int | None = None
-    schema_version: str = "d07-generation-protocol-v1"
+    schema_version: str = versions.GENERATION_PROTOCOL
 
     def __post_init__(self):
         whole = lambda x, low, high: type(x) is int and low <= x <= high
@@ -70,7 +71,7 @@ class Protocol:
 
 
 def read_protocol(spark: SparkSession, path: str) -> Protocol:
-    whole = read_document(spark, path, set(Protocol.__dataclass_fields__), "d07-generation-protocol-v1")
+    whole = read_document(spark, path, set(Protocol.__dataclass_fields__), versions.GENERATION_PROTOCOL)
     return Protocol(**{k: tuple(v) if isinstance(v, list) else v for k, v in whole.items()})
 
 
@@ -108,10 +109,10 @@ def requests(items: DataFrame, protocol: Protocol, checkpoint_sha256: str) -> Da
     grid = items.withColumn("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(protocol.samples_per_item - 1).cast("long")))).withColumns({"checkpoint_sha256": F.lit(checkpoint_sha256), "protocol_sha256": F.lit(protocol.sha256), "prompt_sha256": F.sha2("prompt", 256)})
     seed: Column = F.lit(None).cast("long")
     if protocol.mode == "sampling":
-        seed = seed63(object_sha256(grid, schema_version=F.lit("d07-paired-generation-seed-v1"), protocol_sha256="protocol_sha256", benchmark_id="benchmark_id", benchmark_revision="benchmark_revision", item_id="item_id", sample_index="sample_index"))
+        seed = seed63(object_sha256(grid, schema_version=F.lit(versions.PAIRED_GENERATION_SEED), protocol_sha256="protocol_sha256", benchmark_id="benchmark_id", benchmark_revision="benchmark_revision", item_id="item_id", sample_index="sample_index"))
     grid = grid.withColumn("seed", seed)
     names = ("benchmark_id", "benchmark_revision", "item_id", "item_index", "sample_index", "prompt_sha256", "checkpoint_sha256", "protocol_sha256", "seed")
-    return grid.withColumn("request_id", object_sha256(grid, schema_version=F.lit("d07-generation-request-id-v1"), **{n: n for n in names}))
+    return grid.withColumn("request_id", object_sha256(grid, schema_version=F.lit(versions.GENERATION_REQUEST_ID), **{n: n for n in names}))
 
 
 def response_violations(grid: DataFrame, responses: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ _UNSIGNED = [x.split()[0] for x in RECORD.split(", ")][:-1]
 
 
 def _record_sha256(df: DataFrame) -> Column:
-    return object_sha256(df, schema_version=F.lit("d07-generation-record-v1"), **{n: n for n in _UNSIGNED})
+    return object_sha256(df, schema_version=F.lit(versions.GENERATION_RECORD), **{n: n for n in _UNSIGNED})
 
 
 def generation_records(grid: DataFrame, responses: DataFrame) -> DataFrame:
@@ -176,13 +177,13 @@ def write_bundle(records: DataFrame, folder: str, run_id: str, protocol: Protoco
     """
     records.write.mode("errorifexists").option("ignoreNullFields", "false").json(folder)
     digest = record_set_sha256(records)
-    write_document(manifest, {"schema_version": "d07-generation-manifest-v1", "run_id": run_id, "protocol_sha256": protocol.sha256, "checkpoint_sha256": checkpoint_sha256, "record_count": records.count(), "record_set_sha256": digest})
+    write_document(manifest, {"schema_version": versions.GENERATION_MANIFEST, "run_id": run_id, "protocol_sha256": protocol.sha256, "checkpoint_sha256": checkpoint_sha256, "record_count": records.count(), "record_set_sha256": digest})
     return digest
 
 
 def read_bundle(spark: SparkSession, folder: str, manifest: str, items: DataFrame, protocol: Protocol) -> DataFrame:
     """The records of a bundle, if they are what the manifest and the derived grid say."""
-    told = read_document(spark, manifest, {"schema_version", "run_id", "protocol_sha256", "checkpoint_sha256", "record_count", "record_set_sha256"}, "d07-generation-manifest-v1")
+    told = read_document(spark, manifest, {"schema_version", "run_id", "protocol_sha256", "checkpoint_sha256", "record_count", "record_set_sha256"}, versions.GENERATION_MANIFEST)
     records = spark.read.schema(RECORD).json(folder)
     if told["protocol_sha256"] != protocol.sha256:
         raise ContractError("the manifest is of another protocol")
@@ -223,7 +224,7 @@ def sample_scores(records: DataFrame, references: DataFrame, task: str = "exact_
     told = said.withColumn("v", verdict).select("request_id", "item_id", "item_index", "sample_index", F.col("record_sha256").alias("generation_record_sha256"), F.col("v.verification_status"), F.col("v.extraction_status"), F.col("v.parse_status"), F.col("v.answer_source"), F.col("v.marker_count"), F.size("output_token_ids").alias("completion_token_count"), "finish_reason")
     invalid = F.raise_error(F.lit("a reference has no meaning")).cast("boolean")
     told = told.withColumn("correct", F.when(F.col("verification_status") == "reference_invalid", invalid).otherwise(F.col("verification_status") == "match")).select(*SCORE)
-    return told.withColumn("score_sha256", object_sha256(told, schema_version=F.lit("d07-sample-score-v1"), **{n: n for n in SCORE}))
+    return told.withColumn("score_sha256", object_sha256(told, schema_version=F.lit(versions.SAMPLE_SCORE), **{n: n for n in SCORE}))
 
 
 def pass_at_k(n: int, c: int, k: int) -> Fraction:

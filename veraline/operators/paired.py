@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veraline.functions import predicates as P
+from veraline.functions import versions
 from veraline.operators.checks import named, repeated, union, violations
 from veraline.operators.trust import canonical_sha256
 
@@ -49,7 +50,7 @@ class Protocol:
     rng_algorithm: str = "numpy-pcg64-v1"
     quantile_method: str = "linear-type7-exact"
     randomization_correction: str = "plus-one"
-    schema_version: str = "d08-statistics-protocol-v1"
+    schema_version: str = versions.STATISTICS_PROTOCOL
 
     @property
     def sha256(self) -> str:
@@ -89,12 +90,12 @@ def design_sha256(panel: DataFrame, protocol: Protocol, bindings: dict[str, str]
     items = panel.select("item_id", "item_index", "stratum").distinct().orderBy("item_index").limit(MOST_ITEMS + 1).collect()
     if len(items) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items")
-    return canonical_sha256({"schema_version": "d08-resampling-design-v1", **bindings, "stratum_key": protocol.stratum_key, "training_seeds": list(protocol.training_seeds), "items": [r.asDict() for r in items]})
+    return canonical_sha256({"schema_version": versions.RESAMPLING_DESIGN, **bindings, "stratum_key": protocol.stratum_key, "training_seeds": list(protocol.training_seeds), "items": [r.asDict() for r in items]})
 
 
 def stream(protocol: Protocol, base_seed: int, operation: str, hypothesis: str, design: str) -> tuple[str, int]:
     """(digest, 128-bit seed) of the random stream of one operation of one contrast."""
-    digest = canonical_sha256({"schema_version": "d08-derived-rng-stream-v1", "base_seed": base_seed, "operation": operation, "hypothesis_id": hypothesis, "resampling_design_sha256": design, "statistics_protocol_sha256": protocol.sha256})
+    digest = canonical_sha256({"schema_version": versions.DERIVED_RNG_STREAM, "base_seed": base_seed, "operation": operation, "hypothesis_id": hypothesis, "resampling_design_sha256": design, "statistics_protocol_sha256": protocol.sha256})
     return digest, int(digest[:32], 16)
 
 

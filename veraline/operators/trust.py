@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veraline.functions import predicates as P
+from veraline.functions import versions
 from veraline.functions.canonical import object_sha256, set_digest, sha256_json
 from veraline.functions.text import digest_mod, normalize
 from veraline.operators.checks import named, repeated, union, violations
@@ -24,7 +25,7 @@ from veraline.operators.graph import connected_components
 from veraline.plans.store import materialize
 
 # The record's schema and versions, its domains and limits.
-RECORD_VERSION = "d06-data-record-v1"
+RECORD_VERSION = versions.DATA_RECORD
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -210,7 +211,7 @@ class SplitPolicy:
     weights: dict[str, int]
 
     def to_record(self) -> dict[str, object]:
-        return {"schema_version": "d06-family-split-policy-v1", "namespace": self.namespace, "family_dimensions": list(DIMENSIONS), "allocations": [{"split": s, "weight": w} for s, w in sorted(self.weights.items())]}
+        return {"schema_version": versions.FAMILY_SPLIT_POLICY, "namespace": self.namespace, "family_dimensions": list(DIMENSIONS), "allocations": [{"split": s, "weight": w} for s, w in sorted(self.weights.items())]}
 
     @property
     def sha256(self) -> str:

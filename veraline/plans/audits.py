@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veraline.functions import versions
 from veraline.functions.answers import verify_answer
 from veraline.functions.canonical import canonical_json, json_string, list_digest
 from veraline.operators import contamination as C
@@ -26,10 +27,10 @@ from veraline.sources.jsonl import read_records
 
 # The policy's record and the report's version.
 POLICY = {
-    "schema_version": "d06-contamination-policy-v1", "normalization_version": "nfkc-lexeme-v1", "character_ngram_size": C.CHAR_SIZE, "token_ngram_size": C.TOKEN_SIZE, "minimum_exact_chars": C.MIN_EXACT, "minimum_fuzzy_chars": C.MIN_FUZZY,
+    "schema_version": versions.CONTAMINATION_POLICY, "normalization_version": "nfkc-lexeme-v1", "character_ngram_size": C.CHAR_SIZE, "token_ngram_size": C.TOKEN_SIZE, "minimum_exact_chars": C.MIN_EXACT, "minimum_fuzzy_chars": C.MIN_FUZZY,
     "fuzzy_jaccard_ppm": C.JACCARD, "fuzzy_containment_ppm": C.CONTAINMENT, "review_margin_ppm": C.MARGIN, "maximum_text_chars": 1_000_000, "included_field_groups": sorted(trust.GROUP_ORDER), "exempt_context_normalized_sha256": [],
 }
-NO_PARENTS = {"schema_version": "d06-parent-payload-ledger-v1", "entries": []}
+NO_PARENTS = {"schema_version": versions.PARENT_PAYLOAD_LEDGER, "entries": []}
 
 
 def fragment_set_sha256(fragments: DataFrame) -> str:
@@ -69,7 +70,7 @@ def contamination_report(train: DataFrame, held: DataFrame) -> tuple[dict[str, o
     a, b = materialize(trust.fragments(train), "audit-train"), materialize(trust.fragments(held), "audit-held")
     listed = [r.asDict() for r in matches.select(*MATCH_FIELDS).orderBy("train_record_id", "eval_record_id").collect()]
     body = {
-        "schema_version": "d06-contamination-report-v1", "policy_sha256": trust.canonical_sha256(POLICY), "training_fingerprint_sha256": fragment_set_sha256(a), "evaluation_fingerprint_sha256": fragment_set_sha256(b),
+        "schema_version": versions.CONTAMINATION_REPORT, "policy_sha256": trust.canonical_sha256(POLICY), "training_fingerprint_sha256": fragment_set_sha256(a), "evaluation_fingerprint_sha256": fragment_set_sha256(b),
         "training_record_count": train.count(), "evaluation_record_count": held.count(), "training_fragment_count": a.count(), "evaluation_fragment_count": b.count(), "candidate_pair_count": candidate_pairs(a, b),
         "match_counts": trust.match_counts(matches), "matches": listed, "passed": not listed,
     }
@@ -86,7 +87,7 @@ def manifest(records: DataFrame, bound: dict[str, str]) -> tuple[dict[str, objec
     """
     rows = trust.manifest_records(records)
     summary = trust.record_summary(records)
-    head = {"schema_version": "d06-data-manifest-v1", **bound, "record_count": summary["record_count"], "split_counts": summary["split_counts"], "source_counts": summary["source_counts"], "record_set_sha256": summary["semantic_sha256"]}
+    head = {"schema_version": versions.DATA_MANIFEST, **bound, "record_count": summary["record_count"], "split_counts": summary["split_counts"], "source_counts": summary["source_counts"], "record_set_sha256": summary["semantic_sha256"]}
     return head | {"manifest_sha256": _with_rows(head, rows)}, rows
 
 

@@ -13,6 +13,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veraline.functions import versions
 from veraline.operators import trust
 from veraline.operators.checks import ContractError, require_none
 
@@ -75,7 +76,7 @@ def _rows(spark: SparkSession, items: list, schema: str, what: str) -> DataFrame
 
 def read_source_registry(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], str]:
     """(sources, allowed licences, canonical digest), checked."""
-    whole = read_document(spark, path, {"schema_version", "allowed_license_expressions", "sources"}, "d06-source-registry-v1")
+    whole = read_document(spark, path, {"schema_version", "allowed_license_expressions", "sources"}, versions.SOURCE_REGISTRY)
     licenses = sorted(whole["allowed_license_expressions"])
     if not licenses or len(set(licenses)) != len(licenses) or not whole["sources"]:
         raise ContractError("a registry has sources, and licences that are allowed once")
@@ -87,7 +88,7 @@ def read_source_registry(spark: SparkSession, path: str) -> tuple[DataFrame, lis
 
 def read_transform_registry(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """(transforms, canonical digest), checked."""
-    whole = read_document(spark, path, {"schema_version", "artifacts"}, "d06-transform-registry-v1")
+    whole = read_document(spark, path, {"schema_version", "artifacts"}, versions.TRANSFORM_REGISTRY)
     transforms = _rows(spark, whole["artifacts"], trust.TRANSFORM, "transform")
     require_none(trust.transform_violations(transforms))
     return transforms, trust.canonical_sha256({**whole, "artifacts": sorted(whole["artifacts"], key=lambda a: [a[k] for k in trust.TRANSFORM_KEY])})
@@ -95,14 +96,14 @@ def read_transform_registry(spark: SparkSession, path: str) -> tuple[DataFrame,
 
 def read_parent_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """(ledger, canonical digest), checked."""
-    whole = read_document(spark, path, {"schema_version", "entries"}, "d06-parent-payload-ledger-v1")
+    whole = read_document(spark, path, {"schema_version", "entries"}, versions.PARENT_PAYLOAD_LEDGER)
     ledger = _rows(spark, whole["entries"], trust.PARENT, "parent")
     require_none(trust.parent_violations(ledger))
     return ledger, trust.canonical_sha256({**whole, "entries": sorted(whole["entries"], key=lambda e: e["sample_id"])})
 
 
 def read_split_policy(spark: SparkSession, path: str) -> trust.SplitPolicy:
-    whole = read_document(spark, path, {"schema_version", "namespace", "family_dimensions", "allocations"}, "d06-family-split-policy-v1")
+    whole = read_document(spark, path, {"schema_version", "namespace", "family_dimensions", "allocations"}, versions.FAMILY_SPLIT_POLICY)
     if tuple(whole["family_dimensions"]) != trust.DIMENSIONS:
         raise ContractError(f"family_dimensions are {trust.DIMENSIONS}")
     weights: dict[str, int] = {}
