@@ -92,17 +92,25 @@ _SPLITS = (("D_anchor", 1), ("D_core", 6), ("D_dev", 7), ("D_select", 9), ("D_te
 
 
 def _assigned(spark, sf_dir):
-    """(doc_id, component, split): a component's split is drawn from the digest of its sorted members."""
+    """(doc_id, component, split): a component's split is drawn from the digest of its members.
+
+    The digest is that of its parts', by the first three digits of the members' digests, so
+    that no task gathers a whole component.
+    """
     c = materialize(_components(spark, sf_dir), "components")
-    payload = F.concat(F.lit("ns\n"), F.array_join(F.array_sort(F.collect_list("doc_id")), ","))
-    drawn = c.groupBy("component").agg(digest_mod(sha(payload), 10).alias("bucket"))
+    part = F.substring(sha(F.col("doc_id").cast("string")), 1, 3)
+    parts = c.groupBy("component", part.alias("part")).agg(sha(F.array_join(F.array_sort(F.collect_list("doc_id")), ",")).alias("d"))
+    payload = F.concat(F.lit("ns\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ","))
+    drawn = parts.groupBy("component").agg(digest_mod(sha(payload), 10).alias("bucket"))  # 4,096 parts at most
     split = F.coalesce(*(F.when(F.col("bucket") < top, name) for name, top in _SPLITS))
-    return c.join(drawn.select("component", split.alias("split")), "component").select("doc_id", "component", "split")
+    told = materialize(drawn.select("component", split.alias("split")), "component-splits")
+    return c.join(told, "component").select("doc_id", "component", "split")
 
 
 _CASE = "case " + " ".join(f"when bucket < {top} then '{name}'" for name, top in _SPLITS) + " end"
 _ASSIGNED = f"""{_COMPONENTS},
-  d as (select component, sha256('ns' || chr(10) || string_agg(doc_id::varchar, ',' order by doc_id)) as d from c group by component),
+  parts as (select component, substr(sha256(doc_id::varchar), 1, 3) as part, sha256(string_agg(doc_id::varchar, ',' order by doc_id)) as part_sha from c group by 1, 2),
+  d as (select component, sha256('ns' || chr(10) || string_agg(part_sha, ',' order by part)) as d from parts group by component),
   k as (select component, {_FOLD.format(d="d", m=10)} as bucket from d),
   a as (select c.doc_id, c.component, {_CASE} as split from c join k using (component))"""
 
