@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from veraline.functions import predicates as P
 from veraline.operators import budget, training
 from veraline.operators.trust import canonical_sha256
+from veraline.streaming.ledger import stream_ledger
 
 
 def test_examples_and_batches(spark):
@@ -68,3 +69,15 @@ def test_folds_agree():
     assert whole.equals(budget.fold(c, e, seen, 300, 5, 2).astype(whole.dtypes.to_dict()))
     stale = budget.fold(c, e, np.where(np.arange(200) % 5 == 0, 77, -1), 300, 5, 2)
     assert (stale["status"][::5] == "stale").all() and stale["consumed_after"].iloc[-1] <= 300
+
+
+def test_stream_restores_states_and_names_stale_attempts(spark, tmp_path):
+    rows = [(1, 1, 5, True, 2), (1, 2, 5, True, 2), (1, 3, 9, True, 3), (2, 4, 4, False, -1), (2, 5, 4, True, -1)]
+    schema = "stage long, event_id long, candidate long, executed boolean, planned_version long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = stream_ledger(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 12, {1: (3, 2)})
+    q = stream.writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "at")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.event_id: (r.selected, r.counted, r.consumed_before, r.consumed_after, r.version, r.status) for r in spark.table("restored").collect()}
+    assert got == {1: (5, 5, 3, 8, 3, "counted"), 2: (4, 0, 8, 8, 3, "stale"), 3: (4, 4, 8, 12, 4, "counted"), 4: (4, 0, 0, 0, 0, "skipped"), 5: (4, 4, 0, 4, 1, "counted")}
