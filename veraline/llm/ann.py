@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veraline.llm.blocks import groups
-from veraline.llm.common import one_blas_thread
+from veraline.llm.common import one_blas_thread, tidy
 from veraline.llm.vectors import usable
 from veraline.plans.store import materialize
 
@@ -144,7 +144,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((np.int64(part) << 33) + np.arange(done, done + n))], names=["vec_id", "v", "row"])
             done += n
 
-    return materialize(rows.mapInArrow(run, f"vec_id long, v {kind}, row long"), "numbered")
+    return materialize(rows.mapInArrow(tidy(run), f"vec_id long, v {kind}, row long"), "numbered")
 
 
 def nearest_of(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
@@ -182,7 +182,7 @@ def nearest_of(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
         return out.select("vl_q", "vl_x", F.lit(is_query).alias("is_query"), "vec_id", "v")
 
     both = spread(table, False).unionByName(spread(asked, True)).repartition("vl_q", "vl_x").sortWithinPartitions("vl_q", "vl_x")
-    found = both.mapInArrow(_searched(k, mean, projection, float(top), n), "query_id long, vec_id long, score double")
+    found = both.mapInArrow(tidy(_searched(k, mean, projection, float(top), n)), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

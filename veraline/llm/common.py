@@ -28,7 +28,7 @@ def small_batches(spark) -> None:
 
     The settings are read when a plan runs, so they stay lowered for the session.
     """
-    for key, default, most in (("maxRecordsPerBatch", "10000", 1000), ("maxBytesPerBatch", "64m", 16 << 20)):
+    for key, default, most in (("maxRecordsPerBatch", "10000", 500), ("maxBytesPerBatch", "64m", 8 << 20)):
         name = f"spark.sql.execution.arrow.{key}"
         now = str(spark.conf.get(name, default)).lower().removesuffix("b")
         if int(now.rstrip("kmg")) * 1024 ** " kmg".index(now[-1] if now[-1] in "kmg" else " ") > most:
@@ -45,6 +45,21 @@ def one_blas_thread() -> None:
                 getattr(library, name)(1)
 
 
+def tidy(run):
+    """The function of mapInArrow, after which its worker gives freed memory back: it stays, idle, beside the next stages."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            library = ctypes.CDLL(None)
+            if hasattr(library, "malloc_trim"):
+                library.malloc_trim(0)
+
+    return out
+
+
 class Recent(dict):
     """What `make` gives for a key, remembered for the keys met of late: two generations of `room` keys each."""
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veraline.llm.blocks import dealt, groups, matrix, stars
-from veraline.llm.common import WORD, Recent, small_batches
+from veraline.llm.common import WORD, Recent, small_batches, tidy
 from veraline.operators.graph import connected_components
 from veraline.plans.store import discard, fresh, materialize
 
@@ -81,7 +81,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes() -> Recent:
-    return Recent(lambda w: xxhash.xxh3_64_intdigest(w).to_bytes(8, "little"), 100_000)
+    return Recent(lambda w: xxhash.xxh3_64_intdigest(w).to_bytes(8, "little"), 60_000)
 
 
 def shingles(text: str | None, kept: Recent, words: int = WORDS) -> np.ndarray:
@@ -173,7 +173,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True))], names=[x.split()[0] for x in PROFILE.split(", ")])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, PROFILE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(tidy(run), PROFILE)
 
 
 def _sized(members: DataFrame, label: str) -> DataFrame:
@@ -229,7 +229,7 @@ def _buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         # a set's paths are a list of its own: some dozens, whatever the size of their buckets
         paths = large.join(alike, "path", "left_anti").groupBy("set_hash").agg(F.collect_list("path").alias("paths"))
         each = paths.join(sets, "set_hash").select("set_hash", "size", "signs", "sample", "paths")
-        split = materialize(each.mapInArrow(_split, "path long, set_hash long, signs long"), f"split-{level}")
+        split = materialize(each.mapInArrow(tidy(_split), "path long, set_hash long, signs long"), f"split-{level}")
         members = _sized(split, str(level))
         discard(split)
     leaves.append(members)
@@ -320,7 +320,7 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, D
     sets = materialize(shown.drop("doc_id", "text_hash", "shingles").dropDuplicates(["set_hash"]), "choices")
     leaves, alike = _buckets(sets)
     maybe = dealt(leaves.join(sets.select("set_hash", "sketch"), "set_hash"), ["path"], "n", "set_hash", LEAF, ["set_hash", "sketch"])
-    edges = materialize(maybe.mapInArrow(_near_by_sketch, "src long, dst long"), "maybe-edges")
+    edges = materialize(maybe.mapInArrow(tidy(_near_by_sketch), "src long, dst long"), "maybe-edges")
     found = materialize(connected_components(edges if alike is None else edges.union(alike)).withColumnRenamed("node", "set_hash"), "maybe")
     discard(sets, edges)
     sizes = materialize(found.groupBy("component").agg(F.count("*").alias("n")), "maybe-sizes")
@@ -328,7 +328,7 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, D
     whole = materialize(active.join(shown.select("set_hash", "shingles"), "set_hash").dropDuplicates(["set_hash"]), "whole-sets")
     discard(profile, found, sizes)
     blocks = dealt(whole, ["component"], "n", "set_hash", CHUNK, ["set_hash", "copies", "shingles"])
-    checked = materialize(blocks.mapInArrow(_verified(similarity), "src long, dst long, links long"), "verified")
+    checked = materialize(blocks.mapInArrow(tidy(_verified(similarity)), "src long, dst long, links long"), "verified")
     discard(whole)
     classes = materialize(connected_components(checked.where("dst is not null").select("src", "dst")).withColumnRenamed("node", "set_hash"), "classes")
     return rows, counted, classes, checked

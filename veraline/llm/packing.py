@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veraline.llm.common import encoder, one_blas_thread, small_batches, tokenizer_path
+from veraline.llm.common import encoder, one_blas_thread, small_batches, tidy, tokenizer_path
 from veraline.operators.ordering import running_totals
 from veraline.plans.store import materialize, new_path
 
@@ -173,7 +173,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> str:
             yield pa.RecordBatch.from_arrays(arrays, schema=_arrow(STORED))
 
     target = new_path(spark, "packed-tokens")
-    rows.mapInArrow(run, STORED).write.options(compression="zstd").orc(target)
+    rows.mapInArrow(tidy(run), STORED).write.options(compression="zstd").orc(target)
     return target
 
 
@@ -300,7 +300,7 @@ def _fill(filler: DataFrame, gaps: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return whole.mapInArrow(run, PIECES)
+    return whole.mapInArrow(tidy(run), PIECES)
 
 
 def sequences_of(pieces: DataFrame, target: str) -> DataFrame:

@@ -21,7 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veraline.llm.common import small_batches
+from veraline.llm.common import small_batches, tidy
 
 # The base patterns and their least lengths, in the order that the digest lists them.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -259,4 +259,4 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 5, pa.string(), pa.string()), strict=True)], names=["doc_id", "n_assign", "n_access", "n_hex", "n_confirmed", "base_sha256", "spans"])
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(tidy(run), SCHEMA)

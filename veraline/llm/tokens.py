@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veraline.llm.common import encoder, small_batches, tokenizer_path
+from veraline.llm.common import encoder, small_batches, tidy, tokenizer_path
 from veraline.plans.store import new_path
 
 STORED = "part int, start_in_part long, doc_id long, n_tokens long, ids array<int>"
@@ -48,7 +48,7 @@ def encode_partitions(docs: DataFrame, path: str, end: int) -> DataFrame:
             done += int(ends[-1]) if len(ids) else 0
             yield pa.RecordBatch.from_arrays(arrays, names=["part", "start_in_part", "doc_id", "n_tokens", "ids"])
 
-    return docs.mapInArrow(run, STORED)
+    return docs.mapInArrow(tidy(run), STORED)
 
 
 def write(docs: DataFrame, target: str | None = None, tokenizer: str | None = None, end: int = 0) -> str:
@@ -100,7 +100,7 @@ def checksums(rows: DataFrame, *keep: str) -> DataFrame:
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(crcs, pa.int64())], names=[*keep, "ids_crc32"])
 
-    return rows.select(*keep, "ids").mapInArrow(run, schema)
+    return rows.select(*keep, "ids").mapInArrow(tidy(run), schema)
 
 
 def token_ids(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veraline.llm.common import WORD, small_batches
+from veraline.llm.common import WORD, small_batches, tidy
 from veraline.plans.store import fresh
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -82,7 +82,7 @@ def _bags(docs: DataFrame) -> DataFrame:
                     own = set()
                     for w in WORD.findall(text[a:z].lower()):
                         if w not in kept:
-                            if len(kept) > 300_000:
+                            if len(kept) > 100_000:
                                 kept.clear()
                             kept[w] = _bucket(w)
                         own.add(kept[w])
@@ -94,7 +94,7 @@ def _bags(docs: DataFrame) -> DataFrame:
                 buckets.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(sizes, pa.list_(pa.int32())), pa.array(buckets, pa.list_(pa.int32()))], names=["label", "sizes", "buckets"])
 
-    return docs.select("label", "text").mapInArrow(run, "label int, sizes array<int>, buckets array<int>")
+    return docs.select("label", "text").mapInArrow(tidy(run), "label int, sizes array<int>, buckets array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = 120, l1: float = 0.2, least_df: int = 3, most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> Model:
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, spans: bool = False, keep: list[str] |
                     for w in words:
                         x = kept.get(w)
                         if x is None:
-                            if len(kept) > 300_000:
+                            if len(kept) > 100_000:
                                 kept.clear()
                             x = kept[w] = weight.get(_bucket(w), 0.0)
                         total += x
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model, spans: bool = False, keep: list[str] |
                 arrays.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, name, "offending"][: len(arrays)])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

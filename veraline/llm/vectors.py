@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veraline.llm.blocks import dealt, groups, stars
-from veraline.llm.common import one_blas_thread
+from veraline.llm.common import one_blas_thread, tidy
 from veraline.operators.graph import connected_components
 from veraline.plans.store import discard, materialize
 
@@ -92,7 +92,7 @@ def _described(nodes: DataFrame, pivots: np.ndarray, count: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), as_lists(near, pa.int32()), as_lists(keys, pa.int64())], names=["label", "node", "copies", "v", "near", "keys"])
 
     kind = nodes.schema["v"].dataType.simpleString()
-    return nodes.select("label", "node", "copies", "v").mapInArrow(run, f"label long, node long, copies long, v {kind}, near array<int>, keys array<long>")
+    return nodes.select("label", "node", "copies", "v").mapInArrow(tidy(run), f"label long, node long, copies long, v {kind}, near array<int>, keys array<long>")
 
 
 def _lowest_key(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
@@ -161,7 +161,7 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame
     sizes = materialize(listed.groupBy("label", "width", "key").agg(F.count("*").alias("n")).where("n > 1"), "list-sizes")
     members = listed.join(sizes, ["label", "width", "key"]).join(described.select("node", "copies", "near", "v"), "node")
     blocks = dealt(members, ["label", "width", "key"], "n", "node", CHUNK, ["node", "copies", "near", "v"])
-    checked = materialize(blocks.mapInArrow(_verified(cosine, count), "src long, dst long, links long"), "vector-links")
+    checked = materialize(blocks.mapInArrow(tidy(_verified(cosine, count)), "src long, dst long, links long"), "vector-links")
     discard(described, sizes)
     links = checked.where("dst is null").groupBy("src").agg(F.sum("links").alias("links")).withColumnRenamed("src", "node")
     classes = connected_components(checked.where("dst is not null").select("src", "dst"))
