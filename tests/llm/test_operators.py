@@ -198,9 +198,12 @@ def test_encoder_is_the_tokenizer(reference):
     letters = np.array(list(" \t\n\r'sdltmrev.,;-!0123abcXYZäÖß×÷–€… \x85\x0b\x1cЖ中²Ⅷ½́_"))
     odd += ["".join(rng.choice(letters[: rng.choice([10, 20, 33, len(letters)])], rng.integers(0, 14))) for _ in range(4000)]
     odd += [None, "x" * 100, "'" * 70 + "s", "ab" * 700_000, " " * 1_200_000 + "x"]
+    plain = [f"plain words {k}, and some more's." for k in range(300)]
+    assert batches.counts(pa.array(plain)).tolist() == [len(reference(t)) for t in plain]
     for _ in range(2):
         for k in range(0, len(odd), 500):
             ids, sizes = batches.encode(pa.array(odd[k : k + 500], pa.string()), 7)
+            assert (batches.counts(pa.array(odd[k : k + 500], pa.string())) == sizes - 1).all()
             for own, text in zip(np.split(ids, np.cumsum(sizes)[:-1]), odd[k : k + 500], strict=True):
                 assert own.tolist() == [*reference(text), 7]
 

@@ -194,13 +194,20 @@ class BatchEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, ids of each text), each text's end id included; a null text is an empty one."""
+        return self._all(texts, lambda data, offsets: self._group(data, offsets, end))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Ids of each text, without an end id."""
+        return self._all(texts, self._group_sizes)[1]
+
+    def _all(self, texts: pa.Array, of) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if len(texts) else np.zeros(0, np.uint8)
         found, sizes, a = [], [], 0
         while a < len(texts):
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _AT_ONCE, side="right")) - 1)
-            ids, n = self._group(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end)
+            ids, n = of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             found.append(ids)
             sizes.append(n)
             a = b
@@ -218,6 +225,13 @@ class BatchEncoder:
             out.append(self.one.encode(t.tobytes().decode(), end) if o else next(rest))
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
+    def _group_sizes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        odd = self._odd(data, offsets)
+        if odd.any():
+            ids, sizes = self._group(data, offsets, 0)
+            return ids[:0], sizes - 1
+        return self._split(data, offsets, wanted=False)
+
     def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts the split by bytes isn't for."""
         odd = np.zeros(len(offsets) - 1, bool)
@@ -271,7 +285,8 @@ class BatchEncoder:
             begins[rest[~first[rest] & (kind[rest] == _LETTER)]] = True
         return np.flatnonzero(begins[:n])
 
-    def _split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _split(self, data: np.ndarray, offsets: np.ndarray, wanted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, if wanted, else none; ids of each text)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         start = self._starts(data, offsets)
@@ -307,7 +322,7 @@ class BatchEncoder:
             to = to[free]
             self.keys[to], self.at[to], self.n[to] = own[free], begin[free], size[free]
         before = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-        ids = self.ids[np.repeat(at - before[:-1], n) + np.arange(before[-1])]
+        ids = self.ids[np.repeat(at - before[:-1], n) + np.arange(before[-1])] if wanted else self.ids[:0]
         pieces = np.searchsorted(start, offsets)
         sizes = np.diff(before[pieces])
         if self.used > _REMEMBERED:
