@@ -82,12 +82,12 @@ class Recent(dict):
 
 
 # How a byte-level vocabulary splits a text, over an alphabet whose characters all versions of Unicode class alike.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_PLAIN = re.compile(rf"[\t\n\r -~{_LETTERS}\u00d7\u00f7\u2010-\u2027\u2030-\u205e\u20ac]*")
-_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PLAIN = re.compile(rf"[\t\n\r -~{LETTERS}\u00d7\u00f7\u2010-\u2027\u2030-\u205e\u20ac]*")
+_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable character that a byte-level vocabulary writes for each byte: itself, or the next one free from U+0100."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out, free = [], 256
@@ -117,7 +117,7 @@ class Encoder:
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.added = [t.content for t in added]
         self.by_piece = _is_byte_level(self.tokenizer) and not any(t.lstrip or t.rstrip or t.normalized or t.single_word for t in added)
-        self.shown, self.model = dict(enumerate(_byte_letters())), self.tokenizer.model
+        self.shown, self.model = dict(enumerate(byte_letters())), self.tokenizer.model
         self.pieces, self.stretches = Recent(self._piece, 100_000), Recent(self._stretch, 50_000)
 
     def _whole(self, text: str) -> bytes:
@@ -134,7 +134,7 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, _SPLIT.findall(text)))
 
     def _stretch(self, text: str) -> bytes:
-        return self._plain(text) if _PLAIN.fullmatch(text) else self._whole(text)
+        return self._plain(text) if PLAIN.fullmatch(text) else self._whole(text)
 
     def encode(self, text: str | None, end: int) -> np.ndarray:
         """Ids of a text (null: none) and the end id."""
@@ -142,7 +142,7 @@ class Encoder:
             found = b""
         elif not self.by_piece or any(t in text for t in self.added):
             found = self._whole(text)
-        elif _PLAIN.fullmatch(text):
+        elif PLAIN.fullmatch(text):
             found = self._plain(text)
         elif _RUN_OF_SPACE.search(text):
             found = self._whole(text)

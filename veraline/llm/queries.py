@@ -78,8 +78,26 @@ def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veraline.llm.runs import digests, periodic_runs, with_planted_periods
+
+    return digests(periodic_runs(with_planted_periods(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veraline.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veraline.llm.chunks import digests, encode_and_decode
+
+    return digests(encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_feistel_pii, op2_merkle_fixity, op3_token_orc, op4_pivot_dedup, op5_chosen_path_join, op6_multi_index_hashing, op7_ipf_mixing, op8_cutting_stock, op9_secret_structure, op10_noisy_or_toxicity)
+    for f in (op1_feistel_pii, op2_merkle_fixity, op3_token_orc, op4_pivot_dedup, op5_chosen_path_join, op6_multi_index_hashing, op7_ipf_mixing, op8_cutting_stock, op9_secret_structure, op10_noisy_or_toxicity, op11_periodic_runs, op12_lanczos_whitening, op13_chunk_reuse)
 }
 ORACLE_SQL = {"op2_merkle_fixity": AUDIT_SQL}
