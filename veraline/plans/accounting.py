@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veraline.functions.text import let, log_softmax, softcap
 from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask, group_advantages, interpolate, kl, ledger, nll
+from veraline.operators.linear_losses import Transform, aligned_heads, linear_cross_entropy, linear_reverse_kl
 from veraline.operators.ordering import keyed_totals
 from veraline.plans.sql import query, run_sql, sql, table
 
@@ -88,6 +89,40 @@ def softcap_logits(spark, sf_dir):
 sql("masked_ce_global_mean", """select label, round(sum(loss), 6) as ce_sum, count(*) as tokens, round(sum(loss) / count(*), 6) as token_mean from (
     select label, ln(1 + exp(-cast(vec_id % 17 as double) / 7)) as loss, vec_id % 5 <> 0 as chosen from embeddings) x where chosen group by label""")
 
+# --- losses from hidden states: vectors are positions, means of vectors by vec_id % 211 the head's rows ---
+
+_HEAD = "select token, list(w order by i) as w, list(w order by i)[1:32] as u from (select (vec_id % 211)::bigint as token, i, 4 * avg(embedding[i]::double) as w from embeddings, range(1, 65) r(i) group by 1, 2) x group by token"
+_PROJECTED = "10 * tanh((list_dot_product({h}, {w}) + {b}) / 10)"
+
+
+def _head(spark, sf_dir):
+    places = table(spark, sf_dir, "embeddings").select(F.expr("vec_id % 211").alias("token"), F.posexplode("embedding").alias("i", "v"))
+    means = places.groupBy("token", "i").agg((4 * F.avg(F.col("v").cast("double"))).alias("w"))
+    return means.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("weight"))
+
+
+@query("linear_cross_entropy", f"""with h as materialized ({_HEAD}), p as (select vec_id, vec_id % 211 as target, list_transform(embedding, lambda x: x::double) as e from embeddings),
+    l as (select vec_id, target, token, {_PROJECTED.format(h="e", w="w", b="token / 211.0::double")} as x from p, h), t as (select vec_id, max(x) as m from l group by vec_id),
+    z as (select l.vec_id, any_value(m) as m, sum(exp(x - m)) as z, sum(x * exp(x - m)) as zx, max(case when token = target then x end) as said from l join t on l.vec_id = t.vec_id group by l.vec_id)
+    select vec_id, round(m + ln(z) - said, 6) as nll, round(m + ln(z) - zx / z, 6) as entropy from z""")
+def linear_cross_entropy_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id % 211").alias("target"), F.col("embedding").alias("hidden"))
+    head = _head(spark, sf_dir).select("token", "weight", (F.col("token") / 211.0).alias("bias"))
+    return linear_cross_entropy(rows, head, Transform(cap=10.0)).select("vec_id", F.round("nll", 6).alias("nll"), F.round("entropy", 6).alias("entropy"))
+
+
+@query("linear_reverse_kl", f"""with h as materialized ({_HEAD}), p as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+    l as (select vec_id, {_PROJECTED.format(h="e", w="w", b="0")} as x, list_dot_product(e[1:32], u) / 2 + token / 211.0::double as y from p, h), t as (select vec_id, max(x) as m, max(y) as n from l group by vec_id),
+    z as (select l.vec_id, any_value(m) + ln(sum(exp(x - m))) as a, any_value(n) + ln(sum(exp(y - n))) as b from l join t on l.vec_id = t.vec_id group by l.vec_id)
+    select l.vec_id, round(sum(exp(x - a) * (x - a - y + b)), 6) as kl, round(-sum(exp(x - a) * (x - a)), 6) as entropy from l join z on l.vec_id = z.vec_id group by l.vec_id""")
+def linear_reverse_kl_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("hidden"), F.slice("embedding", 1, 32).alias("teacher_hidden"))
+    head = _head(spark, sf_dir).withColumn("bias", F.lit(None).cast("double"))
+    teacher = head.select("token", F.slice("weight", 1, 32).alias("weight"), (2 * F.col("token") / 211.0).alias("bias"))
+    found = linear_reverse_kl(rows, aligned_heads(head, teacher), Transform(cap=10.0), Transform(temperature=2.0))
+    return found.select("vec_id", F.round("kl", 6).alias("kl"), F.round("entropy", 6).alias("entropy"))
+
+
 # --- clipped surrogate: order lines are tokens, their orders groups ---
 
 _TOKENS = "select l_orderkey, l_linenumber, exp((l_discount - 0.05) * 10) as r, case when l_quantity > 25 then 1.0 when l_quantity < 20 then -1.0 else 0.0 end as a from lineitem"
