@@ -4,11 +4,12 @@ import json
 
 import pytest
 
-from tests.test_answers import MATCH, MISMATCH, NONE, UNPARSEABLE
+from tests import scorers
 from tests.test_paired import BOUND, panel  # noqa: F401
 from tests.test_trust import POLICY, SOURCES, records, tables  # noqa: F401
 from tests.trust_rows import CANDIDATES, HELD, LINEAGE
-from veraline.operators import trust
+from veraline.operators import evaluation, trust
+from veraline.operators.checks import ContractError
 from veraline.plans import audits
 from veraline.sources.documents import write_document
 
@@ -51,10 +52,36 @@ def test_statistics_from_a_panel(panel):  # noqa: F811
     assert {r.hypothesis: r.extreme_count for r in audits.statistics(panel, BOUND).collect()}["C1a"] == 371
 
 
-def test_verifier_corpus(spark):
-    cases = [(g, p, 1.0, "match") for g, p in MATCH] + [(g, p, 0.0, "mismatch") for g, p in MISMATCH] + [("42", p, 0.0, "prediction_unparseable") for p in UNPARSEABLE] + [("42", p, 0.0, "prediction_not_extracted") for p in NONE]
-    frame = spark.createDataFrame([(f"c{k}", c[3], c[0], c[1], c[2], c[3] if k % 2 else None, None) for k, c in enumerate(cases)], audits.CASE)
-    counts, failures = audits.verifier_audit(frame)
-    assert failures.count() == 0 and sum(r.total for r in counts.collect()) == len(cases)
+CASES = [(f"{k * 3}/6", f"So \\\\boxed{{{k}/2}}".replace("\\\\", "\\"), 1.0, "match") for k in range(1, 40)] + [("7", f"The answer is {k}", 0.0, "mismatch") for k in range(8, 48)] + [("7", f"answer: about {k}", 0.0, "prediction_unparseable") for k in range(20)] + [("7", "7 it is", 0.0, "prediction_not_extracted"), ("x", "Answer: 1", None, "reference_invalid")]
+
+
+def test_verifier_corpus_from_a_file(spark, tmp_path):
+    lines = [json.dumps({"case_id": f"c{k}", "category": c[3], "reference": c[0], "prediction": c[1], "expected_reward": c[2], "expected_status": c[3] if k % 2 else None, "notes": None}) for k, c in enumerate(CASES)]
+    (tmp_path / "cases.jsonl").write_text("\n\n".join(lines) + "\n")
+    args = ["verifier", "--corpus", str(tmp_path / "cases.jsonl"), "--out", str(tmp_path / "out.json"), "--scorer"]
+    assert audits.main([*args, "plain_number"]) == 0
+    told = json.loads((tmp_path / "out.json").read_text())
+    assert sum(c["total"] for c in told["categories"].values()) == len(CASES) and told["failures"] == []
+    frame = spark.createDataFrame([(f"c{k}", *c[3:], *c[:2], c[2], c[3], None) for k, c in enumerate(CASES)], audits.CASE)
+    counts, failures = audits.verifier_audit(frame, evaluation.strict_label)
+    assert failures.count() >= 39
     with pytest.raises(ValueError):
-        audits.verifier_audit(frame.limit(5))
+        audits.verifier_audit(frame.limit(5), evaluation.plain_number)
+
+
+def test_evaluator_from_files_to_the_known_summaries(spark, tmp_path):
+    paths = scorers.evaluator_files(tmp_path)
+    args = ["evaluator", *(x for k in audits.EVALUATOR for x in (f"--{k}", paths[k])), "--checkpoint", scorers.CHECKPOINT, "--scorer", "tests.scorers:make", "--out", str(tmp_path / "report.json")]
+    assert audits.main(args) == 0
+    told = json.loads((tmp_path / "report.json").read_text())
+    assert told["passed"] and told["failures"] == [] and set(told["runs"]) == {"greedy", "sampling"}
+    expected = json.loads(open(paths["expectation"]).read())
+    expected["runs"]["greedy"]["truncation_count"] = 2
+    expected["runs"]["sampling"]["report_sha256"] = "0" * 64
+    write_document(paths["expectation"], expected)
+    assert audits.main(args) == 1
+    assert json.loads((tmp_path / "report.json").read_text())["failures"] == ["runs.greedy.truncation_count", "runs.sampling.report_sha256"]
+    with open(paths["items"], "a") as f:
+        f.write("\n")
+    with pytest.raises(ContractError, match="bytes"):
+        audits.main(args)

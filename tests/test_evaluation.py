@@ -3,32 +3,16 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.scorers import CHECKPOINT, COMMON, GREEDY, PROMPTS, PROTOCOLS, REFERENCES, SAMPLED, WANT, make
 from veraline.operators import evaluation as ev
 from veraline.operators import paired
+from veraline.operators.backend import scored_by
 from veraline.operators.checks import ContractError, require_none
 from veraline.sources.documents import write_document
 
-PROMPTS = ("Compute six multiplied by seven.", "Reduce the rational number obtained by dividing twelve by twenty-four.", "List every real root of x squared equals four.")
-REFERENCES = ("42", "1/2", r"\{-2,2\}", "7", "15", "3/4")
-GREEDY = ("Final answer: 42", "Final answer: 2/3", r"\boxed{\{-2,2\}}", "I cannot solve this problem.", "Final answer: 15", "Final answer: 1/4")
-SAMPLED = (
-    ("Final answer: 42", r"\boxed{42}", "42", "Answer = 42", "Final answer: 42", r"\boxed{42}", "42", "Answer = 42"), ("Final answer: 1/2", r"\boxed{1/2}", "1/2", "Answer = 1/2", "Final answer: 2/3", "2/3", "Final answer: 3/4", "1"),
-    (r"\boxed{\{-2,2\}}", "Final answer: 2", "Final answer: -2", "0", "4", r"Final answer: 2; then \boxed{0}", "I cannot solve this problem.", "Final answer: 1"), ("Final answer: 6", "6", "8", "Final answer: 5", "I cannot solve this problem.", "Final answer: 9", "10", "0"),
-    ("Final answer: 15", r"\boxed{15}", "14", "Final answer: 10", "16", "0", "5", "Final answer: 20"), ("Final answer: 3/4", r"\boxed{3/4}", "3/4", "Answer = 3/4", "Final answer: 0.75", r"\frac{3}{4}", "Final answer: 1/4", "1"),
-)
-COMMON = dict(max_new_tokens=64, system_prompt="Solve the problem and state one final answer.", chat_template_sha256="a" * 64, eos_token_id=2, stop_token_ids=(2,), stop_sequences=("<end>",))
-PROTOCOLS = {"greedy": ev.Protocol("greedy", 1, **COMMON), "sampling": ev.Protocol("sampling", 8, **COMMON, temperature_ppm=700_000, top_p_ppm=950_000, top_k=0, seed_namespace="d07-synthetic-paired", base_seed=20260904)}
-CHECKPOINT = "b" * 64
-WANT = {
-    "greedy": ("cfa8cf0f5513e713d29b9fecc285b5ead22f490c920a65105fcaa002bc6f88c5", {"item_count": 6, "sample_count": 6, "correct_sample_count": 3, "completion_token_count_total": 151, "truncation_count": 1, "answer_accuracy_ppm": 500000, "extraction_rate_ppm": 833333, "parse_rate_ppm": 833333, "truncation_rate_ppm": 166667, "pass_at_k_ppm": {"1": 500000}, "verification_status_counts": {"match": 3, "mismatch": 2, "prediction_not_extracted": 1}, "finish_reason_counts": {"eos": 5, "length": 1}}),
-    "sampling": ("e07e5d433f91dc39edbe657b1af893124f03b17847eadc25429d6be3cc0e80a4", {"item_count": 6, "sample_count": 48, "correct_sample_count": 21, "completion_token_count_total": 597, "truncation_count": 1, "answer_accuracy_ppm": 437500, "extraction_rate_ppm": 958333, "parse_rate_ppm": 958333, "truncation_rate_ppm": 20833, "pass_at_k_ppm": {"1": 437500, "8": 833333}, "verification_status_counts": {"match": 21, "mismatch": 25, "prediction_not_extracted": 2}, "finish_reason_counts": {"eos": 47, "length": 1}}),
-}
-
-
 @pytest.fixture(scope="module")
 def tables(spark):
-    prompts = [*PROMPTS, "Give the smallest odd prime above five.", "Add seven and eight.", "Reduce six eighths."]
-    items = spark.createDataFrame([("synthetic/math-eval", "4" * 40, f"math:{k:03}", k, prompts[k], {"difficulty": "easy", "level": str(k % 2 + 1)}) for k in range(6)], ev.ITEM)
+    items = spark.createDataFrame([("synthetic/math-eval", "4" * 40, f"math:{k:03}", k, PROMPTS[k], {"difficulty": "easy", "level": str(k % 2 + 1)}) for k in range(6)], ev.ITEM)
     return items, spark.createDataFrame([("synthetic/math-eval", "4" * 40, f"math:{k:03}", r) for k, r in enumerate(REFERENCES)], ev.REFERENCE)
 
 
@@ -53,16 +37,17 @@ def test_runs_from_items_to_reports(spark, tables, tmp_path, mode):
     require_none(ev.response_violations(grid, responses))
     records = ev.generation_records(grid, responses).cache()
     require_none(ev.record_violations(records, items, protocol, CHECKPOINT))
-    scores = ev.sample_scores(records, references).cache()
+    scores = ev.sample_scores(records, references, scored_by(make)).cache()
     assert not {"generated_text", "reference", "prompt"} & set(scores.columns)
     ks = tuple(int(k) for k in WANT[mode][1]["pass_at_k_ppm"])
-    assert ev.golden_violations(WANT[mode][1], ev.report(scores, ks)) == []
+    assert ev.golden_violations(WANT[mode][1], {"generation_record_set_sha256": ev.record_set_sha256(records), "protocol_sha256": protocol.sha256, **ev.report(scores, ks)}) == []
     assert ev.item_scores(scores).where("item_index = 0").first().correct_count == protocol.samples_per_item
-    digest = ev.write_bundle(records, str(tmp_path / "records"), "run", protocol, CHECKPOINT, str(tmp_path / "manifest.json"))
-    again = ev.read_bundle(spark, str(tmp_path / "records"), str(tmp_path / "manifest.json"), items, protocol)
+    digest = ev.write_bundle(records, str(tmp_path / "bundle"), "run", protocol, CHECKPOINT)
+    assert digest == WANT[mode][1]["generation_record_set_sha256"]
+    again = ev.read_bundle(spark, str(tmp_path / "bundle"), items, protocol)
     assert ev.record_set_sha256(again) == digest and again.count() == records.count()
     with pytest.raises(ContractError, match="missing_record"):
-        ev.read_bundle(spark, str(tmp_path / "records"), str(tmp_path / "manifest.json"), items.withColumn("prompt", F.concat("prompt", F.lit("!"))), protocol)
+        ev.read_bundle(spark, str(tmp_path / "bundle"), items.withColumn("prompt", F.concat("prompt", F.lit("!"))), protocol)
 
 
 def test_known_identities(spark):
@@ -95,14 +80,14 @@ def test_faults_are_named(spark, tables, tmp_path):
     failed = responses.withColumns({"status": F.lit("failed"), "generated_text": F.lit(None).cast("string"), "output_token_ids": F.lit(None).cast("array<int>"), "finish_reason": F.lit(None).cast("string"), "error_code": F.lit("oom")})
     require_none(ev.response_violations(grid, failed))
     with pytest.raises(ContractError, match="failed_generation"):
-        ev.sample_scores(ev.generation_records(grid, failed), references)
+        ev.sample_scores(ev.generation_records(grid, failed), references, scored_by(make))
     with pytest.raises(Exception, match="no meaning"):
-        ev.sample_scores(records, references.withColumn("reference", F.lit("not a mathematical reference"))).collect()
+        ev.sample_scores(records, references.withColumn("reference", F.lit("not a mathematical reference")), scored_by(make)).collect()
     with pytest.raises(ContractError, match="greedy"):
         ev.Protocol("greedy", 2, **COMMON)
-    labels = ev.sample_scores(records, references.withColumn("reference", F.lit("B")), "strict_label")
+    labels = ev.sample_scores(records, references.withColumn("reference", F.lit("B")), ev.strict_label)
     assert labels.where("correct").count() == 0 and labels.where("extraction_status = 'strict_label_extracted'").count() == 0
-    plain = ev.sample_scores(records.withColumn("generated_text", F.lit("  B ")), references.withColumn("reference", F.lit("B")), "strict_label")
+    plain = ev.sample_scores(records.withColumn("generated_text", F.lit("  B ")), references.withColumn("reference", F.lit("B")), ev.strict_label)
     assert plain.where("correct").count() == 6
     path = str(tmp_path / "p.json")
     write_document(path, {**ev.asdict(PROTOCOLS["greedy"])})
@@ -113,7 +98,7 @@ def test_faults_are_named(spark, tables, tmp_path):
 def test_panels_come_from_scores(spark, tables):
     items, references = tables
     grid, responses = answered(spark, items, "greedy")
-    scores = ev.sample_scores(ev.generation_records(grid, responses), references).cache()
+    scores = ev.sample_scores(ev.generation_records(grid, responses), references, scored_by(make)).cache()
     panel = ev.panel_of({(arm, seed): scores for arm in paired.ARMS for seed in (101, 202, 303)}, items, "level")
     require_none(paired.panel_violations(panel, paired.Protocol()))
     assert panel.count() == 6 * 15 and len(ev.item_set_sha256(items)) == 64

@@ -36,6 +36,16 @@ def is_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.is_normalized("NFC", t))
 
 
+@F.pandas_udf(T.StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """The text in composed form (NFC); plain ASCII is so already and never leaves the JVM."""
+    return F.when(text.rlike(r"\A\p{ASCII}*\z"), text).otherwise(_nfc(text))
+
+
 def words(text: Column) -> Column:
     """Lower-case words of letters, digits and underscores: the form that SQL can check."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))

@@ -8,6 +8,7 @@ derived again anywhere and compared.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from fractions import Fraction
 
@@ -16,12 +17,12 @@ from pyspark.sql import functions as F
 
 from veraline.functions import predicates as P
 from veraline.functions import versions
-from veraline.functions.answers import judge_answer
 from veraline.functions.canonical import json_string, list_digest, object_sha256
-from veraline.functions.text import seed63
+from veraline.functions.text import composed, seed63
 from veraline.operators.checks import ContractError, named, repeated, require_none, union, violations
 from veraline.operators.trust import canonical_sha256
-from veraline.sources.documents import read_document, write_document
+from veraline.sources.committed import DATA, MANIFEST, publish
+from veraline.sources.documents import read_document
 
 ITEM = "benchmark_id string, benchmark_revision string, item_id string, item_index long, prompt string, strata map<string,string>"
 REFERENCE = "benchmark_id string, benchmark_revision string, item_id string, reference string"
@@ -170,25 +171,28 @@ def record_set_sha256(records: DataFrame) -> str:
     return list_digest(records, ["item_index", "sample_index"], text).first()["digest"]
 
 
-def write_bundle(records: DataFrame, folder: str, run_id: str, protocol: Protocol, checkpoint_sha256: str, manifest: str) -> str:
-    """Records as JSON lines in a folder, then the manifest (a local path) that says what they are; returns the set's digest.
+MANIFEST_FIELDS = ("schema_version", "run_id", "benchmark_id", "benchmark_revision", "protocol_sha256", "checkpoint_sha256", "record_count", "failed_count", "record_set_sha256")
 
-    The manifest comes last: records without one aren't a bundle.
-    """
-    records.write.mode("errorifexists").option("ignoreNullFields", "false").json(folder)
-    digest = record_set_sha256(records)
-    write_document(manifest, {"schema_version": versions.GENERATION_MANIFEST, "run_id": run_id, "protocol_sha256": protocol.sha256, "checkpoint_sha256": checkpoint_sha256, "record_count": records.count(), "record_set_sha256": digest})
-    return digest
 
+def write_bundle(records: DataFrame, folder: str, run_id: str, protocol: Protocol, checkpoint_sha256: str) -> str:
+    """Publish records as JSON lines with the manifest that says what they are, both or neither; returns the set's digest."""
+
+    def manifest(written: DataFrame) -> dict:
+        told = written.agg(F.count("*").alias("record_count"), F.count_if(F.col("status") == "failed").alias("failed_count"), F.min("benchmark_id").alias("benchmark_id"), F.min("benchmark_revision").alias("benchmark_revision")).first().asDict()
+        return {"schema_version": versions.GENERATION_MANIFEST, "run_id": run_id, "protocol_sha256": protocol.sha256, "checkpoint_sha256": checkpoint_sha256, "record_set_sha256": record_set_sha256(written), **told}
+
+    return publish(records, folder, manifest)["record_set_sha256"]
 
-def read_bundle(spark: SparkSession, folder: str, manifest: str, items: DataFrame, protocol: Protocol) -> DataFrame:
+
+def read_bundle(spark: SparkSession, folder: str, items: DataFrame, protocol: Protocol) -> DataFrame:
     """The records of a bundle, if they are what the manifest and the derived grid say."""
-    told = read_document(spark, manifest, {"schema_version", "run_id", "protocol_sha256", "checkpoint_sha256", "record_count", "record_set_sha256"}, versions.GENERATION_MANIFEST)
-    records = spark.read.schema(RECORD).json(folder)
+    told = read_document(spark, f"{folder}/{MANIFEST}", set(MANIFEST_FIELDS), versions.GENERATION_MANIFEST)
+    records = spark.read.schema(RECORD).json(f"{folder}/{DATA}")
     if told["protocol_sha256"] != protocol.sha256:
         raise ContractError("the manifest is of another protocol")
     require_none(record_violations(records, items, protocol, told["checkpoint_sha256"]))
-    if records.count() != told["record_count"] or record_set_sha256(records) != told["record_set_sha256"]:
+    counts = records.agg(F.count("*"), F.count_if(F.col("status") == "failed")).first()
+    if (counts[0], counts[1], record_set_sha256(records)) != (told["record_count"], told["failed_count"], told["record_set_sha256"]):
         raise ContractError("the records aren't those of the manifest")
     return records
 
@@ -203,8 +207,8 @@ STRICT_LABEL = r"^[A-Za-z0-9][A-Za-z0-9._+-]{0,63}\z"
 
 
 def strict_label(reference: Column, prediction: Column) -> Column:
-    """A label's verdict as a struct: blanks cut off, then exact equality."""
-    said = F.trim(prediction)
+    """A label's verdict as a struct: blanks cut off, composed, then exact equality."""
+    said = composed(F.trim(prediction))
     found = P.sure(said.rlike(STRICT_LABEL))
     same = found & (said == reference)
     return F.struct(
@@ -213,15 +217,44 @@ def strict_label(reference: Column, prediction: Column) -> Column:
     )
 
 
-def sample_scores(records: DataFrame, references: DataFrame, task: str = "exact_math") -> DataFrame:
+# How plain answers are announced, and what a plain number is.
+_ANNOUNCED = r"\\boxed\{[^{}]*\}|<answer>[^<]*</answer>|(?i:answer)(?: is|:)[^\n]*"
+_OPENED = r"\\boxed\{|<answer>|(?i:answer)(?: is|:)"
+_NUMBER = r"\A(-?[0-9]{1,18})(?:/([1-9][0-9]{0,17}))?\z"
+
+
+def announced(text: Column) -> Column:
+    """(status, answer, markers) of the last announced answer: in a box, between tags or to the end of its line; one that doesn't end is malformed."""
+    found = F.regexp_extract_all(text, F.lit(_ANNOUNCED), F.lit(0))
+    inside = F.trim(F.regexp_replace(F.element_at(found, -1), r"^(?:\\boxed\{|<answer>|(?i:answer)(?: is|:))|(?:\}|</answer>)$", ""))
+    none, cut = F.coalesce(F.size(found) == 0, F.lit(True)), F.regexp_count(text, F.lit(_OPENED)) > F.size(found)
+    status = F.when(cut, F.lit("malformed_final_answer")).when(none, F.lit("no_final_answer")).otherwise(F.lit("extracted"))
+    return F.struct(status.alias("status"), F.when(~cut & ~none, inside).alias("answer"), F.coalesce(F.regexp_count(text, F.lit(_OPENED)), F.lit(0)).alias("markers"))
+
+
+def plain_number(reference: Column, said: Column) -> Column:
+    """A scorer of whole numbers and fractions: exact equality of what announced() finds."""
+    told = announced(said)
+    part = lambda c, k: F.regexp_extract(c, _NUMBER, k)
+    fraction = lambda c: (part(c, 1).try_cast("decimal(18,0)"), F.coalesce(part(c, 2).try_cast("decimal(18,0)"), F.lit(1).cast("decimal(18,0)")))
+    (a, b), (c, d) = fraction(reference), fraction(told["answer"])
+    found = told["status"] == "extracted"
+    status = F.when(a.isNull(), "reference_invalid").when(~found, "prediction_not_extracted").when(c.isNull(), "prediction_unparseable").when(a * d == b * c, "match").otherwise("mismatch")
+    return F.struct(
+        status.alias("verification_status"), told["status"].alias("extraction_status"), F.when(found & c.isNotNull(), "parsed").otherwise("unparsed").alias("parse_status"),
+        F.when(found, F.lit("announced")).alias("answer_source"), told["markers"].cast("int").alias("marker_count"),
+    )
+
+
+def sample_scores(records: DataFrame, references: DataFrame, scorer: Callable[[Column, Column], Column]) -> DataFrame:
     """SCORE and score_sha256 of each record, without its text or the reference.
 
+    scorer: strict_label, plain_number, or a caller's own through backend.scored_by().
     Failed generations and references without meaning are no model errors: they raise.
     """
     require_none(union(named(records.where("status = 'failed'"), "failed_generation", "request_id"), named(records.join(references.select("item_id"), "item_id", "left_anti"), "no_reference", "request_id")))
     said = records.join(references.select("item_id", "reference"), "item_id")
-    verdict = judge_answer("reference", "generated_text") if task == "exact_math" else strict_label(F.col("reference"), F.col("generated_text"))
-    told = said.withColumn("v", verdict).select("request_id", "item_id", "item_index", "sample_index", F.col("record_sha256").alias("generation_record_sha256"), F.col("v.verification_status"), F.col("v.extraction_status"), F.col("v.parse_status"), F.col("v.answer_source"), F.col("v.marker_count"), F.size("output_token_ids").alias("completion_token_count"), "finish_reason")
+    told = said.withColumn("v", scorer(F.col("reference"), F.col("generated_text"))).select("request_id", "item_id", "item_index", "sample_index", F.col("record_sha256").alias("generation_record_sha256"), F.col("v.verification_status"), F.col("v.extraction_status"), F.col("v.parse_status"), F.col("v.answer_source"), F.col("v.marker_count"), F.size("output_token_ids").alias("completion_token_count"), "finish_reason")
     invalid = F.raise_error(F.lit("a reference has no meaning")).cast("boolean")
     told = told.withColumn("correct", F.when(F.col("verification_status") == "reference_invalid", invalid).otherwise(F.col("verification_status") == "match")).select(*SCORE)
     return told.withColumn("score_sha256", object_sha256(told, schema_version=F.lit(versions.SAMPLE_SCORE), **{n: n for n in SCORE}))

@@ -1,29 +1,35 @@
-"""Whole audits: data trust, sealed evaluation, paired statistics, verifier; their reports and golden comparison.
+"""Whole audits: data trust, evaluator, paired statistics, verifier; their reports and golden comparison.
 
     python -m veraline.plans.audits data-trust --sources S --transforms T --policy P --candidates C --evaluation E --out O [--golden G]
     python -m veraline.plans.audits statistics --panel P --out O [--golden G]
-    python -m veraline.plans.audits verifier --corpus C --out O
+    python -m veraline.plans.audits verifier --corpus C --scorer S --out O
+    python -m veraline.plans.audits evaluator --descriptor D --items I --references R --greedy G --sampling S --predictions P --expectation E --checkpoint SHA --scorer S --out O
+
+A scorer is plain_number, strict_label, or module:name of a factory as backend.scored_by() takes it.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veraline.functions import versions
-from veraline.functions.answers import verify_answer
 from veraline.functions.canonical import canonical_json, json_string, list_digest
 from veraline.operators import contamination as C
-from veraline.operators import paired, trust
+from veraline.operators import evaluation, paired, trust
+from veraline.operators.backend import scored_by
 from veraline.operators.checks import require_none
 from veraline.operators.evaluation import golden_violations
+from veraline.plans.evaluator import evaluator_audit
 from veraline.plans.store import materialize
 from veraline.sources import documents
-from veraline.sources.jsonl import read_records
+from veraline.sources.jsonl import Limits, read_records
 
 # The policy's record and the report's version.
 POLICY = {
@@ -145,14 +151,15 @@ def data_trust(candidates: DataFrame, held: DataFrame, sources: DataFrame, trans
 CASE = "case_id string, category string, reference string, prediction string, expected_reward double, expected_status string, notes string"
 
 
-def verifier_audit(cases: DataFrame, least: int = 100, most: int = 300) -> tuple[DataFrame, DataFrame]:
-    """(counts by category, failures without texts) of a corpus of between `least` and `most` cases."""
+def verifier_audit(cases: DataFrame, scorer: Callable[[Column, Column], Column], least: int = 100, most: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(counts by category, failures without texts) of a scorer on a corpus of between `least` and `most` cases; a reference without meaning has no reward."""
     n = cases.count()
     if not least <= n <= most:
         raise ValueError(f"a corpus has {least} to {most} cases, this one {n}")
-    told = cases.withColumn("v", verify_answer("reference", "prediction"))
-    right = F.col("v.reward").eqNullSafe(F.col("expected_reward")) & (F.col("expected_status").isNull() | (F.col("v.status") == F.col("expected_status")))
-    told = materialize(told.select("case_id", "category", "expected_reward", F.col("v.reward").alias("reward"), "expected_status", F.col("v.status").alias("status"), right.alias("passed")), "verified")
+    told = cases.withColumn("status", scorer(F.col("reference"), F.col("prediction"))["verification_status"])
+    told = told.withColumn("reward", F.when(F.col("status") != "reference_invalid", (F.col("status") == "match").cast("double")))
+    right = F.col("reward").eqNullSafe(F.col("expected_reward")) & (F.col("expected_status").isNull() | (F.col("status") == F.col("expected_status")))
+    told = materialize(told.select("case_id", "category", "expected_reward", "reward", "expected_status", "status", right.alias("passed")), "verified")
     counts = told.groupBy("category").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
     return counts, told.where(~F.col("passed")).drop("passed")
 
@@ -164,17 +171,27 @@ def statistics(panel: DataFrame, bindings: dict[str, str], protocol: paired.Prot
     return paired.confirm(panel, protocol, bindings)
 
 
-def _strict(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
-    records, broken = read_records(spark, path, schema, key)
-    require_none(broken.select("rule", F.col("detail").alias("key")))
+def _strict(spark: SparkSession, path: str, schema: T.StructType, key: str, limits: Limits | None = None) -> DataFrame:
+    records, broken = read_records(spark, path, schema, key, limits)
+    require_none(broken.select("rule", F.concat_ws(":", "file", "line").alias("key")))
     return records
 
 
+def scorer_of(name: str) -> Callable[[Column, Column], Column]:
+    if name in ("plain_number", "strict_label"):
+        return getattr(evaluation, name)
+    module, _, factory = name.partition(":")
+    return scored_by(getattr(importlib.import_module(module), factory))
+
+
+EVALUATOR = ("descriptor", "items", "references", "greedy", "sampling", "predictions", "expectation")
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 if the report is what the golden document says, or none is given; 1 otherwise."""
     parser = argparse.ArgumentParser(description="Audits over Spark")
     kinds = parser.add_subparsers(dest="kind", required=True)
-    for kind, needed in (("data-trust", ("sources", "transforms", "policy", "candidates", "evaluation")), ("statistics", ("panel",)), ("verifier", ("corpus",))):
+    for kind, needed in (("data-trust", ("sources", "transforms", "policy", "candidates", "evaluation")), ("statistics", ("panel",)), ("verifier", ("corpus", "scorer")), ("evaluator", (*EVALUATOR, "checkpoint", "scorer"))):
         own = kinds.add_parser(kind)
         for name in (*needed, "out"):
             own.add_argument(f"--{name}", required=True)
@@ -188,9 +205,11 @@ def main(argv: list[str] | None = None) -> int:
         report, _ = data_trust(*records, sources, transforms, documents.read_split_policy(spark, told.policy), {"source_registry_sha256": source_sha, "transform_registry_sha256": transform_sha})
     elif told.kind == "statistics":
         report = {r["hypothesis"]: r.asDict() for r in statistics(*paired.read_panel(spark, told.panel)).collect()}
+    elif told.kind == "evaluator":
+        report = evaluator_audit(spark, {k: getattr(told, k) for k in EVALUATOR}, told.checkpoint, scorer_of(told.scorer))
     else:
-        cases = _strict(spark, told.corpus, spark.createDataFrame([], CASE).schema, "case_id")
-        counts, failures = verifier_audit(cases)
+        cases = _strict(spark, told.corpus, spark.createDataFrame([], CASE).schema, "case_id", Limits(blank_is_fault=False))
+        counts, failures = verifier_audit(cases, scorer_of(told.scorer))
         report = {"categories": {r["category"]: r.asDict() for r in counts.collect()}, "failures": [r["case_id"] for r in failures.orderBy("case_id").collect()]}
     documents.write_document(told.out, report)
     golden = documents.read_document(spark, told.golden) if told.golden else report

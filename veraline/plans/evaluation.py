@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veraline.functions.answers import extract_answer, verify_answer
+from veraline.operators.backend import run_generation
+from veraline.operators.evaluation import Protocol, announced, plain_number
 from veraline.operators.resampling import exhaustive_sign_flip, holm, resampled_totals, type7_quantile
 from veraline.plans.sql import query, run_sql, sql, table
 
@@ -17,20 +18,20 @@ _KIND = "case when p_partkey % 6 = 3 then 'prediction_not_extracted' when p_part
 
 @query("verify_status_counts", f"select status, count(*) as n, sum(case when status = 'match' then 1 else 0 end)::bigint as correct from (select {_KIND} as status from part) x group by status")
 def verify_status_counts(spark, sf_dir):
-    v = run_sql(spark, sf_dir, _SAID).select(verify_answer(F.col("p_size").cast("string"), "said").alias("v"))
-    return v.groupBy("v.status").agg(F.count("*").alias("n"), F.sum(F.col("v.reward").cast("long")).alias("correct"))
+    v = run_sql(spark, sf_dir, _SAID).select(plain_number(F.col("p_size").cast("string"), F.col("said")).alias("v"))
+    return v.groupBy(F.col("v.verification_status").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("v.verification_status") == "match").alias("correct"))
 
 
 @query("audit_by_category", f"select (p_partkey % 6)::bigint as category, count(*) as total, count_if(status = 'match')::bigint as passed, count_if(status <> 'match')::bigint as failed from (select p_partkey, {_KIND} as status from part) x group by 1")
 def audit_by_category(spark, sf_dir):
-    v = run_sql(spark, sf_dir, _SAID).select((F.col("p_partkey") % 6).alias("category"), verify_answer(F.col("p_size").cast("string"), "said").alias("v"))
-    return v.groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.col("v.reward") == 1).alias("passed"), F.count_if(F.col("v.reward") != 1).alias("failed"))
+    v = run_sql(spark, sf_dir, _SAID).select((F.col("p_partkey") % 6).alias("category"), plain_number(F.col("p_size").cast("string"), F.col("said")).alias("v"))
+    return v.groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.col("v.verification_status") == "match").alias("passed"), F.count_if(F.col("v.verification_status") != "match").alias("failed"))
 
 
 @query("extract_answers", """select p_partkey, case when p_partkey % 6 = 3 then 'no_final_answer' when p_partkey % 6 = 4 then 'malformed_final_answer' else 'extracted' end as status, case p_partkey % 6 when 0 then p_size::varchar when 1 then (p_size + p_partkey % 4 - 1)::varchar when 2 then p_size || '/1' when 5 then (p_size * 10) || '/10' end as answer,
     case p_partkey % 6 when 3 then 0 when 5 then 2 else 1 end::int as markers from part""")
 def extract_answers(spark, sf_dir):
-    return run_sql(spark, sf_dir, _SAID).select("p_partkey", extract_answer("said").alias("e")).select("p_partkey", "e.status", "e.answer", "e.markers")
+    return run_sql(spark, sf_dir, _SAID).select("p_partkey", announced(F.col("said")).alias("e")).select("p_partkey", "e.status", "e.answer", F.col("e.markers").cast("int").alias("markers"))
 
 
 sql("strict_label_score", "select o_orderkey, trim(o_orderstatus) in ('F', 'O') and trim(o_orderstatus) = case when o_orderkey % 2 = 0 then 'F' else 'O' end as correct from orders")
@@ -42,6 +43,28 @@ sql(
     "select item_id, s.k as sample_index, sha2(concat_ws('|', 'run', item_id, s.k, sha2(text, 256)), 256) as request_id from benchmark lateral view explode(sequence(0L, 7L)) s as k",
     "select item_id, s.k as sample_index, sha256('run|' || item_id || '|' || s.k || '|' || sha256(text)) as request_id from benchmark, (select unnest(range(0, 8)) as k) s",
 )
+#: A backend that needs no model: it answers with sizes, last request first, and gives out on some.
+_GRID = """select item_id, 'item:' || item_id as name, s.k as sample_index, length(text) * 7 + s.k as said, (item_id + s.k) % 11 = 5 as fails from benchmark, (select unnest(range(0, 4)) as k) s"""
+
+
+def _sizes():
+    def answer(asked: list[dict]) -> list[dict]:
+        if any((r["item_index"] + r["sample_index"]) % 11 == 5 for r in asked):
+            raise RuntimeError("out of memory")
+        said = [str(len(r["prompt"]) * 7 + r["sample_index"]) for r in asked]
+        return [{"request_id": r["request_id"], "status": "completed", "generated_text": t, "output_token_ids": [*t.encode(), 2], "finish_reason": "eos", "error_code": None} for r, t in zip(asked, said, strict=True)][::-1]
+
+    return answer
+
+
+@query("generation_run", f"select name as item_id, sample_index, case when fails then 'failed' else 'completed' end as status, case when not fails then said::varchar end as generated_text, case when fails then 0 else length(said::varchar) + 1 end::int as tokens, case when fails then 'backend_error' end as error_code from ({_GRID}) g")
+def generation_run(spark, sf_dir):
+    text = F.col("text")
+    items = table(spark, sf_dir, "benchmark").select(F.lit("made").alias("benchmark_id"), F.lit("1").alias("benchmark_revision"), F.concat(F.lit("item:"), "item_id").alias("item_id"), F.col("item_id").alias("item_index"), text.alias("prompt"), F.create_map().cast("map<string,string>").alias("strata"))
+    protocol = Protocol("sampling", 4, 64, "", "a" * 64, 2, (2,), (), 700_000, 950_000, 0, "queries", 1)
+    return run_generation(items, protocol, "b" * 64, _sizes).select("item_id", "sample_index", "status", "generated_text", F.size("output_token_ids").alias("tokens"), "error_code")
+
+
 sql("response_bijection", """
     select side, count(*) as n from (select case when q.o_orderkey is null then 'extra' when r.k is null then 'missing' when r.n > 1 then 'duplicate' else 'paired' end as side
       from (select o_orderkey from orders) q full join (select l_orderkey as k, count(*) as n from lineitem group by l_orderkey) r on q.o_orderkey = r.k) x group by side""")

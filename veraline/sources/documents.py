@@ -7,8 +7,6 @@ written whole or not at all.
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from veraline.functions import versions
 from veraline.operators import trust
 from veraline.operators.checks import ContractError, require_none
+from veraline.sources.committed import document_text, write_text
 
 MOST_BYTES = 16 << 20
 
@@ -118,17 +117,6 @@ def read_split_policy(spark: SparkSession, path: str) -> trust.SplitPolicy:
 
 
 def write_document(path: str, value: object) -> str:
-    """Write one JSON document of a driver's size, whole or not at all; returns its canonical digest."""
-    folder = os.path.dirname(os.path.abspath(path))
-    handle, name = tempfile.mkstemp(dir=folder)
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump(value, f, ensure_ascii=False, allow_nan=False, sort_keys=True, indent=2)
-            f.write("\n")
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(name, path)
-    except BaseException:
-        os.unlink(name)
-        raise
+    """Write one JSON document of a driver's size, whole or not at all, to the store of the path; returns its canonical digest."""
+    write_text(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), path, document_text(value))
     return trust.canonical_sha256(value)
