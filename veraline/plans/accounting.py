@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veraline.functions.text import let, log_softmax, softcap
 from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask, group_advantages, interpolate, kl, ledger, nll
 from veraline.operators.linear_losses import Transform, aligned_heads, linear_cross_entropy, linear_reverse_kl
+from veraline.operators.mask_budget import select
 from veraline.operators.ordering import keyed_totals
 from veraline.plans.sql import query, run_sql, sql, table
 
@@ -89,6 +90,22 @@ def softcap_logits(spark, sf_dir):
 sql("masked_ce_global_mean", """select label, round(sum(loss), 6) as ce_sum, count(*) as tokens, round(sum(loss) / count(*), 6) as token_mean from (
     select label, ln(1 + exp(-cast(vec_id % 17 as double) / 7)) as loss, vec_id % 5 <> 0 as chosen from embeddings) x where chosen group by label""")
 
+# --- masks of an update: orders are rows, their seven lines places, the customer the sample ---
+
+
+@query("mask_budget_plan", """with g as (select o_custkey, o_orderkey, i::int as i, coalesce(max(l_quantity) filter (where l_linenumber = i), 0) > 20 as m from orders left join lineitem on l_orderkey = o_orderkey, range(1, 8) r(i) group by 1, 2, 3),
+    c as (select *, m and sum(m::int) over (order by o_custkey, o_orderkey, i) <= 12345 as kept from g)
+    select o_orderkey, sum(m::int)::int as candidates, sum(kept::int)::int as selected, string_agg(case when kept then '1' else '0' end, '' order by i) as mask from c group by 1""")
+def mask_budget_plan(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_quantity") > 20, F.col("l_linenumber"))).alias("on"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("sample_id"), F.col("o_orderkey").alias("generation_index"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.coalesce(F.exists("on", lambda n: n == i), F.lit(False)))
+    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "sample_id", "generation_index", places.alias("mask"))
+    n = lambda c: F.size(F.filter(c, lambda x: x))
+    digits = F.array_join(F.transform("loss_mask", lambda x: F.when(x, "1").otherwise("0")), "")
+    return select(rows, 12345).rows.select("o_orderkey", n("candidate_mask").alias("candidates"), n("loss_mask").alias("selected"), digits.alias("mask"))
+
+
 # --- losses from hidden states: vectors are positions, means of vectors by vec_id % 211 the head's rows ---
 
 _HEAD = "select token, list(w order by i) as w, list(w order by i)[1:32] as u from (select (vec_id % 211)::bigint as token, i, 4 * avg(embedding[i]::double) as w from embeddings, range(1, 65) r(i) group by 1, 2) x group by token"
