@@ -6,7 +6,8 @@ characters, decodes as much as the encoding's own length says, and adds a span o
 for what parses: private keys in DER whose nested lengths close exactly and whose fields are
 those of PKCS#1, SEC1, DSA or PKCS#8; OpenSSH private-key files, field by field; PEM
 bodies of these, or encrypted ones with their headers; and token headers that are
-JSON with an algorithm.  Certificates, public keys and signatures are no secrets and
+JSON with an algorithm.  Lengths are followed by decoding single headers, so a beginning that
+leads nowhere costs the same in a text of any size, and all of a key is decoded only where they close.  Certificates, public keys and signatures are no secrets and
 are left out.  A base span is never taken away.
 """
 
@@ -17,6 +18,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,14 +33,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
 LEAST_VALUE = 6
 #: Kinds that the method adds, in the order in which ties of start are listed.
-ADDED = ("jwt", "pem_key", "ssh_key", "der_base64", "der_hex")
+ADDED = ("jwt", "pem_key", "ssh_key", "der_base64", "der_hex", "pem_base64", "ssh_hex")
 
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:\s*[A-Za-z-]{4,20}: [^\r\n]{0,200}\r?\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
 _ENCRYPTED = re.compile(r"DEK-Info: [A-Z0-9-]{3,40},([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\b")
 # Where an encoding may begin: a DER sequence of a possible length, the magic words of a key file.
-_BASE64_START = re.compile(r"(?=M[A-I][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjE)")
-_HEX_START = re.compile(r"(?=30(?:8[123]|[0-7][0-9A-Fa-f])[0-9A-Fa-f]{28})")
+_BASE64_START = re.compile(r"(?=M[A-I][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi)")
+_HEX_START = re.compile(r"(?=30(?:8[123]|[0-7][0-9A-Fa-f])[0-9A-Fa-f]{28}|(?i:6f70656e7373682d6b65792d7631)00)")
+_PEM_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+_BLOCK = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+_PLAIN_ALPHABET = str.maketrans("-_", "+/")
 _RUN, _LINE_END = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"\r?\n[ \t]*")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 _SSH_MAGIC = b"openssh-key-v1\0"
@@ -101,32 +107,79 @@ def is_der_key(data: bytes) -> bool:
     return tags == [_SEQUENCE, _OCTETS] and data[fields[0][1]] == _OID and any(data[fields[0][1] + 2 :].startswith(x) for x in _PBE)
 
 
-def ssh_key_size(data: bytes) -> int:
-    """Bytes of the OpenSSH private-key file that data begins with; 0 if its length-led fields aren't all there."""
-    if not data.startswith(_SSH_MAGIC):
+Peek = Callable[[int, int], bytes]
+
+
+def _ssh_size(peek: Peek) -> int:
+    """Bytes of the OpenSSH private-key file at the beginning; 0 if its length-led fields aren't all there.  Only lengths and short fields are looked at."""
+    if peek(0, len(_SSH_MAGIC)) != _SSH_MAGIC:
         return 0
     at = len(_SSH_MAGIC)
 
-    def field() -> bytes | None:
+    def field(most: int) -> tuple[int, int] | None:
+        """(start, size) of the next field, if it's no longer than `most` and all there."""
         nonlocal at
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
+        head = peek(at, 4)
+        size, start = int.from_bytes(head, "big"), at + 4
+        if len(head) < 4 or size > most or size and not peek(start + size - 1, 1):
             return None
-        at += 4 + size
-        return data[at - size : at]
+        at = start + size
+        return start, size
 
-    cipher, kdf, options = field(), field(), field()
-    if not cipher or not kdf or options is None or (cipher == b"none") != (kdf == b"none"):
+    cipher, kdf, options = field(64), field(64), field(1024)
+    if not cipher or not kdf or not options or not cipher[1] or not kdf[1] or (peek(*cipher) == b"none") != (peek(*kdf) == b"none"):
         return 0
-    n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    n, at = int.from_bytes(peek(at, 4), "big"), at + 4
     if not 1 <= n <= 16:
         return 0
-    if any(not (blob := field()) or not blob[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")) for _ in range(n)):
+    for _ in range(n):
+        blob = field(MOST_KEY)
+        if not blob or not peek(blob[0] + 4, 6).startswith((b"ssh-", b"ecdsa-", b"sk-")):
+            return 0
+    private = field(MOST_KEY)
+    if not private or not private[1] or private[1] % 8 or peek(*cipher) == b"none" and peek(private[0], 4) != peek(private[0] + 4, 4):
         return 0
-    private = field()
-    if not private or len(private) % 8 or cipher == b"none" and private[:4] != private[4:8]:
+    return at if at <= MOST_KEY else 0
+
+
+def ssh_key_size(data: bytes) -> int:
+    """_ssh_size() of whole bytes."""
+    return _ssh_size(lambda k, n: data[k : k + n])
+
+
+def _der_size(peek: Peek) -> int:
+    """Bytes of the DER sequence at the beginning if its outer values, whose headers alone are looked at, begin as a private key's do and fill it; else 0."""
+
+    def header(at: int, end: int) -> tuple[int, int, int] | None:
+        data = peek(at, 6)
+        if len(data) < 2 or data[0] & 0x1F == 0x1F:
+            return None
+        size, n = data[1], 0
+        if size & 0x80:
+            n = size & 0x7F
+            size = int.from_bytes(data[2 : 2 + n], "big")
+            if not 1 <= n <= 4 or len(data) < 2 + n or size < 0x80 or n > 1 and not size >> (8 * (n - 1)):
+                return None
+        start = at + 2 + n
+        return (data[0], start, start + size) if start + size <= end else None
+
+    top = header(0, MOST_KEY)
+    if not top or top[0] != _SEQUENCE or top[2] < LEAST_KEY:
         return 0
-    return at
+    at, count = top[1], 0
+    while at < top[2]:
+        found = header(at, top[2])
+        count += 1
+        if not found or count > 12 or count == 1 and not (found[0] == _SEQUENCE or found[0] == _INTEGER and found[2] - found[1] == 1 and peek(found[1], 1) in (b"\0", b"\1")):
+            return 0
+        at = found[2]
+    return top[2]
+
+
+def _may_be_der(head: bytes) -> bool:
+    """Whether the first nine bytes are a sequence's header and a version's, or another sequence's."""
+    at = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)
+    return at < len(head) and (head[at] == _SEQUENCE or head[at : at + 2] == b"\2\1")
 
 
 def _decoded(text: str) -> bytes | None:
@@ -139,51 +192,102 @@ def _decoded(text: str) -> bytes | None:
         return None
 
 
-def _taken(text: str, at: int, n: int) -> tuple[str, int]:
-    """(up to n base64 characters from `at` on, over line ends; where they end)."""
-    parts = []
-    while n > 0 and (m := _RUN.match(text, at)):
-        parts.append(m[0][:n])
-        n, at = n - len(parts[-1]), at + len(parts[-1])
-        gap = _LINE_END.match(text, at)
-        if n <= 0 or not gap or not _RUN.match(text, gap.end()):
-            break
-        at = gap.end()
-    return "".join(parts), at
-
-
-def _base64_key(text: str, at: int) -> tuple[str, int] | None:
+class _Block:
+    """Base64 characters over line ends, from a place in the text on; taken apart once for all candidates in them."""
+
+    def __init__(self, text: str, at: int):
+        self.at, self.end = at, _BLOCK.match(text, at).end()
+        parts, self.places, self.before, n = [], [], [], 0
+        while at < self.end:
+            run = _RUN.match(text, at)
+            self.places.append(at)
+            self.before.append(n)
+            parts.append(run[0])
+            n += len(run[0])
+            gap = _LINE_END.match(text, run.end())
+            at = gap.end() if gap else self.end
+        self.body = "".join(parts).translate(_PLAIN_ALPHABET)
+
+    def index(self, at: int) -> int:
+        k = bisect_right(self.places, at) - 1
+        return self.before[k] + at - self.places[k]
+
+    def place(self, index: int) -> int:
+        """Where, in the text, the characters before index end."""
+        k = bisect_right(self.before, index - 1) - 1
+        return self.places[k] + index - self.before[k]
+
+    def peek(self, index: int) -> Peek:
+        body = self.body
+
+        def peek(k: int, n: int) -> bytes:
+            a = index + k // 3 * 4
+            part = body[a : a + (k % 3 + n + 2) // 3 * 4]
+            part = part[:-1] if len(part) % 4 == 1 else part
+            return binascii.a2b_base64(part + "=" * (-len(part) % 4))[k % 3 : k % 3 + n]
+
+        return peek
+
+
+def _padded(text: str, end: int, chars: int) -> int:
+    """The end with the padding that belongs to so many characters."""
+    while end < len(text) and text[end] == "=" and (chars + 1) % 4 != 1:
+        end, chars = end + 1, chars + 1
+    return end
+
+
+def _confirmed_pem(m: re.Match) -> bool:
+    data, iv = _decoded(m[3]), _ENCRYPTED.search(m[2])
+    return bool(data and (is_der_key(data) or ssh_key_size(data) or iv and len(data) % (len(iv[1]) // 2) == 0))
+
+
+def _wrapped_pem(peek: Peek) -> int:
+    """Bytes of the PEM private key at the beginning, confirmed; 0 if there's none.  As much is decoded as it takes to see its end or that it has none."""
+    n = 1024
+    while True:
+        data = peek(0, n)
+        text = data.decode("latin-1")
+        head = _PEM_HEAD.match(text)
+        if not head:
+            return 0
+        stop = text.find("-----", head.end())
+        if stop >= 0 and len(text) >= stop + 80 or len(data) < n:
+            m = _PEM.match(text)
+            return m.end() if m and _confirmed_pem(m) else 0
+        if n > 2 * MOST_KEY:
+            return 0
+        n *= 2
+
+
+def _base64_key(text: str, block: _Block, at: int) -> tuple[str, int] | None:
     """(kind, end) of the key whose base64 begins at `at`."""
-    if text[at] == "b":
-        size = ssh_key_size(_decoded(_taken(text, at, MOST_KEY)[0][: MOST_KEY // 4 * 4]) or _decoded(_taken(text, at, MOST_KEY)[0][:-1]) or b"")
-        kind = "ssh_key"
-    else:
-        head = _decoded(text[at : at + 8]) or b""
-        n = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
-        size = 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + (head[1] if len(head) > 1 else 0)
-        kind = "der_base64"
-    if not LEAST_KEY <= size <= MOST_KEY:
+    index = block.index(at)
+    if text[at] == "M" and not _may_be_der(binascii.a2b_base64(block.body[index : index + 12])):
+        return None
+    peek = block.peek(index)
+    kind, size = {"b": ("ssh_key", _ssh_size), "L": ("pem_base64", _wrapped_pem), "M": ("der_base64", _der_size)}[text[at]]
+    size = size(peek)
+    if size < LEAST_KEY:
         return None
     chars = -(-size * 4 // 3)
-    body, end = _taken(text, at, chars)
-    data = _decoded(body) if len(body) == chars else None
-    if not data or kind == "der_base64" and not is_der_key(data[:size]):
+    if len(block.body) < index + chars or kind == "der_base64" and not is_der_key(peek(0, size)):
         return None
-    while end < len(text) and text[end] == "=" and (end - at) < 2 * chars + 2 and (len(body) + 1) % 4 != 1:
-        end, body = end + 1, body + "="
-    return kind, end
+    return kind, _padded(text, block.place(index + chars), chars)
 
 
-def _hex_key(text: str, at: int) -> int | None:
-    """The end of the DER key whose hex begins at `at`."""
-    head = bytes.fromhex(text[at : at + 12])
-    n = head[1] & 0x7F if head[1] & 0x80 else 0
-    size = 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
-    if not LEAST_KEY <= size <= MOST_KEY:
-        return None
-    body = text[at : at + 2 * size]
-    whole = _HEX_RUN.fullmatch(body) and len(body) == 2 * size
-    return at + 2 * size if whole and is_der_key(bytes.fromhex(body)) else None
+def _hex_key(text: str, at: int) -> tuple[str, int] | None:
+    """(kind, end) of the key whose hex begins at `at`."""
+
+    def peek(k: int, n: int) -> bytes:
+        run = _HEX_RUN.match(text, at + 2 * k, at + 2 * k + 2 * n)
+        return bytes.fromhex(run[0][: len(run[0]) // 2 * 2]) if run else b""
+
+    if text[at] == "3":
+        size = _der_size(peek)
+        data = peek(0, size)
+        return ("der_hex", at + 2 * size) if size and len(data) == size and is_der_key(data) else None
+    size = _ssh_size(peek)
+    return ("ssh_hex", at + 2 * size) if size and len(peek(0, size)) == size else None
 
 
 def is_signed_token(token: str) -> bool:
@@ -212,20 +316,20 @@ def added_spans(text: str) -> list[tuple[int, str, int]]:
     if "eyJ" in text:
         out += [(m.start(), "jwt", m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = _decoded(m[3])
-            iv = _ENCRYPTED.search(m[2])
-            if data and (is_der_key(data) or ssh_key_size(data) or iv and len(data) % (len(iv[1]) // 2) == 0):
-                out.append((m.start(), "pem_key", m.end()))
+        out += [(m.start(), "pem_key", m.end()) for m in _PEM.finditer(text) if _confirmed_pem(m)]
+    block = None
     for m in _BASE64_START.finditer(text):
-        if m.start() >= done and (found := _base64_key(text, m.start())):
-            done = found[1]
-            out.append((m.start(), *found))
+        if m.start() >= done:
+            if not block or m.start() >= block.end:
+                block = _Block(text, m.start())
+            if found := _base64_key(text, block, m.start()):
+                done = found[1]
+                out.append((m.start(), *found))
     done = 0
     for m in _HEX_START.finditer(text):
-        if m.start() >= done and (end := _hex_key(text, m.start())):
-            done = end
-            out.append((m.start(), "der_hex", end))
+        if m.start() >= done and (found := _hex_key(text, m.start())):
+            done = found[1]
+            out.append((m.start(), *found))
     return out
 
 
