@@ -195,16 +195,42 @@ def test_interpolation_and_keyed_totals(spark):
         running_totals(rows.withColumn("Position", F.lit(1)), ["i"], {"before": "w"})
 
 
+def test_fractions_are_rounded_once(spark):
+    from veraline.operators.evaluation import mean_of_fractions, pass_at_k_ppm
+
+    # halves that doubles or billionths put on the wrong side, and denominators of many digits
+    rows = [("half", 1, 2_000_000), ("half", 0, 7), ("long", 1, 2**61 - 1), ("long", 10**17, 3 * 10**17 + 1), *(("many", k, 997 + k) for k in range(400)), ("same", 1, 3), ("same", 1, 3), ("same", 2, 6)]
+    got = {r.k: r.ppm for r in mean_of_fractions(spark.createDataFrame(rows, "k string, a long, b long"), "k", "a", "b").collect()}
+    for key in {r[0] for r in rows}:
+        own = [Fraction(a, b) for k, a, b in rows if k == key]
+        mean = sum(own) / len(own) * 1_000_000
+        assert got[key] == (2 * mean.numerator + mean.denominator) // (2 * mean.denominator), key
+    counts = [(n, c) for n in (1, 5, 64, 1024, 4096) for c in (0, 1, n // 2, n)] + [(None, 1), (3, None)]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(counts)], "i int, n long, c long")
+    for r in pass_at_k_ppm(frame, "n", "c", (1, 8, 100)).collect():
+        for k in (1, 8, 100):
+            if r.n is None or r.c is None or r.n < k:
+                assert r[f"pass_at_{k}"] is None
+            else:
+                exact = (1 - Fraction(comb(r.n - r.c, k), comb(r.n, k))) * 1_000_000
+                assert r[f"pass_at_{k}"] == (2 * exact.numerator + exact.denominator) // (2 * exact.denominator)
+
+
 def test_resampling_is_what_plain_draws_give(spark):
     import hashlib
 
-    units = [3, -1, 0, 2, 2, -4]
+    units = [(7 * k) % 11 - 5 for k in range(300)]
     frame = spark.createDataFrame(list(enumerate(units)), "item long, u long")
-    draw = lambda seed, rep, k: int(hashlib.sha256(f"{seed}:{rep}:{k}".encode()).hexdigest()[:12], 16)
+    digest = lambda seed, rep, block: hashlib.sha256(f"{seed}:{rep}:{block}".encode()).hexdigest()
+    draw = lambda seed, rep, k: int(digest(seed, rep, k // 5)[12 * (k % 5) :][:12], 16)
+    sign = lambda seed, rep, k: bin(int(digest(seed, rep, k // 256), 16))[2:].zfill(256)[k % 256] == "1"
     boot = {r.rep: r.total for r in resampled_totals(frame, "item", "u", 40, "s", "bootstrap").collect()}
-    assert boot == {rep: sum(units[draw("s", rep, k) % 6] for k in range(6)) for rep in range(40)}
+    assert boot == {rep: sum(units[draw("s", rep, k) % 300] for k in range(300)) for rep in range(40)}
     signs = {r.rep: r.total for r in resampled_totals(frame, "item", "u", 40, "s", "signs").collect()}
-    assert signs == {rep: sum(u if draw("s", rep, k) % 2 else -u for k, u in enumerate(units)) for rep in range(40)}
+    assert signs == {rep: sum(u if sign("s", rep, k) else -u for k, u in enumerate(units)) for rep in range(40)}
+    few = units[:9]
+    totals = [sum(u if mask >> k & 1 else -u for k, u in enumerate(few)) for mask in range(512)]
+    assert tuple(exhaustive_sign_flip(frame.where("item < 9"), "item", "u").first()) == (sum(t >= sum(few) for t in totals), 512)
     many = spark.createDataFrame([(i, 1) for i in range(70)], "item long, u long")
     assert exhaustive_sign_flip(many, "item", "u").first().flips == str(2**70)
 

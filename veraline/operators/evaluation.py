@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,6 +270,52 @@ def half_up(value: Fraction) -> int:
     return (2 * value.numerator * SCALE + value.denominator) // (2 * value.denominator)
 
 
+def pass_at_k_ppm(rows: DataFrame, n: str, c: str, ks: tuple[int, ...]) -> DataFrame:
+    """rows with pass_at_k in millionths for each k, exact until it's rounded half up once; null where there are fewer than k samples or no count.
+
+    Fractions are made once for each (samples, right ones), so the numbers' length costs
+    as many times as there are such pairs.
+    """
+    names = [f"pass_at_{k}" for k in ks]
+
+    def run(frames):
+        for frame in frames:
+            for k, name in zip(ks, names, strict=True):
+                frame[name] = [half_up(pass_at_k(a, b, k)) if 0 <= b <= a and a >= k else None for a, b in zip(frame["vl_n"].tolist(), frame["vl_c"].tolist(), strict=True)]
+                frame[name] = frame[name].astype("Int64")
+            yield frame
+
+    pairs = rows.select(F.col(n).cast("long").alias("vl_n"), F.col(c).cast("long").alias("vl_c")).where("vl_n is not null and vl_c is not null").distinct()
+    told = pairs.mapInPandas(run, "vl_n long, vl_c long" + "".join(f", {x} long" for x in names))
+    return rows.join(told, (F.col(n) == F.col("vl_n")) & (F.col(c) == F.col("vl_c")), "left").select(*rows.columns, *names)
+
+
+#: Parts that fractions of a key are added up in before they meet.
+FRACTION_PARTS = 64
+
+
+def mean_of_fractions(rows: DataFrame, key: str, num: str, den: str) -> DataFrame:
+    """(key, ppm): the mean of each key's fractions num / den (whole numbers, den from 1 on), exact until it's rounded half up once.
+
+    Equal fractions are counted first; counts of different ones are added as whole
+    numbers of any length, in parts by hash, so a key of many fractions isn't one task.
+    """
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum((Fraction(int(a), int(b)) * int(n) for a, b, n in zip(frame["a"], frame["b"], frame["n"], strict=True)), Fraction(0))
+        return pd.DataFrame({"k": [frame["k"].iloc[0]], "part": [frame["part"].iloc[0]], "a": [str(total.numerator)], "b": [str(total.denominator)], "n": [1], "all": [int(frame["all"].sum())]})
+
+    def rounded(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum((Fraction(int(a), int(b)) for a, b in zip(frame["a"], frame["b"], strict=True)), Fraction(0))
+        return pd.DataFrame({"k": [frame["k"].iloc[0]], "ppm": [half_up(total / int(frame["all"].sum()))]})
+
+    kind = dict(rows.dtypes)[key]
+    told = rows.select(F.col(key).alias("k"), F.col(num).cast("string").alias("a"), F.col(den).cast("string").alias("b")).groupBy("k", "a", "b").agg(F.count("*").alias("n"))
+    told = told.select("k", F.pmod(F.xxhash64("a", "b"), F.lit(FRACTION_PARTS)).cast("int").alias("part"), "a", "b", "n", F.col("n").alias("all"))
+    parts = told.groupBy("k", "part").applyInPandas(added, f"k {kind}, part int, a string, b string, n long, all long")
+    return parts.groupBy("k").applyInPandas(rounded, f"k {kind}, ppm long").withColumnRenamed("k", key)
+
+
 def item_scores(scores: DataFrame) -> DataFrame:
     """(item_id, item_index, n, correct_count, sample_correctness) in the order of samples; a protocol bounds an item's samples."""
     rows = F.array_sort(F.collect_list(F.struct("sample_index", "correct")))

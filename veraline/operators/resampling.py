@@ -68,8 +68,9 @@ def resampled_totals(units: DataFrame, item: str, unit: str, reps: int, seed: st
     """(rep, total) of `reps` resamples of the units in the order of their items.
 
     draws: "bootstrap" draws as many units with replacement, "signs" gives each a sign.
-    A draw is the first 12 hexadecimal digits of sha256 of seed:rep:position, modulo the number of
-    units or 2, so any rep can be drawn anywhere.  The units travel to the reps: they
+    The digest sha256 of seed:rep:block gives five draws of 12 hexadecimal digits each,
+    modulo the number of units, or 256 signs, bit after bit; so any rep can be drawn
+    anywhere.  The units travel to the reps: they
     are one evaluation set, held as one array of at most HELD_UNITS.
     """
     import hashlib
@@ -83,17 +84,21 @@ def resampled_totals(units: DataFrame, item: str, unit: str, reps: int, seed: st
 
     def run(batches):
         own = held.value
-        places = [f":{k}".encode() for k in range(len(own))]
+        blocks = [f":{k}".encode() for k in range(-(-len(own) // (5 if draws == "bootstrap" else 256)))]
         for pdf in batches:
             totals = []
             for rep in pdf["rep"].tolist():
-                start = hashlib.sha256(f"{seed}:{rep}".encode())
-                drawn = np.empty(len(own), np.int64)
-                for k, place in enumerate(places):
+                start, found = hashlib.sha256(f"{seed}:{rep}".encode()), []
+                for block in blocks:
                     h = start.copy()
-                    h.update(place)
-                    drawn[k] = int.from_bytes(h.digest()[:6], "big")
-                totals.append(int(own[drawn % len(own)].sum()) if draws == "bootstrap" else int(np.where(drawn % 2 == 1, own, -own).sum()))
+                    h.update(block)
+                    found.append(h.digest())
+                drawn = np.frombuffer(b"".join(found), np.uint8)
+                if draws == "bootstrap":
+                    six = drawn.reshape(-1, 32)[:, :30].reshape(-1, 6)[: len(own)].astype(np.int64)
+                    totals.append(int(own[(six << np.arange(40, -1, -8)).sum(axis=1) % len(own)].sum()))
+                else:
+                    totals.append(int(np.where(np.unpackbits(drawn)[: len(own)] == 1, own, -own).sum()))
             yield pd.DataFrame({"rep": pdf["rep"], "total": totals})
 
     parts = spark.sparkContext.defaultParallelism * 4

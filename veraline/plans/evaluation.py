@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veraline.operators.backend import run_generation
-from veraline.operators.evaluation import Protocol, announced, plain_number
+from veraline.operators.evaluation import Protocol, announced, pass_at_k_ppm, plain_number
 from veraline.operators.resampling import exhaustive_sign_flip, holm, resampled_totals, type7_quantile
 from veraline.plans.sql import query, run_sql, sql, table
 
@@ -72,19 +72,31 @@ _SAMPLES = "select user_id as item, event_id, cast(row_number() over (partition
 sql("sample_scores", f"select item, sample_index, correct, tokens, case when event_type = 'error' then 'length' else 'eos' end as finish from ({_SAMPLES}) s")
 _ITEMS = f"select item, count(*) as n, cast(sum(correct) as bigint) as c, cast(sum(tokens) as bigint) as tokens from ({_SAMPLES}) s group by item"
 sql("item_scores", f"select item, n, c, tokens, cast(floor((2000000 * c + n) / (2 * n)) as bigint) as accuracy_ppm from ({_ITEMS}) i")
-#: 1 - product of (1 - k / i) for i from n - c + 1 to n
-_PASS_DUCK = ", ".join(f"round(case when n < {k} then null when n - c < {k} then 1.0::double when c = 0 then 0.0::double else 1.0::double - list_product([(1 - {k}.0::double / i)::double for i in range(n - c + 1, n + 1)]) end, 9) as pass_at_{k}" for k in (1, 2, 4, 8))
-_PASS_SPARK = ", ".join(f"round(case when n < {k} then null when n - c < {k} then 1.0D when c = 0 then 0.0D else 1.0D - aggregate(sequence(n - c + 1, n), 1.0D, (a, i) -> a * (1 - {k}.0D / i)) end, 9) as pass_at_{k}" for k in (1, 2, 4, 8))
-sql("pass_at_k", f"select item, n, c, {_PASS_SPARK} from ({_ITEMS}) i", f"select item, n, c, {_PASS_DUCK} from ({_ITEMS}) i")
+_KS = (1, 2, 4, 8)
+
+
+def _product(first: str, k: int) -> str:
+    return " * ".join(f"({first} - {i})::hugeint" for i in range(k))
+
+
+# exact: right ones of n by falling products, rounded once to millionths
+_PASS = ", ".join(f"case when n >= {k} then ((2000000 * ({_product('n', k)} - {_product('n - c', k)}) + {_product('n', k)}) // (2 * {_product('n', k)}))::bigint end as pass_at_{k}" for k in _KS)
+
+
+@query("pass_at_k", f"select item, n, c, {_PASS} from ({_ITEMS}) i")
+def pass_at_k(spark, sf_dir):
+    return pass_at_k_ppm(run_sql(spark, sf_dir, _ITEMS).select("item", "n", "c"), "n", "c", _KS)
+
+
 sql("eval_report", f"""select count(*) as items, cast(sum(n) as bigint) as samples, cast(sum(c) as bigint) as correct, cast(floor((2000000 * sum(c) + sum(n)) / (2 * sum(n))) as bigint) as accuracy_ppm, cast(sum(tokens) as bigint) as tokens,
     round(avg(cast(c as double) / n), 9) as mean_pass_at_1 from ({_ITEMS}) i""")
 sql("status_counts", "select event_type as status, count(*) as n, count(distinct user_id) as items from events group by event_type")
 sql("finish_reason_semantics", """select event_id, case when tokens = 99 then 'length' when last_id = 1 then 'eos' when last_id in (2, 3) then 'stop_token' when event_type like '%ick' then 'stop_sequence' else 'none' end as finish
     from (select event_id, event_type, cast(floor(value) as bigint) as tokens, event_id % 9 as last_id from events) e""")
 
-# --- paired statistics: five event types are arms, user_id % 40 the item, event_id % 3 the seed ---
+# --- paired statistics: five event types are arms, user_id the item, event_id % 3 the seed ---
 
-_LONG = """select item, seed, arm, max(correct) as correct from (select user_id % 40 as item, event_id % 3 as seed, dense_arm as arm, case when value > 60 then 1 else 0 end as correct from (select *, cast(event_id % 5 as int) as dense_arm from events) e) x group by item, seed, arm"""
+_LONG = """select item, seed, arm, max(correct) as correct from (select user_id as item, event_id % 3 as seed, dense_arm as arm, case when value > 60 then 1 else 0 end as correct from (select *, cast(event_id % 5 as int) as dense_arm from events) e) x group by item, seed, arm"""
 _DIFF = f"select t.item, t.seed, t.correct - c.correct as d from ({_LONG}) t join ({_LONG}) c on t.item = c.item and t.seed = c.seed where t.arm = 1 and c.arm = 0"
 _UNITS = f"select item, cast(sum(d) as bigint) as u, count(*) as n from ({_DIFF}) d group by item"
 sql("paired_panel_pivot", f"select item, seed, " + ", ".join(f"max(case when arm = {a} then correct end) as a{a}" for a in range(5)) + f" from ({_LONG}) p group by item, seed")
@@ -100,24 +112,21 @@ def type7(spark, sf_dir):
     return exact.select("event_type", F.round("q025", 3).alias("q025"), F.round("q975", 3).alias("q975"))
 
 
-_FLIP = _UNITS
-# SQL enumerates the patterns of either half of the items, counts them by their sums, and adds every two sums
-_HALF = "(select total, count(*) as n from (select mask, sum(case when (mask >> bit::int) & 1 = 1 then -u else u end) as total from (select unnest(range(0, (1 << (select count(*) from k where half = {h})::int)::bigint)) as mask) m, (select u, row_number() over (order by item) - 1 as bit from k where half = {h}) b group by mask) t group by total)"
-
-
-@query("sign_flip_exact", f"""with k as (select item, u, row_number() over (order by item) % 2 as half from ({_FLIP}) f)
-    select sum(case when a.total + b.total >= (select sum(u) from k) then a.n * b.n else 0 end)::bigint as extreme, sum(a.n * b.n)::bigint as flips from {_HALF.format(h=0)} a, {_HALF.format(h=1)} b""")
+# SQL has no whole numbers of any length for the patterns of so many items; tests compare with their enumeration
+@query("sign_flip_exact")
 def sign_flip_exact(spark, sf_dir):
-    return exhaustive_sign_flip(run_sql(spark, sf_dir, _FLIP), "item", "u")
+    return exhaustive_sign_flip(run_sql(spark, sf_dir, _UNITS), "item", "u")
 
 
 # The registered repetitions.
 BOOTSTRAPS, FLIPS = 10_000, 100_000
-_DUCK_DRAW = "('0x' || substr(sha256('{s}:' || r.rep || ':' || {k}), 1, 12))::bigint"
 _NUMBERED = f"select row_number() over (order by item) - 1 as pos, u, count(*) over () as m from ({_UNITS}) x"
-_REPS = "(select unnest(range(0, {n})) as rep) r"
-_BOOT = f"select rep, cast(sum(u) as bigint) as total from (select r.rep, {_DUCK_DRAW.format(s='boot', k='i.pos')} % i.m as pick from {_REPS.format(n=BOOTSTRAPS)} cross join ({_NUMBERED}) i) d join ({_NUMBERED}) k on k.pos = d.pick group by rep"
-_SIGN = f"select rep, cast(sum(case when {_DUCK_DRAW.format(s='flip', k='i.pos')} % 2 = 1 then u else -u end) as bigint) as total from {_REPS.format(n=FLIPS)} cross join ({_NUMBERED}) i group by rep"
+# a digest gives five draws, or 256 signs
+_DIGESTS = "(select rep, blk, sha256('{s}:' || rep || ':' || blk) as d from (select unnest(range(0, {n})) as rep) r, (select unnest(range(0, (select count(*) from ({u}) u) // {per} + 1)) as blk) b)"
+_DRAWS = _DIGESTS.format(s="boot", n=BOOTSTRAPS, u=_UNITS, per=5)
+_SIGNS = _DIGESTS.format(s="flip", n=FLIPS, u=_UNITS, per=256)
+_BOOT = f"select rep, cast(sum(u) as bigint) as total from (select rep, ('0x' || substr(d, (12 * (i.pos % 5) + 1)::int, 12))::bigint % i.m as pick from ({_NUMBERED}) i join {_DRAWS} g on i.pos // 5 = g.blk) d join ({_NUMBERED}) k on k.pos = d.pick group by rep"
+_SIGN = f"select rep, cast(sum(case when (('0x' || substr(d, (i.pos % 256 // 4 + 1)::int, 1))::int >> (3 - i.pos % 4)::int) & 1 = 1 then u else -u end) as bigint) as total from ({_NUMBERED}) i join {_SIGNS} g on i.pos // 256 = g.blk group by rep"
 
 
 @query("bootstrap_hash_rng", _BOOT)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veraline.functions.canonical import object_sha256, set_digest
+from veraline.operators.evaluation import mean_of_fractions
+from veraline.operators.ordering import running_totals
 from veraline.operators.training import greedy_token, position_ids, reward_counts, task_means
 from veraline.plans.sql import query, sql, table
 
@@ -78,7 +80,14 @@ def task_evaluation_means(spark, sf_dir):
 
 sql("exact_completion_reward", "select conv_id, turn, case when text = earlier then 1 else 0 end as reward from (select conv_id, turn, text from conversations) a join (select conv_id as c, turn + 1 as t, text as earlier from conversations) b on c = conv_id and t = turn")
 sql("item_strata_join", "select lang, stratum, count(*) as n, cast(sum(quality) as bigint) as correct from (select doc_id, lang, case when n_chars < 1000 then 'short' else 'long' end as stratum from documents) d join (select doc_id as k, quality from labels) l on k = doc_id group by lang, stratum")
-sql("canonical_grid_order", "select l_orderkey as item_index, l_linenumber as sample_index, l_quantity from lineitem order by l_orderkey, l_linenumber limit 1000")
+
+
+@query("canonical_grid_order", "select l_orderkey as item_index, l_linenumber as sample_index, l_quantity, row_number() over (order by l_orderkey, l_linenumber, l_quantity) - 1 as position from lineitem")
+def canonical_grid_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_index"), F.col("l_linenumber").alias("sample_index"), "l_quantity")
+    return running_totals(rows, ["item_index", "sample_index", "l_quantity"], {}, "grid")
+
+
 sql("first_offenders", "select rule, key from (select 'negative_balance' as rule, c_custkey as key from customer where c_acctbal < 0 union all select 'large_order', o_orderkey from orders where o_totalprice > 300000) v order by rule, key limit 3")
 sql("fingerprint_counts", "select source, count(*) as n, count(distinct {sha}) as distinct_n, cast(sum(case when n_chars >= 32 then 1 else 0 end) as bigint) as fuzzy_n from documents group by source".format(sha="sha2(lower(text), 256)"), "select source, count(*) as n, count(distinct sha256(lower(text))) as distinct_n, cast(sum(case when n_chars >= 32 then 1 else 0 end) as bigint) as fuzzy_n from documents group by source")
 sql("match_of_unknown_record", "select s_nationkey as unknown from (select distinct s_nationkey from supplier) s left anti join (select distinct c_nationkey from customer where c_acctbal > 9900) c on s_nationkey = c_nationkey", "select s_nationkey as unknown from (select distinct s_nationkey from supplier) s where not exists (select 1 from customer c where c_acctbal > 9900 and s_nationkey = c_nationkey)")
@@ -87,10 +96,10 @@ sql("rank_frames", "select o_custkey, o_orderkey, cast(rank() over w as bigint)
 sql("event_hours", "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2")
 
 
-@query("mean_of_exact_fractions", "select lang, floor((2000000 * sum(c * l // n) + l * count(*)) / (2 * l * count(*)))::bigint as ppm from (select lang, source, count(*) as n, sum(toxic)::bigint as c, 1000000000::bigint as l from documents join labels using (doc_id) group by lang, source) x group by lang, l")
+# shares of toxic documents by source, their mean by language: all over one denominator, rounded once
+@query("mean_of_exact_fractions", """with x as (select lang, source, count(*) as n, sum(toxic)::hugeint as c from documents join labels using (doc_id) group by lang, source),
+    l as (select lang, list_reduce(list(n::hugeint), lambda a, b: lcm(a, b)) as l from x group by lang)
+    select lang, ((2000000 * sum(c * (l // n)) + any_value(l) * count(*)) // (2 * any_value(l) * count(*)))::bigint as ppm from x join l using (lang) group by lang""")
 def mean_of_exact_fractions(spark, sf_dir):
-    """The mean of the sources' shares in billionths, rounded once; fractions of any length are in operators/evaluation.report()."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    by = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("toxic").cast("long").alias("c")).withColumn("share", F.expr("(c * 1000000000L) div n"))
-    scale = F.lit(1_000_000_000)
-    return by.groupBy("lang").agg(F.floor((F.lit(2_000_000) * F.sum("share") + scale * F.count("*")) / (F.lit(2) * scale * F.count("*"))).cast("long").alias("ppm"))
+    return mean_of_fractions(rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("toxic").cast("long").alias("c")), "lang", "c", "n")

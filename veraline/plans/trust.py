@@ -64,17 +64,20 @@ def generation_seed_63(spark, sf_dir):
 
 # --- families and splits ---
 
-_FAMILIES = "select doc_id, substr(lower(text), 1, 24) as prefix, right(lower(text), 24) as suffix from documents"
+# families are whole values: the whole text, its whole first and its whole last line, by digest
+DIMENSIONS = ("body", "opening", "ending")
+_FAMILIES = "select doc_id, sha2(lower(text), 256) as body, sha2(element_at(split(lower(text), '\n'), 1), 256) as opening, sha2(element_at(split(lower(text), '\n'), -1), 256) as ending from documents"
+_DUCK_FAMILIES = "select doc_id, sha256(lower(text)) as body, sha256(string_split(lower(text), chr(10))[1]) as opening, sha256(string_split(lower(text), chr(10))[-1]) as ending from documents"
 _COMPONENTS = f"""
-  f as materialized ({_FAMILIES}),
-  e as materialized (select doc_id, min(doc_id) over (partition by prefix) as other from f union select doc_id, min(doc_id) over (partition by suffix) as other from f),
+  f as materialized ({_DUCK_FAMILIES}),
+  e as materialized ({" union ".join(f"select doc_id, min(doc_id) over (partition by {d}) as other from f" for d in DIMENSIONS)}),
   b as materialized (select doc_id as x, other as y from e union select other, doc_id from e),
   r(doc_id, label) as (select x, x from b union select b.y, r.label from r join b on b.x = r.doc_id),
   c as materialized (select doc_id, min(label) as component from r group by doc_id)"""
 
 
 def _components(spark, sf_dir):
-    return family_components(run_sql(spark, sf_dir, _FAMILIES), "doc_id", ["prefix", "suffix"])
+    return family_components(run_sql(spark, sf_dir, _FAMILIES), "doc_id", [*DIMENSIONS])
 
 
 @query("family_components", f"with recursive {_COMPONENTS} select doc_id, component from c")
@@ -131,15 +134,10 @@ def split_distribution_error(spark, sf_dir):
     return out.select("split", "n", (F.col("weight") / 10.0).alias("target"), F.round(F.col("n") / F.col("total") - F.col("weight") / 10.0, 9).alias("error"))
 
 
-sql(
-    "family_leaks",
-    """select dimension, family, count(distinct split) as splits, count(*) as n from (
-        select stack(2, 'prefix', prefix, 'suffix', suffix) as (dimension, family), doc_id % 3 as split from (select doc_id, substr(lower(text), 1, 24) as prefix, right(lower(text), 24) as suffix from documents) f
-      ) x group by dimension, family having count(distinct split) > 1""",
-    f"""select dimension, family, count(distinct split) as splits, count(*) as n from (
-        select 'prefix' as dimension, prefix as family, doc_id % 3 as split from ({_FAMILIES}) f union all select 'suffix', suffix, doc_id % 3 from ({_FAMILIES}) f
-      ) x group by dimension, family having count(distinct split) > 1""",
-)
+_LEAKS = "select dimension, family, count(distinct split) as splits, count(*) as n from ({x}) x group by dimension, family having count(distinct split) > 1"
+_EACH = " union all ".join(f"select '{d}' as dimension, {d} as family, doc_id % 3 as split from f" for d in DIMENSIONS)
+_STACK = ", ".join(f"'{d}', {d}" for d in DIMENSIONS)
+sql("family_leaks", _LEAKS.format(x=f"select stack(3, {_STACK}) as (dimension, family), doc_id % 3 as split from ({_FAMILIES}) f"), f"with f as ({_DUCK_FAMILIES}) " + _LEAKS.format(x=_EACH))
 sql("source_counts", "select source, lang, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by source, lang")
 
 # --- contamination ---
@@ -232,8 +230,7 @@ def clean_and_held_union(spark, sf_dir):
     return clean.select(F.lit("train").alias("side"), F.col("doc_id").alias("id"), F.col("source").alias("origin")).unionByName(held)
 
 
-_MANIFEST = "select doc_id, sha256(text) as content_sha, sha256(substr(lower(text), 1, 24)) as prefix_sha, sha256(right(lower(text), 24)) as suffix_sha, source from documents"
-sql("manifest_rows", _MANIFEST.replace("sha256(text)", "sha2(text, 256)").replace("sha256(substr(lower(text), 1, 24))", "sha2(substr(lower(text), 1, 24), 256)").replace("sha256(right(lower(text), 24))", "sha2(right(lower(text), 24), 256)"), _MANIFEST)
+sql("manifest_rows", f"select f.*, source from ({_FAMILIES}) f join (select doc_id, source from documents) d using (doc_id)", f"select f.*, source from ({_DUCK_FAMILIES}) f join documents d using (doc_id)")
 # a set's digest is that of its parts', by the first three digits of the members' digests, so no task gathers a whole set
 _PARTS = "select source, {sha} as sha, doc_id from documents"
 sql(
