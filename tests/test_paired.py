@@ -42,6 +42,35 @@ def test_registered_analysis(panel):
         require_none(paired.revalidated(decisions.withColumn("decision", F.when(F.col("hypothesis") == "C2", "superior_A3").otherwise(F.col("decision"))), panel, protocol, BOUND))
 
 
+def whole_totals(units, strata, repetitions, seed):
+    """The registered bootstrap in whole batches."""
+    places = [np.flatnonzero(strata == s) for s in sorted(set(strata.tolist()))]
+    rng = np.random.Generator(np.random.PCG64(seed))
+    batch = min(paired.BOOTSTRAP_BATCH, max(1, paired.MOST_CELLS // max(map(len, places))))
+    sizes = [min(batch, repetitions - done) for done in range(0, repetitions, batch)]
+    return np.concatenate([sum(units[at[rng.integers(0, len(at), size=(n, len(at)), dtype=np.int64)]].sum(axis=1) for at in places) for n in sizes])
+
+
+def whole_signs(units, repetitions, seed):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    batch = min(paired.FLIP_BATCH, max(1, paired.MOST_CELLS // len(units)))
+    sizes = [min(batch, repetitions - done) for done in range(0, repetitions, batch)]
+    return np.concatenate([(rng.integers(0, 2, size=(n, len(units)), dtype=np.int8).astype(np.int64) * 2 - 1) @ units for n in sizes])
+
+
+@pytest.mark.parametrize(("n", "kinds", "repetitions"), [(8, 2, 10_000), (1, 1, 500), (301, 3, 3_001), (2_500, 7, 2_047), (37, 1, 5), (1_999, 2, 1_333)])
+def test_pieces_replay_the_registered_stream(n, kinds, repetitions):
+    rng = np.random.default_rng(n)
+    units, strata = rng.integers(-3, 4, n), np.array([f"s{k % kinds}" for k in range(n)], object)
+    got, count = np.zeros(repetitions, np.int64), 0
+    for p in paired.pieces("h", strata, repetitions, 77, False):
+        got[p.first : p.first + p.rows] += paired.replayed(p, units, strata)
+        count += 1
+    assert (got == whole_totals(units, strata, repetitions, 77)).all() and (count >= 32 or repetitions < 128)
+    signs = np.concatenate([paired.replayed(p, units, strata) for p in paired.pieces("h", strata, repetitions, 78, True)])
+    assert (signs == whole_signs(units, repetitions, 78)).all()
+
+
 def test_panel_rules(panel):
     rules = lambda p: {r.rule for r in paired.panel_violations(p, paired.Protocol()).collect()}
     assert rules(panel.where("not (item_index = 3 and arm = 'A2' and seed = 101)")) == {"cells"}

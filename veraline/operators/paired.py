@@ -8,8 +8,11 @@ give the same numbers anywhere.  Effects, quantiles and p-values are exact fract
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,7 @@ from veraline.functions import predicates as P
 from veraline.functions import versions
 from veraline.operators.checks import named, repeated, union, violations
 from veraline.operators.trust import canonical_sha256
+from veraline.plans.store import materialize
 
 PANEL = "item_id string, item_index long, stratum string, arm string, seed long, correct boolean"
 # Arms, contrasts with their alternatives, the generator's batches.
@@ -28,6 +32,8 @@ CONTRASTS = (("C1a", "A1", "A0", "greater"), ("C1b", "A2", "A0", "greater"), ("C
 C1_FAMILY = ("C1a", "C1b")
 BOOTSTRAP_BATCH, FLIP_BATCH, MOST_CELLS = 1_024, 4_096, 1_000_000
 SCALE = 1_000_000
+#: Pieces of a contrast's stream, at least as far as batches and repetitions allow.
+PIECES = 64
 #: Items of a panel that a task holds.
 MOST_ITEMS = 1_000_000
 
@@ -99,27 +105,56 @@ def stream(protocol: Protocol, base_seed: int, operation: str, hypothesis: str,
     return digest, int(digest[:32], 16)
 
 
-def bootstrap_totals(units: np.ndarray, strata: np.ndarray, repetitions: int, seed: int) -> np.ndarray:
-    """Totals of resamples of items with replacement within strata; PCG64, strata by name, in the registered batches."""
-    places = [np.flatnonzero(strata == s) for s in sorted(set(strata.tolist()))]
+@dataclass(frozen=True)
+class Piece:
+    """Some repetitions of one operation: which stratum they draw from (-1: signs of all items), and the generator's state before them."""
+
+    hypothesis: str
+    stratum: int
+    first: int
+    rows: int
+    state: str
+
+
+PIECE = "hypothesis string, stratum int, first long, rows long, state string"
+
+
+def _draw(rng: np.random.Generator, stratum: int, rows: int, n: int) -> np.ndarray:
+    return rng.integers(0, n, size=(rows, n), dtype=np.int64) if stratum >= 0 else rng.integers(0, 2, size=(rows, n), dtype=np.int8)
+
+
+def _places(strata: np.ndarray) -> list[np.ndarray]:
+    """Items of each stratum, strata by name."""
+    return [np.flatnonzero(strata == s) for s in sorted(set(strata.tolist()))]
+
+
+def pieces(hypothesis: str, strata: np.ndarray, repetitions: int, seed: int, signs: bool) -> Iterator[Piece]:
+    """The registered stream cut into pieces: batches in their order, in each batch the strata, of each some rows.
+
+    PCG64 draws row after row, so a batch may be cut at any row; signs are drawn four to
+    a word, so at each fourth.  Draws are rejected by chance, so a state is known only
+    once all before it is drawn: this pass draws and forgets.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
-    batch = min(BOOTSTRAP_BATCH, max(1, MOST_CELLS // max(map(len, places))))
-    out = []
+    sizes = {-1: len(strata)} if signs else {k: len(at) for k, at in enumerate(_places(strata))}
+    batch = min(FLIP_BATCH if signs else BOOTSTRAP_BATCH, max(1, MOST_CELLS // max(sizes.values())))
+    step = -(-repetitions // PIECES // 4) * 4 or 4
     for done in range(0, repetitions, batch):
-        rows = min(batch, repetitions - done)
-        out.append(sum(units[at[rng.integers(0, len(at), size=(rows, len(at)), dtype=np.int64)]].sum(axis=1) for at in places))
-    return np.concatenate(out)
+        of_batch = min(batch, repetitions - done)
+        for k, n in sizes.items():
+            for first in range(0, of_batch, step):
+                rows = min(step, of_batch - first)
+                yield Piece(hypothesis, k, done + first, rows, json.dumps(rng.bit_generator.state))
+                _draw(rng, k, rows, n)
 
 
-def flipped_extremes(units: np.ndarray, repetitions: int, seed: int, alternative: str) -> int:
-    """Draws of signs whose total is as far out as the observed one; PCG64 in the registered batches."""
-    rng, seen, extreme = np.random.Generator(np.random.PCG64(seed)), int(units.sum()), 0
-    batch = min(FLIP_BATCH, max(1, MOST_CELLS // len(units)))
-    for done in range(0, repetitions, batch):
-        signs = rng.integers(0, 2, size=(min(batch, repetitions - done), len(units)), dtype=np.int8)
-        totals = (signs.astype(np.int64) * 2 - 1) @ units
-        extreme += int((totals >= seen).sum() if alternative == "greater" else (np.abs(totals) >= abs(seen)).sum())
-    return extreme
+def replayed(piece: Piece, units: np.ndarray, strata: np.ndarray) -> np.ndarray:
+    """The totals of a piece's repetitions: of the items drawn from its stratum, or of all items with their signs."""
+    bits = np.random.PCG64()
+    bits.state = json.loads(piece.state)
+    own = units if piece.stratum < 0 else units[_places(strata)[piece.stratum]]
+    drawn = _draw(np.random.Generator(bits), piece.stratum, piece.rows, len(own))
+    return (drawn.astype(np.int64) * 2 - 1) @ own if piece.stratum < 0 else own[drawn].sum(axis=1)
 
 
 def type7(ordered: np.ndarray, at: Fraction) -> Fraction:
@@ -153,21 +188,54 @@ EVIDENCE = "hypothesis string, point_num long, point_den long, lower string, upp
 
 
 def evidence(panel: DataFrame, protocol: Protocol, bindings: dict[str, str]) -> DataFrame:
-    """EVIDENCE of each contrast; fractions as text.  One task a contrast, which holds its item units (MOST_ITEMS at most)."""
-    design = design_sha256(panel, protocol, bindings)
-    alternatives = {h: a for h, _, _, a in CONTRASTS}
+    """EVIDENCE of each contrast; fractions as text.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_index")
-        name, units, den = pdf["hypothesis"].iloc[0], pdf["u"].to_numpy(np.int64), int(pdf["n"].sum())
-        boot, boot_seed = stream(protocol, protocol.bootstrap_seed, "stratified-item-bootstrap", name, design)
-        flip, flip_seed = stream(protocol, protocol.randomization_seed, "paired-item-sign-flip", name, design)
-        totals = bootstrap_totals(units, pdf["stratum"].to_numpy(object), protocol.bootstrap_repetitions, boot_seed)
-        bounds = [*interval(totals, den, protocol.confidence_ppm), *interval(totals, den, protocol.equivalence_confidence_ppm)]
-        extreme = flipped_extremes(units, protocol.randomization_repetitions, flip_seed, alternatives[name])
-        return pd.DataFrame([(name, int(units.sum()), den, *map(str, bounds), extreme, boot, flip)], columns=[x.split()[0] for x in EVIDENCE.split(", ")])
-
-    return contrast_units(panel).groupBy("hypothesis").applyInPandas(run, EVIDENCE)
+    A task for each contrast and operation writes down the generator's states; pieces of
+    the streams are then replayed by as many tasks as there are pieces, PIECES or more a
+    contrast.  Item units travel to the tasks: one panel of MOST_ITEMS at most.
+    """
+    design, spark = design_sha256(panel, protocol, bindings), panel.sparkSession
+    alternatives = {h: a for h, _, _, a in CONTRASTS}
+    table = contrast_units(panel).orderBy("hypothesis", "item_index").toPandas()  # contrasts x MOST_ITEMS
+    items = {h: (t["u"].to_numpy(np.int64), t["stratum"].to_numpy(object)) for h, t in table.groupby("hypothesis")}
+    points = {h: (int(t["u"].sum()), int(t["n"].sum())) for h, t in table.groupby("hypothesis")}
+    streams = {h: (stream(protocol, protocol.bootstrap_seed, "stratified-item-bootstrap", h, design), stream(protocol, protocol.randomization_seed, "paired-item-sign-flip", h, design)) for h in items}
+    held = spark.sparkContext.broadcast(items)
+
+    def states(frames):
+        for frame in frames:
+            for h, signs in zip(frame["hypothesis"].tolist(), frame["signs"].tolist(), strict=True):
+                repetitions = protocol.randomization_repetitions if signs else protocol.bootstrap_repetitions
+                found = pieces(h, held.value[h][1], repetitions, streams[h][int(signs)][1], signs)
+                while part := [asdict(p) for p in islice(found, 4096)]:
+                    yield pd.DataFrame(part)
+
+    def totals(frames):
+        for frame in frames:
+            for p in (Piece(**r) for r in frame.to_dict("records")):
+                units, strata = held.value[p.hypothesis]
+                got = replayed(p, units, strata)
+                if p.stratum >= 0:
+                    yield pd.DataFrame({"hypothesis": p.hypothesis, "rep": np.arange(p.first, p.first + p.rows), "value": got})
+                else:
+                    seen = int(units.sum())
+                    far = got >= seen if alternatives[p.hypothesis] == "greater" else np.abs(got) >= abs(seen)
+                    yield pd.DataFrame({"hypothesis": [p.hypothesis], "rep": [-1], "value": [int(far.sum())]})
+
+    asked = spark.createDataFrame([(h, signs) for h in sorted(items) for signs in (False, True)], "hypothesis string, signs boolean")
+    made = materialize(asked.repartition(2 * len(items) or 1, "hypothesis", "signs").mapInPandas(states, PIECE), "stream-states")
+    dealt = made.repartition(max(1, PIECES * len(items)), "hypothesis", "stratum", "first")
+    sums = dealt.mapInPandas(totals, "hypothesis string, rep long, value long").groupBy("hypothesis", "rep").agg(F.sum("value").alias("value"))
+
+    def told(frame: pd.DataFrame) -> pd.DataFrame:
+        name = frame["hypothesis"].iloc[0]
+        total, den = points[name]
+        drawn = frame.loc[frame["rep"] >= 0, "value"].to_numpy(np.int64)
+        bounds = [*interval(drawn, den, protocol.confidence_ppm), *interval(drawn, den, protocol.equivalence_confidence_ppm)]
+        extreme = int(frame.loc[frame["rep"] < 0, "value"].iloc[0])
+        return pd.DataFrame([(name, total, den, *map(str, bounds), extreme, streams[name][0][0], streams[name][1][0])], columns=[x.split()[0] for x in EVIDENCE.split(", ")])
+
+    return sums.groupBy("hypothesis").applyInPandas(told, EVIDENCE)  # a contrast's repetitions and one count
 
 
 DECISIONS = (
