@@ -113,3 +113,39 @@ def test_family_leaks_and_fragments(spark, tables):
     rows = trust.fragments(candidates.where("sample_id = 'train:006'"))
     assert {r.field for r in rows.collect()} >= {"problem", "reference_answer", "response", "aggregate.full_record"}
     assert trust.fragments(held.limit(0)).count() == 0
+
+
+def plain_fragments(r):
+    """{digest: (field, group, norm)} of a record, one text after another."""
+    import hashlib
+
+    from veraline.functions.text import normal_form
+
+    fields = [("problem", r.problem), *((f"messages.{i}.{m.role}", m.content) for i, m in enumerate(r.messages or [])), ("reference_answer", r.reference_answer), ("response", r.response)]
+    group = lambda f: "problem" if f == "problem" else "solution" if f in ("reference_answer", "response") or f.endswith(".assistant") else "prompt" if f.endswith(".user") else "context"
+    own = [(f, group(f), normal_form(t)) for f, t in fields if t is not None and normal_form(t)]
+    chosen = {
+        "aggregate.prompt": ("prompt", [n for f, _, n in own if f == "problem" or f.startswith("messages.")]),
+        "aggregate.solution_trace": ("solution", [n for f, _, n in own if f in ("reference_answer", "response") or f.endswith((".assistant", ".tool"))]),
+        "aggregate.full_record": ("context", [n for *_, n in own]),
+    }
+    own += [(name, g, " ".join(parts)) for name, (g, parts) in chosen.items() if len(parts) >= 2]
+    best = {}
+    for f, g, n in sorted(own, key=lambda x: (trust.GROUP_ORDER.index(x[1]), x[0])):
+        best.setdefault(hashlib.sha256(n.encode()).hexdigest(), (f, g, n))
+    return best
+
+
+def test_fragments_are_made_inside_the_record(spark, tables):
+    candidates, held, *_ = tables
+    texts = F.array(*(F.struct(F.lit(role).alias("role"), F.lit(text).alias("content")) for role, text in (("user", "Same words"), ("assistant", "same  WORDS"), ("tool", ""), ("system", "x"), ("user", "x"))))
+    odd = candidates.limit(3).withColumns({"sample_id": F.concat(F.lit("odd:"), "sample_id"), "messages": texts.cast(candidates.schema["messages"].dataType), "problem": F.lit("SAME words"), "response": F.lit(None).cast("string")})
+    every = candidates.unionByName(held).unionByName(odd)
+    made = trust.fragments(every)
+    got = {}
+    for r in made.collect():
+        assert r.norm_sha not in got.setdefault(r.sample_id, {})
+        got[r.sample_id][r.norm_sha] = (r.field, r.field_group, r.norm)
+    assert got == {r.sample_id: plain_fragments(r) for r in every.collect() if plain_fragments(r)}
+    alone = trust.fragments(candidates)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()

@@ -31,6 +31,12 @@ def normalize(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normal_form(t))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalize_all(texts: pd.Series) -> pd.Series:
+    """normalize() of each text of an array."""
+    return texts.map(lambda ts: None if ts is None else [None if t is None else normal_form(t) for t in ts])
+
+
 @F.pandas_udf(T.BooleanType())
 def is_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.is_normalized("NFC", t))

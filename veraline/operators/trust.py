@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from veraline.functions import predicates as P
 from veraline.functions import versions
 from veraline.functions.canonical import object_sha256, set_digest, sha256_json
-from veraline.functions.text import digest_mod, normalize
-from veraline.operators.checks import named, repeated, union, violations
+from veraline.functions.text import digest_mod, let, normalize_all
+from veraline.operators.checks import named, repeated, require_none, union, violations
 from veraline.operators.contamination import KIND_ORDER, fingerprints, scan
 from veraline.operators.graph import connected_components
 from veraline.plans.store import materialize
@@ -232,12 +232,19 @@ def components(records: DataFrame) -> DataFrame:
     return connected_components(edges).withColumnRenamed("node", "sample_id")
 
 
+def assignment_violations(records: DataFrame) -> DataFrame:
+    """What can't be assigned: no records, records with a split, children (they are split as their parents), repeated ids."""
+    none = records.limit(1).agg(F.count("*").alias("n")).where("n = 0").withColumn("key", F.lit("records"))
+    return union(named(none, "no_records", "key"), named(records.where(F.col("split") != UNASSIGNED), "assigned_already", "sample_id"), named(records.where(F.size("lineage.parents") > 0), "not_a_root", "sample_id"), repeated(records, "repeated_sample_id", "sample_id"))
+
+
 def assign_splits(records: DataFrame, policy: SplitPolicy) -> DataFrame:
     """records with the split of their component: the digest of its members and families, modulo the total weight.
 
-    A component's digest is of one text of its members, so a component is gathered; the
+    Records that assignment_violations() names raise.  A component's digest is of one text of its members, so a component is gathered; the
     families are the caller's, and their sizes the same for any order of rows.
     """
+    require_none(assignment_violations(records))
     c = materialize(components(records), "components")
     member = F.struct("sample_id", "families")
     kind = T.ArrayType(T.StructType([T.StructField("sample_id", T.StringType()), T.StructField("families", RECORD["families"].dataType)]))
@@ -277,12 +284,16 @@ def field_group(field: Column) -> Column:
     return F.when(field == "problem", "problem").when(field.isin("reference_answer", "response") | field.endswith(".assistant"), "solution").when(field.endswith(".user"), "prompt").otherwise("context")
 
 
-def fields_of(records: DataFrame) -> DataFrame:
-    """One row per text of a record: its place in it, the field's name and group, the text."""
+def _fields() -> Column:
+    """A record's texts in its order, as structs of field and text."""
     said = F.transform("messages", lambda m, i: F.struct(F.concat(F.lit("messages."), i.cast("string"), F.lit("."), m["role"]).alias("field"), m["content"].alias("text")))
     one = lambda name: F.array(F.struct(F.lit(name).alias("field"), F.col(name).alias("text")))
-    every = F.filter(F.concat(one("problem"), said, one("reference_answer"), one("response")), lambda f: f["text"].isNotNull())
-    rows = records.select("sample_id", "split", "source_id", F.posexplode(every).alias("place", "f")).select("sample_id", "split", "source_id", "place", "f.field", "f.text")
+    return F.filter(F.concat(one("problem"), said, one("reference_answer"), one("response")), lambda f: f["text"].isNotNull())
+
+
+def fields_of(records: DataFrame) -> DataFrame:
+    """One row per text of a record: its place in it, the field's name and group, the text."""
+    rows = records.select("sample_id", "split", "source_id", F.posexplode(_fields()).alias("place", "f")).select("sample_id", "split", "source_id", "place", "f.field", "f.text")
     return rows.withColumn("field_group", field_group(F.col("field")))
 
 
@@ -291,28 +302,30 @@ def fragments(records: DataFrame, exempt: tuple[str, ...] = ()) -> DataFrame:
 
     exempt: digests of normal forms that are left out where they're context.  Of equal
     normal forms of a record the one of the first group, then field, stays.  Aggregates
-    join two fields or more in the record's order: prompts, solutions, all.
+    join two fields or more in the record's order: prompts, solutions, all.  All of it
+    happens inside the record, so nothing is exchanged.
     """
-    rows = fields_of(records).withColumn("norm", normalize("text")).where("norm <> ''").drop("text")
+    rows = records.select("sample_id", "split", "source_id", _fields().alias("f")).withColumn("norms", normalize_all(F.col("f.text")))
+    rank = lambda group: F.array_position(F.array(*map(F.lit, GROUP_ORDER)), group)
+    made = lambda field, group, norm: F.struct(F.sha2(norm, 256).alias("norm_sha"), rank(group).alias("rank"), field.alias("field"), group.alias("field_group"), norm.alias("norm"))
+    told = F.filter(F.transform(F.arrays_zip("f", "norms"), lambda x: made(x["f"]["field"], field_group(x["f"]["field"]), x["norms"])), lambda x: x["norm"] != "")
     if exempt:
-        rows = rows.where(~((F.col("field_group") == "context") & F.sha2("norm", 256).isin(*exempt)))
-    own = rows.groupBy("sample_id", "split", "source_id").agg(F.array_sort(F.collect_list(F.struct("place", "field", "field_group", "norm"))).alias("f"))  # a record's own fields
+        told = F.filter(told, lambda x: ~((x["field_group"] == "context") & x["norm_sha"].isin(*exempt)))
     is_message = lambda x: x["field"].startswith("messages.")
     kinds = {
         "aggregate.prompt": ("prompt", lambda x: (x["field"] == "problem") | is_message(x)),
         "aggregate.solution_trace": ("solution", lambda x: x["field"].isin("reference_answer", "response") | x["field"].endswith(".assistant") | x["field"].endswith(".tool")),
         "aggregate.full_record": ("context", lambda x: F.lit(True)),
     }
-    made = []
-    for name, (group, chosen) in kinds.items():
-        parts = F.filter("f", chosen)
-        made.append(F.when(F.size(parts) >= 2, F.struct(F.lit(name).alias("field"), F.lit(group).alias("field_group"), F.array_join(parts["norm"], " ").alias("norm"))))
-    plain = F.transform("f", lambda x: F.struct(x["field"], x["field_group"], x["norm"]))
-    every = F.filter(F.concat(plain, F.array(*made)), lambda x: x.isNotNull())
-    out = own.select("sample_id", "split", "source_id", F.explode(every).alias("x")).select("sample_id", "split", "source_id", "x.*").withColumn("norm_sha", F.sha2("norm", 256))
-    order = F.struct(F.array_position(F.array(*map(F.lit, GROUP_ORDER)), F.col("field_group")), F.col("field"))
-    best = out.groupBy("sample_id", "split", "source_id", "norm_sha").agg(F.min_by(F.struct("field", "field_group", "norm"), order).alias("b")).select("sample_id", "split", "source_id", "norm_sha", "b.*")
-    return best.withColumn("fragment_id", object_sha256(best, record_id="sample_id", split="split", source_id="source_id", field="field", normalized_sha256="norm_sha"))
+    rows = rows.withColumn("own", told)
+
+    def joined(name: str, group: str, chosen) -> Column:
+        return let(F.filter("own", chosen), lambda parts: F.when(F.size(parts) >= 2, made(F.lit(name), F.lit(group), F.array_join(F.transform(parts, lambda x: x["norm"]), " "))))
+
+    every = F.array_sort(F.filter(F.concat("own", F.array(*(joined(name, *kind) for name, kind in kinds.items()))), lambda x: x.isNotNull()))  # equal normal forms beside each other, the best first
+    best = let(every, lambda own: F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1)["norm_sha"] != x["norm_sha"])))
+    out = rows.select("sample_id", "split", "source_id", F.explode(best).alias("x")).select("sample_id", "split", "source_id", "x.norm_sha", "x.field", "x.field_group", "x.norm")
+    return out.withColumn("fragment_id", object_sha256(out, record_id="sample_id", split="split", source_id="source_id", field="field", normalized_sha256="norm_sha"))
 
 
 SCORES = ("character_jaccard_ppm", "character_containment_ppm", "token_jaccard_ppm", "token_containment_ppm")

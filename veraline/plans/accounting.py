@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from veraline.functions.text import let, log_softmax, softcap
 from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask, group_advantages, interpolate, kl, ledger, nll
 from veraline.operators.linear_losses import Transform, aligned_heads, linear_cross_entropy, linear_reverse_kl
 from veraline.operators.mask_budget import select
+from veraline.operators.measures import cursor, decayed, importance_ratio, phase_means, quantiles, relative_difference, round_medians, stages, surrogate
 from veraline.operators.ordering import keyed_totals
 from veraline.plans.sql import query, run_sql, sql, table
 
@@ -143,39 +146,68 @@ def linear_reverse_kl_values(spark, sf_dir):
 # --- clipped surrogate: order lines are tokens, their orders groups ---
 
 _TOKENS = "select l_orderkey, l_linenumber, exp((l_discount - 0.05) * 10) as r, case when l_quantity > 25 then 1.0 when l_quantity < 20 then -1.0 else 0.0 end as a from lineitem"
-sql("importance_ratio_clip", f"select count(*) as n, cast(sum(case when r < 0.8 and a < 0 then 1 else 0 end) as bigint) as clipped_low, cast(sum(case when r > 1.2 and a > 0 then 1 else 0 end) as bigint) as clipped_high, round(sum(r), 4) as ratio_sum, round(min(r), 6) as ratio_min, round(max(r), 6) as ratio_max from ({_TOKENS}) t")
-sql("dr_grpo_loss", f"select l_orderkey % 100 as bucket, count(*) as n, round(-sum(least(r * a, greatest(least(r, 1.2), 0.8) * a)) / (count(distinct l_orderkey) * 7), 6) as loss from ({_TOKENS}) t group by l_orderkey % 100")
+
+
+def _surrogate(spark, sf_dir, by: dict):
+    rows = table(spark, sf_dir, "lineitem").withColumns(by)
+    quantity = F.col("l_quantity")
+    rows = rows.withColumns({"r": importance_ratio(F.col("l_discount") * 10, F.lit(0.5)), "a": F.when(quantity > 25, 1.0).when(quantity < 20, -1.0).otherwise(0.0)})
+    return surrogate(rows, list(by), "l_orderkey", "r", "a", longest=7)
+
+
+@query("importance_ratio_clip", f"select count(*) as n, count(distinct l_orderkey) as completions, cast(sum(case when r < 0.8 and a < 0 then 1 else 0 end) as bigint) as clipped_low, cast(sum(case when r > 1.2 and a > 0 then 1 else 0 end) as bigint) as clipped_high, round(sum(r), 4) as ratio_sum, round(min(r), 6) as ratio_min, round(max(r), 6) as ratio_max from ({_TOKENS}) t")
+def importance_ratio_clip(spark, sf_dir):
+    s = _surrogate(spark, sf_dir, {"whole": F.lit(0)})
+    return s.select(F.col("token_count").alias("n"), F.col("completion_count").alias("completions"), F.col("low_clipped").alias("clipped_low"), F.col("high_clipped").alias("clipped_high"), F.round("ratio_sum", 4).alias("ratio_sum"), F.round("ratio_min", 6).alias("ratio_min"), F.round("ratio_max", 6).alias("ratio_max"))
+
+
+@query("dr_grpo_loss", f"select l_orderkey % 100 as bucket, count(*) as n, round(-sum(least(r * a, greatest(least(r, 1.2), 0.8) * a)) / (count(distinct l_orderkey) * 7), 6) as loss from ({_TOKENS}) t group by l_orderkey % 100")
+def dr_grpo_loss(spark, sf_dir):
+    return _surrogate(spark, sf_dir, {"bucket": F.col("l_orderkey") % 100}).select("bucket", F.col("token_count").alias("n"), F.round("loss", 6).alias("loss"))
+
 
 # --- runs: events are steps, event_type the arm, user_id % 3 the round ---
 
-sql("stage_summary", "select event_type as arm, user_id % 3 as stage, count(*) as attempts, cast(sum(case when value > 20 then 1 else 0 end) as bigint) as updates, cast(sum(case when value > 20 then 0 else 1 end) as bigint) as skips, round(sum(value), 4) as seconds from events group by event_type, user_id % 3")
-sql(
-    "perf_p50_p95_rounds",
-    "select arm, round(percentile(v, 0.5), 6) as p50, round(percentile(v, 0.95), 6) as p95, round(min(m), 6) as least_median, round(max(m), 6) as most_median from (select event_type as arm, value as v, percentile(value, 0.5) over (partition by event_type, user_id % 3) as m from events) x group by arm",
-    "select arm, round(quantile_cont(v, 0.5), 6) as p50, round(quantile_cont(v, 0.95), 6) as p95, round(min(m), 6) as least_median, round(max(m), 6) as most_median from (select event_type as arm, value as v, quantile_cont(value, 0.5) over (partition by event_type, user_id % 3) as m from events) x group by arm",
-)
+
+
+def _steps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), (F.col("user_id") % 3).alias("stage"), "value", "user_id")
+
+
+@query("stage_summary", "select event_type as arm, user_id % 3 as stage, count(*) as attempts, cast(sum(case when value > 20 then 1 else 0 end) as bigint) as updates, cast(sum(case when value > 20 then 0 else 1 end) as bigint) as skips, round(sum(value), 4) as seconds from events group by event_type, user_id % 3")
+def stage_summary(spark, sf_dir):
+    return stages(_steps(spark, sf_dir), ["arm", "stage"], F.col("value") > 20, "value").withColumn("seconds", F.round("seconds", 4))
+
+
+@query("perf_p50_p95_rounds", "select arm, round(quantile_cont(v, 0.5), 6) as p50, round(quantile_cont(v, 0.95), 6) as p95, round(min(m), 6) as least_median, round(max(m), 6) as most_median from (select event_type as arm, value as v, quantile_cont(value, 0.5) over (partition by event_type, user_id % 3) as m from events) x group by arm")
+def perf_p50_p95_rounds(spark, sf_dir):
+    rows = _steps(spark, sf_dir)
+    told = quantiles(rows, ["arm"], "value", {"p50": Fraction(1, 2), "p95": Fraction(95, 100)}).join(round_medians(rows, ["arm"], "stage", "value"), "arm")
+    return told.select("arm", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "least_median", "most_median")))
 
 
 @query("nearest_rank_p95", "select event_type as arm, value as p95 from (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events) x where r = floor(0.95 * (n - 1)) + 1")
 def nearest_rank_p95(spark, sf_dir):
-    """Ranks come from range partitions, so an arm may hold all rows."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), "value")
-    ranked = keyed_totals(rows, "arm", ["value"], {}, "ranks").join(rows.groupBy("arm").agg(F.count("*").alias("n")), "arm")
-    return ranked.where(F.col("position") == F.floor(F.lit(0.95) * (F.col("n") - 1))).select("arm", F.col("value").alias("p95"))
+    return quantiles(_steps(spark, sf_dir), ["arm"], "value", {"p95": Fraction(95, 100)}, nearest=True)
 
 
-sql("throughput", "select event_type as arm, cast(sum(user_id) as bigint) as tokens, round(sum(user_id) / sum(value), 6) as tokens_per_s from events group by event_type")
+@query("throughput", "select event_type as arm, round(avg(value), 6) as step_mean, round(avg(value * (user_id % 3)), 6) as update_mean, cast(sum(user_id) as bigint) as tokens, round(sum(user_id) / sum(value), 6) as tokens_per_s from events group by event_type")
+def throughput(spark, sf_dir):
+    rows = _steps(spark, sf_dir).select("arm", F.col("value").alias("step"), (F.col("value") * F.col("stage")).alias("update"), F.col("user_id").alias("tokens"))
+    return phase_means(rows, ["arm"], ["step", "update"], "step", "tokens").select("arm", *(F.round(c, 6).alias(c) for c in ("step_mean", "update_mean", "tokens_per_s")), "tokens")
 
 
 @query("lr_schedule", "select event_id, round(1 - 0.9 * least(1.0, consumed / 20000.0), 9) as lr_factor from (select event_id, cast(sum(cast(floor(value) as bigint)) over (partition by user_id % 5 order by ts, event_id rows unbounded preceding) as double) as consumed from events) x")
 def lr_schedule(spark, sf_dir):
     rows = run_sql(spark, sf_dir, "select event_id, user_id % 5 as stage, ts, cast(floor(value) as bigint) as tokens from events")
     run = keyed_totals(rows, "stage", ["ts", "event_id"], {"before": "tokens"}, "lr")
-    consumed = (F.col("before") + F.col("tokens")).cast("double")
-    return run.select("event_id", F.round(1 - F.lit(0.9) * F.least(F.lit(1.0), consumed / 20000.0), 9).alias("lr_factor"))
+    return run.select("event_id", F.round(decayed(F.col("before") + F.col("tokens"), 20_000), 9).alias("lr_factor"))
 
 
-sql("batch_cursor", "select o_orderkey, (o_orderkey * 4 + 3) % 97 as at from orders")
+@query("batch_cursor", "select o_orderkey, (o_orderkey * 4 + 3) % 97 as at from orders")
+def batch_cursor(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", cursor(F.col("o_orderkey"), 3, 4, 97).alias("at"))
+
 
 # learning curves: events are points, each arm's grid spans its own range in up to 100 steps
 
@@ -193,5 +225,13 @@ sql(
     "select lang, round(percentile(n_chars, 0.95), 4) as p95, cast(sum(case when n_chars >= 5000 then 1 else 0 end) as bigint) as at_cap, count(*) as n from documents group by lang",
     "select lang, round(quantile_cont(n_chars::double, 0.95), 4) as p95, cast(sum(case when n_chars >= 5000 then 1 else 0 end) as bigint) as at_cap, count(*) as n from documents group by lang",
 )
-sql("relative_l2", "select l_returnflag, round(sqrt(sum(pow(l_extendedprice * l_discount, 2))) / greatest(sqrt(sum(pow(l_extendedprice, 2))), 1e-12), 9) as relative, round(max(abs(l_extendedprice * l_tax)), 4) as most from lineitem group by l_returnflag")
+
+
+@query("relative_l2", "select l_returnflag, round(sqrt(sum(pow(l_extendedprice - l_extendedprice * (1 - l_discount), 2))) / greatest(sqrt(sum(pow(l_extendedprice, 2))), 1e-12), 9) as relative, round(max(abs(l_extendedprice - l_extendedprice * (1 - l_discount))), 4) as most from lineitem group by l_returnflag")
+def relative_l2(spark, sf_dir):
+    price = F.col("l_extendedprice")
+    told = relative_difference(table(spark, sf_dir, "lineitem"), ["l_returnflag"], price, price * (1 - F.col("l_discount")))
+    return told.select("l_returnflag", F.round("relative", 9).alias("relative"), F.round("most", 4).alias("most"))
+
+
 sql("top_ops", "select o_custkey, round(sum(o_totalprice), 2) as total from orders group by o_custkey order by total desc, o_custkey limit 12")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veraline.functions.canonical import object_sha256, set_digest
 from veraline.operators.evaluation import mean_of_fractions
+from veraline.operators.measures import parameter_totals
 from veraline.operators.ordering import running_totals
 from veraline.operators.training import greedy_token, position_ids, reward_counts, task_means
 from veraline.plans.sql import query, sql, table
@@ -39,7 +40,13 @@ _EXPECTED, _SEEN = "select o_orderstatus as name, count(*) as n from orders grou
 sql("golden_compare", f"select coalesce(e.name, o.name) as name, e.n as expected, o.n as observed, e.n is not distinct from o.n as equal from ({_EXPECTED}) e full join ({_SEEN}) o on e.name = o.name")
 sql("causal_shift", "select conv_id, turn, lag(role) over (partition by conv_id order by turn) as previous_role, role from conversations")
 sql("except_both_ways", "select 'missing' as side, k from (select c_nationkey as k from customer except select s_nationkey from supplier) a union all select 'extra', k from (select s_nationkey as k from supplier except select c_nationkey from customer) b")
-sql("deduplicated_parameters", "select p_brand, cast(sum(p_size) as bigint) as total from (select distinct p_brand, p_type, p_size from part) x group by p_brand")
+
+
+@query("deduplicated_parameters", "select p_brand, cast(sum(p_size) as bigint) as total from (select distinct p_brand, p_type, p_size from part) x group by p_brand")
+def deduplicated_parameters(spark, sf_dir):
+    return parameter_totals(table(spark, sf_dir, "part"), "p_brand", ["p_type", "p_size"], "p_size")
+
+
 sql("quality_map_nullable", "select doc_id, case when quality is null then null else quality = 1 end as verified, source from documents left join labels using (doc_id)")
 # The funnel is planned in the reference's documents, not built there.
 _FUNNEL = """select reason, count(*) as n from (select case when n_chars < 100 then 'too_short' when r > 1 then 'duplicate' when lang not in ('en', 'de') then 'language' when n_chars > 8000 then 'too_long' else 'kept' end as reason

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veraline.functions.text import digest_mod, seed63, sha
 from veraline.operators.contamination import best_match, family_components, fingerprints, quarantine, scan
+from veraline.operators.measures import split_errors
 from veraline.plans.sql import query, run_sql, spread, sql, table
 from veraline.plans.store import discard, materialize
 
@@ -126,12 +127,8 @@ def weighted_hash_split(spark, sf_dir):
 @query("split_distribution_error", f"""with recursive {_ASSIGNED}, t as (select * from (values ('D_anchor', 1), ('D_core', 5), ('D_dev', 1), ('D_select', 2), ('D_teacher_gate', 1)) v(split, weight))
     select t.split, count(a.doc_id) as n, weight / 10.0::double as target, round(count(a.doc_id) / (select count(*) from a)::double - weight / 10.0::double, 9) as error from t left join a using (split) group by t.split, weight""")
 def split_distribution_error(spark, sf_dir):
-    a = _assigned(spark, sf_dir)
-    weights = spark.createDataFrame([(s, top - ([0, *(t for _, t in _SPLITS)][i])) for i, (s, top) in enumerate(_SPLITS)], "split string, weight int")
-    total = a.agg(F.count("*").alias("total"))
-    counts = a.groupBy("split").agg(F.count("*").alias("n"))
-    out = weights.join(counts, "split", "left").na.fill(0, ["n"]).join(total)  # one row: the total
-    return out.select("split", "n", (F.col("weight") / 10.0).alias("target"), F.round(F.col("n") / F.col("total") - F.col("weight") / 10.0, 9).alias("error"))
+    weights = {s: top - before for (s, top), before in zip(_SPLITS, (0, *(t for _, t in _SPLITS)), strict=False)}
+    return split_errors(_assigned(spark, sf_dir), weights).withColumn("error", F.round("error", 9))
 
 
 _LEAKS = "select dimension, family, count(distinct split) as splits, count(*) as n from ({x}) x group by dimension, family having count(distinct split) > 1"
