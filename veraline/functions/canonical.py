@@ -83,27 +83,39 @@ def object_sha256(df: DataFrame, **fields: Column | str) -> Column:
     return sha256_json(made, df.select(made.alias("x")).schema["x"].dataType)
 
 
-def list_digest(rows: DataFrame, order: list[str], element: Column) -> DataFrame:
-    """(digest, n): sha256 of the canonical JSON of a list whose elements, given as JSON texts, are in that order.
+#: Rows of a serial digest at most; tables of any size have sources/jsonl.tree_sha256().
+MOST_LISTED = 50_000_000
+
 
-    The digest is of one long text, so it's a serial sum; rows are sorted over range
-    partitions and come to it one partition after the other, some bytes each, so that
-    no task or driver holds the list.
+def ordered_sha256(rows: DataFrame, order: list[str], text: Column, before: str, after: str) -> tuple[str, int]:
+    """(sha256 of `before`, the rows' texts in that order with commas between, and `after`; how many rows).
+
+    Such a digest is a serial sum by its definition, so it's for sets of MOST_LISTED rows
+    at most and refuses more.  Texts come sorted to one task, which holds one batch of
+    them at a time; the driver sees the digest alone.
     """
     keys = [f"k{i}" for i in range(len(order))]
-    placed = rows.select(element.alias("t"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=True))).repartitionByRange(*keys, "t").sortWithinPartitions(*keys, "t").select("t")
+    placed = rows.select(text.alias("t"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=True))).repartitionByRange(1, *keys, "t").sortWithinPartitions(*keys, "t").select("t")
+    most = MOST_LISTED
 
-    def joined(batches):
+    def run(batches):
+        sha, n = hashlib.sha256(before.encode()), 0
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([",".join(batch.column(0).to_pylist())]), pa.array([batch.num_rows], pa.int64())], names=["t", "n"])
-
-    sha, n = hashlib.sha256(b"["), 0
-    for row in placed.mapInArrow(joined, "t string, n long").toLocalIterator():
-        sha.update((b"," if n else b"") + row["t"].encode())
-        n += row["n"]
-    sha.update(b"]")
-    return rows.sparkSession.createDataFrame([(sha.hexdigest(), n)], "digest string, n long")
+                sha.update((b"," if n else b"") + ",".join(batch.column(0).to_pylist()).encode())
+                n += batch.num_rows
+            if n > most:
+                raise ValueError(f"a serial digest of more than {most} rows")
+        sha.update(after.encode())
+        yield pa.RecordBatch.from_pylist([{"digest": sha.hexdigest(), "n": n}])
+
+    found = placed.mapInArrow(run, "digest string, n long").first()
+    return (found["digest"], found["n"]) if found else (hashlib.sha256((before + after).encode()).hexdigest(), 0)
+
+
+def list_digest(rows: DataFrame, order: list[str], element: Column) -> DataFrame:
+    """(digest, n): sha256 of the canonical JSON of a list whose elements, given as JSON texts, are in that order; see ordered_sha256()."""
+    return rows.sparkSession.createDataFrame([ordered_sha256(rows, order, element, "[", "]")], "digest string, n long")
 
 
 def set_digest(rows: DataFrame, key: str, payload: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from veraline.functions import predicates as P
 from veraline.functions import versions
-from veraline.functions.canonical import object_sha256, set_digest, sha256_json
+from veraline.functions.canonical import json_string, object_sha256, ordered_sha256, set_digest, sha256_json
 from veraline.functions.text import digest_mod, let, normalize_all
 from veraline.operators.checks import named, repeated, require_none, union, violations
 from veraline.operators.contamination import KIND_ORDER, fingerprints, scan
@@ -265,16 +265,8 @@ def assign_splits(records: DataFrame, policy: SplitPolicy) -> DataFrame:
 
 
 def assignment_sha256(assigned: DataFrame) -> str:
-    """The digest of the object of all sample_ids and their splits, summed in the order of the ids."""
-    from veraline.functions.canonical import json_string
-
-    placed = assigned.select("sample_id", F.concat(json_string(F.col("sample_id")), F.lit(":"), json_string(F.col("split"))).alias("t")).repartitionByRange("sample_id").sortWithinPartitions("sample_id")
-    sha, first = hashlib.sha256(b"{"), True
-    for r in placed.select("t").toLocalIterator():
-        sha.update(("" if first else ",").encode() + r["t"].encode())
-        first = False
-    sha.update(b"}")
-    return sha.hexdigest()
+    """The digest of the object of all sample_ids and their splits, in the order of the ids."""
+    return ordered_sha256(assigned, ["sample_id"], F.concat(json_string(F.col("sample_id")), F.lit(":"), json_string(F.col("split"))), "{", "}")[0]
 
 
 # --- contamination ---

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import sys
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veraline.functions import versions
-from veraline.functions.canonical import canonical_json, json_string, list_digest
+from veraline.functions.canonical import canonical_json, json_string, list_digest, ordered_sha256, set_digest
 from veraline.operators import contamination as C
 from veraline.operators import evaluation, paired, trust
 from veraline.operators.backend import scored_by
@@ -98,28 +99,16 @@ def manifest(records: DataFrame, bound: dict[str, str]) -> tuple[dict[str, objec
 
 
 def _with_rows(head: dict[str, object], rows: DataFrame) -> str:
-    """The digest of the object of head and "records": [rows by sample_id], summed without gathering the rows."""
-    import hashlib
-    import json
-
+    """The digest of the object of head and "records": [rows by sample_id]."""
     whole = json.dumps({**head, "records": "\x00"}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
     before, after = whole.split('"\\u0000"')
-    text = canonical_json(F.struct(*MANIFEST_ROW.fieldNames()), MANIFEST_ROW)
-    placed = rows.select("sample_id", text.alias("t")).repartitionByRange("sample_id").sortWithinPartitions("sample_id")
-    sha, n = hashlib.sha256((before + "[").encode()), 0
-    for r in placed.select("t").toLocalIterator():
-        sha.update((b"," if n else b"") + r["t"].encode())
-        n += 1
-    sha.update(("]" + after).encode())
-    return sha.hexdigest()
+    return ordered_sha256(rows, ["sample_id"], canonical_json(F.struct(*MANIFEST_ROW.fieldNames()), MANIFEST_ROW), before + "[", "]" + after)[0]
 
 
 def manifest_violations(head: dict[str, object], rows: DataFrame) -> list[str]:
     """Fields of a manifest that its own rows contradict."""
     body = {k: v for k, v in head.items() if k != "manifest_sha256"}
     counts = lambda c: {r[0]: r[1] for r in rows.groupBy(c).count().collect()}
-    from veraline.functions.canonical import set_digest
-
     digest = set_digest(rows.select("sample_id", "payload_sha256"), "sample_id", "payload_sha256").first()
     seen = {"record_count": digest["n"], "split_counts": counts("split"), "source_counts": counts("source_id"), "record_set_sha256": digest["digest"], "manifest_sha256": _with_rows(body, rows)}
     return [k for k, v in seen.items() if head.get(k) != v]
