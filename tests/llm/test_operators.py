@@ -638,6 +638,12 @@ def test_secret_spans(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_columns_called_found_stay(spark):
+    frame = docs(spark, ["mail a.b@example.com", None]).withColumn("Found", F.lit("mine"))
+    out = pii.pseudonymize(frame, "k", found="found").orderBy("doc_id").collect()
+    assert [r.Found for r in out] == ["mine", "mine"] and [[x.kind for x in r.found_] for r in out] == [["email"], []]
+
+
 def slow_key_spans(text):
     """Keys in base64 and hex, all of the rest decoded at each place."""
     out, done = [], 0
@@ -729,6 +735,10 @@ def test_toxicity_learns_words_and_places(spark):
         labels.append((i, 1, int(toxic)))
     frame, known = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     out = toxicity.classify(frame, known).toPandas().set_index("doc_id")
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    located = [(i, x) for i, own in out["offending"].items() for x in own]
+    assert located and all(0 <= x["start"] < x["end"] <= len(texts[i]) and x["p"] >= 0.5 for i, x in located)
+    assert all(out["predicted"][i] == 1 for i, _ in located)  # noisy-or: one such sentence is enough
     held = out[out.held_out]
     assert (held.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in held.index]).all()
     assert (held.predicted == [int(i % 6 == 0) for i in held.index]).mean() > 0.97

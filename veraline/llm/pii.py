@@ -245,8 +245,8 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", found: str | None
     What stays readable by design is the format: how many digits an octet of an address
     has, an e-mail address's top domain, a separator.
 
-    found: the name of an added column, array<struct<kind, text>> of the values put
-    in, in order.  A null text stays null (found: empty), an empty one empty.
+    found: the name of an added column (with underscores, if df has it already, in any
+    case of its letters), array<struct<kind, text>> of the values put in, in order.  A null text stays null (found: empty), an empty one empty.
     Equal rows give equal rows.  Texts of any length are read whole.
     """
     if not key:
@@ -260,5 +260,7 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", found: str | None
     joined = F.array_join(F.flatten(F.zip_with(F.col(parts), told, lambda a, b: F.array(a, b))), "")
     out = split.withColumn(text, F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text)))
     if found:
+        while found.lower() in {c.lower() for c in df.columns}:
+            found += "_"
         out = out.withColumn(found, F.filter(F.coalesce(F.col(new), F.array().cast("array<struct<kind:string,text:string>>")), lambda x: x["kind"].isNotNull()))
     return out.drop(parts, new)

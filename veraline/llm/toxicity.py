@@ -204,8 +204,8 @@ def score(docs: DataFrame, model: Model, spans: bool = False, keep: list[str] |
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted (score >= 0.5)."""
-    return score(docs, fit(docs, labels)).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """Per document: doc_id, held_out, score, predicted (score >= 0.5), offending (the sentences that are toxic by themselves, by code points)."""
+    return score(docs, fit(docs, labels), spans=True).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
