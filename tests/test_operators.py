@@ -3,6 +3,7 @@
 import random
 import re
 from fractions import Fraction
+from itertools import product
 from math import comb
 from pathlib import Path
 
@@ -19,7 +20,7 @@ from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask
 from veraline.operators.contamination import best_match, family_components, fingerprints, quarantine, scan
 from veraline.operators.graph import connected_components
 from veraline.operators.ordering import keyed_totals, running_totals
-from veraline.operators.resampling import exhaustive_sign_flip, holm, resampled_totals, type7_quantile
+from veraline.operators.resampling import decimal_text, exhaustive_sign_flip, holm, resampled_totals, type7_quantile
 from veraline.plans.trust import peel_cycles
 from veraline.sources.jsonl import fault_of, read_records, write_records
 from veraline.streaming.ledger import stream_ledger
@@ -250,6 +251,19 @@ def test_exact_sign_flip_and_quantile(spark):
     assert type7_quantile(rows, ["g"], "v", {"q": (25, 1000)}).first().q == pytest.approx(float(Fraction(43, 40)))
 
 
+def test_exact_sign_flip_of_many_items(spark):
+    n = 15_000
+    got = exhaustive_sign_flip(spark.range(n).select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("u")), "id", "u").first()
+    assert (got.extreme, got.flips) == tuple(decimal_text(x) for x in ((2**n + comb(n, n // 2)) // 2, 2**n))
+    rng = random.Random(5)
+    for _ in range(6):
+        units = [rng.choice((-5, -2, -1, 0, 1, 3)) for _ in range(rng.randrange(1, 15))]
+        totals = [sum(x) for x in product(*((-u, u) for u in units))]
+        frame = spark.createDataFrame(list(enumerate(units)), "item int, u int").coalesce(1)
+        assert tuple(exhaustive_sign_flip(frame, "item", "u").first()) == (sum(t >= sum(units) for t in totals), len(totals)), units
+    assert decimal_text(-(10**9000) - 7) == "-1" + "7".zfill(9000)
+
+
 def test_holm(spark):
     got = {r.h: r.adjusted for r in holm(spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "h string, p double"), "h", "p").collect()}
     assert got == pytest.approx({"a": 0.03, "c": 0.06, "b": 0.06})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,22 +35,33 @@ def type7_quantile(rows: DataFrame, keys: list[str], value: str, quantiles: dict
     return sized.groupBy("vl_k").agg(*out).select("vl_k.*", *quantiles)
 
 
-def exhaustive_sign_flip(units: DataFrame, item: str, unit: str) -> DataFrame:
-    """(extreme, flips): how many of all sign patterns reach the observed total.
+def _fewest(sizes: dict[int, int], top: int) -> int:
+    """How many sign patterns have pluses whose sizes add up to `top` at most.
 
-    Items are counted by the size of their difference; the totals are a histogram of
-    sums, one cell per reachable sum, into which a size that n items have is folded by
-    its binomial counts.  So no pattern is enumerated, and what meets on the driver is
-    bounded by MOST_SUMS, beyond which the exact test is refused (use draws).  Counts
-    are whole numbers of any length, returned as decimal text if they pass 63 bits.
+    The patterns by that sum are the coefficients c of P = product of (1 + y^s)^n.  From
+    y P' / P = sum of n s y^s / (1 + y^s) follows, with D the product of all 1 + y^s and A
+    the sum over D,  k c_k = sum over i of (A_i - D_i (k - i)) c_(k-i).  So each coefficient comes
+    from the last few, as many as the different sizes add up to, and no others are held.
     """
-    rows = units.select(F.abs(unit).cast("long").alias("size")).groupBy("size").agg(F.count("*").alias("n")).orderBy("size").limit(MOST_SUMS + 1).collect()
-    reach = sum(r["size"] * r["n"] for r in rows)
-    if len(rows) > MOST_SUMS or 2 * reach + 1 > MOST_SUMS:
-        raise ValueError(f"sums up to {reach} are more than the exact test holds: draw sign flips instead")
-    seen = units.agg(F.coalesce(F.sum(unit), F.lit(0))).first()[0]
+    shared, most = [1], [0]
+    for s, n in sizes.items():
+        wide = [0] * (len(shared) + s)
+        for i, (d, a) in enumerate(zip(shared, most, strict=True)):
+            wide[i] += a
+            wide[i + s] += a + n * s * d
+        shared, most = [d + e for d, e in zip(shared + [0] * s, [0] * s + shared, strict=True)], wide
+    terms = [(i, d, a) for i, (d, a) in enumerate(zip(shared, most, strict=True)) if i and (d or a)]
+    last, total = deque([1], maxlen=len(shared) - 1), 1
+    for k in range(1, top + 1):
+        last.appendleft(sum((a - d * (k - i)) * last[i - 1] for i, d, a in terms if i <= min(k, len(last))) // k)
+        total += last[0]
+    return total if top >= 0 else 0
+
+
+def _folded(sizes: dict[int, int], least: int) -> int:
+    """How many sign patterns have a total of `least` or more, from a histogram of sums into which each size's binomial counts are folded."""
     sums = {0: 1}
-    for size, n in rows:
+    for size, n in sizes.items():
         ways, k = [1], 0
         while k < n:
             ways.append(ways[-1] * (n - k) // (k + 1))
@@ -59,9 +72,46 @@ def exhaustive_sign_flip(units: DataFrame, item: str, unit: str) -> DataFrame:
                 x = s + size * (2 * plus - n)
                 new[x] = new.get(x, 0) + c * w
         sums = new
-    extreme, flips = sum(k for s, k in sums.items() if s >= seen), sum(sums.values())
+    return sum(c for s, c in sums.items() if s >= least)
+
+
+def decimal_text(n: int) -> str:
+    """The decimal digits of a number of any length; str() refuses more than 4,300."""
+    if n < 0:
+        return "-" + decimal_text(-n)
+    if n < 10**4000:
+        return str(n)
+    half = n.bit_length() * 3 // 20  # about half of its digits
+    high, low = divmod(n, 10**half)
+    return decimal_text(high) + decimal_text(low).zfill(half)
+
+
+def exhaustive_sign_flip(units: DataFrame, item: str, unit: str) -> DataFrame:
+    """(extreme, flips): how many of all sign patterns reach the observed total.
+
+    Items are counted by their difference, so what meets on the driver is one row a
+    different value.  If the different sizes add up to no more than there are items,
+    patterns are counted by a recurrence over the possible sums that holds a few of them,
+    otherwise by a histogram of sums.  Sums are bounded by MOST_SUMS, beyond which the
+    exact test is refused (use draws).  Counts are whole numbers of any length, returned
+    as decimal text if they pass 63 bits.
+    """
+    rows = units.groupBy(F.col(unit).cast("long").alias("u")).agg(F.count("*").alias("n")).limit(MOST_SUMS + 1).collect()
+    sizes: dict[int, int] = {}
+    for u, n in rows:
+        sizes[abs(u)] = sizes.get(abs(u), 0) + n
+    reach, seen = sum(s * n for s, n in sizes.items()), sum(u * n for u, n in rows)
+    if len(rows) > MOST_SUMS or 2 * reach + 1 > MOST_SUMS:
+        raise ValueError(f"sums up to {reach} are more than the exact test holds: draw sign flips instead")
+    none, sizes = sizes.get(0, 0), {s: n for s, n in sorted(sizes.items()) if s}
+    every, top = 1 << sum(sizes.values()), (reach - seen) // 2
+    if sum(sizes) > sum(sizes.values()):
+        extreme = _folded(sizes, seen)
+    else:  # turned signs turn a sum of pluses into the rest of the reach, so the shorter side is counted
+        extreme = _fewest(sizes, top) if 2 * top <= reach else every - _fewest(sizes, reach - top - 1)
+    extreme, flips = extreme << none, every << none
     kind = "long" if flips < 2**63 else "string"
-    return units.sparkSession.createDataFrame([(extreme, flips) if kind == "long" else (str(extreme), str(flips))], f"extreme {kind}, flips {kind}")
+    return units.sparkSession.createDataFrame([(extreme, flips) if kind == "long" else (decimal_text(extreme), decimal_text(flips))], f"extreme {kind}, flips {kind}")
 
 
 def resampled_totals(units: DataFrame, item: str, unit: str, reps: int, seed: str, draws: str) -> DataFrame:
