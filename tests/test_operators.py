@@ -1,5 +1,6 @@
 """Operators on small rows whose results are known."""
 
+import hashlib
 import random
 import re
 from fractions import Fraction
@@ -7,6 +8,7 @@ from itertools import product
 from math import comb
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -15,12 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veraline.functions.text import digest_mod, is_nfc, ngrams, normal_form, normalize, ppm_half_even, ppm_half_up, seed63, sha
+from veraline.functions import canonical
 from veraline.functions.canonical import canonical_json, set_digest
 from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask, group_advantages, interpolate, ledger, nll, reverse_kl
 from veraline.operators.contamination import best_match, family_components, fingerprints, quarantine, scan
 from veraline.operators.graph import connected_components
 from veraline.operators.ordering import keyed_totals, running_totals
 from veraline.operators.resampling import decimal_text, exhaustive_sign_flip, holm, resampled_totals, type7_quantile
+from veraline.plans.registry import ORACLE_SQL, QUERIES
+from veraline.plans.store import setting
 from veraline.plans.trust import peel_cycles
 from veraline.sources.jsonl import fault_of, read_records, write_records
 from veraline.streaming.ledger import stream_ledger
@@ -180,6 +185,22 @@ def test_canonical_json_is_that_of_python(spark):
         canonical_json(F.col("x"), T.ArrayType(T.DoubleType()))
 
 
+def test_record_set_digest_is_of_the_whole_list(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(canonical, "HELD_BYTES", 100)
+    texts = [None if k == 9 else f"é{k}" for k in range(230)]
+    spark.createDataFrame([((k * 77) % 230, texts[(k * 77) % 230]) for k in range(230)], "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [f'[{k},"{hashlib.sha256(t.encode()).hexdigest()}"]' for k, t in enumerate(texts) if t is not None]
+    want = (hashlib.sha256(f"[{','.join(pairs)}]".encode()).hexdigest(), 230)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "7"):
+        assert tuple(QUERIES["record_set_digest"](spark, str(tmp_path)).first()) == want
+    with duckdb.connect() as duck:
+        duck.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+        assert duck.execute(ORACLE_SQL["record_set_digest"]).fetchone() == want
+    monkeypatch.setattr(canonical, "MOST_LISTED", 229)
+    with pytest.raises(Exception, match="more than 229 rows"):
+        QUERIES["record_set_digest"](spark, str(tmp_path))
+
+
 def test_interpolation_and_keyed_totals(spark):
     points = spark.createDataFrame([("a", x, float(x * x)) for x in range(0, 1001, 7)] + [("b", 5, 1.0), ("b", 25, 3.0)], "c string, x long, y double")
     got = {(r.c, r.x): r.y for r in interpolate(points, "c", "x", "y", 10).collect()}
