@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veraline.operators import mask_budget as mb
 from veraline.operators.checks import ContractError
+from veraline.plans.store import setting
 
 ROWS = "sample_id string, generation_index long, mask array<int>, note string"
 
@@ -43,6 +44,15 @@ def test_prefix_and_digest(spark, n, width, remaining):
     assert {r.note for r in got.rows.collect()} == {r[3] for r in rows}
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_pieces_go_to_the_task_that_hashes(spark, monkeypatch, batch):
+    seen, rows, real = [], made(600, 9, 5), mb.serial_sha256
+    monkeypatch.setattr(mb, "serial_sha256", lambda pieces, heads: (seen.append(pieces.count()), real(pieces, heads))[1])
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)):
+        assert mb.select(spark.createDataFrame(rows, ROWS), 300).content_digest == plain(rows, 300)[3]
+    assert seen[0] < 600 and (batch == 7 or seen[0] <= 3 * 4)
+
+
 def test_no_rows(spark):
     got = mb.select(spark.createDataFrame([], ROWS), 5)
     assert (got.rows.count(), got.candidate_tokens, got.selected_tokens, got.content_digest) == (0, 0, 0, plain([], 5)[3])

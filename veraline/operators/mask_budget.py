@@ -8,15 +8,13 @@ that the masks applied are those that were planned.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veraline.functions import predicates as P
-from veraline.functions.canonical import json_string
+from veraline.functions.canonical import joined, json_string, serial_sha256
 from veraline.operators import budget
 from veraline.operators.checks import ContractError, named, repeated, require_none, union, violations
 from veraline.operators.ordering import running_totals
@@ -59,31 +57,16 @@ def _bits(mask: Column) -> Column:
 def content_sha256(selection: DataFrame, width: int) -> str:
     """The digest of a selection (position, key, candidate_mask, loss_mask): its keys and shape, then all rows of one mask, then of the other.
 
-    Parts come sorted and one at a time to the task that hashes them.
+    Rows are sorted and joined in range partitions; one task hashes these pieces, and none sorts all rows.
     """
     rows = selection.count()
     if rows * width > MOST_CELLS:
         raise ContractError(f"an update has more than {MOST_CELLS} cells")
     key = F.concat(F.lit("["), json_string(F.col("sample_id")), F.lit(","), F.col("generation_index").cast("string"), F.lit("]"))
     text = F.when(F.col("position") > 0, F.concat(F.lit(","), key)).otherwise(key)
-    parts = selection.select(F.posexplode(F.array(F.encode(text, "UTF-8"), F.unhex(_bits(F.col("candidate_mask"))), F.unhex(_bits(F.col("loss_mask"))))).alias("section", "part"), "position")
+    parts = selection.select("position", F.encode(text, "UTF-8").alias("keys"), F.unhex(_bits(F.col("candidate_mask"))).alias("candidates"), F.unhex(_bits(F.col("loss_mask"))).alias("losses"))
     heads = [b'{"row_keys":[', f'],"schema_version":1,"shape":[{rows},{width}]}}'.encode() + b"\x00candidate-mask\x00", b"\x00selected-mask\x00"]
-
-    def run(batches):
-        sha, section = hashlib.sha256(heads[0]), 0
-        for batch in batches:
-            for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                while section < at:
-                    section += 1
-                    sha.update(heads[section])
-                sha.update(part or b"")
-        for head in heads[section + 1 :]:
-            sha.update(head)
-        yield pa.RecordBatch.from_pylist([{"digest": sha.hexdigest()}])
-
-    ordered = parts.repartitionByRange(1, "section", "position").sortWithinPartitions("section", "position").select("section", "part")
-    found = ordered.mapInArrow(run, "digest string").first()
-    return found["digest"] if found else hashlib.sha256(b"".join(heads)).hexdigest()
+    return serial_sha256(joined(parts, ["position"], ["keys", "candidates", "losses"]), heads)[0]
 
 
 @dataclass(frozen=True)
