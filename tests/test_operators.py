@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -260,6 +261,16 @@ def test_resampling_is_what_plain_draws_give(spark):
 # --- statistics ---
 
 
+def test_scan_gets_small_batches_of_texts(spark):
+    rows = spark.range(2000, numPartitions=1).select(F.col("id").cast("string").alias("id"), F.format_string("text %s of some length that is long enough to be counted", "id").alias("text"))
+    wide = T.StructType([T.StructField("n", T.LongType())])
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "64m"):
+        matches = scan(fingerprints(rows, "id", "text", normalize), fingerprints(rows.where("id < 3").withColumnRenamed("id", "item"), "item", "text", normalize), "id", "item")
+        assert {(r.id, r.item) for r in matches.where("kind = 'exact'").collect()} == {(str(k), str(k)) for k in range(3)}
+        sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pylist([{"n": b.num_rows}]) for b in batches), wide).collect()]
+        assert sum(sizes) == 2000 and max(sizes) <= 500
+
+
 def test_exact_sign_flip_and_quantile(spark):
     units = spark.createDataFrame([(k, 3) for k in range(8)], "item int, u int")
     assert tuple(exhaustive_sign_flip(units, "item", "u").first()) == (1, 256)

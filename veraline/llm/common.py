@@ -12,6 +12,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 
+from veraline.plans.store import small_batches, tidy  # noqa: F401  the operators here take them from this module
+
 WORD = re.compile(r"\w+")
 _RUN_OF_SPACE = re.compile(r"\s \s")
 
@@ -23,18 +25,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def small_batches(spark) -> None:
-    """Whole texts are long: fewer rows and bytes to an Arrow batch keep a worker's memory bounded.
-
-    The settings are read when a plan runs, so they stay lowered for the session.
-    """
-    for key, default, most in (("maxRecordsPerBatch", "10000", 500), ("maxBytesPerBatch", "64m", 8 << 20)):
-        name = f"spark.sql.execution.arrow.{key}"
-        now = str(spark.conf.get(name, default)).lower().removesuffix("b")
-        if int(now.rstrip("kmg")) * 1024 ** " kmg".index(now[-1] if now[-1] in "kmg" else " ") > most:
-            spark.conf.set(name, str(most))
-
-
 @lru_cache(maxsize=1)
 def one_blas_thread() -> None:
     """Let numpy's own BLAS use one thread in this process: the driver's matrices are small, and threads contend with the JVM's."""
@@ -45,21 +35,6 @@ def one_blas_thread() -> None:
                 getattr(library, name)(1)
 
 
-def tidy(run):
-    """The function of mapInArrow, after which its worker gives freed memory back: it stays, idle, beside the next stages."""
-
-    def out(batches):
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            library = ctypes.CDLL(None)
-            if hasattr(library, "malloc_trim"):
-                library.malloc_trim(0)
-
-    return out
-
-
 class Recent(dict):
     """What `make` gives for a key, remembered for the keys met of late: two generations of `room` keys each."""
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from veraline.functions.text import char_ngrams, ngrams, ppm_half_even, sha, words
 from veraline.operators.graph import connected_components
+from veraline.plans.store import small_batches, tidy
 
 # N-gram sizes, least lengths and thresholds of the decision.
 CHAR_SIZE, TOKEN_SIZE = 5, 3
@@ -149,7 +150,7 @@ def _counted_in_scan(train: DataFrame, evaluation: DataFrame, train_key: str, ev
             arrays = [pa.array(columns[0], pa.int32()), *(pa.array(x, pa.int64()) for x in columns[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), keys.take(pa.array(owners, pa.int64())), *arrays], names=schema.names)
 
-    return train.where(F.col("norm_chars") >= MIN_EXACT).select(train_key, "norm", "norm_chars").mapInArrow(run, schema)
+    return train.where(F.col("norm_chars") >= MIN_EXACT).select(train_key, "norm", "norm_chars").mapInArrow(tidy(run), schema)
 
 
 COUNTS = ("char_both", "token_both", "c1", "t1", "c2", "t2")
@@ -191,8 +192,12 @@ def shared_grams(train: DataFrame, evaluation: DataFrame, train_key: str, eval_k
 
 
 def scan(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str) -> DataFrame:
-    """One row per matching pair of fingerprints(): kind and the four scores in ppm."""
+    """One row per matching pair of fingerprints(): kind and the four scores in ppm.
+
+    Workers that normalise and count get small batches of texts, whatever the table's size.
+    """
     held = evaluation.agg(F.coalesce(F.sum("norm_chars"), F.lit(0))).first()[0] <= HELD_CHARS
+    small_batches(train.sparkSession)
     if held:
         scored = _counted_in_scan(train, evaluation, train_key, eval_key)
     else:
