@@ -269,6 +269,7 @@ def test_scan_gets_small_batches_of_texts(spark):
         assert {(r.id, r.item) for r in matches.where("kind = 'exact'").collect()} == {(str(k), str(k)) for k in range(3)}
         sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pylist([{"n": b.num_rows}]) for b in batches), wide).collect()]
         assert sum(sizes) == 2000 and max(sizes) <= 500
+        assert {(r.id, r.item) for r in best_match(matches, "id", "item").where("kind = 'exact'").collect()} == {(str(k), str(k)) for k in range(3)}
 
 
 def test_exact_sign_flip_and_quantile(spark):
