@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from veraline.functions.text import digest_mod, is_nfc, ngrams, normal_form, normalize, ppm_half_even, ppm_half_up, seed63, sha
 from veraline.functions import canonical
 from veraline.functions.canonical import canonical_json, set_digest
+from veraline.operators import contamination
 from veraline.operators.accounting import budget_prefix, entropy, first_eos_mask, group_advantages, interpolate, ledger, nll, reverse_kl
-from veraline.operators.contamination import best_match, family_components, fingerprints, quarantine, scan
+from veraline.operators.contamination import best_match, family_components, fingerprints, hashed_grams, quarantine, scan
 from veraline.operators.graph import connected_components
 from veraline.operators.ordering import keyed_totals, running_totals
 from veraline.operators.resampling import decimal_text, exhaustive_sign_flip, holm, resampled_totals, type7_quantile
@@ -272,6 +273,28 @@ def test_scan_gets_small_batches_of_texts(spark):
         assert {(r.id, r.item) for r in best_match(matches, "id", "item").where("kind = 'exact'").collect()} == {(str(k), str(k)) for k in range(3)}
 
 
+def test_a_worker_of_the_scan_remembers_no_long_tokens():
+    known = {}
+    for k in range(200):
+        norm = " ".join([f"{k}x{i}" * 500 for i in range(5)] + ["short", "ones", f"k{k}"])
+        kept, alone = hashed_grams(norm, known), hashed_grams(norm, {})
+        assert all((a == b).all() for a, b in zip(kept, alone, strict=True))
+    assert {"short", "ones", "k0", "k199"} <= set(known) and sum(map(len, known)) < 2000
+
+
+def test_pairs_of_one_batch_leave_a_worker_in_pieces(spark, monkeypatch):
+    def small(batch):
+        if batch.num_rows > 20_100:
+            raise ValueError(f"{batch.num_rows} pairs at once")
+        return batch
+
+    monkeypatch.setattr(contamination, "tidy", lambda run: lambda batches: (small(b) for b in run(batches)))
+    rows = lambda key, n: fingerprints(spark.range(0, n, 1, 1).select(F.col("id").alias(key), F.lit("one text that many records on both sides share").alias("text")), key, "text")
+    matches = scan(rows("id", 300), rows("item", 100), "id", "item")
+    assert matches.where("kind = 'exact'").select("id", "item").distinct().count() == matches.count() == 30_000
+    assert {tuple(r) for r in best_match(matches, "id", "item").select("id", "item").collect()} == {(k, 0) for k in range(300)}
+
+
 def test_exact_sign_flip_and_quantile(spark):
     units = spark.createDataFrame([(k, 3) for k in range(8)], "item int, u int")
     assert tuple(exhaustive_sign_flip(units, "item", "u").first()) == (1, 256)

@@ -27,6 +27,8 @@ JACCARD, CONTAINMENT, MARGIN = 820_000, 920_000, 50_000
 KIND_ORDER = ("exact", "fuzzy", "review")
 #: Characters of evaluation records that driver and workers hold; the share of n-grams that a match may lack, rounding included, and the further share that is looked up.
 HELD_CHARS, LACK, LOOK = 4_000_000, 0.1301, 0.2
+#: What a worker holds at most, whatever the texts are: tokens whose hash it remembers, characters of such a token, pairs it gives out at once (and those of one more record).
+KNOWN, KNOWN_CHARS, PAIRS = 200_000, 32, 20_000
 
 _rng = np.random.default_rng(41)
 _SLOT = _rng.integers(1, 2**63, max(CHAR_SIZE, TOKEN_SIZE), dtype=np.uint64) | np.uint64(1)
@@ -54,18 +56,23 @@ def _mixed(units: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
+def _hashed(token: str, known: dict[str, int]) -> int:
+    """The hash of a token, remembered if the token is short; long ones (scripts without spaces, encoded data) would fill the memory."""
+    h = xxhash.xxh3_64_intdigest(token)
+    if len(token) <= KNOWN_CHARS:
+        if len(known) >= KNOWN:
+            known.clear()
+        known[token] = h
+    return h
+
+
 def hashed_grams(norm: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(character n-grams, token n-grams) of a normal form as hashes.  known: tokens met before."""
-    tokens = norm.split(" ")
-    if len(known) > 200_000:
-        known.clear()
-    for t in tokens:
-        if t not in known:
-            known[t] = xxhash.xxh3_64_intdigest(t)
+    tokens = np.array([known.get(t) or _hashed(t, known) for t in norm.split(" ")], np.uint64)
     chars = np.frombuffer(norm.replace(" ", "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     # a code point spread over all bits, so that sums of few of them don't meet
     chars = (chars + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    return _mixed(chars ^ (chars >> np.uint64(27)), CHAR_SIZE), _mixed(np.array([known[t] for t in tokens], np.uint64), TOKEN_SIZE)
+    return _mixed(chars ^ (chars >> np.uint64(27)), CHAR_SIZE), _mixed(tokens, TOKEN_SIZE)
 
 
 def _lists(owner: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,9 +136,18 @@ def _counted_in_scan(train: DataFrame, evaluation: DataFrame, train_key: str, ev
     def run(batches):
         keys, equal, long, kinds = held.value
         met: dict[str, int] = {}
+
+        def told(batch, rows, owners, counts):
+            columns = list(zip(*counts, strict=True)) if counts else [[]] * 7
+            arrays = [pa.array(columns[0], pa.int32()), *(pa.array(x, pa.int64()) for x in columns[1:])]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), keys.take(pa.array(owners, pa.int64())), *arrays], names=schema.names)
+
         for batch in batches:
             rows, owners, counts = [], [], []
             for i, (norm, chars) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if len(rows) >= PAIRS:
+                    yield told(batch, rows, owners, counts)
+                    rows, owners, counts = [], [], []
                 same = equal.get(norm, ())
                 for j in same:
                     rows.append(i)
@@ -146,9 +162,7 @@ def _counted_in_scan(train: DataFrame, evaluation: DataFrame, train_key: str, ev
                         owners.append(int(long[k]))
                         both = [len(np.intersect1d(g, kind.grams[k], assume_unique=True)) for g, kind in zip(own, kinds, strict=True)]
                         counts.append((0, *both, len(own[0]), len(own[1]), *(int(kind.sizes[k]) for kind in kinds)))
-            columns = list(zip(*counts, strict=True)) if counts else [[]] * 7
-            arrays = [pa.array(columns[0], pa.int32()), *(pa.array(x, pa.int64()) for x in columns[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), keys.take(pa.array(owners, pa.int64())), *arrays], names=schema.names)
+            yield told(batch, rows, owners, counts)
 
     return train.where(F.col("norm_chars") >= MIN_EXACT).select(train_key, "norm", "norm_chars").mapInArrow(tidy(run), schema)
 
